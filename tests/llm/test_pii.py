@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trekframe.llm import pii
+from trekframe.llm.common import table
+from tests.llm.data import edge_docs, empty_docs
+
+
+def brute(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(alphabet="a.@-+1 25(0)", max_size=40), st.text(alphabet="0123. -", max_size=60), st.text(max_size=30)))
+def test_base_rules(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_documents_and_edges(spark, sf_dir):
+    for docs in (table(spark, sf_dir, "documents"), edge_docs(spark)):
+        want = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        texts = {}
+        for i, t in want:
+            texts.setdefault(i, set()).add(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(t or "")).encode()).hexdigest())
+        got = pii.pii_spans(docs).collect()
+        assert len(got) == docs.count()
+        assert all(g.base_sha256 in texts[g.doc_id] for g in got)
+        assert all(len(g.spans.split(",")) == g.n_email + g.n_ip + g.n_card + g.n_phone + g.n_added or g.spans == "" for g in got)
+    assert pii.pii_spans(empty_docs(spark)).count() == 0
+
+
+def test_the_method_adds_what_the_base_rules_miss():
+    trees, limits = pii.fitted()
+    find = lambda t: [(k, t[a:b]) for k, a, b in pii.find_spans(t, trees, limits)[1] if k in pii.ADDED]
+    assert find("please call (415) 555-2671 today") == [("phone_local", "(415) 555-2671")]
+    assert find("her ssn 219-09-9999 was") == [("ssn", "219-09-9999")]
+    assert find("write to jo.doe [at] mail [dot] org") == [("email_words", "jo.doe [at] mail [dot] org")]
+    assert find("IBAN DE89370400440532013000 please") == [("iban", "DE89370400440532013000")]
+    for clean in ("order 123-45-6789 shipped", "on 2024-05-12 at 10:22:33", "version 10.2.3 of 1,000 items", "in 1998 2001 and 2020 3000", "a plain sentence, nothing else"):
+        assert find(clean) == [], clean
+
+
+def test_held_out_precision_and_redaction():
+    import random
+
+    trees, limits = pii.fitted()
+    rng = random.Random(99)
+    right = wrong = missed = 0
+    for _ in range(1500):
+        before, entity, personal = pii._example(rng)
+        spans = [s for s in pii.find_spans(before + entity + ".", trees, limits)[1] if s[0] in pii.ADDED]
+        right += bool(spans) and personal
+        wrong += bool(spans) and not personal
+        missed += personal and not spans
+    assert right / (right + wrong) >= 0.98 and right / (right + missed) >= 0.9
+    assert pii.redact("a b@c.de f", [("email", 2, 8)]) == "a [email] f"
+
+
+def test_long_texts_take_linear_time():
+    for text in ("1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "1-" * 150_000, "(12) " * 60_000, "ab:" * 100_000, "AB12 " * 60_000):
+        pii.find_spans(text, *pii.fitted())

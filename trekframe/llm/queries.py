@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trekframe.llm import byte_bpe, exact_dedup, mixing, quality_rules
+from trekframe.llm import byte_bpe, exact_dedup, html_extract, lang_id, license_scan, mixing, pii, quality_rules, token_output
 from trekframe.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -21,11 +25,32 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality_rules, op4_mixing, op7_byte_bpe)}
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.fresh_path(spark)
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_output.token_digest(spark, path)
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_mixing, op5_html_extract, op6_pii, op7_byte_bpe, op9_token_output, op10_lang_id)
+}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
