@@ -38,11 +38,11 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", f"{folder}/code"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with batches that stay small when texts are long."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trekframe.llm import byte_bpe, exact_dedup, html_extract, lang_id, license_scan, mixing, pii, quality_rules, token_output
+from trekframe.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, mixing, pii, quality_rules, token_output
 from trekframe.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_output.fresh_path(spark)
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -49,7 +53,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_mixing, op5_html_extract, op6_pii, op7_byte_bpe, op9_token_output, op10_lang_id)
+    for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_mixing, op5_html_extract, op6_pii, op7_byte_bpe, op8_jaccard_join, op9_token_output, op10_lang_id)
 }
 
 ORACLES: dict[str, str] = {
