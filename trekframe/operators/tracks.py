@@ -192,7 +192,7 @@ def statistics(points: DataFrame) -> DataFrame:
 
 def segment_statistics(points: DataFrame) -> DataFrame:
     """track_id, n_segments, total_m, mean_m, max_m, min_m by ellipsoidal distance."""
-    rows = _step(points).withColumn("m", geo.vincenty_inverse(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude")))
+    rows = _step(points).withColumn("m", geo.vincenty_inverse(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude"), steps=10))
     return rows.where("m is not null").groupBy("track_id").agg(F.count("*").alias("n_segments"), *[F.round(f("m"), 3).alias(n) for f, n in ((F.sum, "total_m"), (F.avg, "mean_m"), (F.max, "max_m"), (F.min, "min_m"))])
 
 
