@@ -11,8 +11,8 @@ the inverse mapping.
 A pre-token that is itself an entry is that entry. Others merge as above.
 
 Texts are encoded in the map task that reads them, nothing is shuffled. A task
-remembers the pre-tokens that it has met (``REMEMBERED`` at most, then it
-starts anew); this changes the time, not the result.
+remembers the pre-tokens that it has met lately (twice ``REMEMBERED`` at most);
+this changes the time, not the result.
 
 Defined cases: null text counts as empty and has no ids; very long texts are
 encoded whole; repeated rows give repeated results; an empty table gives an
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from trekframe.llm.common import map_arrow
 
-#: Pre-tokens that a task remembers with their ids.
-REMEMBERED = 300_000
-#: Bytes of a pre-token beyond which it isn't remembered.
+#: Pre-tokens of a generation: a task remembers the current one and the one before.
+REMEMBERED = 310_000
+#: Characters of a pre-token beyond which it isn't remembered.
 LONGEST_REMEMBERED = 64
 
 
@@ -67,9 +68,12 @@ def _message(*fields: tuple[int, object]) -> bytes:
     return out
 
 
+_MAPPED = {b: 256 + b for b in range(256)}
+
+
 def mapped(data: bytes) -> str:
     """Bytes as the characters U+0100 to U+01FF."""
-    return "".join([chr(256 + b) for b in data])
+    return data.decode("latin-1").translate(_MAPPED)
 
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
@@ -84,16 +88,19 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class PreTokens(dict):
-    """Pre-token to its ids' form; encodes what it hasn't met."""
+    """Pre-token to its ids' form; encodes what it hasn't met lately."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str):
-        form = self.encode(piece)
+        form = self.before.get(piece)
+        if form is None:
+            form = self.encode(piece)
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = form
         return form
@@ -118,7 +125,7 @@ class ByteBPE:
         return [rank] if rank is not None else self.pieces.encode(mapped(data))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids in map(self.met.__getitem__, self.split(text or "")) for i in ids]
+        return list(chain.from_iterable(map(self.met.__getitem__, self.split(text or ""))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -156,12 +163,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return _per_text(docs, id_col, text_col, path, pattern, "doc_id long, ids array<int>", types, lambda bpe, text: (bpe.encode(text.as_py()),))
 
 
-def bpe_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the bytes decoded from them."""
+def bpe_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids and of the bytes decoded from them; with_ids: the ids too."""
 
     def row(bpe: ByteBPE, text: pa.Scalar) -> tuple:
         ids = bpe.encode(text.as_py())
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest(), *[ids] * with_ids
 
-    types = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return _per_text(docs, id_col, text_col, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", types, row)
+    types = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))][: 4 + with_ids]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _per_text(docs, id_col, text_col, path, pattern, schema, types, row)

@@ -26,6 +26,7 @@ writes no segment; extra columns are unread.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,14 +47,15 @@ MAGIC = b"DAC1"
 
 def dac_encode(ids: np.ndarray) -> bytes:
     """The code of unsigned ids below 2**32: magic, levels; then for each level its length, chunks, bitmap and rank directory."""
-    rest, levels = np.asarray(ids, dtype=np.uint32), []
+    rest, levels = np.asarray(ids), []
     while True:
-        chunks, rest_next = (rest & 255).astype(np.uint8), rest >> 8
+        chunks, rest_next = rest.astype(np.uint8), rest >> 8
         goes_on = rest_next > 0
-        padded = np.zeros(-(-len(rest) // BLOCK) * BLOCK, dtype=bool)
-        padded[: len(rest)] = goes_on
-        ranks = np.concatenate([[0], np.cumsum(padded.reshape(-1, BLOCK).sum(axis=1))]).astype("<u4")
-        levels.append(np.array([len(rest)], "<u8").tobytes() + chunks.tobytes() + np.packbits(padded, bitorder="little").tobytes() + ranks.tobytes())
+        bits = np.zeros(-(-len(rest) // BLOCK) * BLOCK // 8, dtype=np.uint8)
+        bits[: -(-len(rest) // 8)] = np.packbits(goes_on, bitorder="little")
+        ones = np.bitwise_count(bits.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1)
+        ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+        levels.append(np.array([len(rest)], "<u8").tobytes() + chunks.tobytes() + bits.tobytes() + ranks.tobytes())
         rest = rest_next[goes_on]
         if not len(rest):
             return MAGIC + bytes([len(levels)]) + b"".join(levels)
@@ -94,15 +96,16 @@ class DirectCodes:
         """Ids start to stop, from the slices of each level that they lead to."""
         if stop <= start:
             return np.zeros(0, np.uint32)
-        out = np.zeros(stop - start, np.uint32)
-        where = np.arange(stop - start)
+        out = self.levels[0][0][start:stop].astype(np.uint32)
+        where = None
         for k, (chunks, bits, ranks) in enumerate(self.levels):
-            out[where] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * k)
+            if k:
+                out[where] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * k)
             low = start // BLOCK * BLOCK
             flags = np.unpackbits(bits[low // 8 : -(-stop // 8)], bitorder="little").astype(bool)
             first = int(ranks[low // BLOCK]) + int(flags[: start - low].sum())
             goes_on = flags[start - low : stop - low]
-            where = where[goes_on]
+            where = np.flatnonzero(goes_on) if where is None else where[goes_on]
             if not len(where):
                 break
             start, stop = first, first + len(where)
@@ -112,18 +115,38 @@ class DirectCodes:
         return self.slice(0, len(self))
 
 
+def byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on, in order."""
+    others = iter(range(256, 512))
+    return {b: b if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else next(others) for b in range(256)}
+
+
+def _width(size: int) -> str:
+    """Two bytes an id, or four."""
+    return "H" if size <= 1 << 16 else "I"
+
+
+def _quick(pattern: str) -> str:
+    """The same alternatives, with the contractions' quotation mark tested once."""
+    return pattern.replace("'s|'t|'re|'ve|'m|'ll|'d", "'(?:s|t|re|ve|m|ll|d)")
+
+
 _TOKENIZERS: dict[str, PreTokens] = {}
 
 
-def _encoder(key: str, source: str) -> PreTokens:
-    """Pre-token to its ids as little-endian 32-bit bytes, by the tokenizers library; one a process."""
+def _encoder(key: str, source: str, form: str) -> PreTokens:
+    """Pre-token to its ids as little-endian bytes, two each where the vocabulary allows it, else four, by the tokenizers library; one a process."""
     if key not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(source)
-        tokenizer.encode_special_tokens = True
+        model, letters = Tokenizer.from_str(source).model, byte_letters()
+
+        def encode(piece: str) -> bytes:
+            found = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+            return struct.pack(f"<{len(found)}{form}", *found)
+
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = PreTokens(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        _TOKENIZERS[key] = PreTokens(encode)
     return _TOKENIZERS[key]
 
 
@@ -144,25 +167,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     key = hashlib.sha256(source.encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(source)  # a tokenizer file: its size doesn't depend on the data
     bounds = np.array(_ranges(docs, id_col, range_docs), dtype=np.int64)
-    end = np.array([end_id], "<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    form = _width(max(Tokenizer.from_str(source).get_vocab_size(), end_id + 1))
+    end, width = struct.pack(f"<{form}", end_id), struct.calcsize(f"<{form}")
 
     def encode(batches):
         import regex
 
-        split, met = regex.compile(pattern).findall, _encoder(key, shared.value)
+        split, met = regex.compile(_quick(pattern)).findall, _encoder(key, shared.value, form)
         for batch in batches:
             ids = batch.column(0)
-            codes = [np.frombuffer(b"".join([*map(met.__getitem__, split(text.as_py() or "")), end]), "<u4") for text in batch.column(1)]
-            small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in codes]
+            codes = [b"".join([*map(met.__getitem__, split(text or "")), end]) for text in batch.column(1).to_pylist()]
             known = np.array([np.iinfo(np.int64).max if x is None else x for x in ids.to_pylist()], dtype=np.int64)
             parts = np.searchsorted(bounds, known, side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), ids, pa.array([len(x) for x in codes], pa.int64()), pa.array(small, pa.binary())], names=["part", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), ids, pa.array([len(x) // width for x in codes], pa.int64()), pa.array(codes, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
     def pack(batches):
         part, before, held, size = None, 0, [], 0
 
         def full():
-            tokens = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.uint32) for _, n, x in held])
+            tokens = np.frombuffer(b"".join([x for _, _, x in held]), f"<u{width}")
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
@@ -223,7 +248,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             for start, ids, lengths, code in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tokens = DirectCodes(code).all().astype("<u4")
                 starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                sums = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
+                sums = [zlib.crc32(tokens[a:b]) for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + starts[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_arrow(segments(spark, path).select("start", "doc_ids", "lengths", "code"), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
