@@ -353,7 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = token_sets(docs, id_col, text_col, size, num, den)
     roots = connected(set_links(docs, sets, text_col, size, num, den))
     rows = sets.select("doc_id", "n", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("component"))
-    smallest = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    # Written, so that both sides of the join are shuffled for it, and Spark may split a large component's rows.
+    smallest = written(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
     return rows.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
