@@ -177,3 +177,34 @@ def test_streams(spark, sf_dir, tmp_path):
     rows = tracks.speed_violations(known).withColumn("next", F.lead("event_id").over(Window.partitionBy("track_id").orderBy("point_index")))
     assert fast == {r.next for r in rows.where("violation").collect()}
     assert len(drain(streams.without_repeats(stream()), "append")) == points.count()
+
+
+def test_distribution_tests_against_direct_sums(spark):
+    import numpy as np
+
+    from trekframe.operators import distributions
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(50, 10, 400), 1)
+    y = np.concatenate([rng.normal(30, 4, 200), rng.normal(70, 4, 200)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    z = (np.sort(x) - x.mean()) / x.std(ddof=1)
+    cdf = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    i = np.arange(1, 401)
+    a2 = -400 - ((2 * i - 1) * (np.log(cdf) + np.log(1 - cdf[::-1]))).mean()
+    got = {r.feature: r for r in distributions.anderson_darling(df, ["x", "y"]).collect()}
+    assert abs(got["x"].statistic - a2) < 1e-8 and got["x"].is_normal and not got["y"].is_normal
+    w = {r.feature: r for r in distributions.shapiro_wilk(df, ["x", "y"], "id").collect()}
+    assert w["x"].p > 0.05 > w["y"].p and w["x"].n == 400
+    assert {r.feature: r.n_peaks for r in distributions.kde_peaks(df, ["x", "y"]).collect()}["y"] == 2
+    bic = {(r.feature, r.k): r.bic for r in distributions.mixture_bic(df, ["x", "y"]).collect()}
+    assert min(range(1, 6), key=lambda k: bic["y", k]) == 2 and bic["x", 1] < bic["x", 3]
+    assert {r.feature: r.normal for r in distributions.normal_votes(df, ["x", "y"], "id").collect()} == {"x": True, "y": False}
+
+
+def test_addresses(spark):
+    from trekframe.operators import addresses
+
+    r = one(spark, addresses.terrain_of_address(L("Лес у реки"), L(70)), addresses.terrain_of_address(L("x"), L(70)), addresses.objects_of_address(L("Приют под горой, mountain spring")), addresses.region_of_address(F.create_map(L("state"), L(""), L("country"), L("RU"))), addresses.terrain_name(L("Тайга")), addresses.texture(L("густо лес, скалы")))
+    assert tuple(r)[:5] == ("forest", "tundra", ["mountain_peak", "spring", "shelter"], "RU", "taiga")
+    assert tuple(r[5]) == (0.2, 0.9, 0.5, 0.8)

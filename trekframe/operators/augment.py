@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trekframe.functions import geo
 from trekframe.operators import quality, tracks
+from trekframe.sources.shared import ship
 
 #: Largest rotation (degrees), shift (m), jitter (m) and days.
 MOST_ROTATION, MOST_SHIFT, MOST_JITTER, MOST_DAYS = 45.0, 10000.0, 15.0, 30
@@ -95,6 +96,7 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: in
     import numpy as np
     import pyarrow as pa
 
+    ship(queries.sparkSession)
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 

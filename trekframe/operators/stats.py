@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekframe.sources.shared import ship
+
 
 def long_form(df: DataFrame, columns: list[str], name: str = "feature") -> DataFrame:
     """feature, value of numeric columns, known values only."""
@@ -169,6 +171,8 @@ def chi2_upper(x: float, k: float) -> float:
 
 def with_p(pairs: DataFrame) -> DataFrame:
     """pairs (r, n) with the two-sided p of r; 1 where n is 2 or less."""
+    ship(pairs.sparkSession)
+
     def one(r: float, n: float) -> float | None:
         if r is None or r != r:
             return None

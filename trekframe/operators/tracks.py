@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trekframe.functions import geo
 from trekframe.sources.bridge import seconds
+from trekframe.sources.shared import ship
 
 
 def in_order() -> WindowSpec:
@@ -76,6 +77,7 @@ def interpolate_spline(points: DataFrame, flag: Column) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    ship(points.sparkSession)
     rows = points.withColumn("_bad", F.coalesce(flag, F.lit(False)))
 
     def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

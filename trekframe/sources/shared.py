@@ -1,8 +1,10 @@
-"""Where jobs may write intermediate tables."""
+"""Where jobs may write intermediate tables, and how this package reaches Python workers."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +17,17 @@ def scratch(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trekframe-"))
         path = sc.getCheckpointDir()
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the application's Python workers, once, so that they need no shared installation."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        top = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="trekframe-code-")
+        shutil.copytree(top, f"{folder}/code/{top.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", f"{folder}/code"))
