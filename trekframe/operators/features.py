@@ -230,9 +230,9 @@ PAGE_SIGNS = {
 
 def _best(scores: dict[str, Column], full: float) -> Column:
     """Struct source, confidence of the largest score, the first by name on a tie; null source where all are 0."""
-    ranked = F.array_sort(F.array(*[F.struct((-v).alias("minus"), F.lit(k).alias("source")) for k, v in sorted(scores.items())]))[0]
-    top = -ranked["minus"]
-    return F.struct(F.when(top > 0, ranked["source"]).alias("source"), F.least(F.lit(1.0), top / full).alias("confidence"))
+    ranked = F.slice(F.array_sort(F.array(*[F.struct((-v).alias("minus"), F.lit(k).alias("source")) for k, v in sorted(scores.items())])), 1, 1)
+    best = lambda r: F.struct(F.when(r["minus"] < 0, r["source"]).alias("source"), F.least(F.lit(1.0), -r["minus"] / full).alias("confidence"))
+    return F.transform(ranked, best)[0]
 
 
 def map_source_of_url(url: Column) -> Column:
@@ -244,3 +244,41 @@ def map_source_of_html(html: Column) -> Column:
     low = F.lower(F.coalesce(html, F.lit("")))
     count = lambda w: ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("int")
     return _best({k: sum((count(w) for w in signs), F.lit(0)) for k, signs in PAGE_SIGNS.items()}, 5.0)
+
+
+# Signs of map services in response headers (server, then content type).
+HEADER_SIGNS = {
+    "google_maps": (("gse", "gws"), ("maps.google.", "googleapis.com")),
+    "openstreetmap": (("apache", "nginx"), ("leaflet", "openstreetmap")),
+    "yandex_maps": (("yandex", "yandexbot"), ("yandex.", "api.yandex.")),
+}
+
+
+def map_source_of_headers(server: Column, content_type: Column) -> Column:
+    s, c = F.lower(F.coalesce(server, F.lit(""))), F.lower(F.coalesce(content_type, F.lit("")))
+    score = lambda a, b: sum((s.contains(w).cast("int") for w in a), F.lit(0)) + sum((c.contains(w).cast("int") for w in b), F.lit(0))
+    return _best({k: score(*v) for k, v in HEADER_SIGNS.items()}, 2.0)
+
+
+def map_source_of_colour(r: Column, g: Column, b: Column) -> Column:
+    """By the dominant colour of a map image."""
+    inside = lambda c, low, high: (c > low) & (c < high)
+    return _best(
+        {
+            "google_maps": F.when(inside(r, 50, 100) & inside(g, 120, 150) & inside(b, 200, 255), 2).otherwise(0),
+            "yandex_maps": F.when(inside(r, 200, 255) & inside(g, 120, 170) & inside(b, 0, 50), 2).otherwise(0),
+            "openstreetmap": F.when(inside(r, 100, 200) & inside(g, 100, 200) & inside(b, 100, 200), 1).otherwise(0),
+        },
+        3.0,
+    )
+
+
+def combined_source(*detections: Column) -> Column:
+    """Struct source, confidence: the source with the largest sum of confidences, that sum over the number of detections."""
+    names = sorted({*URL_SIGNS, *PAGE_SIGNS})
+    of = lambda found, k: F.aggregate(F.filter(found, lambda d: d["source"] == k), F.lit(0.0), lambda a, d: a + d["confidence"])
+    return F.transform(F.array(F.array(*detections)), lambda found: _best({k: of(found, k) for k in names}, float(len(detections))))[0]
+
+
+def static_map_url(base: str, lat: Column, lon: Column, zoom: int = 13, width: int = 450, height: int = 450, key: str = "") -> Column:
+    return F.concat(F.lit(f"{base}?ll="), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit(f"&z={zoom}&size={width},{height}&l=map&apikey={key}"))

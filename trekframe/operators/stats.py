@@ -381,3 +381,34 @@ def colliders(edges: DataFrame) -> DataFrame:
     near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     wedges = near.select(F.col("b").alias("z"), F.col("a").alias("x")).join(near.select(F.col("b").alias("z"), F.col("a").alias("y")), "z").where("x < y")
     return wedges.join(near.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("x", "z", "y")
+
+
+def independence_statements(pairs: DataFrame, limit: float = 0.1, top: int = 100) -> DataFrame:
+    """x, y, given: for the strongest pairs, the single features given which they are independent."""
+    strongest = pairs.where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "a", "b").limit(top)
+    every = both_ways(pairs)
+    rows = (
+        strongest.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("r").alias("rxy"))
+        .join(every.select(F.col("a").alias("x"), F.col("b").alias("z"), F.col("r").alias("rxz")), "x")
+        .join(every.select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("r").alias("ryz")), ["y", "z"])
+    )
+    return rows.where(F.abs(partial_r(F.col("rxy"), F.col("rxz"), F.col("ryz"))) < limit).groupBy("x", "y").agg(F.array_sort(F.collect_set("z")).alias("given"))
+
+
+def shared_neighbours(pairs: DataFrame, limit: float = 0.2, pair_limit: float = 0.3, top: int = 50) -> DataFrame:
+    """x, y, z: features correlated with both ends of the strongest pairs."""
+    strongest = pairs.where(F.abs("r") > pair_limit).orderBy(F.abs("r").desc(), "a", "b").limit(top)
+    near = both_ways(pairs).where(F.abs("r") > limit)
+    return (
+        strongest.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        .join(near.select(F.col("a").alias("x"), F.col("b").alias("z")), "x")
+        .join(near.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"])
+        .select("x", "y", "z")
+    )
+
+
+def table_profile(df: DataFrame) -> DataFrame:
+    """column_name, n, known, nulls, n_unique of every column: one pass."""
+    one = df.agg(F.count("*").alias("n"), *[F.struct(F.count(c).alias("k"), F.count_distinct(c).alias("u")).alias(f"_{c}") for c in df.columns])
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}.k").alias("known"), F.col(f"_{c}.u").alias("n_unique")) for c in df.columns]))
+    return one.select("n", rows).withColumn("nulls", F.col("n") - F.col("known"))
