@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trekframe.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, mixing, pii, quality_rules, token_output
 from trekframe.llm.common import table
+from trekframe.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +56,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_mixing, op5_html_extract, op6_pii, op7_byte_bpe, op8_jaccard_join, op9_token_output, op10_lang_id)
 }
-
-ORACLES: dict[str, str] = {
-    "op1_exact_dedup": """
-        with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as h from documents)
-        select doc_id, max(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
-               doc_id is not distinct from max(doc_id) over (partition by h) as kept, h as text_sha256
-        from t""",
-}
