@@ -208,3 +208,16 @@ def test_addresses(spark):
     r = one(spark, addresses.terrain_of_address(L("Лес у реки"), L(70)), addresses.terrain_of_address(L("x"), L(70)), addresses.objects_of_address(L("Приют под горой, mountain spring")), addresses.region_of_address(F.create_map(L("state"), L(""), L("country"), L("RU"))), addresses.terrain_name(L("Тайга")), addresses.texture(L("густо лес, скалы")))
     assert tuple(r)[:5] == ("forest", "tundra", ["mountain_peak", "spring", "shelter"], "RU", "taiga")
     assert tuple(r[5]) == (0.2, 0.9, 0.5, 0.8)
+
+
+def test_track_pipeline(spark, sf_dir, tmp_path):
+    from trekframe.plans import track_pipeline
+    from trekframe.sources.bridge import point_objects
+
+    points = track_points(spark, sf_dir)
+    counts = track_pipeline.run(spark, points, point_objects(spark, sf_dir), str(tmp_path), spark.read.parquet(f"{sf_dir}/region.parquet"))
+    assert counts["repaired"] == points.count() and counts["pairs"] == 21 and counts["seasons"] == 4 and counts["variants"] > 0
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv/profile").count() == counts["profile"] == 7
+    shelf = store.TrackStore(spark, f"{tmp_path}/store")
+    assert shelf.read("points").count() == points.count() and shelf.read("augmentations").count() > 0
+    assert track_pipeline.repair(points).where("is_fixed").count() > 0
