@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import map_arrow
+from trekframe.llm.common import kept, map_arrow
 
-#: Pre-tokens of a generation: a task remembers the current one and the one before.
-REMEMBERED = 310_000
+#: Pre-tokens of a generation: a worker remembers the current one and the one before.
+REMEMBERED = 150_000
 #: Characters of a pre-token beyond which it isn't remembered.
 LONGEST_REMEMBERED = 64
 
@@ -90,16 +90,16 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 class PreTokens(dict):
     """Pre-token to its ids' form; encodes what it hasn't met lately."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, size: int = REMEMBERED):
         super().__init__()
-        self.encode, self.before = encode, {}
+        self.encode, self.size, self.before = encode, size, {}
 
     def __missing__(self, piece: str):
         form = self.before.get(piece)
         if form is None:
             form = self.encode(piece)
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.size:
                 self.before = dict(self)
                 self.clear()
             self[piece] = form
@@ -131,17 +131,6 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[str, ByteBPE] = {}
-
-
-def codec(key: str, ranks: dict[bytes, int], pattern: str, model: bytes) -> ByteBPE:
-    """The process's codec of that key; a worker builds it once."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = ByteBPE(ranks, pattern, model)
-    return _CODECS[key]
-
-
 def _per_text(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, schema: str, types: list[tuple[str, pa.DataType]], row) -> DataFrame:
     ranks = read_ranks(path)
     model = sentencepiece_model(ranks)
@@ -149,7 +138,7 @@ def _per_text(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: s
     shared = docs.sparkSession.sparkContext.broadcast((ranks, model))  # a vocabulary: its size doesn't depend on the data
 
     def run(batches):
-        bpe = codec(key, shared.value[0], pattern, shared.value[1])
+        bpe = kept(key, lambda: ByteBPE(shared.value[0], pattern, shared.value[1]))
         for batch in batches:
             rows = [(i, *row(bpe, text)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(list(zip(*rows)) or [[]] * len(types), types)], names=[n for n, _ in types])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 WS = r"[\x20\x09-\x0D]+"
 
 #: Rows and bytes in one Arrow batch: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,17 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """make(), kept in this process for its later tasks; what another operator's tasks have kept goes, so a worker that serves several holds one at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in local tests."""
     sc = spark.sparkContext

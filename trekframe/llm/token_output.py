@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trekframe.llm.byte_bpe import PreTokens
-from trekframe.llm.common import map_arrow, shared_dir
+from trekframe.llm.common import kept, map_arrow, shared_dir
 
 #: Tokens in a segment, about; documents in a range, about; ranges at most.
 SEGMENT, RANGE_DOCS, RANGES = 1 << 20, 2048, 10_000
 #: Bits of a bitmap that one entry of its rank directory covers.
 BLOCK = 512
+#: Pre-tokens of a generation that a worker remembers.
+REMEMBERED = 310_000
 MAGIC = b"DAC1"
 
 
@@ -131,23 +133,17 @@ def _quick(pattern: str) -> str:
     return pattern.replace("'s|'t|'re|'ve|'m|'ll|'d", "'(?:s|t|re|ve|m|ll|d)")
 
 
-_TOKENIZERS: dict[str, PreTokens] = {}
-
-
-def _encoder(key: str, source: str, form: str) -> PreTokens:
-    """Pre-token to its ids as little-endian bytes, two each where the vocabulary allows it, else four, by the tokenizers library; one a process."""
-    if key not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+def _encoder(source: str, form: str) -> PreTokens:
+    """Pre-token to its ids as little-endian bytes of struct's form, by the tokenizers library."""
+    from tokenizers import Tokenizer
 
-        model, letters = Tokenizer.from_str(source).model, byte_letters()
+    model, letters = Tokenizer.from_str(source).model, byte_letters()
 
-        def encode(piece: str) -> bytes:
-            found = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
-            return struct.pack(f"<{len(found)}{form}", *found)
+    def encode(piece: str) -> bytes:
+        found = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(found)}{form}", *found)
 
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = PreTokens(encode)
-    return _TOKENIZERS[key]
+    return PreTokens(encode, REMEMBERED)
 
 
 def _ranges(docs: DataFrame, id_col: str, range_docs: int) -> list[int]:
@@ -175,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     def encode(batches):
         import regex
 
-        split, met = regex.compile(_quick(pattern)).findall, _encoder(key, shared.value, form)
+        split, met = regex.compile(_quick(pattern)).findall, kept(key, lambda: _encoder(shared.value, form))
         for batch in batches:
             ids = batch.column(0)
             codes = [b"".join([*map(met.__getitem__, split(text or "")), end]) for text in batch.column(1).to_pylist()]
