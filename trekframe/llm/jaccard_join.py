@@ -23,9 +23,9 @@ Documents become sets of hashed word shingles; documents with one set are one
    copies never turns into all its pairs.
 5. Components of the links, and the smallest doc_id in each.
 
-Texts pass through Python three times (twice to shingle and order, once to
-fetch the texts of sets in opened groups); only candidate tokens, links and the
-texts of opened groups are shuffled.
+All texts are shingled twice, to count and to order tokens, and those of sets in
+opened groups once more; only candidate tokens, links and the texts of opened
+groups are shuffled.
 
 Hash values have 64 bits: that any two of n distinct sets or shingles collide
 has a chance of about n^2 / 2^65.
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import map_arrow, written
+from trekframe.llm.common import kept, map_arrow, written
 from trekframe.llm.components import connected
 
 #: Candidate tokens that linked sets share at least.
@@ -55,8 +55,8 @@ SHARED = 5
 HEAVY, BLOCK = 16, 128
 #: log2 of the bits of a bitmap (8 MB).
 BITS = 26
-#: Words that a task remembers with their hash.
-REMEMBERED = 500_000
+#: Words that a worker remembers with their hash.
+REMEMBERED = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,15 +71,12 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes (int64) of a text's word shingles, A-Z in lower case; words are runs of anything but ASCII white space."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(kept("word hashes", _Words).__getitem__, words), np.uint64, len(words))
     if len(words) < size:
         size = len(words)
         mixed = np.full(1, size, np.uint64)  # apart from longer texts' shingles
@@ -213,24 +210,36 @@ def qualifying(hits: DataFrame, groups: DataFrame, num: int, den: int) -> DataFr
     return overlap.where(F.col("c") >= F.least("bound", _bound(F.col("q"), num, den))).select("set_id", "grp")
 
 
-def opened_texts(docs: DataFrame, opened: DataFrame, text_col: str, size: int) -> DataFrame:
-    """set_id and text of the sets in opened (a few others may come along: a bitmap of fixed size selects them)."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(opened, "set_id"))  # 8 MB
+def _row_key(id_: Column) -> Column:
+    return F.xxhash64(F.coalesce(id_.cast("long"), F.lit(-(1 << 63))))
+
+
+def opened_texts(docs: DataFrame, sets: DataFrame, opened: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """set_id and text of the sets in opened.
+
+    The smallest doc_id of each such set marks the rows to read, in a bitmap of
+    fixed size; only marked rows (and a few that fall on the same bits) are
+    shingled again.
+    """
+    rows = sets.join(opened, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(rows.select(_row_key(F.col("doc_id")).alias("row")), "row"))  # 8 MB
 
     def run(batches):
         seen = set()
         for batch in batches:
+            marked = pa.array(_in_bitmap(bitmap.value, batch.column(0).to_numpy()))
             keys, texts = [], []
-            for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), size)
-                if len(tokens) and (key := set_id(tokens)) not in seen and _in_bitmap(bitmap.value, np.array([key]))[0]:
+            for text in batch.column(1).filter(marked).to_pylist():
+                tokens = shingle_set(text, size)
+                if len(tokens) and (key := set_id(tokens)) not in seen:
                     seen.add(key)
                     keys.append(key)
-                    texts.append(text.as_py())
+                    texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["set_id", "text"])
 
-    rows = map_arrow(docs.select(F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()), run, "set_id long, text string")
-    return written(rows.join(opened, "set_id", "left_semi").dropDuplicates(["set_id"]), "opened-texts")
+    rows = docs.select(_row_key(F.col(id_col)).alias("row"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    found = map_arrow(rows, run, "set_id long, text string")
+    return written(found.join(opened, "set_id", "left_semi").dropDuplicates(["set_id"]), "opened-texts")
 
 
 def _star_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -332,14 +341,14 @@ def _open_blocks(candidates: DataFrame, members: DataFrame, texts: DataFrame, si
     return written(map_arrow(rows, run, "a long, b long", batch_rows=4), "block-links")
 
 
-def set_links(docs: DataFrame, sets: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between set_ids, enough of them to connect all sets that are connected."""
     hits = shared_tokens(sets)
     groups = written(similar_groups(hits, num, den), "groups")
     candidates = written(qualifying(hits, groups, num, den), "qualifying")
     opened = groups.join(candidates.select("grp").distinct(), "grp", "left_semi").select("set_id").unionByName(candidates.select("set_id")).distinct()
     opened = written(opened, "opened")
-    texts = opened_texts(docs, opened, text_col, size)
+    texts = opened_texts(docs, sets, opened, id_col, text_col, size)
     inside = groups.join(opened, "set_id", "left_semi")
     firsts = inside.groupBy("grp").agg(F.min("set_id").alias("first"), F.count("*").alias("members"))
     members = written(inside.join(firsts, "grp").select("set_id", "grp", "first", "members"), "members")
@@ -351,7 +360,7 @@ def set_links(docs: DataFrame, sets: DataFrame, text_col: str, size: int, num: i
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links den * intersection >= num * union)."""
     sets = token_sets(docs, id_col, text_col, size, num, den)
-    roots = connected(set_links(docs, sets, text_col, size, num, den))
+    roots = connected(set_links(docs, sets, id_col, text_col, size, num, den))
     rows = sets.select("doc_id", "n", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("component"))
     # Written, so that both sides of the join are shuffled for it, and Spark may split a large component's rows.
     smallest = written(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
