@@ -186,16 +186,17 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     return counts.select("value", "c", upto.alias("rank"), ((upto - (F.col("c") - 1) / 2.0 - 0.3175) / (n + 0.365)).alias("p"))
 
 
-def permutation_p(df: DataFrame, x: str, y: str, id_col: str, permutations: int = 100, most: int = 20000, seed: int = 42) -> DataFrame:
-    """One row: r, p, n: share of shuffles with at least as large a correlation, over at most so many rows by the hash of the id; seeded."""
-    ship(df.sparkSession)
-    rows = df.select(F.xxhash64(id_col).alias("h"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").orderBy("h", "x", "y").limit(most)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "x", "y"])
-        a, b = part["x"].to_numpy(), part["y"].to_numpy().copy()
-        rng, r = np.random.default_rng(seed), np.corrcoef(a, b)[0, 1]
-        hits = sum(abs(np.corrcoef(a, rng.permutation(b))[0, 1]) >= abs(r) for _ in range(permutations))
-        return pd.DataFrame({"r": [r], "p": [hits / permutations], "n": [len(part)]})
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "r double, p double, n long")
+def permutation_p(df: DataFrame, x: str, y: str, id_col: str, permutations: int = 100, block_rows: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: r, n, p: the share of shuffles with at least as large a correlation; seeded.
+
+    A shuffle gives each row the y of the next one in the order of a hash,
+    inside a random block of about so many rows, over all rows.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    blocks = max(1, rows.count() // block_rows)
+    each = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("h", F.xxhash64(F.lit(seed), "b", "id"))
+    w = Window.partitionBy("b", F.pmod("h", F.lit(blocks))).orderBy("h", "id")
+    first = F.first("y").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    shuffled = each.withColumn("z", F.coalesce(F.lead("y").over(w), first)).groupBy("b").agg(F.corr("x", "z").alias("rb"))
+    real = rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return shuffled.join(F.broadcast(real)).groupBy("r", "n").agg(F.avg((F.abs("rb") >= F.abs("r")).cast("double")).alias("p"))  # one row

@@ -247,10 +247,10 @@ def points_by_region(spark, sf):
     return p.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("n_tracks"))
 
 
-@query(oracle("select track_id, point_index from track_points where event_id%3=0 and not exists (select 1 from track_points o where o.event_id%2=0 and o.track_id=track_points.track_id and o.point_index=track_points.point_index)"))
+@query(oracle("select track_id, point_index from track_points where not exists (select 1 from track_points o where o.region_key=0 and o.track_id=track_points.track_id and o.point_index=track_points.point_index)"))
 def new_points(spark, sf):
     p = track_points(spark, sf)
-    return store.new_rows(p.where("event_id % 3 = 0"), p.where("event_id % 2 = 0"), ["track_id", "point_index"]).select("track_id", "point_index")
+    return store.new_rows(p, p.where("region_key = 0"), ["track_id", "point_index"]).select("track_id", "point_index")
 
 
 @query(oracle("select track_id, point_index from track_points p where exists (select 1 from point_objects o where o.event_id=p.event_id and o.obj_type='peak')"))
@@ -258,10 +258,10 @@ def points_near_peaks(spark, sf):
     return track_points(spark, sf).join(point_objects(spark, sf).where("obj_type = 'peak'"), ["track_id", "event_id"], "left_semi").select("track_id", "point_index")
 
 
-@query(oracle("k as (select round(latitude,6) as lat6, round(longitude,6) as lon6, min(temperature)+1 as api from track_points where event_id%4=0 and latitude is not null group by 1,2) select track_id, point_index, coalesce(api, temperature, -99.0) as temperature from track_points left join k on round(latitude,6)=lat6 and round(longitude,6)=lon6"))
+@query(oracle("k as (select round(latitude,6) as lat6, round(longitude,6) as lon6, min(temperature)+1 as api from track_points where latitude is not null group by 1,2) select track_id, point_index, coalesce(api, temperature, -99.0) as temperature from track_points left join k on round(latitude,6)=lat6 and round(longitude,6)=lon6"))
 def weather_lookup(spark, sf):
     p = track_points(spark, sf)
-    table = p.where("event_id % 4 = 0 and latitude is not null").groupBy(F.round("latitude", 6).alias("lat6"), F.round("longitude", 6).alias("lon6")).agg((F.min("temperature") + 1).alias("api"))
+    table = p.where("latitude is not null").groupBy(F.round("latitude", 6).alias("lat6"), F.round("longitude", 6).alias("lon6")).agg((F.min("temperature") + 1).alias("api"))
     return lookups.with_lookup(p, table, ["api"]).select("track_id", "point_index", lookups.first_known(F.col("api"), F.col("temperature"), F.lit(-99.0)).alias("temperature"))
 
 
@@ -271,10 +271,10 @@ def places_within_radius(spark, sf):
     return rounded(lookups.within_radius(p.withColumnRenamed("event_id", "id"), p.where("event_id % 20 = 0").withColumnRenamed("event_id", "place_id"), 500.0), 3)
 
 
-@query(oracle("select p.track_id, p.point_index, arg_max(q.temperature, q.point_index) as last_temperature from track_points p left join track_points q on q.track_id=p.track_id and q.event_id%5=0 and q.temperature is not null and q.point_index<=p.point_index group by 1,2"))
+@query(oracle("select p.track_id, p.point_index, arg_max(q.temperature, q.point_index) as last_temperature from track_points p left join track_points q on q.track_id=p.track_id and q.terrain_type='river' and q.temperature is not null and q.point_index<=p.point_index group by 1,2"))
 def temperature_as_of(spark, sf):
     p = track_points(spark, sf)
-    right = p.where("event_id % 5 = 0 and temperature is not null").select("track_id", "point_index", F.col("temperature").alias("last_temperature"))
+    right = p.where("terrain_type = 'river' and temperature is not null").select("track_id", "point_index", F.col("temperature").alias("last_temperature"))
     return lookups.as_of(p.select("track_id", "point_index"), right, ["track_id"], "point_index", "point_index", ["last_temperature"])
 
 
@@ -317,11 +317,11 @@ def terrain_rollup(spark, sf):
 # ---- store
 
 
-@query(oracle("n as (select track_id, point_index, 1+coalesce((event_id%6=0)::int,0)+coalesce((event_id%4=0)::int,0) as version, event_id%6=0 or event_id%4=0 as is_corrected from track_points) select track_id, point_index, version, is_corrected from n"))
+@query(oracle("n as (select track_id, point_index, 1+(altitude is null)::int+coalesce((latitude not between 45 and 72)::int,0) as version, altitude is null or coalesce(latitude not between 45 and 72, false) as is_corrected from track_points) select track_id, point_index, version, is_corrected from n"))
 def corrected_versions(spark, sf):
-    p = track_points(spark, sf).select("track_id", "point_index", "event_id")
-    c = p.where("event_id % 6 = 0").unionByName(p.where("event_id % 4 = 0")).select("track_id", "point_index")
-    return store.with_corrections(p.drop("event_id"), c).select("track_id", "point_index", F.col("version").cast("int").alias("version"), "is_corrected")
+    p = track_points(spark, sf).select("track_id", "point_index", "latitude", "altitude")
+    c = p.where("altitude is null").unionByName(p.where("latitude not between 45 and 72")).select("track_id", "point_index")
+    return store.with_corrections(p, c).select("track_id", "point_index", F.col("version").cast("int").alias("version"), "is_corrected")
 
 
 @query(oracle("""select track_id, point_index, sha256('{"region": '||region_key||'}') as change_hash from track_points"""))
@@ -342,7 +342,7 @@ def stored_tracks(spark, sf):
     from trekframe.sources.shared import scratch
 
     s = store.TrackStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
-    s.add_points(p.where("event_id % 2 = 0"))
+    s.add_points(p.where("region_key = 0"))
     s.add_points(p)
     points = s.read("points")
     return points.groupBy("track_id").agg(F.count("*").alias("point_count"), F.min("date").alias("date_start"), F.max("date").alias("date_end"))
