@@ -56,7 +56,7 @@ HEAVY, BLOCK = 16, 128
 #: log2 of the bits of a bitmap (8 MB).
 BITS = 26
 #: Words that a worker remembers with their hash.
-REMEMBERED = 250_000
+REMEMBERED = 700_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
