@@ -43,7 +43,7 @@ SEGMENT, RANGE_DOCS, RANGES = 1 << 20, 2048, 10_000
 #: Bits of a bitmap that one entry of its rank directory covers.
 BLOCK = 512
 #: Pre-tokens of a generation that a worker remembers.
-REMEMBERED = 310_000
+REMEMBERED = 370_000
 MAGIC = b"DAC1"
 
 
@@ -208,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
         if held:
             yield full()
 
-    rows = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), encode, "part int, doc_id long, n long, ids binary")
+    rows = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), encode, "part int, doc_id long, n long, ids binary", batch_rows=1000)
     dealt = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
     map_arrow(dealt, pack, "part int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, code binary").write.parquet(path)
 
