@@ -64,3 +64,21 @@ def test_covered_equals_brute_force(streams, run):
                 flags[i : i + run] = True
         want.append(flags.tolist())
     assert [x.tolist() for x in H.covered(streams, run)] == want
+
+
+def test_repetition_is_found_over_the_whole_host(spark):
+    """Notices that two or three of 400 pages share go, whichever chunks the pages are in; other pages and repeats of one page_id stay."""
+    rows, want = [], {}
+    for i in range(400):
+        own = " ".join(f"u{i}x{k}" for k in range(20))
+        notice = " ".join(f"n{i % 150}y{k}" for k in range(15))
+        menu = f"<nav>{' '.join(f'm{i}z{k}' for k in range(15))}</nav>"
+        echo = " ".join(f"m{i - 1}z{k}" for k in range(15)) if i % 10 == 5 else f"alone{i}"
+        rows.append((i, f"http://h.example/{i}", f"{menu}<div>{own}</div><div>{notice}</div><div>{echo}</div>"))
+        want[i] = own + ("" if i % 10 == 5 else f" alone{i}")
+    rows += [(999, f"http://h.example/copy{k}", "<div>" + " ".join(f"c{j}" for j in range(30)) + "</div>") for k in range(3)]
+    want[999] = " ".join(f"c{j}" for j in range(30))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = H.extract_pages(pages, chunk=80).collect()
+    assert len(got) == 403 and {(r.page_id, r.text) for r in got} == set(want.items())
+    assert {(r.page_id, r.text) for r in H.extract_pages(pages, chunk=8000).collect()} == set(want.items())

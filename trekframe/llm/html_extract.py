@@ -12,18 +12,23 @@ no element vouches for are boilerplate and go; unique runs stay. Chrome goes
 either way. Text inside an article stays even if other pages repeat it, since
 pages of a host quote the same passages and carry the same articles.
 
-Pages are dealt by host; hosts with more than a ten-thousandth of the pages
-(so at most ``HOT_HOSTS`` of them, a bounded broadcast) are split by page into
-chunks, and a task takes ``CHUNK`` pages of a host at a time. Repetition is
-thus found among up to ``CHUNK`` pages of a host.
+Pages are dealt by host. Hosts with more than an eighth of ``CHUNK`` pages and
+a ten-thousandth of all (so at most ``HOT_HOSTS`` of them, a bounded broadcast),
+and any with more than ``CHUNK``, are split by page into chunks. The suffix
+array of a chunk settles what repeats within it. For the rest, each chunk gives
+one row for each distinct window of ``RUN`` tokens, with the first and last
+page that has it; windows that two pages of the host have go back to the chunks
+that still ask for them. So repetition is found over the whole host, however it
+is split.
 
 Defined cases: null html is empty, null url is a host of its own; pages that
-occur twice are distinct pages only if their page_id differs; very long pages
-are whole; an empty table gives an empty result; extra columns are unread.
+occur twice are distinct pages only if their page_id differs, or without
+page_id their url or blocks; very long pages are whole; an empty table gives an empty result; extra columns are unread.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -37,7 +42,7 @@ from trekframe.llm.common import map_arrow
 
 #: Tokens that a repeated passage has at least.
 RUN = 12
-#: Pages of a host whose streams are joined; hosts that may be split.
+#: Pages of a host whose streams are joined, at most; hosts that may be split though they have fewer.
 CHUNK, HOT_HOSTS = 2000, 10_000
 
 # HTML elements by what they hold.
@@ -143,8 +148,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each stream which of its tokens lie in a passage of run or more tokens that a distinct stream has too.
+def covered(streams: list[list[str]], run: int = RUN, owners: list[int] | None = None) -> list[np.ndarray]:
+    """For each stream which of its tokens lie in a passage of run or more tokens that a distinct stream (of another owner, if they are given) has too.
 
     Positions of the joined streams are ordered by the next run tokens, by prefix
     doubling: a suffix array as deep as passages need to be.
@@ -155,7 +160,7 @@ def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     total = int(lengths.sum())
     if not total:
         return [np.zeros(0, bool) for _ in parts]
-    owner = np.repeat(np.arange(len(parts)), lengths)
+    owner = np.repeat(np.arange(len(parts)) if owners is None else np.array(owners, np.int64), lengths)
     left = np.concatenate([np.arange(n, 0, -1) for n in lengths if n])  # tokens to the stream's end
     rank, depth = np.concatenate(parts), 1
     while depth < run:
@@ -179,8 +184,8 @@ def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return np.split(np.cumsum(edges[:-1]) > 0, np.cumsum(lengths)[:-1])
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """Main texts of pages of one host, given their blocks."""
+def _streams(pages: list[list[tuple[int, str]]]) -> tuple[list[list[str]], list[list[tuple[int, int] | None]]]:
+    """The tokens of each page's blocks other than KEEP, and where each block's lie."""
     streams, places = [], []
     for page in pages:
         stream, spans = [], []
@@ -193,8 +198,63 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
                 stream += tokens
         streams.append(stream)
         places.append(spans)
+    return streams, places
+
+
+def _hash(*values: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(values).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def window_hashes(host: str, streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
+    """For each stream the 64-bit hashes of its windows of run tokens, the same in every process."""
+    known: dict[str, int] = {}
+    seed = np.array([_hash("host", host)], np.int64).view(np.uint64)
+    powers = [np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64)], np.uint64) for k in range(run)]
+    out = []
+    for stream in streams:
+        n = len(stream) - run + 1
+        if n < 1:
+            out.append(np.zeros(0, np.int64))
+            continue
+        tokens = np.array([known[t] if t in known else known.setdefault(t, _hash(t)) for t in stream], np.int64).view(np.uint64)
+        total = np.repeat(seed, n)
+        for k in range(run):
+            total += tokens[k : k + n] * powers[k]
+        out.append(total.view(np.int64))
+    return out
+
+
+def windows(host: str, pages: list[list[tuple[int, str]]], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct windows: hash, least and greatest owner, and whether a token that may stay depends on it."""
+    streams, places = _streams(pages)
+    asked = []
+    for page, spans, stream, cover in zip(pages, places, streams, covered(streams, owners=owners)):
+        open_ = np.zeros(len(stream), bool)
+        for (kind, _), span in zip(page, spans):
+            if kind == UNSURE:
+                open_[slice(*span)] = True
+        before = np.r_[0, np.cumsum(open_ & ~cover)]
+        asked.append(before[RUN:] > before[: max(0, len(before) - RUN)])
+    hashes = window_hashes(host, streams)
+    if not any(map(len, hashes)):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
+    owner = np.repeat(np.array(owners, np.int64), [len(h) for h in hashes])
+    flat, asks = np.concatenate(hashes), np.concatenate(asked)
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+    return flat[order][starts], np.minimum.reduceat(owner[order], starts), np.maximum.reduceat(owner[order], starts), np.logical_or.reduceat(asks[order], starts)
+
+
+def main_texts(pages: list[list[tuple[int, str]]], owners: list[int] | None = None, host: str = "", repeated: np.ndarray | None = None) -> list[str]:
+    """Main texts of pages of one host, given their blocks; repeated has hashes of windows that pages elsewhere on the host have too."""
+    streams, places = _streams(pages)
+    covers = covered(streams, owners=owners)
+    if repeated is not None and len(repeated):
+        for cover, hashes in zip(covers, window_hashes(host, streams)):
+            for i in np.flatnonzero(np.isin(hashes, repeated)):
+                cover[i : i + RUN] = True
     out = []
-    for page, spans, stream, cover in zip(pages, places, streams, covered(streams)):
+    for page, spans, stream, cover in zip(pages, places, streams, covers):
         kept = []
         for (kind, text), span in zip(page, spans):
             if kind == KEEP:
@@ -218,28 +278,58 @@ def extract_pages(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
             texts = [[t for _, t in page] for page in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "kinds", "texts"])
 
-    def judge(batches):
-        held, key = [], None
+    def owners_of(held) -> list[int]:
+        return [_hash(url or "", *map(str, k), *t) if page_id is None else page_id for page_id, url, k, t in held]
+
+    def blocks_of(held):
+        return [list(zip(k, t)) for *_, k, t in held]
 
-        def done():
-            texts = main_texts([list(zip(k, t)) for *_, k, t in held])
-            columns = ([x[0] for x in held], [x[1] for x in held], texts, [len(t) for t in texts])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+    def texts_of(held, host="", repeated=None) -> list[pa.Array]:
+        texts = main_texts(blocks_of(held), owners_of(held), host, repeated)
+        columns = ([x[0] for x in held], [x[1] for x in held], texts, [len(t) for t in texts])
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))]
 
+    names = ["page_id", "url", "text", "n_chars"]
+
+    def chunks(batches):
+        held, key = [], None
         for batch in batches:
             for page_id, url, host, part, kinds, texts in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and ((host, part) != key or len(held) >= chunk):
-                    yield done()
+                if held and (host, part) != key:
+                    yield *key, held
                     held = []
                 key = host, part
                 held.append((page_id, url, kinds, texts))
         if held:
-            yield done()
-
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    total = pages.sparkSession.createDataFrame([(rows.count(),)], "total long")
-    hot = counts.join(F.broadcast(total), F.col("n") > F.greatest(F.lit(chunk / 8), F.col("total") / HOT_HOSTS)).select("host", F.ceil(F.col("n") / F.lit(chunk / 8)).alias("parts"))
-    parsed = map_arrow(rows, parse, "page_id long, url string, host string, kinds array<int>, texts array<string>")
-    dealt = parsed.join(F.broadcast(hot), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("parts")), F.lit(0)).cast("int"))  # HOT_HOSTS rows at most
-    ordered = dealt.select("page_id", "url", "host", "part", "kinds", "texts").repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
-    return map_arrow(ordered, judge, "page_id long, url string, text string, n_chars long")
+            yield *key, held
+
+    def judge(batches):
+        for _, _, held in chunks(batches):
+            yield pa.RecordBatch.from_arrays(texts_of(held), names=names)
+
+    def list_windows(batches):
+        for host, part, held in chunks(batches):
+            found, low, high, asks = windows(host, blocks_of(held), owners_of(held))
+            for at in range(0, len(found), 50_000):
+                f, lo, hi, a = (x[at : at + 50_000] for x in (found, low, high, asks))
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(lo), pa.array(hi), pa.array([host if x else None for x in a], pa.string()), pa.array(np.full(len(f), part, np.int32))], names=["window", "low", "high", "host", "part"])
+
+    def settle(pages: pa.Table, marks: pa.Table) -> pa.Table:
+        held = list(zip(*(pages.column(c).to_pylist() for c in ("page_id", "url", "kinds", "texts"))))
+        host = pages.column("host")[0].as_py() if held else ""
+        return pa.Table.from_arrays(texts_of(held, host, marks.column("window").to_numpy()), names=names)
+
+    parsed_schema, schema = "page_id long, url string, host string, kinds array<int>, texts array<string>", "page_id long, url string, text string, n_chars long"
+    columns = ["page_id", "url", "host", "part", "kinds", "texts"]
+    least = min(chunk, max(chunk / 8, rows.count() / HOT_HOSTS))
+    hot = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > least).select("host", F.ceil(F.col("n") / F.lit(chunk / 8)).alias("parts"))
+    small = map_arrow(rows.join(F.broadcast(hot), "host", "left_anti").select("page_id", "url", "html", "host"), parse, parsed_schema).withColumn("part", F.lit(0))
+    whole = map_arrow(small.select(columns).repartition("host").sortWithinPartitions("host"), judge, schema)
+    large = map_arrow(rows.join(F.broadcast(hot), "host", "left_semi").select("page_id", "url", "html", "host"), parse, parsed_schema)
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int")
+    dealt = large.join(F.broadcast(hot), "host").withColumn("part", part).select(columns).repartition("host", "part")
+    seen = map_arrow(dealt.sortWithinPartitions("host", "part"), list_windows, "window long, low long, high long, host string, part int")
+    asking = F.collect_set(F.when(F.col("host").isNotNull(), F.struct("host", "part")))
+    marks = seen.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"), asking.alias("asking")).where("low < high").select("window", F.explode("asking").alias("a")).select(F.col("a.host").alias("host"), F.col("a.part").alias("part"), "window")
+    split = dealt.groupBy("host", "part").cogroup(marks.groupBy("host", "part")).applyInArrow(settle, schema)
+    return whole.unionByName(split)
