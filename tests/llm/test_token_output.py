@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -51,3 +53,17 @@ def test_null_ids_repeats_and_empty(spark, tmp_path):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
     O.write_tokens(empty_docs(spark), f"{tmp_path}/b", PATH, P.PATTERN)
     assert O.token_digest(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_added_tokens_are_one_id_as_in_the_library(spark, tmp_path):
+    for k, extra in enumerate(([], [{"content": "<|end", "normalized": True}, {"content": "<pad>", "lstrip": True}, {"content": "<sep>", "rstrip": True}, {"content": "word", "single_word": True}])):
+        source = json.loads(Path(PATH).read_text(encoding="utf-8"))
+        flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+        source["added_tokens"] += [{"id": 50257 + i, **flags, **t} for i, t in enumerate(extra)]
+        file = tmp_path / f"{k}.json"
+        file.write_text(json.dumps(source), encoding="utf-8")
+        library = Tokenizer.from_file(str(file))
+        texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|> b", "<|endoftext", "<|end of", "x \t<pad> y  <sep> \n z<sep>", "a word, words sword word", None, "plain"]
+        O.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{tmp_path}/added{k}", str(file), P.PATTERN)
+        got = {r.doc_id: list(r.ids) for r in O.read_tokens(spark, f"{tmp_path}/added{k}").collect()}
+        assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}

@@ -15,7 +15,9 @@ and their lengths, and the code. At most ``RANGES`` range totals give every
 range's start.
 
 A task remembers the pre-tokens that it has met, up to a bound; pre-tokens are
-encoded apart by the library anyway.
+encoded apart by the library anyway. Added tokens of the tokenizer file (such
+as an end marker) are found in the text first and are one id each, as in the
+library's ``encode(text, add_special_tokens=False)``.
 
 Defined cases: null text counts as empty and has the end id alone; null
 doc_ids come last; rows that share a doc_id follow each other in the order of
@@ -26,6 +28,7 @@ writes no segment; extra columns are unread.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -146,6 +149,45 @@ def _encoder(source: str, form: str) -> PreTokens:
     return PreTokens(encode, REMEMBERED)
 
 
+class AddedTokens:
+    """The tokens that a tokenizer file adds to its model: found before texts are split, those that aren't normalized first, the longest at each place."""
+
+    def __init__(self, source: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        id_of = Tokenizer.from_str(source).token_to_id  # an entry of the model keeps the model's id
+        entries = [t for t in json.loads(source).get("added_tokens") or [] if t["content"]]
+        self.ids = {t["content"]: id_of(t["content"]) for t in entries}
+
+        def form(t: dict) -> str:
+            word = regex.escape(t["content"])
+            word = rf"(?<!\w){word}(?!\w)" if t.get("single_word") else word
+            return (r"\p{White_Space}*" if t.get("lstrip") else "") + f"({word})" + (r"\p{White_Space}*" if t.get("rstrip") else "")
+
+        groups = [[t for t in entries if bool(t.get("normalized")) == late] for late in (False, True)]
+        self.patterns = [regex.compile("(?|" + "|".join(map(form, sorted(g, key=lambda t: -len(t["content"])))) + ")") for g in groups if g]
+
+    def within(self, text: str) -> bool:
+        return any(map(text.__contains__, self.ids))
+
+    def split(self, text: str) -> list[str | int]:
+        """The text in pieces, with an id where an added token stands."""
+        out: list[str | int] = [text]
+        for pattern in self.patterns:
+            pieces, out = out, []
+            for piece in pieces:
+                if isinstance(piece, int):
+                    out.append(piece)
+                    continue
+                at = 0
+                for m in pattern.finditer(piece):
+                    out += [piece[at : m.start()], self.ids[m[1]]]
+                    at = m.end()
+                out.append(piece[at:])
+        return out
+
+
 def _ranges(docs: DataFrame, id_col: str, range_docs: int) -> list[int]:
     """Upper bounds of ranges of about equally many documents, RANGES at most; reads the ids only."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
@@ -165,16 +207,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     bounds = np.array(_ranges(docs, id_col, range_docs), dtype=np.int64)
     from tokenizers import Tokenizer
 
-    form = _width(max(Tokenizer.from_str(source).get_vocab_size(), end_id + 1))
+    form = _width(max(Tokenizer.from_str(source).get_vocab_size(), end_id + 1, *(i + 1 for i in AddedTokens(source).ids.values())))
     end, width = struct.pack(f"<{form}", end_id), struct.calcsize(f"<{form}")
 
     def encode(batches):
         import regex
 
-        split, met = regex.compile(_quick(pattern)).findall, kept(key, lambda: _encoder(shared.value, form))
+        split, (met, added) = regex.compile(_quick(pattern)).findall, kept(key, lambda: (_encoder(shared.value, form), AddedTokens(shared.value)))
+
+        def code(text: str) -> bytes:
+            if not added.within(text):
+                return b"".join([*map(met.__getitem__, split(text)), end])
+            return b"".join([*(struct.pack(f"<{form}", x) if isinstance(x, int) else b"".join(map(met.__getitem__, split(x))) for x in added.split(text)), end])
+
         for batch in batches:
             ids = batch.column(0)
-            codes = [b"".join([*map(met.__getitem__, split(text or "")), end]) for text in batch.column(1).to_pylist()]
+            codes = [code(text or "") for text in batch.column(1).to_pylist()]
             known = np.array([np.iinfo(np.int64).max if x is None else x for x in ids.to_pylist()], dtype=np.int64)
             parts = np.searchsorted(bounds, known, side="left")
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), ids, pa.array([len(x) // width for x in codes], pa.int64()), pa.array(codes, pa.binary())], names=["part", "doc_id", "n", "ids"])
