@@ -48,3 +48,39 @@ def test_anchors_never_lose_a_match():
         words = L.anchors(grams, L.THRESHOLD)
         left = [g for g in grams if not words & set(g.split())]
         assert len(left) < L.bounds(len(grams), L.THRESHOLD)[0]
+
+
+def test_notices_inside_longer_lines_and_over_paragraphs(spark):
+    apache, gpl, bsd = (L.TEMPLATES[k] for k in ("Apache-2.0 notice", "GPL-3.0 notice", "BSD-2-Clause conditions"))
+    prose = " ".join(f"we walked {i} miles along river{i} and of the hill{i} under" for i in range(30)) + ". "
+    texts = {
+        "Apache-2.0 notice": apache.replace(" You may obtain", "\n\nYou may obtain").replace(" Unless", "\n\nUnless"),
+        "GPL-3.0 notice": gpl.replace(" This program is distributed", "\n\nThis program is distributed"),
+        "BSD-2-Clause conditions": bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. "),
+        "CC-BY-4.0 sentence": L.TEMPLATES["CC-BY-4.0 sentence"],
+    }
+    rows = [(i, f"{prose}\n\n{t}\n\n{prose}" if "\n" in t else f"We met there. {t} {prose}") for i, t in enumerate(texts.values())]
+    changed = L.TEMPLATES["GPL-3.0 sentence"].replace("licensed", "being freely licensed")
+    rows += [(4, f"{prose} {changed} {prose}"), (5, prose + "a license is a permission; the software is released under terms. " + prose)]
+    got = {r.doc_id: (r.license, r.dice) for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def windows(text):
+        """Best over all windows of words, without any bound but the length."""
+        words, best = re.sub("[^a-z0-9]+", " ", text.lower()).split(), []
+        for name, template in L.TEMPLATES.items():
+            b = set(L.bigrams(template))
+            longest = max(int(len(b) * 1.5 + 1e-9), len(re.sub("[^a-z0-9]+", " ", template.lower()).split()) - 1)
+            for at in range(len(words)):
+                a = set()
+                for x, y in zip(words[at : at + longest], words[at + 1 : at + longest + 1]):
+                    a.add(f"{x} {y}")
+                    if (dice := 2 * len(a & b) / (len(a) + len(b))) >= L.THRESHOLD:
+                        best.append((-dice, name))
+        dice, name = min(best, default=(0.0, None))
+        return name, -dice
+
+    for i, text in rows:
+        want = windows(text)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9, (i, got[i], want)
+    assert [got[i][0] for i in range(4)] == ["Apache-2.0 line", *list(texts)[1:]]  # the line begins the notice, scores as much and sorts first
+    assert got[4][0] == "GPL-3.0 sentence" and got[5] == (None, 0.0)

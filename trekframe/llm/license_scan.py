@@ -9,6 +9,13 @@ at least |B| t/(2-t) bigrams; each template therefore has a few anchor words of
 which any such segment holds one, and segments without any are passed over.
 Both bounds are exact: no pair that reaches the threshold is lost.
 
+Where no such segment reaches the threshold, notices may still stand inside a
+longer line or span paragraphs. Then windows of consecutive words are compared,
+wherever lines end: the best window starts and ends with a bigram of the
+template (else it would be better without its ends), so only those are tried,
+up to the size bound, for templates of which the whole text holds enough
+bigrams.
+
 All of it runs inside the row, with DataFrame functions alone.
 
 Defined cases: null and empty texts match nothing (name null, score 0); equal
@@ -53,9 +60,13 @@ TEMPLATES = {
 }
 
 
+def _words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a text, normalised."""
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -84,10 +95,11 @@ def _normalised(text: Column) -> Column:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, license (best template at or above the threshold, or null), dice (its score, else 0) and n_segments (segments with an anchor word)."""
     table = {k: bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
+    lengths = {k: len(_words(v)) - 1 for k, v in (templates or TEMPLATES).items()}
     least = min(bounds(len(g), threshold)[0] for g in table.values())
     most = max(bounds(len(g), threshold)[1] for g in table.values())
     pattern = r"(?:^|[ \n])(?:" + "|".join(sorted(set().union(*[anchors(g, threshold) for g in table.values()]))) + r")(?:$|[ \n])"
-    known = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, g)).alias("grams")) for k, g in table.items()])
+    known = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(lengths[k]).alias("length")) for k, g in table.items()])
 
     def segments(norm: Column) -> Column:
         lines = F.split(norm, "\n", -1)
@@ -103,12 +115,47 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         fits = F.filter(known, lambda k: (F.size(k["grams"]) * (threshold / (2 - threshold)) <= n) & (n <= F.size(k["grams"]) * ((2 - threshold) / threshold)))
         return F.transform(fits, lambda k: F.struct((2.0 * F.size(F.array_intersect(grams, k["grams"])) / (n + F.size(k["grams"]))).alias("dice"), k["name"].alias("name")))
 
+    def inside(words: Column) -> Column:
+        """The best window of the words for each template that enough of their bigrams belong to."""
+        grams = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", words[i], words[i + 1]))
+
+        def of_template(grams: Column, k: Column) -> Column:
+            size = F.size(k["grams"])
+            enough = size * (threshold / (2 - threshold))
+            longest = F.greatest(F.floor(size * ((2 - threshold) / threshold)), k["length"]).cast("int")
+
+            def from_start(at: Column, ends: Column) -> Column:
+                def until(end: Column) -> Column:
+                    return bind(F.array_distinct(F.slice(grams, at + 1, end - at + 1)), lambda w: 2.0 * F.size(F.array_intersect(w, k["grams"])) / (F.size(w) + size))
+
+                return F.when(F.size(F.array_distinct(F.transform(ends, lambda e: grams[e]))) >= enough, F.array_max(F.transform(ends, until)))
+
+            def over(marked: Column) -> Column:
+                # positions ascend, so a start's ends are among the next ones: no more than the longest window has bigrams
+                return F.array_max(F.transform(marked, lambda at, i: bind(F.filter(F.slice(marked, i + 1, longest), lambda e: e < at + longest), lambda ends: from_start(at, ends))))
+
+            places = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(k["grams"], g), i)), lambda i: i.isNotNull())
+            return F.struct(F.coalesce(bind(places, over), F.lit(0.0)).alias("dice"), k["name"].alias("name"))
+
+        def over_templates(grams: Column) -> Column:
+            held = bind(F.array_distinct(grams), lambda d: F.filter(known, lambda k: F.size(F.array_intersect(d, k["grams"])) >= F.size(k["grams"]) * (threshold / (2 - threshold))))
+            return F.transform(held, lambda k: of_template(grams, k))
+
+        return F.when(F.size(words) - 1 >= least, bind(grams, over_templates)).otherwise(F.array().cast("array<struct<dice:double,name:string>>"))
+
     def scan(parts: Column) -> Column:
         sized = F.filter(F.transform(parts, grams_of), lambda g: (F.size(g) >= least) & (F.size(g) <= most))
-        scored = F.flatten(F.transform(sized, lambda g: bind(g, best)))
+        return first(F.flatten(F.transform(sized, lambda g: bind(g, best))))
+
+    def first(scored: Column) -> Column:
         return bind(F.filter(scored, lambda x: x["dice"] >= threshold), lambda hits: F.when(F.size(hits) > 0, F.array_sort(hits, lambda a, b: F.when(a["dice"] != b["dice"], F.when(a["dice"] > b["dice"], -1).otherwise(1)).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))[0]))
 
     norm = _normalised(F.coalesce(F.col(text_col), F.lit("")))
     parts = bind(norm, lambda t: F.when(t.rlike(pattern), segments(t)).otherwise(F.array().cast("array<string>")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), bind(parts, lambda p: F.struct(F.size(p).alias("n"), F.when(F.size(p) > 0, scan(p)).alias("hit"))).alias("s"))
+
+    def hit(p: Column) -> Column:
+        words = F.array_remove(F.split(norm, "[ \n]+"), "")
+        return bind(scan(p), lambda h: F.when(h.isNotNull(), h).otherwise(bind(words, lambda w: first(inside(w)))))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), bind(parts, lambda p: F.struct(F.size(p).alias("n"), F.when(F.size(p) > 0, hit(p)).alias("hit"))).alias("s"))
     return rows.select("doc_id", F.col("s.hit.name").alias("license"), F.coalesce(F.col("s.hit.dice"), F.lit(0.0)).alias("dice"), F.col("s.n").cast("long").alias("n_segments"))
