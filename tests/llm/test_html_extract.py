@@ -49,6 +49,52 @@ def test_a_host_in_several_chunks_loses_no_page(spark):
     assert {(r.page_id, r.text) for r in H.extract_pages(pages, chunk=40).collect()} == {(i, str(i)) for i in range(300)}
 
 
+def bare(page):
+    """The page with div in place of every element that tells what its text is, and without class names."""
+    return re.sub(r"<(/?)(?:article|nav|footer|ul|li|h1)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+
+
+def test_text_comes_through_the_suffix_array_where_markup_says_nothing(spark):
+    """Article, menu and footer elements made div, class names gone: words of the article are still told from the rest."""
+    from collections import Counter
+
+    rows = [(r.page_id, r.url, r.html) for r in table(spark, "/root/testdata/sf0.1", "pages").where("page_id % 2 = 0 or url like '%blog%'").collect()]
+    want = {i: Counter(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article[^>]*>(.*?)</article>", h, re.S)[1])).split()) for i, _, h in rows}
+    around = {i: Counter(html.unescape(re.sub(r"<(script|style|title)>.*?</\1>|<!--.*?-->|<[^>]*>", " ", h, flags=re.S)).split()) - want[i] for i, _, h in rows}
+    pages = spark.createDataFrame([(i, u, bare(h)) for i, u, h in rows], "page_id long, url string, html string")
+    got = {}
+    for size in (1, 60, 2000):
+        got[size] = {r.page_id: r.text for r in H.extract_pages(pages.repartition(1 + size % 7), chunk=size).collect()}
+    assert got[1] == got[60] == got[2000]
+    found = {i: Counter(t.split()) for i, t in got[60].items()}
+    right = sum((found[i] & want[i]).total() for i in want)
+    assert right / sum(c.total() for c in want.values()) >= 0.95
+    assert right / sum(c.total() for c in found.values()) >= 0.97
+    large = [i for i, u, _ in rows if "blog.tionsh.example.com" in u]  # enough pages that nearly all of its chrome repeats
+    assert len(large) > 100
+    assert sum((found[i] - want[i]).total() for i in large) <= 0.1 * sum(around[i].total() for i in large)
+
+
+def test_hidden_elements_go_and_an_articles_header_stays():
+    page = '<header>Site</header><article><header class="entry-header"><h1>Title</h1></header><p title="hidden gem">hello</p><div hidden>secret</div><div class="note" hidden="until-found">more</div></article>'
+    assert H.main_texts([H.blocks(page)]) == ["Title hello"]
+
+
+def test_passages_of_a_host_go_and_copies_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    six = [(i, "http://a.example/", f"<div>own {i} words w{i} x{i}</div><div>{passage}</div>") for i in range(6)]
+    body = "".join(f"<div>{' '.join(f's{k}t{i}' for i in range(30))}</div>" for k in range(4))
+    copies = [(100 + i, "http://b.example/", f"<div>top {i}</div>{body}<div>end {i} of it</div>") for i in range(5)]
+    want = {i: f"own {i} words w{i} x{i}" for i in range(6)} | {100 + i: " ".join(re.sub("<[^>]*>", " ", f"top {i} {body} end {i} of it").split()) for i in range(5)}
+    pages = spark.createDataFrame(six + copies, "page_id long, url string, html string")
+    for size in (1, 2, 2000):
+        assert {r.page_id: r.text for r in H.extract_pages(pages, chunk=size).collect()} == want
+    clash = pages.selectExpr("*", "1 host", "'x' kinds", "array(1) texts", "2 part", "3 owner", "true split", "0 k", "'' repeated", "'' cover", "1 hot_host")
+    assert {r.page_id: r.text for r in H.extract_pages(clash, chunk=2).collect()} == want
+    long = spark.createDataFrame([(i, "http://a.example/", "<div>" + " ".join(f"{i}z{k}" for k in range(200_000)) + "</div>") for i in range(3)], pages.schema)
+    assert [r.n_chars for r in H.extract_pages(long, chunk_bytes=1000).collect()] == [r.n_chars for r in H.extract_pages(long).collect()] and H.extract_pages(long).agg({"n_chars": "min"}).first()[0] > 1_000_000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5), st.integers(1, 4))
 def test_covered_equals_brute_force(streams, run):

@@ -1,34 +1,35 @@
 """Main text of web pages by a suffix array over each host's token streams.
 
-A page is cut into blocks at block-level tags. Markup alone settles many of
-them: what stands in an article or main element is content, unless an element
-inside is a menu, form, advert, notice, comment section and the like; script,
-style and head are nothing at all. The other blocks (chrome such as menus and
-footers, and text of pages without an article) are judged by repetition: the
-token streams of a host's pages are joined, a suffix array orders their
-positions by the ``RUN`` tokens that follow, and where neighbours agree but
-come from distinct pages, those tokens are covered. Covered runs of text that
-no element vouches for are boilerplate and go; unique runs stay. Chrome goes
-either way. Text inside an article stays even if other pages repeat it, since
-pages of a host quote the same passages and carry the same articles.
-
-Pages are dealt by host. Hosts with more than an eighth of ``CHUNK`` pages and
-a ten-thousandth of all (so at most ``HOT_HOSTS`` of them, a bounded broadcast),
-and any with more than ``CHUNK``, are split by page into chunks. The suffix
-array of a chunk settles what repeats within it. For the rest, each chunk gives
-one row for each distinct window of ``RUN`` tokens, with the first and last
-page that has it; windows that two pages of the host have go back to the chunks
-that still ask for them. So repetition is found over the whole host, however it
-is split.
-
-Defined cases: null html is empty, null url is a host of its own; pages that
-occur twice are distinct pages only if their page_id differs, or without
-page_id their url or blocks; very long pages are whole; an empty table gives an empty result; extra columns are unread.
+A page is cut into blocks at block-level tags. The blocks of all pages of a host
+make token streams, chrome and articles included; a block boundary counts as
+``EDGE`` tokens of the stream, so menus and short blocks that stand alone make
+long enough runs. The streams are joined, a suffix array orders their positions
+by the ``RUN`` tokens that follow, and where neighbours agree but come from
+distinct pages, those tokens are covered. Pages that agree in all text outside
+chrome are one page here, so a page isn't covered by its own copy.
+
+Covered runs are boilerplate and go; unique runs stay. Markup only overrules the
+array where an element says what its text is: text of an article or main element
+stays though other pages quote it, and menus, forms, adverts, notices, comment
+sections and hidden elements (also inside an article) go though they are unique;
+script, style and head are no text at all. An article's own header is part of
+it. A page without an article of which less than a tenth is unique is a copy of
+another with other surroundings: its paragraphs (``PARAGRAPH`` words) stay.
+
+Pages are dealt by host; hosts of more than ``CHUNK`` pages or ``CHUNK_BYTES``
+are split into parts by page, which changes no result: the suffix array of a
+part settles what repeats within it; then the windows of ``RUN`` tokens that
+could still be covered are looked up among those of the host's other parts, by
+64-bit hashes, with a bitmap of fixed size that spares the shuffle the windows
+that nobody asks for.
+
+Defined cases: null html is empty, null url is a host of its own; repeated rows
+and equal pages don't cover each other; very long pages are whole; an empty
+table gives an empty result; extra columns are unread.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -38,12 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import map_arrow
+from trekframe.llm.common import map_arrow, written
 
-#: Tokens that a repeated passage has at least.
-RUN = 12
-#: Pages of a host whose streams are joined, at most; hosts that may be split though they have fewer.
-CHUNK, HOT_HOSTS = 2000, 10_000
+#: Tokens of the stream that a repeated passage has at least; tokens that a block boundary counts for.
+RUN, EDGE = 12, 4
+#: Words of a block that is a paragraph.
+PARAGRAPH = 25
+#: Pages and bytes of a host in one part, about.
+CHUNK, CHUNK_BYTES = 250, 16 << 20
+#: Hosts in parts that may be broadcast; more are joined by a shuffle.
+HOT_HOSTS = 100_000
+#: log2 of the bits of the bitmap of wanted windows (8 MB).
+BITS = 26
 
 # HTML elements by what they hold.
 NOTHING = frozenset("script style head noscript template svg math iframe object canvas audio video select option datalist textarea title".split())
@@ -58,20 +65,25 @@ _CHROME_WORD = re.compile(
 _CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>])*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN, _QUOTED, _OWN_HEADER = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I), re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')"), re.compile("header", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
 
 KEEP, UNSURE, DROP = 0, 1, 2
+#: Stands for a block boundary in a stream; texts hold none, as white space it would have been replaced.
+_MARK = "\x1c"
 
 
 def _kind(tag: str, attrs: str, inside_content: bool) -> int | None:
-    """What an element makes of its text: DROP, KEEP, or None for what stands around it."""
-    if tag in NOTHING or tag in CHROME:
+    """What an element makes of its text: DROP, KEEP, or None for what stands around it. A header inside content is the article's own."""
+    if tag in NOTHING or tag in CHROME and not (tag == "header" and inside_content):
         return DROP
     if attrs:
+        if "hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub("=", attrs)):
+            return DROP
         for name, a, b, c in _ATTR.findall(attrs):
             value = a or b or c
             name = name.lower()
-            if name in ("class", "id") and tag not in ("html", "body") and tag not in CONTENT and _CHROME_WORD.search(value):
+            if name in ("class", "id") and tag not in ("html", "body") and tag not in CONTENT and _CHROME_WORD.search(_OWN_HEADER.sub("", value) if inside_content else value):
                 return DROP
             if name == "role" and value.lower() in _CHROME_ROLE or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return DROP
@@ -184,152 +196,174 @@ def covered(streams: list[list[str]], run: int = RUN, owners: list[int] | None =
     return np.split(np.cumsum(edges[:-1]) > 0, np.cumsum(lengths)[:-1])
 
 
-def _streams(pages: list[list[tuple[int, str]]]) -> tuple[list[list[str]], list[list[tuple[int, int] | None]]]:
-    """The tokens of each page's blocks other than KEEP, and where each block's lie."""
-    streams, places = [], []
-    for page in pages:
-        stream, spans = [], []
-        for kind, text in page:
-            if kind == KEEP:
-                spans.append(None)
-            else:
-                tokens = text.split(" ")
-                spans.append((len(stream), len(stream) + len(tokens)))
-                stream += tokens
-        streams.append(stream)
-        places.append(spans)
-    return streams, places
-
-
-def _hash(*values: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(values).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def window_hashes(host: str, streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each stream the 64-bit hashes of its windows of run tokens, the same in every process."""
-    known: dict[str, int] = {}
-    seed = np.array([_hash("host", host)], np.int64).view(np.uint64)
-    powers = [np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64)], np.uint64) for k in range(run)]
-    out = []
-    for stream in streams:
-        n = len(stream) - run + 1
-        if n < 1:
-            out.append(np.zeros(0, np.int64))
-            continue
-        tokens = np.array([known[t] if t in known else known.setdefault(t, _hash(t)) for t in stream], np.int64).view(np.uint64)
-        total = np.repeat(seed, n)
-        for k in range(run):
-            total += tokens[k : k + n] * powers[k]
-        out.append(total.view(np.int64))
+def _stream(page: list[tuple[int, str]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """A page's tokens with EDGE marks around each block, and where each block's tokens lie."""
+    stream, places = [_MARK] * EDGE, []
+    for _, text in page:
+        tokens = text.split(" ")
+        places.append((len(stream), len(stream) + len(tokens)))
+        stream += tokens
+        stream += [_MARK] * EDGE
+    return stream, places
+
+
+def _unsure(page: list[tuple[int, str]], places: list[tuple[int, int]], size: int) -> np.ndarray:
+    """Which tokens of the stream belong to blocks that no element settles."""
+    out = np.zeros(size, bool)
+    for (kind, _), span in zip(page, places):
+        if kind == UNSURE:
+            out[slice(*span)] = True
     return out
 
 
-def windows(host: str, pages: list[list[tuple[int, str]]], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's distinct windows: hash, least and greatest owner, and whether a token that may stay depends on it."""
-    streams, places = _streams(pages)
-    asked = []
-    for page, spans, stream, cover in zip(pages, places, streams, covered(streams, owners=owners)):
-        open_ = np.zeros(len(stream), bool)
-        for (kind, _), span in zip(page, spans):
-            if kind == UNSURE:
-                open_[slice(*span)] = True
-        before = np.r_[0, np.cumsum(open_ & ~cover)]
-        asked.append(before[RUN:] > before[: max(0, len(before) - RUN)])
-    hashes = window_hashes(host, streams)
-    if not any(map(len, hashes)):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
-    owner = np.repeat(np.array(owners, np.int64), [len(h) for h in hashes])
-    flat, asks = np.concatenate(hashes), np.concatenate(asked)
-    order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-    return flat[order][starts], np.minimum.reduceat(owner[order], starts), np.maximum.reduceat(owner[order], starts), np.logical_or.reduceat(asks[order], starts)
-
-
-def main_texts(pages: list[list[tuple[int, str]]], owners: list[int] | None = None, host: str = "", repeated: np.ndarray | None = None) -> list[str]:
-    """Main texts of pages of one host, given their blocks; repeated has hashes of windows that pages elsewhere on the host have too."""
-    streams, places = _streams(pages)
-    covers = covered(streams, owners=owners)
+def owner_of(page: list[tuple[int, str]]) -> int:
+    """The same number for pages whose text outside chrome is the same."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest("\0".join(t for k, t in page if k != DROP).encode("utf-8", "surrogatepass"))).astype(np.int64))
+
+
+def window_hashes(host: str, stream: list[str], run: int = RUN) -> np.ndarray:
+    """64-bit hashes of a stream's windows of run tokens, the same in every process."""
+    import xxhash
+
+    n = len(stream) - run + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    tokens = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in stream), np.uint64, len(stream))
+    # With a seed of its own: pages name their host, and equal hashes would cancel out.
+    total = np.full(n, xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass"), seed=1), np.uint64)
+    for k in range(run):
+        total = (total ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total.view(np.int64)
+
+
+def asked_windows(host: str, page: list[tuple[int, str]], cover: np.ndarray) -> np.ndarray:
+    """Hashes of the windows on which it depends whether a token of the page stays."""
+    stream, places = _stream(page)
+    open_ = np.r_[0, np.cumsum(_unsure(page, places, len(stream)) & ~cover)]
+    asked = open_[RUN:] > open_[: max(0, len(open_) - RUN)]
+    return np.unique(window_hashes(host, stream)[asked]) if asked.any() else np.zeros(0, np.int64)
+
+
+def page_text(page: list[tuple[int, str]], cover: np.ndarray, host: str = "", repeated: np.ndarray | None = None) -> str:
+    """A page's main text, given which tokens of its stream are covered; repeated has hashes of windows that other parts of the host have too."""
+    if all(kind != UNSURE for kind, _ in page):
+        return " ".join(text for kind, text in page if kind == KEEP)
+    stream, places = _stream(page)
     if repeated is not None and len(repeated):
-        for cover, hashes in zip(covers, window_hashes(host, streams)):
-            for i in np.flatnonzero(np.isin(hashes, repeated)):
-                cover[i : i + RUN] = True
-    out = []
-    for page, spans, stream, cover in zip(pages, places, streams, covers):
-        kept = []
-        for (kind, text), span in zip(page, spans):
-            if kind == KEEP:
-                kept.append(text)
-            elif kind == UNSURE:
-                unique = [t for t, c in zip(stream[slice(*span)], cover[slice(*span)]) if not c]
-                if unique:
-                    kept.append(" ".join(unique))
-        out.append(" ".join(kept))
+        cover = cover.copy()
+        for i in np.flatnonzero(np.isin(window_hashes(host, stream), repeated)):
+            cover[i : i + RUN] = True
+    open_ = _unsure(page, places, len(stream))
+    copy = 10 * (open_ & ~cover).sum() < open_.sum() and all(kind != KEEP for kind, _ in page)
+    kept = []
+    for (kind, text), (a, b) in zip(page, places):
+        if kind == KEEP or kind == UNSURE and copy and b - a >= PARAGRAPH:
+            kept.append(text)
+        elif kind == UNSURE:
+            unique = [t for t, c in zip(stream[a:b], cover[a:b]) if not c]
+            if unique:
+                kept.append(" ".join(unique))
+    return " ".join(kept)
+
+
+def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
+    """Main texts of pages of one host, given their blocks."""
+    return [page_text(page, cover) for page, cover in zip(pages, covered([_stream(p)[0] for p in pages], owners=[owner_of(p) for p in pages]))]
+
+
+def _wanted(asks: DataFrame) -> np.ndarray:
+    """Which top BITS bits occur among the windows asked for: 2 ** (BITS - 6) words at most reach the driver, whatever the size of the table."""
+    at = F.shiftrightunsigned("window", 64 - BITS)
+    words = asks.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def extract_pages(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def extract_pages(pages: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
+    spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"))
 
     def parse(batches):
         for batch in batches:
             found = [blocks(x.as_py() or "") for x in batch.column(2)]
-            kinds = [[k for k, _ in page] for page in found]
-            texts = [[t for _, t in page] for page in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "kinds", "texts"])
-
-    def owners_of(held) -> list[int]:
-        return [_hash(url or "", *map(str, k), *t) if page_id is None else page_id for page_id, url, k, t in held]
+            columns = ([owner_of(page) for page in found], [[k for k, _ in page] for page in found], [[t for _, t in page] for page in found])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int8()), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *arrays], names=["page_id", "url", "host", "owner", "kinds", "texts"])
 
-    def blocks_of(held):
-        return [list(zip(k, t)) for *_, k, t in held]
+    def settle_parts(batches):
+        """The suffix array of each part; a row a page with what it covers of it, and the windows to look up in other parts."""
+        import xxhash
 
-    def texts_of(held, host="", repeated=None) -> list[pa.Array]:
-        texts = main_texts(blocks_of(held), owners_of(held), host, repeated)
-        columns = ([x[0] for x in held], [x[1] for x in held], texts, [len(t) for t in texts])
-        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))]
+        held, key = [], None
 
-    names = ["page_id", "url", "text", "n_chars"]
+        def settled():
+            host, _, split = key
+            found = [list(zip(k, t)) for *_, k, t in held]
+            streams = [_stream(page)[0] for page in found]
+            covers = covered(streams, owners=[x[2] for x in held])
+            asked = [asked_windows(host, page, c) if split else np.zeros(0, np.int64) for page, c in zip(found, covers)]
+            bits = [np.packbits(c).tobytes() if UNSURE in k else b"" for c, (*_, k, _) in zip(covers, held)]
+            part = xxhash.xxh3_64_intdigest(f"{key[1]} {host}".encode("utf-8", "surrogatepass")) >> 1
+            n = len(held)
+            for at in range(0, n, 100):
+                some = slice(at, at + 100)
+                columns = ([part] * n, range(n), [host] * n, [split] * n, [x[0] for x in held], [x[1] for x in held], [x[3] for x in held], [x[4] for x in held], bits, [x.tolist() for x in asked])
+                yield pa.RecordBatch.from_arrays([pa.array(c[some], f) for c, f in zip(columns, formats)], names=names)
 
-    def chunks(batches):
-        held, key = [], None
         for batch in batches:
-            for page_id, url, host, part, kinds, texts in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (host, part) != key:
-                    yield *key, held
+            for page_id, url, host, owner, part, split, kinds, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (host, part, split) != key:
+                    yield from settled()
                     held = []
-                key = host, part
-                held.append((page_id, url, kinds, texts))
+                key = host, part, split
+                held.append((page_id, url, owner, kinds, texts))
         if held:
-            yield *key, held
+            yield from settled()
+
+    names = ["part", "k", "host", "split", "page_id", "url", "kinds", "texts", "cover", "asked"]
+    formats = (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64()))
+
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.coalesce("bytes", F.lit(0)) / chunk_bytes)).cast("int")
+    hot = written(sizes.select(F.col("host").alias("hot_host"), parts.alias("parts")).where("parts > 1"), "split-hosts")
+    few = hot.count() <= HOT_HOSTS
+    parsed = map_arrow(rows, parse, "page_id long, url string, host string, owner long, kinds array<tinyint>, texts array<string>")
+    dealt = parsed.join(F.broadcast(hot) if few else hot, F.col("host") == F.col("hot_host"), "left")
+    dealt = dealt.select("page_id", "url", "host", "owner", F.coalesce(F.pmod(F.xxhash64("owner"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.col("parts").isNotNull().alias("split"), "kinds", "texts")
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part")
+    done = written(map_arrow(dealt, settle_parts, "part long, k int, host string, split boolean, page_id long, url string, kinds array<tinyint>, texts array<string>, cover binary, asked array<long>"), "settled-pages")
+
+    asks = done.where("split").select("part", "k", F.explode("asked").alias("window"))
+    if asks.isEmpty():
+        ready = done.withColumn("repeated", F.array().cast("array<bigint>"))
+    else:
+        wanted = spark.sparkContext.broadcast(_wanted(asks))  # 8 MB
+
+        def tell(batches):
+            for batch in batches:
+                for part, host, kinds, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                    found = np.unique(window_hashes(host, _stream(list(zip(kinds, texts)))[0]))
+                    at = found.view(np.uint64) >> np.uint64(64 - BITS)
+                    found = found[(wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), part))], names=["window", "part"])
+
+        told = map_arrow(done.where("split").select("part", "host", "kinds", "texts"), tell, "window long, part long")
+        several = told.groupBy("window").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("window")
+        marks = asks.join(several, "window", "left_semi").groupBy("part", "k").agg(F.collect_list("window").alias("repeated"))  # windows of one page
+        ready = done.join(marks, ["part", "k"], "left")
 
     def judge(batches):
-        for _, _, held in chunks(batches):
-            yield pa.RecordBatch.from_arrays(texts_of(held), names=names)
-
-    def list_windows(batches):
-        for host, part, held in chunks(batches):
-            found, low, high, asks = windows(host, blocks_of(held), owners_of(held))
-            for at in range(0, len(found), 50_000):
-                f, lo, hi, a = (x[at : at + 50_000] for x in (found, low, high, asks))
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(lo), pa.array(hi), pa.array([host if x else None for x in a], pa.string()), pa.array(np.full(len(f), part, np.int32))], names=["window", "low", "high", "host", "part"])
-
-    def settle(pages: pa.Table, marks: pa.Table) -> pa.Table:
-        held = list(zip(*(pages.column(c).to_pylist() for c in ("page_id", "url", "kinds", "texts"))))
-        host = pages.column("host")[0].as_py() if held else ""
-        return pa.Table.from_arrays(texts_of(held, host, marks.column("window").to_numpy()), names=names)
-
-    parsed_schema, schema = "page_id long, url string, host string, kinds array<int>, texts array<string>", "page_id long, url string, text string, n_chars long"
-    columns = ["page_id", "url", "host", "part", "kinds", "texts"]
-    least = min(chunk, max(chunk / 8, rows.count() / HOT_HOSTS))
-    hot = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > least).select("host", F.ceil(F.col("n") / F.lit(chunk / 8)).alias("parts"))
-    small = map_arrow(rows.join(F.broadcast(hot), "host", "left_anti").select("page_id", "url", "html", "host"), parse, parsed_schema).withColumn("part", F.lit(0))
-    whole = map_arrow(small.select(columns).repartition("host").sortWithinPartitions("host"), judge, schema)
-    large = map_arrow(rows.join(F.broadcast(hot), "host", "left_semi").select("page_id", "url", "html", "host"), parse, parsed_schema)
-    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int")
-    dealt = large.join(F.broadcast(hot), "host").withColumn("part", part).select(columns).repartition("host", "part")
-    seen = map_arrow(dealt.sortWithinPartitions("host", "part"), list_windows, "window long, low long, high long, host string, part int")
-    asking = F.collect_set(F.when(F.col("host").isNotNull(), F.struct("host", "part")))
-    marks = seen.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"), asking.alias("asking")).where("low < high").select("window", F.explode("asking").alias("a")).select(F.col("a.host").alias("host"), F.col("a.part").alias("part"), "window")
-    split = dealt.groupBy("host", "part").cogroup(marks.groupBy("host", "part")).applyInArrow(settle, schema)
-    return whole.unionByName(split)
+        for batch in batches:
+            texts = []
+            for host, kinds, blocks_, cover, repeated in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+                page = list(zip(kinds, blocks_))
+                bits = np.unpackbits(np.frombuffer(cover, np.uint8))[: len(_stream(page)[0])].astype(bool) if cover else np.zeros(0, bool)
+                texts.append(page_text(page, bits, host, None if not repeated else np.array(repeated, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return map_arrow(ready.select("page_id", "url", "host", "kinds", "texts", "cover", "repeated"), judge, "page_id long, url string, text string, n_chars long")
