@@ -247,15 +247,27 @@ def asked_windows(host: str, page: list[tuple[int, str]], cover: np.ndarray) ->
     return np.unique(window_hashes(host, stream)[asked]) if asked.any() else np.zeros(0, np.int64)
 
 
+def _long_runs(cover: np.ndarray) -> np.ndarray:
+    """cover without runs of fewer than EDGE tokens: a word that happens to follow a repeated block isn't part of it."""
+    ends = np.flatnonzero(np.diff(np.r_[False, cover, False]))
+    out = np.zeros(len(cover), bool)
+    for a, b in zip(ends[::2], ends[1::2]):
+        out[a:b] = b - a >= EDGE
+    return out
+
+
 def page_text(page: list[tuple[int, str]], cover: np.ndarray, host: str = "", repeated: np.ndarray | None = None) -> str:
     """A page's main text, given which tokens of its stream are covered; repeated has hashes of windows that other parts of the host have too."""
     if all(kind != UNSURE for kind, _ in page):
         return " ".join(text for kind, text in page if kind == KEEP)
     stream, places = _stream(page)
+    cover = cover.copy()
     if repeated is not None and len(repeated):
-        cover = cover.copy()
         for i in np.flatnonzero(np.isin(window_hashes(host, stream), repeated)):
             cover[i : i + RUN] = True
+    for (kind, _), (a, b) in zip(page, places):
+        if kind == UNSURE and not (mine := cover[a:b]).all() and mine.any():
+            cover[a:b] = _long_runs(mine)
     open_ = _unsure(page, places, len(stream))
     copy = 10 * (open_ & ~cover).sum() < open_.sum() and all(kind != KEEP for kind, _ in page)
     kept = []
