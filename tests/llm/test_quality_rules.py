@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -63,4 +65,39 @@ def test_sketches_merge_exactly_and_keep_their_error(spark):
     parts = Q.merge_sketches(Q.sketch(df, ["g", "all"], {"v": F.col("v")}), ["all"])
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
     q = Q.sketch_quantiles(parts, ["all"], {"a": 0.25, "b": 0.75}).first()
-    assert abs(q.a / 500 - 1) <= 1.1 * Q.ERROR and abs(q.b / 1500 - 1) <= 1.1 * Q.ERROR
+    assert abs(math.exp(q.a) / 500 - 1) <= 1.1 * Q.ERROR and abs(math.exp(q.b) / 1500 - 1) <= 1.1 * Q.ERROR
+
+
+def test_thresholds_differ_by_language_and_source(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    rows = docs.select("lang", "source", Q.base_features(F.col("text")).alias("f"))
+    limits = Q.thresholds(rows, "lang", "source", "f").collect()
+    assert len(limits) == docs.select("lang", "source").distinct().count()
+    for column in ("q_high_word_len", "q_low_word_len", "q_high_mark_share", "q_high_upper_share"):
+        values = {r[column] for r in limits}
+        assert len(values) >= 0.9 * len(limits) and None not in values, column
+    report = Q.quality_report(docs).join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where(~F.col("base_failed"))
+    share = {r.quality: r.share for r in report.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] >= 0.98 and share[0] <= 0.05
+
+
+def test_a_source_with_a_third_of_junk_loses_it(spark):
+    """Junk doesn't widen the fence of the source that it fills, however large or small the source is."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+
+    def prose(marks):
+        words = [word() + rng.choice(marks) for _ in range(rng.randint(60, 150))]
+        return " ".join(w.capitalize() if rng.random() < 0.1 else w for w in words)
+
+    rows = []
+    for k, (source, n) in enumerate((("clean", 300), ("dirty", 300), ("small", 12), (None, 40))):
+        for i in range(n):
+            junk = source != "clean" and i % 3 == 0
+            rows.append((1000 * k + i, prose(["$#%", "&|", "***"] if junk else ["", "", "", "", "", ",", "."]), "en", source, junk))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = {r.doc_id: r.kept for r in Q.quality_report(docs).collect()}
+    junk = [got[i] for i, *_, j in rows if j]
+    good = [got[i] for i, *_, j in rows if not j]
+    assert sum(junk) == 0 and sum(good) >= 0.98 * len(good)
+    assert {r.doc_id for r in Q.quality_filter(docs).collect()} == {i for i, kept in got.items() if kept}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from trekframe.llm import license_scan, mixing, quality_rules
 
 _WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
@@ -27,36 +29,45 @@ MIXING = f"""
 
 
 def quality() -> str:
-    gamma = quality_rules._gamma()
-    shares = {"word_len": "word_chars / greatest(n_words, 1)::double", "symbol_share": "n_symbols / greatest(n_words, 1)::double", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)::double", "repeat_share": "n_repeat_words / greatest(n_words, 1)::double"}
+    q = quality_rules
+    step, first, reach, prior = repr(math.log(q._gamma())), repr(math.log(2 / (q._gamma() + 1))), q.REACH, q.PRIOR_ROWS
+    shares = {
+        "word_len": "word_chars / greatest(n_words, 1)::double",
+        "mark_share": "n_marks / greatest(n_words, 1)::double",
+        "upper_share": "n_upper / greatest(word_chars, 1)::double",
+        "dup_line_share": "n_dup_lines / greatest(n_lines, 1)::double",
+        "repeat_share": "n_repeat_words / greatest(n_words, 1)::double",
+    }
     values = " union all ".join(f"select lang, source, '{k}' as feature, {v} as v from b where not base_failed" for k, v in shares.items())
 
     def fences(keys: str, tag: str) -> str:
         group = f"{keys}, " if keys else ""
-        return f"""{tag}c as (select {group}feature, bucket, count(*) as n from sk group by {group}feature, bucket),
-        {tag}q as (select {group}feature, sum(n) over (partition by {group}feature) as total, sum(n) over (partition by {group}feature order by bucket nulls first rows unbounded preceding) as seen,
-            coalesce(2 * pow({gamma!r}::double, bucket) / {gamma + 1!r}::double, 0) as v from {tag}c),
-        {tag} as (select {group}feature, max(total) as n, min(case when seen >= 0.25 * total then v end) as q25, min(case when seen >= 0.75 * total then v end) as q75 from {tag}q group by {group}feature)"""
+        at = lambda p: f"(min(case when seen >= {p}::double * total then bucket end) * {step}::double + {first}::double)"
+        return f"""{tag}c as (select {group}feature, bucket, count(*) as n from sk where bucket is not null group by {group}feature, bucket),
+        {tag}q as (select {group}feature, bucket, sum(n) over (partition by {group}feature) as total, sum(n) over (partition by {group}feature order by bucket rows unbounded preceding) as seen from {tag}c),
+        {tag}v as (select {group}feature, max(total)::double as n, {", ".join(f"{at(p)} as {k}" for k, p in q._AT.items())} from {tag}q group by {group}feature),
+        {tag} as (select {group}feature, n, case when q80 - q60 > 0 then q60 - {reach}::double * (q80 - q60) end as low, case when q40 - q20 > 0 then q40 + {reach}::double * (q40 - q20) end as high from {tag}v)"""
 
     one, two, three = fences("lang, source", "t1"), fences("lang", "t2"), fences("", "t3")
-    least = "case g.feature " + " ".join(f"when '{k}' then {v}" for k, v, _ in quality_rules.FEATURES) + " end"
-    both = "'" + "','".join(k for k, _, two_sided in quality_rules.FEATURES if two_sided) + "'"
-    pick = lambda c: f"case when x1.n >= {quality_rules.MIN_ROWS} then x1.{c} when x2.n >= {quality_rules.MIN_ROWS} then x2.{c} else x3.{c} end"
+    both = "'" + "','".join(k for k, two_sided in q.FEATURES if two_sided) + "'"
+    wide = lambda c: f"coalesce((x2.n * x2.{c} + {prior} * x3.{c}) / (x2.n + {prior}), x3.{c}, x2.{c})"
+    pick = lambda c: f"coalesce((x1.n * x1.{c} + {prior} * {wide(c)}) / (x1.n + {prior}), {wide(c)}, x1.{c})"
+    count = lambda chars: f"length(coalesce(text,'')) - length(regexp_replace(coalesce(text,''), '{chars}', '', 'g'))"
     return f"""
     with w as (select doc_id, lang, source, text, {_WORDS} as ws, list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
     u as (select doc_id, unnest(ws) as a, generate_subscripts(ws, 1) as i from w),
     g3 as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) > 1 as again, c is not null as whole from (select *, lead(a) over o as b, lead(a, 2) over o as c from u window o as (partition by doc_id order by i))),
     rp as (select doc_id, count_if(hit) as n_repeat_words from (select doc_id, bool_or(again and whole) over (partition by doc_id order by i rows between 2 preceding and current row) as hit from g3) group by 1),
     f as (select w.doc_id, lang, source, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
-        length(coalesce(text,'')) - length(regexp_replace(coalesce(text,''), '[#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join rp using (doc_id)),
+        {count("[#*$%&|<>]")} as n_symbols, {count("[!-/:-@[-`{-~]")} as n_marks, {count("[A-Z]")} as n_upper, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join rp using (doc_id)),
     b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-    sk as (select lang, source, feature, case when v > 0 then ceil(ln(v) / ln({gamma!r}::double)) end as bucket from ({values})),
+    sk as (select lang, source, feature, case when v > 0 then ceil(ln(v) / {step}::double) end as bucket from ({values})),
     {one}, {two}, {three},
     vals as (select doc_id, lang, source, g.feature, case g.feature {" ".join(f"when '{k}' then {v}" for k, v in shares.items())} end as v from b cross join (values {", ".join(f"('{k}')" for k in shares)}) g(feature)),
-    lim as (select vals.doc_id, g.feature, g.v, {pick("q25")} as q25, {pick("q75")} as q75 from vals join vals g on g.doc_id = vals.doc_id and g.feature = vals.feature
+    lim as (select vals.doc_id, vals.feature, case when vals.v > 0 then ln(vals.v) end as v, {pick("low")} as low, {pick("high")} as high from vals
         left join t1 x1 on x1.lang is not distinct from vals.lang and x1.source is not distinct from vals.source and x1.feature = vals.feature
         left join t2 x2 on x2.lang is not distinct from vals.lang and x2.feature = vals.feature left join t3 x3 on x3.feature = vals.feature),
-    ver as (select doc_id, bool_and(coalesce(g.v <= q75 + {quality_rules.K} * greatest(q75 - q25, {least}), true) and (g.feature not in ({both}) or coalesce(g.v >= q25 - {quality_rules.K} * greatest(q75 - q25, {least}), true))) as ok from lim g group by 1)
+    ver as (select doc_id, bool_and(coalesce(v <= high, true) and (feature not in ({both}) or coalesce(v >= low, true))) as ok from lim group by 1)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok as kept from b join ver using (doc_id)"""
 
 

@@ -4,10 +4,18 @@ Features of the whole text are computed inside the row (array functions, no
 shuffle of words). Each feature's distribution is kept for every (language,
 source) as a log-bucketed quantile sketch: counts of buckets whose bounds grow
 by a fixed ratio, so quantiles have a proven relative error (``ERROR``), and
-two sketches merge exactly by adding counts, in any order. Sketches of small
-groups are merged with those of their language, and of all, until enough rows
-stand behind a threshold. A feature fails beyond Tukey fences of its own group:
-q75 + K * max(IQR, least), and for two-sided features below q25 - K * the same.
+two sketches merge exactly by adding counts, in any order; those of a language
+and of all come from merging.
+
+A threshold comes from the quantiles of the values above 0, on a logarithmic
+scale. The upper one is q40 + REACH (q40 - q20): six standard deviations above
+the mean if values were log-normal. It looks at the lower half alone, so junk
+above, be it a third of a source, hardly moves it; the lower one, likewise, is
+q60 - REACH (q80 - q60). No constant of any feature takes part. Small groups
+are shrunk, smoothly: a source's threshold is the mean of its own, weighted by
+its rows, and its language's, weighted by ``PRIOR_ROWS``; and so is a
+language's with that of all. A feature without spread in a group says nothing
+there, and the wider group's threshold holds alone.
 
 Defined cases: null text has no words and fails the base rule; null language
 or source are groups of their own; ties need no order (counts only); repeated
@@ -17,19 +25,22 @@ columns are kept by ``quality_filter`` and unread otherwise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekframe.llm.common import bind, words_of, written
 
 #: Relative error of a sketch's quantiles.
-ERROR = 0.01
-#: Rows behind a threshold; smaller groups use their language's sketch, then that of all.
-MIN_ROWS = 100
-#: Fences stand K interquartile ranges (or K times the least spread) outside the quartiles.
-K = 3.0
-#: (feature, least spread, two-sided)
-FEATURES = (("word_len", 0.6, True), ("symbol_share", 0.1, False), ("dup_line_share", 0.15, False), ("repeat_share", 0.15, False))
+ERROR = 0.0025
+#: Rows that the wider group's threshold counts for.
+PRIOR_ROWS = 100
+#: Six standard deviations of a normal distribution, from q40 in units of q40 - q20.
+REACH = 10.6
+#: (feature, two-sided): characters a word, marks a word, capitals a character, share of repeated lines, share of words in repeated windows.
+FEATURES = (("word_len", True), ("mark_share", False), ("upper_share", False), ("dup_line_share", False), ("repeat_share", False))
+_AT = {"q20": 0.2, "q40": 0.4, "q60": 0.6, "q80": 0.8}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -55,7 +66,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def base_features(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (long)."""
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_marks and n_upper (long)."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD))
     return bind(
@@ -69,6 +80,8 @@ def base_features(text: Column) -> Column:
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 F.size(ls).cast("long").alias("n_lines"),
                 _repeat_words(w).alias("n_repeat_words"),
+                F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_marks"),
+                F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
             ),
         ),
     )
@@ -82,7 +95,8 @@ def _shares(f: Column) -> dict[str, Column]:
     n = F.greatest(f["n_words"], F.lit(1)).cast("double")
     return {
         "word_len": f["word_chars"] / n,
-        "symbol_share": f["n_symbols"] / n,
+        "mark_share": f["n_marks"] / n,
+        "upper_share": f["n_upper"] / F.greatest(f["word_chars"], F.lit(1)).cast("double"),
         "dup_line_share": f["n_dup_lines"] / F.greatest(f["n_lines"], F.lit(1)).cast("double"),
         "repeat_share": f["n_repeat_words"] / n,
     }
@@ -94,7 +108,7 @@ def _gamma() -> float:
 
 def sketch(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """Mergeable quantile sketches: keys, feature, bucket, n. Bucket null holds values of 0 and below."""
-    pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.when(v > 0, F.ceil(F.ln(v) / F.ln(F.lit(_gamma()))).cast("int")).alias("bucket")) for k, v in values.items()]))
+    pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.when(v > 0, F.ceil(F.ln(v) / F.lit(math.log(_gamma()))).cast("int")).alias("bucket")) for k, v in values.items()]))
     return rows.select(*keys, pairs).groupBy(*keys, "feature", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -103,52 +117,65 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
+def bucket_log(bucket: Column) -> Column:
+    """The logarithm of the value that stands for a bucket."""
+    return bucket * F.lit(math.log(_gamma())) + F.lit(math.log(2 / (_gamma() + 1)))
+
+
 def sketch_quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """keys, feature, rows, and a column a quantile."""
+    """keys, feature, rows, and a column a quantile: its logarithm, null where it isn't above 0."""
     order = Window.partitionBy(*keys, "feature").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys, "feature")
-    value = F.coalesce(2 * F.pow(F.lit(_gamma()), F.col("bucket")) / (_gamma() + 1), F.lit(0.0))
-    seen = sketches.select(*keys, "feature", value.alias("value"), F.sum("n").over(order).alias("seen"), F.sum("n").over(whole).alias("rows"))
-    return seen.groupBy(*keys, "feature").agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("seen") >= q * F.col("rows"), F.col("value"))).alias(k) for k, q in at.items()])
+    seen = sketches.select(*keys, "feature", "bucket", F.sum("n").over(order).alias("seen"), F.sum("n").over(whole).alias("rows"))
+    place = lambda q: F.min(F.when(F.col("seen") >= q * F.col("rows"), F.struct("seen", "bucket")))["bucket"]
+    return seen.groupBy(*keys, "feature").agg(F.max("rows").alias("rows"), *[bucket_log(place(q)).alias(k) for k, q in at.items()])
+
+
+def _log(value: Column) -> Column:
+    return F.when(value > 0, F.ln(value))
 
 
 def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rows, and low_ and high_ of each feature."""
-    q = sketch_quantiles(sketches, keys, {"q25": 0.25, "q75": 0.75})
-    least = F.create_map(*[x for k, v, _ in FEATURES for x in (F.lit(k), F.lit(v))])
-    spread = K * F.greatest(F.col("q75") - F.col("q25"), least[F.col("feature")])
-    bounds = q.select(*keys, "feature", "rows", (F.col("q25") - spread).alias("low"), (F.col("q75") + spread).alias("high"))
-    of = lambda name, side: F.max(F.when(F.col("feature") == name, F.col(side)))
-    return bounds.groupBy(*keys).agg(F.max("rows").alias("rows"), *[of(k, side).alias(f"{side}_{k}") for k, _, _ in FEATURES for side in ("low", "high")])
+    """keys, feature, rows (with a value above 0), low and high: fences on the logarithmic scale, null without spread."""
+    q = sketch_quantiles(sketches.where("bucket is not null"), keys, _AT)
+    up, down = F.col("q40") - F.col("q20"), F.col("q80") - F.col("q60")
+    return q.select(*keys, "feature", F.col("rows").cast("double").alias("rows"), F.when(down > 0, F.col("q60") - REACH * down).alias("low"), F.when(up > 0, F.col("q40") + REACH * up).alias("high"))
+
+
+def _shrunk(own: Column, wider: Column, rows: Column) -> Column:
+    """A group's fence drawn towards the wider group's, the more the fewer rows it has."""
+    mean = (rows * own + PRIOR_ROWS * wider) / (rows + PRIOR_ROWS)
+    return F.coalesce(mean, wider, own)
 
 
 def thresholds(rows: DataFrame, lang: str, source: str, features: str) -> DataFrame:
-    """Thresholds for each (q_lang, q_source) that occurs: fences of the smallest enclosing group of MIN_ROWS rows."""
+    """q_lang, q_source, and q_low_ and q_high_ of each feature, on the logarithmic scale, for each pair that occurs."""
     ok = rows.where(~base_failed(F.col(features)))
-    values = _shares(F.col(features))
     every = rows.select(F.col(lang).alias("q_lang"), F.col(source).alias("q_source")).distinct()
-    fine = sketch(ok.select(F.col(lang).alias("q_lang"), F.col(source).alias("q_source"), F.col(features)), ["q_lang", "q_source"], values)
+    fine = sketch(ok.select(F.col(lang).alias("q_lang"), F.col(source).alias("q_source"), F.col(features)), ["q_lang", "q_source"], _shares(F.col(features)))
+    fine = written(fine, "quality-sketches")
     by_lang = merge_sketches(fine, ["q_lang"])
-    names = [f"{side}_{k}" for k, _, _ in FEATURES for side in ("low", "high")]
-    level = lambda df, tag: df.select(*[c for c in df.columns if c in ("q_lang", "q_source")], "rows", *names).withColumnsRenamed({x: f"{tag}_{x}" for x in ("q_lang", "q_source", "rows", *names)})
-    one, two = level(_fences(fine, ["q_lang", "q_source"]), "a"), level(_fences(by_lang, ["q_lang"]), "b")
-    three = level(_fences(merge_sketches(by_lang.withColumn("q_all", F.lit(0)), ["q_all"]), ["q_all"]), "c")
+    one = _fences(fine, ["q_lang", "q_source"]).select(F.struct("q_lang", "q_source").alias("group"), F.col("feature").alias("f1"), F.col("rows").alias("n1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+    two = _fences(by_lang, ["q_lang"]).select(F.col("q_lang").alias("lang2"), F.col("feature").alias("f2"), F.col("rows").alias("n2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    three = _fences(merge_sketches(by_lang.withColumn("q_all", F.lit(0)), ["q_all"]), ["q_all"]).select(F.col("feature").alias("f3"), F.col("low").alias("l3"), F.col("high").alias("h3"))
+    wanted = every.select("q_lang", "q_source", F.explode(F.array(*[F.lit(k) for k, _ in FEATURES])).alias("feature"))
     found = (
-        every.join(one, F.col("q_lang").eqNullSafe(F.col("a_q_lang")) & F.col("q_source").eqNullSafe(F.col("a_q_source")), "left")
-        .join(two, F.col("q_lang").eqNullSafe(F.col("b_q_lang")), "left")
-        .withColumn("q_one", F.lit(1))
-        .join(F.broadcast(three.withColumn("q_one", F.lit(1))), "q_one", "left")  # one row
+        wanted.join(one, F.col("q_lang").eqNullSafe(F.col("group.q_lang")) & F.col("q_source").eqNullSafe(F.col("group.q_source")) & (F.col("feature") == F.col("f1")), "left")
+        .join(two, F.col("q_lang").eqNullSafe(F.col("lang2")) & (F.col("feature") == F.col("f2")), "left")
+        .join(F.broadcast(three), F.col("feature") == F.col("f3"), "left")  # a row a feature
     )
-    pick = lambda c: F.when(F.col("a_rows") >= MIN_ROWS, F.col(f"a_{c}")).when(F.col("b_rows") >= MIN_ROWS, F.col(f"b_{c}")).otherwise(F.col(f"c_{c}"))
-    return found.select("q_lang", "q_source", *[pick(c).alias(f"q_{c}") for c in names])
+    sides = {side: _shrunk(F.col(f"{c}1"), _shrunk(F.col(f"{c}2"), F.col(f"{c}3"), F.col("n2")), F.col("n1")) for side, c in (("low", "l"), ("high", "h"))}
+    limits = found.select("q_lang", "q_source", "feature", *[v.alias(k) for k, v in sides.items()])
+    of = lambda name, side: F.max(F.when(F.col("feature") == name, F.col(side)))
+    return limits.groupBy("q_lang", "q_source").agg(*[of(k, side).alias(f"q_{side}_{k}") for k, _ in FEATURES for side in ("low", "high")])
 
 
 def _verdict(features: Column) -> Column:
     ok = F.lit(True)
-    for (name, _, both), value in zip(FEATURES, _shares(features).values()):
-        ok = ok & F.coalesce(value <= F.col(f"q_high_{name}"), F.lit(True))
+    for (name, both), value in zip(FEATURES, _shares(features).values()):
+        ok = ok & F.coalesce(_log(value) <= F.col(f"q_high_{name}"), F.lit(True))
         if both:
-            ok = ok & F.coalesce(value >= F.col(f"q_low_{name}"), F.lit(True))
+            ok = ok & F.coalesce(_log(value) >= F.col(f"q_low_{name}"), F.lit(True))
     return ~base_failed(features) & ok
 
 
@@ -162,8 +189,9 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that pass, columns as they came. Texts are never shuffled: the features are computed beside them again."""
+    """The documents that pass, columns as they came. Rows and their features are written once and read for both the sketches and the filter; texts aren't shuffled."""
     rows = docs.select(F.struct("*").alias("doc"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), base_features(F.col(text_col)).alias("f"))
+    rows = written(rows, "quality-rows")
     limits = written(thresholds(rows, "lang", "source", "f").coalesce(1), "quality-thresholds")
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
     return joined.where(_verdict(F.col("f"))).select("doc.*")
