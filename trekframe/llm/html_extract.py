@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import map_arrow, written
+from trekframe.llm.common import kept, map_arrow, written
 
 #: Tokens of the stream that a repeated passage has at least; tokens that a block boundary counts for.
 RUN, EDGE = 12, 4
@@ -223,6 +223,20 @@ def owner_of(page: list[tuple[int, str]]) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest("\0".join(t for k, t in page if k != DROP).encode("utf-8", "surrogatepass"))).astype(np.int64))
 
 
+def packed(page: list[tuple[int, str]]) -> bytes:
+    """A page's blocks as they are shuffled and kept: each its kind and text, in one compressed frame."""
+    import zstandard
+
+    return kept("pack", lambda: zstandard.ZstdCompressor(level=3)).compress(_MARK.join(f"{kind}{text}" for kind, text in page).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(frame: bytes) -> list[tuple[int, str]]:
+    import zstandard
+
+    found = zstandard.ZstdDecompressor().decompress(frame).decode("utf-8", "surrogatepass")
+    return [(int(x[0]), x[1:]) for x in found.split(_MARK)] if found else []
+
+
 def window_hashes(host: str, stream: list[str], run: int = RUN) -> np.ndarray:
     """64-bit hashes of a stream's windows of run tokens, the same in every process."""
     import xxhash
@@ -270,15 +284,15 @@ def page_text(page: list[tuple[int, str]], cover: np.ndarray, host: str = "", re
             cover[a:b] = _long_runs(mine)
     open_ = _unsure(page, places, len(stream))
     copy = 10 * (open_ & ~cover).sum() < open_.sum() and all(kind != KEEP for kind, _ in page)
-    kept = []
+    out = []
     for (kind, text), (a, b) in zip(page, places):
         if kind == KEEP or kind == UNSURE and copy and b - a >= PARAGRAPH:
-            kept.append(text)
+            out.append(text)
         elif kind == UNSURE:
             unique = [t for t, c in zip(stream[a:b], cover[a:b]) if not c]
             if unique:
-                kept.append(" ".join(unique))
-    return " ".join(kept)
+                out.append(" ".join(unique))
+    return " ".join(out)
 
 
 def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
@@ -286,6 +300,13 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
     return [page_text(page, cover) for page, cover in zip(pages, covered([_stream(p)[0] for p in pages], owners=[owner_of(p) for p in pages]))]
 
 
+def part_of(host: str, part: int) -> int:
+    """A number for a part of a host."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{part} {host}".encode("utf-8", "surrogatepass")) >> 1
+
+
 def _wanted(asks: DataFrame) -> np.ndarray:
     """Which top BITS bits occur among the windows asked for: 2 ** (BITS - 6) words at most reach the driver, whatever the size of the table."""
     at = F.shiftrightunsigned("window", 64 - BITS)
@@ -303,79 +324,78 @@ def extract_pages(pages: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK
     def parse(batches):
         for batch in batches:
             found = [blocks(x.as_py() or "") for x in batch.column(2)]
-            columns = ([owner_of(page) for page in found], [[k for k, _ in page] for page in found], [[t for _, t in page] for page in found])
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int8()), pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *arrays], names=["page_id", "url", "host", "owner", "kinds", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([owner_of(page) for page in found], pa.int64()), pa.array(map(packed, found), pa.binary())], names=["page_id", "url", "host", "owner", "page"])
 
     def settle_parts(batches):
         """The suffix array of each part; a row a page with what it covers of it, and the windows to look up in other parts."""
-        import xxhash
-
         held, key = [], None
 
         def settled():
             host, _, split = key
-            found = [list(zip(k, t)) for *_, k, t in held]
-            streams = [_stream(page)[0] for page in found]
-            covers = covered(streams, owners=[x[2] for x in held])
-            asked = [asked_windows(host, page, c) if split else np.zeros(0, np.int64) for page, c in zip(found, covers)]
-            bits = [np.packbits(c).tobytes() if UNSURE in k else b"" for c, (*_, k, _) in zip(covers, held)]
-            part = xxhash.xxh3_64_intdigest(f"{key[1]} {host}".encode("utf-8", "surrogatepass")) >> 1
-            n = len(held)
-            for at in range(0, n, 100):
-                some = slice(at, at + 100)
-                columns = ([part] * n, range(n), [host] * n, [split] * n, [x[0] for x in held], [x[1] for x in held], [x[3] for x in held], [x[4] for x in held], bits, [x.tolist() for x in asked])
-                yield pa.RecordBatch.from_arrays([pa.array(c[some], f) for c, f in zip(columns, formats)], names=names)
+            found = [unpacked(x) for *_, x in held]
+            covers = covered([_stream(page)[0] for page in found], owners=[x[2] for x in held])
+            part = part_of(*key[:2])
+            out = []
+            for k, ((page_id, url, _, frame), page, cover) in enumerate(zip(held, found, covers)):
+                asked = asked_windows(host, page, cover).tolist() if split else []
+                if asked:
+                    out.append((part, k, host, page_id, url, None, frame, np.packbits(cover).tobytes(), asked))
+                else:
+                    out.append((part, k, None, page_id, url, page_text(page, cover), None, None, None))
+            for at in range(0, len(out), 100):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out[at : at + 100]), formats)], names=names)
 
         for batch in batches:
-            for page_id, url, host, owner, part, split, kinds, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, host, owner, part, split, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (host, part, split) != key:
                     yield from settled()
                     held = []
                 key = host, part, split
-                held.append((page_id, url, owner, kinds, texts))
+                held.append((page_id, url, owner, page))
         if held:
             yield from settled()
 
-    names = ["part", "k", "host", "split", "page_id", "url", "kinds", "texts", "cover", "asked"]
-    formats = (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64()))
+    names = ["part", "k", "host", "page_id", "url", "text", "page", "cover", "asked"]
+    formats = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
 
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.coalesce("bytes", F.lit(0)) / chunk_bytes)).cast("int")
     hot = written(sizes.select(F.col("host").alias("hot_host"), parts.alias("parts")).where("parts > 1"), "split-hosts")
     few = hot.count() <= HOT_HOSTS
-    parsed = map_arrow(rows, parse, "page_id long, url string, host string, owner long, kinds array<tinyint>, texts array<string>")
+    parsed = map_arrow(rows, parse, "page_id long, url string, host string, owner long, page binary")
     dealt = parsed.join(F.broadcast(hot) if few else hot, F.col("host") == F.col("hot_host"), "left")
-    dealt = dealt.select("page_id", "url", "host", "owner", F.coalesce(F.pmod(F.xxhash64("owner"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.col("parts").isNotNull().alias("split"), "kinds", "texts")
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part")
-    done = written(map_arrow(dealt, settle_parts, "part long, k int, host string, split boolean, page_id long, url string, kinds array<tinyint>, texts array<string>, cover binary, asked array<long>"), "settled-pages")
+    dealt = dealt.select("page_id", "url", "host", "owner", F.coalesce(F.pmod(F.xxhash64("owner"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.col("parts").isNotNull().alias("split"), "page")
+    whole = map_arrow(dealt.repartition("host", "part").sortWithinPartitions("host", "part"), settle_parts, "part long, k int, host string, page_id long, url string, text string, page binary, cover binary, asked array<long>")
+    done = written(whole, "settled-pages", compression="zstd")
 
-    asks = done.where("split").select("part", "k", F.explode("asked").alias("window"))
+    asks = done.where("asked is not null").select("part", "k", F.explode("asked").alias("window"))
     if asks.isEmpty():
-        ready = done.withColumn("repeated", F.array().cast("array<bigint>"))
-    else:
-        wanted = spark.sparkContext.broadcast(_wanted(asks))  # 8 MB
-
-        def tell(batches):
-            for batch in batches:
-                for part, host, kinds, texts in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = np.unique(window_hashes(host, _stream(list(zip(kinds, texts)))[0]))
-                    at = found.view(np.uint64) >> np.uint64(64 - BITS)
-                    found = found[(wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), part))], names=["window", "part"])
-
-        told = map_arrow(done.where("split").select("part", "host", "kinds", "texts"), tell, "window long, part long")
-        several = told.groupBy("window").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("window")
-        marks = asks.join(several, "window", "left_semi").groupBy("part", "k").agg(F.collect_list("window").alias("repeated"))  # windows of one page
-        ready = done.join(marks, ["part", "k"], "left")
+        return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    wanted = spark.sparkContext.broadcast(_wanted(asks))  # 8 MB
+
+    def tell(batches):
+        """The wanted windows of each page of a host in parts."""
+        for batch in batches:
+            for host, part, page in zip(*(c.to_pylist() for c in batch.columns)):
+                found = np.unique(window_hashes(host, _stream(unpacked(page))[0]))
+                at = found.view(np.uint64) >> np.uint64(64 - BITS)
+                found = found[(wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), part_of(host, part)))], names=["window", "part"])
+
+    told = map_arrow(dealt.where("split").select("host", "part", "page"), tell, "window long, part long")
+    several = told.groupBy("window").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("window")
+    marks = asks.join(several, "window", "left_semi").groupBy("part", "k").agg(F.collect_list("window").alias("repeated"))  # windows of one page
 
     def judge(batches):
         for batch in batches:
             texts = []
-            for host, kinds, blocks_, cover, repeated in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
-                page = list(zip(kinds, blocks_))
-                bits = np.unpackbits(np.frombuffer(cover, np.uint8))[: len(_stream(page)[0])].astype(bool) if cover else np.zeros(0, bool)
-                texts.append(page_text(page, bits, host, None if not repeated else np.array(repeated, np.int64)))
+            for host, text, page, cover, repeated in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+                if page is not None:
+                    page = unpacked(page)
+                    bits = np.unpackbits(np.frombuffer(cover, np.uint8))[: len(_stream(page)[0])].astype(bool)
+                    text = page_text(page, bits, host, np.array(repeated or [], np.int64))
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return map_arrow(ready.select("page_id", "url", "host", "kinds", "texts", "cover", "repeated"), judge, "page_id long, url string, text string, n_chars long")
+    ready = done.join(marks, ["part", "k"], "left").select("page_id", "url", "host", "text", "page", "cover", "repeated")
+    return map_arrow(ready, judge, "page_id long, url string, text string, n_chars long")
