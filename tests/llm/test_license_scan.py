@@ -5,6 +5,13 @@ from trekframe.llm.common import table
 from tests.llm.data import edge_docs, empty_docs
 
 
+def tells(a, b, name):
+    """Whether bigrams a tell the version and variant of template b."""
+    words = lambda x: {w for g in x for w in g.split()} & L.VARIANTS
+    needed = set(L.needs(name, sorted(b)))
+    return words(a) == words(b) and (not needed or bool(a & needed))
+
+
 def brute(text, templates, t):
     """Best (dice, name) over all lines, paragraphs and the whole, without any bound."""
     norm = re.sub("[^a-z0-9\n]+", " ", (text or "").lower())
@@ -14,7 +21,7 @@ def brute(text, templates, t):
         a = set(L.bigrams(part))
         for name, template in templates.items():
             b = set(L.bigrams(template))
-            if a and (dice := 2 * len(a & b) / (len(a) + len(b))) >= t:
+            if a and (dice := 2 * len(a & b) / (len(a) + len(b))) >= t and tells(a, b, name):
                 best.append((-dice, name))
     return min(best, default=(0.0, None))
 
@@ -74,7 +81,7 @@ def test_notices_inside_longer_lines_and_over_paragraphs(spark):
                 a = set()
                 for x, y in zip(words[at : at + longest], words[at + 1 : at + longest + 1]):
                     a.add(f"{x} {y}")
-                    if (dice := 2 * len(a & b) / (len(a) + len(b))) >= L.THRESHOLD:
+                    if (dice := 2 * len(a & b) / (len(a) + len(b))) >= L.THRESHOLD and tells(a, b, name):
                         best.append((-dice, name))
         dice, name = min(best, default=(0.0, None))
         return name, -dice
@@ -84,3 +91,32 @@ def test_notices_inside_longer_lines_and_over_paragraphs(spark):
         assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9, (i, got[i], want)
     assert [got[i][0] for i in range(4)] == ["Apache-2.0 line", *list(texts)[1:]]  # the line begins the notice, scores as much and sorts first
     assert got[4][0] == "GPL-3.0 sentence" and got[5] == (None, 0.0)
+
+
+def test_relatives_get_their_own_name_or_none(spark):
+    """Expected names are the licences' own, written here without the templates."""
+    want = {
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 1.": "GPL-1.0",
+        "This work is licensed under the GNU General Public License, version 4.": None,
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "CC-BY-3.0",
+        "This work is licensed under a Creative Commons Attribution 2.5 Generic License.": None,
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+        "Released under the MIT License.": "MIT",
+        "Released under the GNU License.": None,
+    }
+    prose = " ".join(f"we walked {i} miles along river{i}" for i in range(20))
+    rows = [(10 * i + k, t) for i, line in enumerate(want) for k, t in enumerate((line, f"{prose}\n{line}\n{prose}", f"We say so. {line} {prose}"))]
+    got = {r.doc_id: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (line, name) in enumerate(want.items()):
+        for k in range(3):
+            found = got[10 * i + k].license
+            assert (found is None) if name is None else (found or "").startswith(name + " "), (line, k, found)
+    both = spark.createDataFrame([(1, "Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.")], "doc_id long, text string")
+    assert L.license_scan(both).first().licenses == "GPL-3.0 sentence,MIT line"

@@ -90,19 +90,23 @@ def near(size: int, num: int, den: int) -> str:
 def licenses() -> str:
     t = license_scan.THRESHOLD
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    table = ", ".join(f"({quote(k)}, [{', '.join(map(quote, license_scan.bigrams(v)))}])" for k, v in sorted(license_scan.TEMPLATES.items()))
+    strings = lambda x: f"[{', '.join(map(quote, x))}]::varchar[]"
+    grams = {k: license_scan.bigrams(v) for k, v in sorted(license_scan.TEMPLATES.items())}
+    table = ", ".join(f"({quote(k)}, {strings(g)}, {strings(license_scan.needs(k, g))}, {strings(license_scan.variants(g))})" for k, g in grams.items())
     words = "|".join(sorted(set().union(*[license_scan.anchors(license_scan.bigrams(v), t) for v in license_scan.TEMPLATES.values()])))
     return f"""
-    with t as (select * from (values {table}) v(name, grams)),
+    with t as (select * from (values {table}) v(name, grams, needs, variants)),
     n as (select doc_id, regexp_replace(lower(coalesce(text,'')), '[^a-z0-9\\n]+', ' ', 'g') as norm from documents),
     g as (select doc_id, unnest(list_distinct(list_concat(list_concat(string_split(norm, chr(10)), string_split_regex(norm, '\\n *\\n')), [norm]))) as part from n),
     s as (select distinct doc_id, trim(regexp_replace(part, '[\\n ]+', ' ', 'g'), ' ') as part from g),
     a as (select * from s where regexp_matches(part, '(^| )({words})($| )')),
     w as (select doc_id, part, string_split(part, ' ') as ws from a),
     b as (select doc_id, part, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams from w),
-    m as (select doc_id, name, 2.0::double * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) as dice from b cross join t),
-    best as (select doc_id, name, dice, row_number() over (partition by doc_id order by dice desc, name) as k from m where dice >= {t})
-    select documents.doc_id, name as license, coalesce(dice, 0.0::double) as dice, coalesce(c.n, 0) as n_segments from documents left join best on best.doc_id = documents.doc_id and k = 1 left join (select doc_id, count(*) as n from a group by 1) c on c.doc_id = documents.doc_id"""
+    m as (select doc_id, name, needs, variants, b.grams, 2.0::double * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) as dice from b cross join t),
+    ok as (select * from m where dice >= {t} and (len(needs) = 0 or list_has_any(grams, needs)) and list_sort(list_intersect(list_distinct(flatten(list_transform(grams, lambda g: string_split(g, ' ')))), {strings(sorted(license_scan.VARIANTS))})) = variants),
+    best as (select doc_id, name, dice, row_number() over (partition by doc_id order by dice desc, name) as k from ok),
+    every as (select doc_id, string_agg(distinct name, ',' order by name) as names from ok group by 1)
+    select documents.doc_id, name as license, coalesce(dice, 0.0::double) as dice, coalesce(c.n, 0) as n_segments, coalesce(every.names, '') as licenses from documents left join best on best.doc_id = documents.doc_id and k = 1 left join every on every.doc_id = documents.doc_id left join (select doc_id, count(*) as n from a group by 1) c on c.doc_id = documents.doc_id"""
 
 
 ORACLES = {"op1_exact_dedup": EXACT, "op2_license_scan": licenses(), "op3_quality_rules": quality(), "op4_mixing": MIXING, "op8_jaccard_join": near(4, 85, 100)}
