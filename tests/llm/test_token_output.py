@@ -15,7 +15,6 @@ from tests.llm.data import edge_docs, empty_docs
 
 PATH = P.path("byte_bpe_50k.json")
 TRUTH = Tokenizer.from_file(PATH)
-TRUTH.encode_special_tokens = True
 
 
 @settings(max_examples=200, deadline=None)

@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,12 +40,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with batches that stay small when texts are long."""
+    """``mapInArrow`` for fn that sees at most batch_rows rows at once. What Spark sends at once is the session's affair, 64 MB by default; ``small_batches`` lowers it."""
     ship(df.sparkSession)
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        def slices():
+            for batch in batches:
+                for at in range(0, batch.num_rows, batch_rows):
+                    yield batch.slice(at, batch_rows)
+
+        yield from fn(slices())
+
+    return df.mapInArrow(run, schema)
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches stay small inside, also when texts are long; the session's settings are as before afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 _KEPT: dict = {}
@@ -59,10 +80,12 @@ def kept(key, make: Callable):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in local tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in this process, as in tests."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trekframe-"))
         path = sc.getCheckpointDir()
     return path
@@ -71,7 +94,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost no recomputation of what came before."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

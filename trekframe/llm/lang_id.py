@@ -4,7 +4,9 @@ Character n-grams of one to three code points (lower case, everything but
 letters as a space, at least one letter) are hashed into ``DIM`` features.
 Learning sums feature counts by language over all learning rows: every task
 adds up its own, Spark the tasks'. The log-probability matrix, languages x DIM,
-is broadcast; ``MOST_LANGS`` bounds it. Scoring takes batches of texts: the
+is broadcast in blocks of ``MOST_LANGS`` languages: one pass over the texts in
+all but odd cases, and one more for each further block, which carries the best
+language so far in the row. Scoring takes batches of texts: the
 n-grams of all of them make one sparse batch whose log probabilities are summed
 by document in numpy. Whole texts are scored, long ones in slices.
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import map_arrow
+from trekframe.llm.common import map_arrow, written
 
 DIM = 1 << 15
 MOST_LANGS = 256
@@ -96,8 +98,8 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their matrix of log probabilities (with the prior as last column), from all rows given."""
+def learned_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, feature, n over all rows given; the number of a language's rows stands at feature DIM."""
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -117,23 +119,35 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "feature", "n"])
 
     known = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    langs = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(MOST_LANGS + 1).collect()]
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     sums = map_arrow(known, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    table = sums.toArrow()
-    counts = np.zeros((len(langs), DIM + 1))
-    place = {lang: i for i, lang in enumerate(langs)}
-    counts[[place[x] for x in table.column("lang").to_pylist()], table.column("feature").to_numpy()] = table.column("n").to_numpy()
-    matrix = np.empty_like(counts)
-    matrix[:, :DIM] = np.log((counts[:, :DIM] + 0.5) / (counts[:, :DIM].sum(axis=1, keepdims=True) + 0.5 * DIM))
-    matrix[:, DIM] = np.log(np.maximum(counts[:, DIM], 1) / max(1, counts[:, DIM].sum()))
-    return langs, matrix
+    return written(sums, "language-counts")
 
 
-def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
-    """Most probable language and its posterior probability."""
-    sums = np.tile(matrix[:, DIM] if len(langs) else np.zeros(0), (len(texts), 1))
+def log_matrix(counts: DataFrame, langs: list[str], rows: int) -> np.ndarray:
+    """Log probabilities of the features in each language (with the prior, of rows learning rows, as last column)."""
+    table = counts.where(F.col("lang").isin(langs)).toArrow()
+    found = np.zeros((len(langs), DIM + 1))
+    place = {lang: i for i, lang in enumerate(langs)}
+    found[[place[x] for x in table.column("lang").to_pylist()], table.column("feature").to_numpy()] = table.column("n").to_numpy()
+    matrix = np.empty_like(found)
+    matrix[:, :DIM] = np.log((found[:, :DIM] + 0.5) / (found[:, :DIM].sum(axis=1, keepdims=True) + 0.5 * DIM))
+    matrix[:, DIM] = np.log(np.maximum(found[:, DIM], 1) / max(1, rows))
+    return matrix
+
+
+def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", block: int = MOST_LANGS):
+    """(languages in order, their matrix) from all rows given, a block of languages at a time."""
+    counts = learned_counts(rows, text_col, lang_col)
+    sizes = {r.lang: r.n for r in counts.where(F.col("feature") == DIM).select("lang", "n").collect()}  # a name a language
+    langs = sorted(sizes)
+    for at in range(0, max(1, len(langs)), block):
+        some = langs[at : at + block]
+        yield some, log_matrix(counts, some, sum(sizes.values())) if some else np.zeros((0, DIM + 1))
+
+
+def score_logs(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of n-grams of each text, and its log probability with each language."""
+    sums = np.tile(matrix[:, DIM], (len(texts), 1))
     grams = np.zeros(len(texts), np.int64)
     for numbers, parts in _groups(texts):
         which, feature = _sparse(numbers, parts)
@@ -141,33 +155,57 @@ def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray) -
         np.add.at(grams, numbers, np.bincount(which, minlength=len(numbers)))
         for k in range(len(langs)):
             np.add.at(sums[:, k], numbers, np.bincount(which, weights=matrix[k][feature], minlength=len(numbers)))
-    found, scores = [], []
-    for n, row in zip(grams, sums):
-        if not n or not len(langs):
-            found.append("und")
-            scores.append(0.0)
-            continue
-        best = int(np.argmax(row))
-        found.append(langs[best])
-        scores.append(float(1.0 / np.exp(row - row[best]).sum()))
-    return found, scores
-
-
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))  # MOST_LANGS x DIM at most
+    return grams, sums
+
+
+def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, before: list[tuple[str, float, float]] | None = None) -> list[tuple[str, float, float]]:
+    """(most probable language, its log probability, sum of all languages' probabilities over its own) of each text; before has the same from other languages, which sort first."""
+    grams, sums = score_logs(texts, langs, matrix)
+    out = []
+    for i, (n, row) in enumerate(zip(grams, sums)):
+        name, top, total = before[i] if before else ("und", -np.inf, 0.0)
+        if n and len(langs):
+            best = int(np.argmax(row))
+            if row[best] > top:
+                name, top, total = langs[best], float(row[best]), total * float(np.exp(top - row[best]))
+            total += float(np.exp(row - top).sum())
+        out.append((name, top, total))
+    return out
+
+
+def predict(docs: DataFrame, blocks, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, by blocks of (languages, matrix)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    blocks = iter(blocks)
+    block, first = next(blocks), True
+    while block is not None:
+        following = next(blocks, None)
+        rows = _scored(rows, block, first, following is None)
+        if following is not None:
+            rows = written(rows, "languages-so-far")
+        block, first = following, False
+    return rows
+
+
+def _scored(rows: DataFrame, block: tuple[list[str], np.ndarray], first: bool, last: bool) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(block)  # MOST_LANGS x DIM at most
 
     def run(batches):
-        names, logs = shared.value
+        langs, logs = shared.value
         for batch in batches:
-            found, scores = score_texts(batch.column(2).to_pylist(), names, logs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            before = None if first else list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))))
+            found = score_texts(batch.column(2).to_pylist(), langs, logs, before)
+            names = pa.array([x[0] for x in found], pa.string())
+            if last:
+                scores = pa.array([0.0 if x[0] == "und" and not x[2] else 1.0 / x[2] for x in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, scores], names=["doc_id", "held_out", "lang_pred", "score"])
+            else:
+                more = [pa.array([x[i] for x in found], pa.float64()) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, *more], names=["doc_id", "held_out", "text", "name", "top", "total"])
 
-    rows = docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)), F.col(text_col).cast("string"))
-    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, " + ("lang_pred string, score double" if last else "text string, name string, top double, total double"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = MOST_LANGS) -> DataFrame:
     """Learns from the rows that aren't held out, and predicts all."""
-    langs, matrix = learn(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
-    return predict(docs, langs, matrix, id_col, text_col)
+    return predict(docs, learn(docs.where(~held_out(F.col(id_col))), text_col, lang_col, block), id_col, text_col)

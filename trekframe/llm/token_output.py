@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trekframe.llm.byte_bpe import PreTokens
-from trekframe.llm.common import kept, map_arrow, shared_dir
+from trekframe.llm.common import kept, map_arrow, shared_dir, small_batches
 
 #: Tokens in a segment, about; documents in a range, about; ranges at most.
 SEGMENT, RANGE_DOCS, RANGES = 1 << 20, 2048, 10_000
@@ -256,9 +256,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
         if held:
             yield full()
 
-    rows = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), encode, "part int, doc_id long, n long, ids binary", batch_rows=1000)
-    dealt = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
-    map_arrow(dealt, pack, "part int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, code binary").write.parquet(path)
+    rows = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), encode, "part int, doc_id long, n long, ids binary")
+    # A partition a range: dealt by hash, ranges would meet in some partitions and leave others empty.
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
+    packed = map_arrow(dealt, pack, "part int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, code binary")
+    with small_batches(docs.sparkSession):
+        packed.write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
