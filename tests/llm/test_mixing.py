@@ -67,3 +67,13 @@ def test_keys_favour_quality(spark):
 
     mean = df.select(F.avg(M.sample_key(F.col("doc_id"), F.lit(1.0))), F.avg(M.sample_key(F.col("doc_id"), F.lit(0.5)))).first()
     assert abs(mean[0] - 1) < 0.05 and abs(mean[1] - 2) < 0.1
+
+
+def test_buckets_are_even_whatever_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    for weights in (F.lit(1.0), F.lit(0.05), F.when(F.col("id") % 3 == 0, 0.05).otherwise(1.0)):
+        keys = spark.range(200_000).select(M.sample_key(F.col("id"), weights).alias("key")).withColumn("bucket", M._bucket(F.col("key")))
+        assert keys.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 200_000 / 1000
+        ordered = keys.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("bucket").collect()
+        assert all(a.high < b.low for a, b in zip(ordered, ordered[1:]))

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from trekframe.llm.common import n_words_of, written
 
-#: Ordered key ranges of a source.
-BUCKETS = 4096
+#: Ordered key ranges of a source, for each doubling of the key.
+BUCKETS = 512
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Words taken of all sources together, as a share of their size; of one, as a multiple of its size.
@@ -51,7 +51,7 @@ def sample_key(id_: Column, weight: Column) -> Column:
 
 
 def _bucket(key: Column) -> Column:
-    return F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1.0 - F.exp(-key)))).cast("int")
+    return F.floor(BUCKETS * F.log2(key)).cast("int")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
