@@ -1,12 +1,16 @@
-"""Geodesic Column functions. All stay in the JVM; angles are in degrees, lengths in metres."""
+"""Geodesic Column functions. All but the iterated ellipsoidal distance stay in the JVM; angles are in degrees, lengths in metres."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from trekframe.sources.shared import ship
+
 #: Mean and equatorial radius of the Earth, WGS84 flattening and polar axis.
 R_MEAN, R_EQUATOR, FLATTENING = 6371000.0, 6378137.0, 1 / 298.257223563
 POLAR = R_EQUATOR * (1 - FLATTENING)
@@ -138,7 +142,7 @@ def slerp(lat1: Column, lon1: Column, lat2: Column, lon2: Column, n: int) -> Col
 
 
 def vincenty_direct(lat: Column, lon: Column, azimuth: Column, distance: Column, steps: int = 8) -> Column:
-    """Struct latitude, longitude on the WGS84 ellipsoid; the iteration is unrolled, so it stays in generated code."""
+    """Struct latitude, longitude on the WGS84 ellipsoid; eight steps of the iteration settle any distance below a micrometre."""
     a1, tan_u = F.radians(azimuth), (1 - FLATTENING) * F.tan(F.radians(lat))
     first = F.struct(a1.alias("a1"), tan_u.alias("tan_u"), (1 / F.sqrt(1 + tan_u * tan_u)).alias("cos_u"), distance.alias("d"), F.radians(lon).alias("lon"))
 
@@ -176,42 +180,56 @@ def vincenty_direct(lat: Column, lon: Column, azimuth: Column, distance: Column,
 _LEGACY_E = 0.0818192
 
 
-def vincenty_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: int = 20, legacy: bool = False) -> Column:
-    """Distance on the WGS84 ellipsoid. Points that coincide have distance 0.
-
-    legacy gives the non-standard variant of older track tools, which takes the
-    eccentricity for the flattening and is about one percent too long.
-    """
+def vincenty_metres(lat1, lon1, lat2, lon2, legacy: bool = False, most: int = 200):
+    """Distances of arrays of points on the WGS84 ellipsoid, iterated until the longitude's change is below 1e-12; NaN where it isn't after most steps (near antipodes)."""
     reduced = 1 - (_LEGACY_E**2 if legacy else FLATTENING)
     third = _LEGACY_E if legacy else FLATTENING
-    polar, equator = POLAR, R_EQUATOR
-    start = F.struct(F.atan(reduced * F.tan(F.radians(lat1))).alias("u1"), F.atan(reduced * F.tan(F.radians(lat2))).alias("u2"), (F.radians(lon2) - F.radians(lon1)).alias("dlon"))
-
-    def solve(p: Column) -> Column:
-        su1, cu1, su2, cu2 = F.sin(p["u1"]), F.cos(p["u1"]), F.sin(p["u2"]), F.cos(p["u2"])
-
-        def parts(lam: Column) -> Column:
-            ss = F.sqrt(F.pow(cu2 * F.sin(lam), 2) + F.pow(cu1 * su2 - su1 * cu2 * F.cos(lam), 2))
-            cs = su1 * su2 + cu1 * cu2 * F.cos(lam)
-            sa = F.when(ss == 0, 0.0).otherwise(cu1 * cu2 * F.sin(lam) / F.nullif(ss, F.lit(0.0)))
+    u1, u2 = (np.arctan(reduced * np.tan(np.radians(x))) for x in (lat1, lat2))
+    away = np.radians(lon2) - np.radians(lon1)
+    su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+
+    def parts(lam, at):
+        ss = np.hypot(cu2[at] * np.sin(lam), cu1[at] * su2[at] - su1[at] * cu2[at] * np.cos(lam))
+        cs = su1[at] * su2[at] + cu1[at] * cu2[at] * np.cos(lam)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sa = np.where(ss == 0, 0.0, cu1[at] * cu2[at] * np.sin(lam) / ss)
             c2 = 1 - sa * sa
-            return F.struct(ss.alias("ss"), cs.alias("cs"), F.atan2(ss, cs).alias("s"), sa.alias("sa"), c2.alias("c2"), F.when(c2 == 0, 0.0).otherwise(cs - 2 * su1 * su2 / F.nullif(c2, F.lit(0.0))).alias("m"))
-
-        def step(lam: Column, _: Column) -> Column:
-            def new(q: Column) -> Column:
-                c = third**2 / 16 * q["c2"] * (4 + third**2 * q["c2"]) if legacy else third / 16 * q["c2"] * (4 + third * (4 - 3 * q["c2"]))
-                return p["dlon"] + (1 - c) * third * q["sa"] * (q["s"] + c * q["ss"] * (q["m"] + c * q["cs"] * (2 * q["m"] * q["m"] - 1)))
-
-            return F.transform(F.array(parts(lam)), new)[0]
+            m = np.where(c2 == 0, 0.0, cs - 2 * su1[at] * su2[at] / c2)
+        return ss, cs, np.arctan2(ss, cs), sa, c2, m
+
+    lam, left = away.copy(), np.flatnonzero(~np.isnan(away))
+    for _ in range(most):
+        if not len(left):
+            break
+        ss, cs, s, sa, c2, m = parts(lam[left], left)
+        c = third**2 / 16 * c2 * (4 + third**2 * c2) if legacy else third / 16 * c2 * (4 + third * (4 - 3 * c2))
+        new = away[left] + (1 - c) * third * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1)))
+        moved = ~(np.abs(new - lam[left]) < 1e-12)
+        lam[left] = new
+        left = left[moved]
+    ss, cs, s, sa, c2, m = parts(lam, slice(None))
+    v2 = c2 * (R_EQUATOR**2 - POLAR**2) / POLAR**2
+    a = 1 + v2 / 16384 * (4096 + v2 * (-768 + v2 * (320 - 175 * v2)))
+    b = v2 / 1024 * (256 + v2 * (-128 + v2 * (74 - 47 * v2)))
+    d = b * ss * (m + b / 4 * (cs * (2 * m * m - 1) - b / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))
+    out = POLAR * a * (s - d)
+    out[left] = np.nan
+    return out
+
+
+def vincenty_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, legacy: bool = False) -> Column:
+    """Distance on the WGS84 ellipsoid, in Arrow batches: how many steps a pair needs isn't known before. Points that coincide have distance 0; null where a coordinate is null or the iteration doesn't converge.
 
-        def length(q: Column) -> Column:
-            u2 = q["c2"] * (equator**2 - polar**2) / polar**2
-            a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-            b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-            d = b * q["ss"] * (q["m"] + b / 4 * (q["cs"] * (2 * q["m"] * q["m"] - 1) - b / 6 * q["m"] * (4 * q["ss"] * q["ss"] - 3) * (4 * q["m"] * q["m"] - 3)))
-            return polar * a * (q["s"] - d)
+    legacy gives the non-standard variant of older track tools, which takes the
+    eccentricity for the flattening and is about one percent too long.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship(session)
 
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), p["dlon"], step)
-        return F.transform(F.transform(F.array(lam), parts), length)[0]
+    @F.pandas_udf("double")
+    def metres(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        found = pd.Series(vincenty_metres(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (a, b, c, d)), legacy))
+        return found.astype("object").where(found.notna(), None)
 
-    return F.transform(F.array(start), solve)[0]
+    return metres(*(x.cast("double") for x in (lat1, lon1, lat2, lon2)))

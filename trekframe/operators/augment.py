@@ -15,7 +15,7 @@ MOST_ROTATION, MOST_SHIFT, MOST_JITTER, MOST_DAYS = 45.0, 10000.0, 15.0, 30
 
 def uniform(seed: int, *keys: Column) -> Column:
     """Repeatable number in [0, 1) from keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary")), 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
 def _inside(points: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def balanced(points: DataFrame, stratum: Column, seed: int = 42) -> DataFrame:
     """track_id, stratum: from each stratum as many tracks as the smallest one has, by hash order."""
     rows = points.groupBy("track_id").agg(F.min(stratum).alias("stratum"))
     least = rows.groupBy("stratum").agg(F.count("*").alias("c")).agg(F.min("c").alias("least"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), "track_id"), "track_id")))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "track_id").cast("binary")), "track_id")))
     return ranked.join(F.broadcast(least)).where("_r <= least").select("track_id", "stratum")  # one row
 
 

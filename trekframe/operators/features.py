@@ -228,9 +228,13 @@ PAGE_SIGNS = {
 }
 
 
+#: Sources in the order that decides ties.
+SOURCE_ORDER = ("google_maps", "yandex_maps", "openstreetmap", "stamen_terrain")
+
+
 def _best(scores: dict[str, Column], full: float) -> Column:
-    """Struct source, confidence of the largest score, the first by name on a tie; null source where all are 0."""
-    ranked = F.slice(F.array_sort(F.array(*[F.struct((-v).alias("minus"), F.lit(k).alias("source")) for k, v in sorted(scores.items())])), 1, 1)
+    """Struct source, confidence of the largest score, the first in SOURCE_ORDER on a tie; null source where all are 0."""
+    ranked = F.slice(F.array_sort(F.array(*[F.struct((-scores[k]).alias("minus"), F.lit(i).alias("i"), F.lit(k).alias("source")) for i, k in enumerate(SOURCE_ORDER) if k in scores])), 1, 1)
     best = lambda r: F.struct(F.when(r["minus"] < 0, r["source"]).alias("source"), F.least(F.lit(1.0), -r["minus"] / full).alias("confidence"))
     return F.transform(ranked, best)[0]
 

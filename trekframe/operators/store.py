@@ -83,12 +83,71 @@ class TrackStore:
         return self.insert("points", points, ["track_id", "point_index"])
 
     def add_tracks(self, points: DataFrame) -> int:
+        """Tracks that the store lacks, with a history row (version 1, create) for each."""
         tracks = points.groupBy("track_id").agg(F.min("date").alias("date_start"), F.max("date").alias("date_end"), F.count("*").alias("point_count")).withColumn("version", F.lit(1))
-        return self.insert("tracks", tracks, ["track_id"])
+        added = self.insert("tracks", tracks, ["track_id"])
+        self._log(tracks.select("track_id", F.lit(1).alias("version")), "create", "{}")
+        return added
+
+    def _log(self, tracks: DataFrame, change_type: str, fields: str) -> None:
+        """History rows of (track_id, version): how the track changed, and the hash of what did."""
+        rows = tracks.withColumns({"change_type": F.lit(change_type), "change_hash": change_hash(F.lit(fields))})
+        self.insert("history", rows, ["track_id", "version", "change_type"])
+
+    def history(self, track_id: str | None = None) -> DataFrame:
+        """A track's history, or all, oldest version first."""
+        rows = self.read("history")
+        return (rows.where(F.col("track_id") == track_id) if track_id else rows).orderBy("track_id", "version")
+
+    def add_anomalies(self, rows: DataFrame) -> int:
+        """track_id, point_index, anomaly_type, ...: severity is medium unless it is given."""
+        rows = rows.withColumn("severity", F.coalesce(F.col("severity"), F.lit("medium")) if "severity" in rows.columns else F.lit("medium"))
+        return self.insert("anomalies", rows, ["track_id", "point_index", "anomaly_type"])
+
+    def add_maps(self, rows: DataFrame) -> int:
+        """track_id, map_type, file_path, metadata (a string map), ...: active maps of version 1."""
+        return self.insert("maps", rows.withColumns({"version": F.lit(1), "is_active": F.lit(True)}), ["track_id", "map_type", "file_path"])
+
+    def maps(self, track_id: str | None = None) -> DataFrame:
+        """Active maps, of a track or of all, by path from the last."""
+        rows = self.read("maps").where("is_active")
+        return (rows.where(F.col("track_id") == track_id) if track_id else rows).orderBy(F.col("track_id"), F.col("file_path").desc())
+
+    def update_maps(self, changes: DataFrame) -> None:
+        """changes: track_id, map_type, file_path and metadata to merge; the new values win, and the version goes up."""
+        keys = ["track_id", "map_type", "file_path"]
+        rows = self.read("maps").join(changes.select(*keys, F.col("metadata").alias("_new")), keys, "left")
+        merged = rows.withColumns({"metadata": F.when(F.col("_new").isNull(), F.col("metadata")).otherwise(merge_metadata(F.col("metadata"), F.col("_new"))), "version": F.col("version") + F.col("_new").isNotNull().cast("int")})
+        self.replace("maps", merged.drop("_new"))
+
+    def add_external(self, rows: DataFrame) -> int:
+        """platform, source_id, ...: one row a source, whatever the case of its platform's name."""
+        rows = rows.withColumns({"platform": F.lower("platform"), "is_processed": F.lit(False)})
+        return self.insert("external", rows, ["platform", "source_id"])
+
+    def external(self, platform: str | None = None, is_processed: bool | None = None) -> DataFrame:
+        rows = self.read("external")
+        rows = rows if platform is None else rows.where(F.col("platform") == platform.lower())
+        return rows if is_processed is None else rows.where(F.col("is_processed") == is_processed)
+
+    def statistics(self) -> DataFrame:
+        """name, n: rows of each table that the store has, and its corrected points."""
+        out = None
+        for name in ("points", "tracks", "corrections", "history", "anomalies", "augmentations", "maps", "external"):
+            rows = self.read(name)
+            if rows is None:
+                continue
+            found = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")]
+            if name == "points" and "is_corrected" in rows.columns:
+                found.append(rows.agg(F.count_if("is_corrected").alias("n")).select(F.lit("corrected_points").alias("name"), "n"))
+            for one in found:
+                out = one if out is None else out.unionByName(one)
+        return out
 
     def correct(self, corrections: DataFrame) -> None:
-        """Appends corrections and raises the versions of their points."""
+        """Appends corrections, raises the versions of their points, and logs the tracks' change."""
         self.insert("corrections", corrections, ["track_id", "point_index", "correction_type"])
+        self._log(corrections.select("track_id").distinct().withColumn("version", F.lit(2)), "correct", '{"points": "corrected"}')
         points = self.read("points").drop("is_corrected", "version")
         self.replace("points", with_corrections(points, self.read("corrections")))
 

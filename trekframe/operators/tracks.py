@@ -81,14 +81,24 @@ def interpolate_spline(points: DataFrame, flag: Column) -> DataFrame:
     rows = points.withColumn("_bad", F.coalesce(flag, F.lit(False)))
 
     def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The end moments follow from the next two (not-a-knot), which leaves a tridiagonal system: one sweep down, one up."""
         h, n = np.diff(x), len(x)
-        a, b = np.zeros((n, n)), np.zeros(n)
-        for i in range(1, n - 1):
-            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-        m = np.linalg.solve(a, b)
+        low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+        rhs = 6 * (np.diff(y[1:]) / h[1:] - np.diff(y[:-1]) / h[:-1])
+        mid[0] += h[0] * (h[0] + h[1]) / h[1]
+        up[0] -= h[0] ** 2 / h[1]
+        mid[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+        low[-1] -= h[-1] ** 2 / h[-2]
+        for i in range(1, n - 2):
+            share = low[i] / mid[i - 1]
+            mid[i] -= share * up[i - 1]
+            rhs[i] -= share * rhs[i - 1]
+        m = np.zeros(n)
+        m[n - 2] = rhs[-1] / mid[-1]
+        for i in range(n - 4, -1, -1):
+            m[i + 1] = (rhs[i] - up[i] * m[i + 2]) / mid[i]
+        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
         k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
         left, right = x[k + 1] - at, at - x[k]
         return (m[k] * left**3 + m[k + 1] * right**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * left + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * right
@@ -112,16 +122,25 @@ def _series(points: DataFrame, column: str) -> DataFrame:
 
 
 def kalman(points: DataFrame, column: str, q: float = 1e-5, r: float = 1e-4) -> DataFrame:
-    """track_id, point_index, value: scalar random-walk Kalman filter of a column's known values."""
+    """track_id, point_index, value: scalar random-walk Kalman filter of a column's known values; a track at a time, in linear time."""
+    import pandas as pd
 
-    def step(acc: Column, x: Column) -> Column:
-        gain = (acc["p"] + q) / (acc["p"] + q + r)
-        value = F.when(F.size(acc["out"]) == 0, x["v"]).otherwise(acc["x"] + gain * (x["v"] - acc["x"]))
-        p = F.when(F.size(acc["out"]) == 0, F.lit(r)).otherwise((1 - gain) * (acc["p"] + q))
-        return F.struct(value.alias("x"), p.alias("p"), F.concat(acc["out"], F.array(F.struct(x["point_index"].alias("point_index"), value.alias("value")))).alias("out"))
+    ship(points.sparkSession)
+
+    def run(track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values("point_index")
+        out, x, p = [], None, r
+        for v in track["value"]:
+            if x is None:
+                x = v
+            else:
+                gain = (p + q) / (p + q + r)
+                x, p = x + gain * (v - x), (1 - gain) * (p + q)
+            out.append(x)
+        return track.assign(value=out)
 
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(r).alias("p"), F.array().cast("array<struct<point_index:int,value:double>>").alias("out"))
-    return _series(points, column).select("track_id", F.inline(F.aggregate("s", zero, step, lambda a: a["out"])))
+    known = points.where(F.col(column).isNotNull()).select("track_id", "point_index", F.col(column).cast("double").alias("value"))
+    return known.groupBy("track_id").applyInPandas(run, known.schema)
 
 
 def savitzky_golay(points: DataFrame, column: str) -> DataFrame:
@@ -194,7 +213,7 @@ def statistics(points: DataFrame) -> DataFrame:
 
 def segment_statistics(points: DataFrame) -> DataFrame:
     """track_id, n_segments, total_m, mean_m, max_m, min_m by ellipsoidal distance."""
-    rows = _step(points).withColumn("m", geo.vincenty_inverse(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude"), steps=10))
+    rows = _step(points).withColumn("m", geo.vincenty_inverse(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude")))
     return rows.where("m is not null").groupBy("track_id").agg(F.count("*").alias("n_segments"), *[F.round(f("m"), 3).alias(n) for f, n in ((F.sum, "total_m"), (F.avg, "mean_m"), (F.max, "max_m"), (F.min, "min_m"))])
 
 

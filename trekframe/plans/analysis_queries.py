@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from trekframe.operators import augment, features, lookups, stats, store
 from trekframe.plans.registry import query
+from trekframe.plans.track_queries import _direct_sql, hav
 from trekframe.sources import files
 from trekframe.sources.bridge import oracle, point_objects, track_points
+from trekframe.sources.shared import scratch
 from trekframe.streaming import tracks as streams
 
 NUMERIC = ["latitude", "longitude", "altitude", "temperature", "terrain_confidence", "frequency_steps"]
@@ -133,9 +135,9 @@ def feature_importance(spark, sf):
     return rounded(stats.mean_abs_r(_lpairs(spark, sf)))
 
 
-@query(f"{_L}, m as (select a as f, (sum(abs(r))+1)/(count(r)+1) as i from e group by 1) select distinct case when x.i<y.i then p.a else p.b end as feature from p join m x on x.f=p.a join m y on y.f=p.b where abs(p.r)>0.5")
+@query(f"{_L}, m as (select a as f, (sum(abs(r))+1)/(count(r)+1) as i from e group by 1) select distinct case when x.i<y.i then p.a else p.b end as feature from p join m x on x.f=p.a join m y on y.f=p.b where abs(p.r)>0.001")
 def redundant_features(spark, sf):
-    return stats.redundant_features(_lpairs(spark, sf), 0.5)
+    return stats.redundant_features(_lpairs(spark, sf), 0.001)
 
 
 @query(
@@ -198,9 +200,17 @@ def jarque_bera(spark, sf):
     return stats.jarque_bera(track_points(spark, sf), NUMERIC).select("feature", "n", F.round("statistic", 4).alias("statistic"), F.round("p", 8).alias("p"))
 
 
-@query()
+_MOMENTS = " union all ".join(f"select '{c}' as feature, count(*)::double as n, avg(pow({c}-m,3))/pow(avg(pow({c}-m,2)),1.5) as s, avg(pow({c}-m,4))/pow(avg(pow({c}-m,2)),2)-3 as k from (select {c}, avg({c}) over () as m from track_points where {c} is not null)" for c in NUMERIC)
+
+
+@query(
+    oracle(f"""m as ({_MOMENTS}), a as (select *, s*sqrt((n+1)*(n+3)/(6*(n-2))) as y, 3*(n*n+27*n-70)*(n+1)*(n+3)/((n-2)*(n+5)*(n+7)*(n+9)) as beta from m where n>=8),
+    b as (select *, sqrt(2*(beta-1))-1 as w2 from a), c as (select *, asinh(y/sqrt(2/(w2-1)))/sqrt(0.5*ln(w2)) as z1, (k+3-3*(n-1)/(n+1))/sqrt(24*n*(n-2)*(n-3)/((n+1)*(n+1)*(n+3)*(n+5))) as x, 6*(n*n-5*n+2)/((n+7)*(n+9))*sqrt(6*(n+3)*(n+5)/(n*(n-2)*(n-3))) as sb from b),
+    d as (select *, 6+8/sb*(2/sb+sqrt(1+4/(sb*sb))) as a from c), e as (select *, (1-2/a)/(1+x*sqrt(2/(a-4))) as ratio from d), f as (select *, (1-2/(9*a)-sign(ratio)*pow(abs(ratio),1/3.0::double))/sqrt(2/(9*a)) as z2 from e)
+    select feature, cast(n as bigint) as n, round(z1*z1+z2*z2,3) as statistic, round(exp(-(z1*z1+z2*z2)/2),8) as p from f""")
+)
 def dagostino(spark, sf):
-    return rounded(stats.dagostino(track_points(spark, sf), NUMERIC))
+    return stats.dagostino(track_points(spark, sf), NUMERIC).select("feature", "n", F.round("statistic", 3).alias("statistic"), F.round("p", 8).alias("p"))
 
 
 @query("with s as (select min(value) a, max(value) b, count(value) t from events) select cast(least(29,floor((value-a)/(b-a)*30)) as bigint) as bin, count(*) as n, round(count(*)*30/(t*(b-a)),8) as density from events, s where value is not null group by 1, a, b, t")
@@ -218,7 +228,16 @@ def temperature_ecdf(spark, sf):
     return rounded(stats.ecdf(track_points(spark, sf), "temperature"), 8)
 
 
-@query()
+_SHAPES = " union all ".join(
+    f"select '{c}' as feature, count(*)::double as n, avg(({c}=0)::int) as zeros, min({c}) as low, avg(pow({c}-m,3))/pow(avg(pow({c}-m,2)),1.5) as s, avg(pow({c}-m,4))/pow(avg(pow({c}-m,2)),2)-3 as k, avg(pow(l-lm,3))/pow(avg(pow(l-lm,2)),1.5) as ls, avg(pow(l-lm,4))/pow(avg(pow(l-lm,2)),2)-3 as lk from (select {c}, l, avg({c}) over () as m, avg(l) over () as lm from (select {c}, case when {c}>0 then ln({c}) end as l from track_points where {c} is not null))"
+    for c in NUMERIC
+)
+
+
+@query(
+    oracle(f"""h as ({_SHAPES}), p as (select *, exp(-n/12.0*(s*s+k*k/4)) as p, exp(-n/12.0*(ls*ls+lk*lk/4)) as lp from h), c as (select feature, case when zeros>0.3 then 'zero_inflated' when p>0.05 then 'normal' when low>0 and s>0.5 and lp>0.05 then 'lognormal' when abs(s)<0.5 then 'uniform' when s>1 then 'right_skewed' when s<-1 then 'left_skewed' else 'unknown' end as kind from p)
+    select feature, kind, case kind when 'zero_inflated' then 0.9 when 'normal' then 0.9 when 'lognormal' then 0.85 when 'uniform' then 0.7 when 'unknown' then 0.5 else 0.8 end::double as confidence from c""")
+)
 def distribution_kinds(spark, sf):
     return stats.classify_distribution(track_points(spark, sf), NUMERIC)
 
@@ -302,11 +321,16 @@ def every_tenth_point(spark, sf):
     return track_points(spark, sf).withColumn("k", F.row_number().over(in_order()) - 1).where("k % 10 = 0").select("track_id", "point_index")
 
 
-@query(oracle("select 'a' as part, track_id, point_index from track_points where region_key=0 union all select 'b', track_id, point_index from track_points where region_key=1"))
+@query(oracle("select region_key as part, track_id, point_index, (select count(distinct region_key) from track_points) as source_count from track_points"))
 def merged_tracks(spark, sf):
+    """The points of every region's tracks as one bag, with the number of sources."""
     p = track_points(spark, sf)
-    part = lambda k, n: p.where(F.col("region_key") == k).select(F.lit(n).alias("part"), "track_id", "point_index")
-    return part(0, "a").unionByName(part(1, "b"))
+    keys = [r.k for r in p.select(F.col("region_key").alias("k")).distinct().orderBy("k").collect()]  # five regions
+    parts = [p.where(F.col("region_key") == k).select(F.col("region_key").alias("part"), "track_id", "point_index") for k in keys]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("source_count", F.lit(len(parts)).cast("long"))
 
 
 @query(oracle("select region_key, terrain_type, count(*) as n, grouping(terrain_type) as level from track_points group by rollup (region_key, terrain_type)"))
@@ -317,6 +341,10 @@ def terrain_rollup(spark, sf):
 # ---- store
 
 
+def _store(spark):
+    return store.TrackStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+
+
 @query(oracle("n as (select track_id, point_index, 1+(altitude is null)::int+coalesce((latitude not between 45 and 72)::int,0) as version, altitude is null or coalesce(latitude not between 45 and 72, false) as is_corrected from track_points) select track_id, point_index, version, is_corrected from n"))
 def corrected_versions(spark, sf):
     p = track_points(spark, sf).select("track_id", "point_index", "latitude", "altitude")
@@ -339,20 +367,23 @@ def latest_versions(spark, sf):
 def stored_tracks(spark, sf):
     """Tracks as the store reports them after two overlapping inserts."""
     p = track_points(spark, sf)
-    from trekframe.sources.shared import scratch
-
-    s = store.TrackStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+    s = _store(spark)
     s.add_points(p.where("region_key = 0"))
     s.add_points(p)
     points = s.read("points")
     return points.groupBy("track_id").agg(F.count("*").alias("point_count"), F.min("date").alias("date_start"), F.max("date").alias("date_end"))
 
 
-@query(oracle("select 'points' as name, count(*) as n from track_points union all select 'tracks', count(distinct track_id) from track_points union all select 'objects', count(*) from point_objects union all select 'missing', count_if(latitude is null) from track_points"))
+@query(oracle("select 'points' as name, count(*) as n from track_points union all select 'tracks', count(distinct track_id) from track_points union all select 'corrections', count_if(altitude is null) from track_points union all select 'corrected_points', count_if(altitude is null) from track_points union all select 'history', count(distinct track_id) + count(distinct case when altitude is null then track_id end) from track_points union all select 'anomalies', count_if(coalesce(latitude not between 45 and 72, false)) from track_points"))
 def store_statistics(spark, sf):
+    """Rows of a store's own tables after inserts, corrections and anomalies."""
     p = track_points(spark, sf)
-    one = lambda df, name, agg: df.agg(agg.alias("n")).select(F.lit(name).alias("name"), "n")
-    return one(p, "points", F.count("*")).unionByName(one(p, "tracks", F.count_distinct("track_id"))).unionByName(one(point_objects(spark, sf), "objects", F.count("*"))).unionByName(one(p, "missing", F.count_if(F.col("latitude").isNull())))
+    s = _store(spark)
+    s.add_points(p)
+    s.add_tracks(p)
+    s.correct(p.where("altitude is null").select("track_id", "point_index", F.lit("altitude").alias("correction_type")))
+    s.add_anomalies(p.where("latitude not between 45 and 72").select("track_id", "point_index", F.lit("latitude").alias("anomaly_type"), F.lit("out of range").alias("description")))
+    return s.statistics()
 
 
 # ---- files
@@ -367,7 +398,11 @@ def gpx_documents(spark, sf):
     return files.gpx_documents(track_points(spark, sf))
 
 
-@query()
+@query(
+    oracle("""b as (select track_id, bool_or(coalesce(not (latitude between -90 and 90 and longitude between -180 and 180), true)) as bad, min_by(event_ts, point_index) as a, max_by(event_ts, point_index) as z from track_points group by 1)
+    select track_id, '<TrainingCenterDatabase xmlns="http://www.garmin.com/xmlschemas/TrainingCenterDatabase/v2"><Activities><Activity Sport="Walking"><Lap StartTime="'||strftime(min(a),'%Y-%m-%dT%H:%M:%SZ')||'"><TotalTimeSeconds>'||(floor(epoch(min(z)))-floor(epoch(min(a))))::bigint||'</TotalTimeSeconds><DistanceMeters>0</DistanceMeters><Track>'||string_agg('<Trackpoint><Time>'||strftime(event_ts,'%Y-%m-%dT%H:%M:%SZ')||'</Time><Position><LatitudeDegrees>'||printf('%.8f',latitude)||'</LatitudeDegrees><LongitudeDegrees>'||printf('%.8f',longitude)||'</LongitudeDegrees></Position>'||coalesce('<AltitudeMeters>'||printf('%.2f',altitude)||'</AltitudeMeters>','')||'</Trackpoint>','' order by point_index)||'</Track></Lap></Activity></Activities></TrainingCenterDatabase>' as doc
+    from track_points join b using (track_id) where not bad group by 1""")
+)
 def tcx_documents(spark, sf):
     return files.tcx_documents(track_points(spark, sf))
 
@@ -381,13 +416,25 @@ def tracks_a_week_later(spark, sf):
     return p.select("track_id", "point_index", "date", "event_ts")
 
 
-@query()
+_OK = "(select track_id from {t} group by 1 having bool_and(not coalesce(not mlat between 41 and 81 or not mlon between 19 and 169, false)))"
+_U = "(('0x'||substr(md5(concat_ws('|', '42', track_id, point_index::varchar)),1,10))::bigint/1099511627776.0::double*2-1)*10"
+
+
+@query(
+    oracle(f"""p as (select track_id, point_index, latitude, longitude, altitude from track_points where latitude is not null), es as (select *, latitude as rlat, longitude as rlon, 90.0::double as az, 1000.0::double as dist from p), {_direct_sql("es", "e")},
+    ct as (select track_id, avg(cos(radians(latitude))*cos(radians(longitude))) as x, avg(cos(radians(latitude))*sin(radians(longitude))) as y, avg(sin(radians(latitude))) as z from p group by 1), cc as (select track_id, degrees(atan2(z, sqrt(x*x+y*y))) as rlat, degrees(atan2(y,x)) as rlon from ct),
+    rs as (select *, ((degrees(atan2(sin(radians(longitude)-radians(rlon))*cos(radians(latitude)), cos(radians(rlat))*sin(radians(latitude))-sin(radians(rlat))*cos(radians(latitude))*cos(radians(longitude)-radians(rlon))))+360)%360+15)%360 as az, {hav("rlat", "rlon", "latitude", "longitude", "6378137.0")} as dist from p join cc using (track_id)), {_direct_sql("rs", "q")},
+    u as (select *, {_U} as u from p), j as (select *, (u+coalesce(lag(u) over w,0.0)+coalesce(lead(u) over w,0.0))/3 as smooth from u window w as (partition by track_id order by point_index))
+    select track_id||'_SYN_east1' as track_id, point_index, round(mlat,6) as latitude, round(mlon,6) as longitude, round(altitude,6) as altitude, 'shift' as augmentation_type from e where track_id in {_OK.format(t="e")}
+    union all select track_id||'_SYN_r15', point_index, round(mlat,6), round(mlon,6), round(altitude,6), 'rotate' from q where track_id in {_OK.format(t="q")}
+    union all select track_id||'_SYN_j10', point_index, round(latitude,6), round(longitude,6), round(altitude+smooth,6), 'jitter' from j""")
+)
 def shifted_tracks(spark, sf):
     p = track_points(spark, sf).where("latitude is not null")
     return rounded(augment.variants(p, [("shift", "east1", 1000.0, 90.0), ("rotate", "r15", 15.0, 0.0), ("jitter", "j10", 10.0, 42)]).select("track_id", "point_index", "latitude", "longitude", "altitude", "augmentation_type"), 6)
 
 
-@query()
+@query(oracle("t as (select track_id, min(region_key) as stratum from track_points group by 1), n as (select min(c) as c from (select count(*) as c from t group by stratum)), r as (select *, row_number() over (partition by stratum order by md5('42|'||track_id), track_id) as k from t) select track_id, stratum from r, n where k<=c"))
 def balanced_tracks(spark, sf):
     return augment.balanced(track_points(spark, sf), F.col("region_key"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trekframe.operators import catalog, features, lookups, stats
 from trekframe.plans.analysis_queries import _L, _lpairs
-from trekframe.plans.registry import query
+from trekframe.plans.registry import ORACLES, query
 from trekframe.plans.track_queries import _PIXELS, _pixels
 from trekframe.sources.bridge import oracle, point_objects, track_points
 
@@ -48,16 +48,39 @@ def map_source_of_colours(spark, sf):
     return _pixels(spark, sf).select("px", features.map_source_of_colour(F.col("r"), F.col("g"), F.col("b")).alias("m")).select("px", "m.source", "m.confidence")
 
 
-@query("select page_id, 'openstreetmap' as source, 0.5::double as confidence from pages")
+_SERVER = ("nginx/1.2", "gws", "YandexBot", "Apache and gse", "")
+_TYPE = ("text/html", "tile from maps.google.com via api.yandex.ru", "image; openstreetmap", "yandex.ru tile")
+
+
+def _headers():
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    return features.map_source_of_headers(pick(_SERVER, len(_SERVER)), pick(_TYPE, len(_TYPE)))
+
+
+def _first(scores: str) -> str:
+    return f"(select *, row_number() over (partition by page_id order by n desc, list_position({list(features.SOURCE_ORDER)!r}, src)) as k from ({scores}))"
+
+
+_HEADER_SCORES = " union all ".join(
+    f"select page_id, '{k}' as src, " + "+".join([f"contains(s, '{w}')::int" for w in a] + [f"contains(c, '{w}')::int" for w in b]) + " as n from h" for k, (a, b) in features.HEADER_SIGNS.items()
+)
+_HEADER_TABLE = f"h as (select page_id, lower({list(_SERVER)!r}[page_id%{len(_SERVER)}+1]) as s, lower({list(_TYPE)!r}[page_id%{len(_TYPE)}+1]) as c from pages)"
+_HEADER_SQL = f"with {_HEADER_TABLE} select page_id, case when n>0 then src end as source, least(1.0, n/2.0)::double as confidence from {_first(_HEADER_SCORES)} where k=1"
+
+
+@query(_HEADER_SQL)
 def map_source_of_headers(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", features.map_source_of_headers(F.lit("nginx/1.2"), F.lit("text/html")).alias("m")).select("page_id", "m.source", "m.confidence")
+    return p.select("page_id", _headers().alias("m")).select("page_id", "m.source", "m.confidence")
+
+
+_EVERY = f"select page_id, src, coalesce(u.c,0.0)+coalesce(g.c,0.0)+coalesce(x.c,0.0) as n from pages cross join (select unnest({list(features.SOURCE_ORDER)!r}) as src) " + " ".join(f"left join (select page_id, source as src, confidence as c from ({q})) {a} using (page_id, src)" for a, q in (("u", ORACLES["map_source_of_urls"]), ("g", ORACLES["map_source_of_pages"]), ("x", _HEADER_SQL)))
 
 
-@query()
+@query(f"select page_id, case when n>0 then src end as source, least(1.0, n/3.0)::double as confidence from {_first(_EVERY)} where k=1")
 def map_source_combined(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", features.combined_source(features.map_source_of_url(F.col("url")), features.map_source_of_html(F.col("html")), features.map_source_of_headers(F.lit("nginx"), F.lit(""))).alias("m")).select("page_id", "m.source", "m.confidence")
+    return p.select("page_id", features.combined_source(features.map_source_of_url(F.col("url")), features.map_source_of_html(F.col("html")), _headers()).alias("m")).select("page_id", "m.source", "m.confidence")
 
 
 @query(oracle("select track_id, point_index, 'https://maps.example.org/1.x?ll='||cast(region_key as varchar)||','||cast(point_index as varchar)||'&z=13&size=450,450&l=map&apikey=' as url from track_points"))

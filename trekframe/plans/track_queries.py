@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trekframe.functions import geo
 from trekframe.operators import augment, features, fusion, quality, tracks
-from trekframe.plans.registry import query
+from trekframe.plans.registry import ORACLES, query
 from trekframe.sources.bridge import oracle, point_objects, track_points
 
 HAV = "2*{r}*asin(sqrt(least(1.0, pow(sin((radians({lat2})-radians({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2))))"
@@ -208,7 +208,34 @@ def track_statistics(spark, sf):
     return tracks.statistics(track_points(spark, sf))
 
 
-@query()
+_F = repr(geo.FLATTENING)
+
+
+def _vincenty_sql(steps: int) -> str:
+    """Common tables v0 .. from nxt, and the last's metres in table lengths."""
+    parts = """{k}a as (select *, sqrt(pow(cos(u2)*sin(lam),2)+pow(cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(lam),2)) as ss, sin(u1)*sin(u2)+cos(u1)*cos(u2)*cos(lam) as cs from {k}),
+    {k}b as (select *, atan2(ss,cs) as s, case when ss=0 then 0.0 else cos(u1)*cos(u2)*sin(lam)/ss end as sa from {k}a), {k}c as (select *, 1-sa*sa as c2, case when 1-sa*sa=0 then 0.0 else cs-2*sin(u1)*sin(u2)/(1-sa*sa) end as m from {k}b)"""
+    out = f"v0 as (select track_id, atan((1-{_F}::double)*tan(radians(latitude))) as u1, atan((1-{_F}::double)*tan(radians(nlat))) as u2, radians(nlon)-radians(longitude) as away, radians(nlon)-radians(longitude) as lam from nxt where latitude is not null and longitude is not null and nlat is not null and nlon is not null)"
+    for k in range(steps):
+        out += ", " + parts.format(k=f"v{k}") + f", v{k + 1} as (select track_id, u1, u2, away, away+(1-c)*{_F}::double*sa*(s+c*ss*(m+c*cs*(2*m*m-1))) as lam from (select *, {_F}::double/16*c2*(4+{_F}::double*(4-3*c2)) as c from v{k}c))"
+    k = f"v{steps}"
+    ratio = repr((geo.R_EQUATOR**2 - geo.POLAR**2) / geo.POLAR**2)
+    return out + ", " + parts.format(k=k) + f""", ab as (select *, 1+w/16384*(4096+w*(-768+w*(320-175*w))) as a, w/1024*(256+w*(-128+w*(74-47*w))) as b from (select *, c2*{ratio}::double as w from {k}c)),
+    lengths as (select track_id, {geo.POLAR!r}::double*a*(s-b*ss*(m+b/4*(cs*(2*m*m-1)-b/6*m*(4*ss*ss-3)*(4*m*m-3)))) as d from ab)"""
+
+
+def _direct_sql(source: str, out: str) -> str:
+    """Common tables that move source's (rlat, rlon, az, dist) along the ellipsoid: out has its columns with mlat and mlon."""
+    ratio = repr((geo.R_EQUATOR**2 - geo.POLAR**2) / geo.POLAR**2)
+    sql = f"""{out}0 as (select *, radians(az) as a1, (1-{_F}::double)*tan(radians(rlat)) as tu from {source}), {out}1 as (select *, 1/sqrt(1+tu*tu) as cu, atan2(tu, cos(a1)) as s1 from {out}0), {out}2 as (select *, tu*cu as su, cu*sin(a1) as sa from {out}1),
+    {out}3 as (select *, 1-sa*sa as c2, (1-sa*sa)*{ratio}::double as w from {out}2), {out}4 as (select *, dist/({geo.POLAR!r}::double*(1+w/16384*(4096+w*(-768+w*(320-175*w))))) as base, w/1024*(256+w*(-128+w*(74-47*w))) as bb from {out}3), {out}s0 as (select *, base as s from {out}4)"""
+    for k in range(8):
+        sql += f", {out}s{k + 1} as (select * replace (base+bb*sin(s)*(m+bb/4*(cos(s)*(2*m*m-1)-bb/6*m*(4*sin(s)*sin(s)-3)*(4*m*m-3))) as s) from (select * exclude (m), cos(2*s1+s) as m from (select *, 0 as m from {out}s{k})))".replace("* exclude (m), cos", "* exclude (m), cos")
+    return sql.replace("(select * replace (base", "(select * exclude (m) replace (base") + f""", {out}e as (select *, cos(2*s1+s) as m, su*sin(s)-cu*cos(s)*cos(a1) as t, {_F}::double/16*c2*(4+{_F}::double*(4-3*c2)) as c from {out}s8),
+    {out} as (select *, degrees(atan2(su*cos(s)+cu*sin(s)*cos(a1), (1-{_F}::double)*sqrt(sa*sa+t*t))) as mlat, degrees(radians(rlon)+atan2(sin(s)*sin(a1), cu*cos(s)-su*sin(s)*cos(a1))-(1-c)*{_F}::double*sa*(s+c*sin(s)*(m+c*cos(s)*(2*m*m-1)))) as mlon from {out}e)"""
+
+
+@query(oracle(f", {LEAD}, {_vincenty_sql(12)} select track_id, count(*) as n_segments, round(sum(d),3) as total_m, round(avg(d),3) as mean_m, round(max(d),3) as max_m, round(min(d),3) as min_m from lengths group by 1"))
 def segment_statistics(spark, sf):
     return tracks.segment_statistics(track_points(spark, sf))
 
@@ -252,9 +279,15 @@ def densified_positions(spark, sf):
     return tracks.densify(track_points(spark, sf)).select("track_id", "point_index", F.col("k").cast("long").alias("k"))
 
 
-@query()
+@query(
+    oracle("""k as (select *, lead(latitude) over w as nlat, lead(longitude) over w as nlon from track_points where latitude is not null and longitude is not null window w as (partition by track_id order by point_index)),
+    g as (select *, 2*asin(sqrt(least(1.0,pow(sin((radians(nlat)-radians(latitude))/2),2)+cos(radians(latitude))*cos(radians(nlat))*pow(sin((radians(nlon)-radians(longitude))/2),2)))) as sg from k),
+    i as (select *, unnest(range(0, case when nlat is null or sg<1e-6 then 1 else 9 end)) as k, nlat is null or sg<1e-6 as flat from g), f as (select *, sin((1-k/9.0::double)*sg)/sin(sg) as a, sin(k/9.0::double*sg)/sin(sg) as b from i),
+    x as (select *, a*cos(radians(latitude))*cos(radians(longitude))+b*cos(radians(nlat))*cos(radians(nlon)) as x, a*cos(radians(latitude))*sin(radians(longitude))+b*cos(radians(nlat))*sin(radians(nlon)) as y, a*sin(radians(latitude))+b*sin(radians(nlat)) as z from f)
+    select track_id, point_index, k, round(case when flat then latitude else degrees(atan2(z, sqrt(x*x+y*y))) end, 7) as latitude, round(case when flat then longitude else degrees(atan2(y,x)) end, 7) as longitude from x""")
+)
 def densified_tracks(spark, sf):
-    return tracks.densify(track_points(spark, sf))
+    return tracks.densify(track_points(spark, sf)).select("track_id", "point_index", F.col("k").cast("long").alias("k"), F.round("latitude", 7).alias("latitude"), F.round("longitude", 7).alias("longitude"))
 
 
 # ---- geodesy on single points
@@ -310,11 +343,6 @@ def destinations(spark, sf):
 # ---- features
 
 
-@query()
-def feature_records(spark, sf):
-    return features.feature_record(track_points(spark, sf), point_objects(spark, sf), spark.read.parquet(f"{sf}/region.parquet"))
-
-
 @query(
     oracle("""select track_id, point_index, month(date) as "T_month", case when month(date) in (12,1,2) then 'winter' when month(date)<=5 then 'spring' when month(date)<=8 then 'summer' else 'autumn' end as "T_season",
     isodow(date)-1 as "T_day_of_week", dayofyear(date) as "T_day_of_year", year(date) as "T_year", cast(month(date) in (12,1,2) as int) as "T_is_winter", cast(month(date) between 6 and 8 as int) as "T_is_expedition_month", quarter(date) as "T_quarter" from track_points""")
@@ -468,7 +496,12 @@ def fused_terrain(spark, sf):
     return r.select("track_id", "point_index", "r.result.terrain", F.round("r.result.confidence", 6).alias("confidence"), "r.result.method", "r.conflict")
 
 
-@query()
+@query(
+    oracle(
+        f"""{_VOTES} select track_id, point_index, case when k=0 then 'unknown' when d=1 then coalesce(o,c,s) else coalesce(c,topk) end as csv, case when k=0 then 'unknown' when d=1 then coalesce(o,c,s) else coalesce(o,topk) end as osm,
+    case when k=0 then 'unknown' when d=1 then coalesce(o,c,s) else topk end as confidence, case when k=0 then 'unknown' when d=1 then coalesce(o,c,s) else coalesce(maj,topk) end as average from t"""
+    )
+)
 def fused_terrain_by_source(spark, sf):
     rows = _votes(spark, sf)
     return rows.select("track_id", "point_index", *[fusion.resolve(F.col("v"), s)["result"]["terrain"].alias(s) for s in ("csv", "osm", "confidence", "average")])
@@ -485,7 +518,7 @@ def terrain_conflicts(spark, sf):
     + "+".join(f"regexp_matches(lower(url), '{p}')::int" for p in features.URL_SIGNS["google_maps"])
     + " as n from pages "
     + " ".join(f"union all select page_id, '{k}', " + "+".join(f"regexp_matches(lower(url), '{p}')::int" for p in v) + " from pages" for k, v in features.URL_SIGNS.items() if k != "google_maps")
-    + "), b as (select *, row_number() over (partition by page_id order by n desc, src) as k from s) select page_id, case when n>0 then src end as source, least(1.0, n/3.0)::double as confidence from b where k=1"
+    + "), b as (select *, row_number() over (partition by page_id order by n desc, list_position(['google_maps','yandex_maps','openstreetmap','stamen_terrain'], src)) as k from s) select page_id, case when n>0 then src end as source, least(1.0, n/3.0)::double as confidence from b where k=1"
 )
 def map_source_of_urls(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
@@ -497,8 +530,25 @@ def map_source_of_urls(spark, sf):
     + "+".join(f"((length(lower(html))-length(replace(lower(html), '{p}', '')))//{len(p)})" for p in features.PAGE_SIGNS["google_maps"])
     + " as n from pages "
     + " ".join(f"union all select page_id, '{k}', " + "+".join(f"((length(lower(html))-length(replace(lower(html), '{p}', '')))//{len(p)})" for p in v) + " from pages" for k, v in features.PAGE_SIGNS.items() if k != "google_maps")
-    + "), b as (select *, row_number() over (partition by page_id order by n desc, src) as k from s) select page_id, case when n>0 then src end as source, least(1.0, n/5.0)::double as confidence from b where k=1"
+    + "), b as (select *, row_number() over (partition by page_id order by n desc, list_position(['google_maps','yandex_maps','openstreetmap','stamen_terrain'], src)) as k from s) select page_id, case when n>0 then src end as source, least(1.0, n/5.0)::double as confidence from b where k=1"
 )
 def map_source_of_pages(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     return p.select("page_id", features.map_source_of_html(F.col("html")).alias("m")).select("page_id", "m.source", "m.confidence")
+
+
+_GROUPS = ("temporal_features", "geographic_features", "weather_features", "terrain_features", "surrounding_features")
+
+
+def _record_sql() -> str:
+    """The five groups' SQL side by side, the step frequency and the share of known features."""
+    joined = f"({ORACLES[_GROUPS[0]]}) g0" + "".join(f" join ({ORACLES[g]}) g{i} using (track_id, point_index)" for i, g in enumerate(_GROUPS) if i)
+    steps = oracle('select track_id, point_index, round(frequency_steps,4) as "TJ_step_frequency" from track_points')
+    text = "t as (select track_id, point_index, columns(* exclude (track_id, point_index))::varchar from r)"
+    known = "k as (select track_id, point_index, count(v) as known, count(*) as n from t unpivot include nulls (v for f in (columns(* exclude (track_id, point_index)))) group by 1, 2)"
+    return f'with r as (select * from {joined} join ({steps}) s using (track_id, point_index)), {text}, {known} select r.*, round(known/n::double,3) as "Q_data_completeness" from r join k using (track_id, point_index)'
+
+
+@query(_record_sql())
+def feature_records(spark, sf):
+    return features.feature_record(track_points(spark, sf), point_objects(spark, sf), spark.read.parquet(f"{sf}/region.parquet"))

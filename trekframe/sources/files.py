@@ -14,8 +14,25 @@ _GPX = "_creator string, metadata struct<time string>, trk array<struct<name str
 _TCX = "Activities struct<Activity array<struct<_Sport string, Lap array<struct<_StartTime string, Track array<struct<Trackpoint array<struct<Time string, Position struct<LatitudeDegrees double, LongitudeDegrees double>, AltitudeMeters double>>>>>>>>>"
 _FEATURE = "type string, properties struct<name string, description string, activity_type string>, geometry struct<type string, coordinates string>"
 _KML = "Document struct<Placemark array<struct<name string, LineString struct<coordinates string>, Point struct<coordinates string>>>>"
-#: Activities by the sport that TCX names.
-SPORTS = {"running": "Running", "run": "Running", "biking": "Biking", "cycling": "Biking", "bike": "Biking"}
+# The sport that TCX names for an activity.
+SPORTS = {
+    "run": "Running",
+    "running": "Running",
+    "hiking": "Walking",
+    "hike": "Walking",
+    "walk": "Walking",
+    "walking": "Walking",
+    "cycling": "Biking",
+    "bike": "Biking",
+    "bicycle": "Biking",
+    "biking": "Biking",
+    "swimming": "Swimming",
+    "swim": "Swimming",
+    "skiing": "Skiing",
+    "ski": "Skiing",
+    "mountaineering": "Walking",
+    "climbing": "Walking",
+}
 
 
 def read_csv(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
@@ -93,10 +110,10 @@ READERS = {"gpx": read_gpx, "tcx": read_tcx, "json": read_geojson, "geojson": re
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Points of a file or glob by its extension."""
+    """Points of a file or glob by its extension; of an unknown one no point, but a row with the error."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind not in READERS:
-        raise ValueError(f"unknown track format: {kind}")
+        return spark.createDataFrame([(path, f"unknown track format: {kind}")], "file string, error string")
     return READERS[kind](spark, path)
 
 
@@ -131,6 +148,39 @@ def tcx_documents(points: DataFrame, activity: str = "hiking") -> DataFrame:
     return _ordered(points).select("track_id", F.concat(head, F.array_join(F.transform("pts", one), ""), F.lit("</Track></Lap></Activity></Activities></TrainingCenterDatabase>")).alias("doc"))
 
 
+def geojson_documents(points: DataFrame) -> DataFrame:
+    """track_id, doc: a FeatureCollection with one LineString a track."""
+    at = lambda p: F.array_compact(F.array(F.round(p["longitude"], 8), F.round(p["latitude"], 8), F.round(p["altitude"], 2)))
+    geometry = F.struct(F.lit("LineString").alias("type"), F.transform("pts", at).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("track_id").alias("name")).alias("properties"), geometry.alias("geometry"))
+    return _ordered(points).select("track_id", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("doc"))
+
+
+def kml_documents(points: DataFrame) -> DataFrame:
+    """track_id, doc: a KML document with one LineString a track; unknown altitudes are left out."""
+    at = lambda p: F.concat(F.format_string("%.8f,%.8f", p["longitude"], p["latitude"]), F.when(p["altitude"].isNull(), "").otherwise(F.format_string(",%.2f", p["altitude"])))
+    head = F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><name>'), F.col("track_id"), F.lit("</name><LineString><coordinates>"))
+    return _ordered(points).select("track_id", F.concat(head, F.array_join(F.transform("pts", at), " "), F.lit("</coordinates></LineString></Placemark></Document></kml>")).alias("doc"))
+
+
+WRITERS = {"gpx": gpx_documents, "tcx": tcx_documents, "geojson": geojson_documents, "kml": kml_documents}
+
+
+def export_tracks(points: DataFrame, path: str, formats: list[str]) -> DataFrame:
+    """Writes every track in each format, a folder a format and a folder a track in it; track_id, format and whether it was written (tracks with coordinates out of range aren't, nor unknown formats)."""
+    tracks, out = points.select("track_id").distinct(), None
+    for kind in formats:
+        done = None
+        if kind in WRITERS:
+            docs = WRITERS[kind](points)
+            write_documents(docs, f"{path}/{kind}")
+            done = docs.select("track_id", F.lit(True).alias("ok"))
+        rows = tracks.join(done, "track_id", "left") if done is not None else tracks.withColumn("ok", F.lit(False))
+        rows = rows.select("track_id", F.lit(kind).alias("format"), F.coalesce("ok", F.lit(False)).alias("ok"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
     """A text file tree with a folder a track."""
     docs.select(F.col("doc").alias("value"), "track_id").write.partitionBy("track_id").text(path)
