@@ -78,6 +78,116 @@ def balanced(points: DataFrame, stratum: Column, seed: int = 42) -> DataFrame:
     return ranked.join(F.broadcast(least)).where("_r <= least").select("track_id", "stratum")  # one row
 
 
+# Named variants of tracks: kind, parameters, suffix of the new track's name.
+PRESETS = {
+    "rotation_small": ("rotate", 10.0, 0.0, "ROT10"),
+    "rotation_medium": ("rotate", 25.0, 0.0, "ROT25"),
+    "shift_north": ("shift", 500.0, 0.0, "SHIFT_N500"),
+    "shift_east": ("shift", 500.0, 90.0, "SHIFT_E500"),
+    "shift_south": ("shift", 500.0, 180.0, "SHIFT_S500"),
+    "elevation_light": ("jitter", 5.0, 42.0, "ELEV5"),
+    "elevation_medium": ("jitter", 10.0, 42.0, "ELEV10"),
+    "temporal_week": ("days", 7.0, 0.0, "TIME_P7D"),
+    "temporal_month": ("days", 30.0, 0.0, "TIME_P30D"),
+}
+# Variants that are drawn from at random; the last two need times.
+STRATEGIES = (
+    ("rotate", 5.0, 0.0, "ROT5"),
+    ("rotate", -5.0, 0.0, "ROTN5"),
+    ("rotate", 10.0, 0.0, "ROT10"),
+    ("shift", 200.0, 0.0, "SHIFT_N"),
+    ("shift", 200.0, 90.0, "SHIFT_E"),
+    ("shift", 200.0, 180.0, "SHIFT_S"),
+    ("shift", 150.0, 45.0, "SHIFT_NE"),
+    ("jitter", 3.0, 42.0, "ELEV3"),
+    ("jitter", 5.0, 42.0, "ELEV5"),
+    ("days", 7.0, 0.0, "TIME_P7D"),
+    ("days", -7.0, 0.0, "TIME_N7D"),
+)
+# Variants a track in the named settings.
+SETTINGS = {"minimal": 3, "standard": 5, "extensive": 10, "geodetic_only": 5, "visual_heavy": 7}
+# Days by which seasonal variants are moved.
+SEASON_DAYS = {"spring": (80, 100, 120), "summer": (170, 190, 210), "autumn": (260, 280, 300), "winter": (350, 10, 30)}
+
+
+def preset_variants(points: DataFrame, names: list[str]) -> DataFrame:
+    """Union of the named presets' variants."""
+    return variants(points, [(kind, suffix, a, b) for kind, a, b, suffix in (PRESETS[n] for n in names)])
+
+
+def drawn_strategies(points: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """track_id, place, kind, suffix: n strategies for each track, without replacement, in an order drawn for the track; those that move time only where all points have one."""
+    table = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(suffix).alias("suffix")) for kind, *_, suffix in STRATEGIES])
+    rows = points.groupBy("track_id").agg((F.count("event_ts") == F.count("*")).alias("timed"))
+    rows = rows.select("track_id", "timed", F.explode(table).alias("s")).where(F.col("timed") | (F.col("s.kind") != "days"))
+    order = Window.partitionBy("track_id").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "track_id", "s.suffix").cast("binary")), "s.suffix")
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return rows.select("track_id", "place", F.col("s.kind").alias("kind"), F.format_string("%s_%03d", "s.suffix", "place").alias("suffix"))
+
+
+def drawn_variants(points: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Every track in n drawn variants: each strategy is applied once, to the tracks that drew it."""
+    drawn, out = drawn_strategies(points, n, seed), None
+    for kind, a, b, suffix in STRATEGIES:
+        mine = drawn.where(F.col("suffix").startswith(suffix + "_") & (F.col("kind") == kind)).select("track_id", F.col("suffix").alias("_suffix"))
+        made = variants(points.join(mine.select("track_id"), "track_id", "left_semi"), [(kind, suffix, a, b)])
+        made = made.join(mine.withColumnRenamed("track_id", "original_track_id"), "original_track_id").withColumn("track_id", F.concat("original_track_id", F.lit("_SYN_"), "_suffix")).drop("_suffix")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def seasonal_variants(tracks_: DataFrame, per_season: int = 3) -> DataFrame:
+    """Each track with each season's first per_season day offsets: track_id, variant_id, season, day_offset."""
+    table = F.array(*[F.struct(F.lit(s).alias("season"), F.lit(i).alias("i"), F.lit(d).alias("day_offset")) for s, days in SEASON_DAYS.items() for i, d in enumerate(days[:per_season])])
+    rows = tracks_.select("track_id", F.explode(table).alias("v"))
+    return rows.select("track_id", F.concat_ws("_", "track_id", F.lit("season"), "v.season", F.col("v.i").cast("string")).alias("variant_id"), "v.season", "v.day_offset")
+
+
+def keep_climb(original: DataFrame, jittered: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """jittered, with altitudes of tracks drawn towards their first one where gain or loss left the original's by more than the tolerance; tracks that became steeper than 89 degrees are left out. Climbs go over known altitudes."""
+
+    def climbs(points: DataFrame, tag: str) -> DataFrame:
+        rows = points.where("altitude is not null and latitude is not null")
+        rows = tracks._step(rows, ahead=False, radius=geo.R_EQUATOR).withColumn("_c", F.col("altitude") - F.col("other_altitude"))
+        slope = F.when(F.col("distance") > 0, F.degrees(F.atan(F.abs("_c") / F.nullif(F.col("distance"), F.lit(0.0)))))
+        return rows.groupBy("track_id").agg(F.sum(F.greatest("_c", F.lit(0.0))).alias(f"gain_{tag}"), F.sum(F.greatest(-F.col("_c"), F.lit(0.0))).alias(f"loss_{tag}"), F.max(slope).alias(f"slope_{tag}"), F.min_by("altitude", "point_index").alias(f"first_{tag}"))
+
+    both = climbs(original, "a").join(climbs(jittered, "b"), "track_id")
+    gain, loss = F.col("gain_b") / F.greatest("gain_a", F.lit(1.0)), F.col("loss_b") / F.greatest("loss_a", F.lit(1.0))
+    kept = gain.between(1 - tolerance, 1 + tolerance) & loss.between(1 - tolerance, 1 + tolerance)
+    scale = F.when(F.coalesce(kept, F.lit(True)), 1.0).otherwise((F.col("gain_a") + F.col("loss_a")) / F.nullif(F.col("gain_b") + F.col("loss_b"), F.lit(0.0)))
+    plan = both.where(F.coalesce(F.col("slope_b"), F.lit(0.0)) <= 89).select("track_id", F.col("first_a").alias("_first"), scale.alias("_scale"))
+    moved = F.when(F.col("_scale") == 1, F.col("altitude")).otherwise(F.col("_first") + (F.col("altitude") - F.col("_first")) * F.col("_scale"))
+    return jittered.join(plan, "track_id").withColumn("altitude", moved).drop("_first", "_scale")
+
+
+def correlation_gap(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, both correlations and whether they differ by less than 0.15."""
+    from trekframe.operators import stats
+
+    r = lambda df, name: stats.pearson_pairs(df, columns).select("a", "b", F.col("r").alias(name))
+    return r(original, "r_original").join(r(synthetic, "r_synthetic"), ["a", "b"]).withColumn("ok", F.abs(F.col("r_original") - F.col("r_synthetic")) < 0.15)
+
+
+def resampled(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """n draws with replacement: draw and id_col. Ids are numbered in order by range, so no task holds them all."""
+    size = rows.count()
+    marked = numbered(rows.select(id_col), id_col)
+    if not size:
+        return marked.select(F.lit(0).cast("long").alias("draw"), id_col).limit(0)
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(seed, F.col("id")) * size).cast("long").alias("place"))
+    return draws.join(marked, "place").select("draw", id_col)
+
+
+def numbered(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows with place, 0 for the smallest id: numbers within id ranges, plus the sizes of the ranges before."""
+    dealt = rows.repartitionByRange(id_col).withColumn("_p", F.spark_partition_id())
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_p", "_start")  # a row a range
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(id_col)) - 1 + F.col("_start")
+    return dealt.join(F.broadcast(starts), "_p").withColumn("place", place.cast("long")).drop("_p", "_start")
+
+
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as z-scores by population deviation; constant columns become 0."""
     stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_{c}") for c in columns])

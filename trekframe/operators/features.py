@@ -157,6 +157,45 @@ def classify_tracks(points: DataFrame) -> DataFrame:
     return counts.groupBy("track_id").agg(best.alias("b"), F.sum("n").alias("total")).select("track_id", F.col("b.cls").alias("dominant"), F.col("b.n").alias("n_dominant"), "total")
 
 
+# What is known of a terrain class.
+TERRAIN_PROPERTIES = {
+    "mountain": {"min_elevation": 500.0, "slope_threshold": 10.0},
+    "forest": {"vegetation_index": 0.7},
+    "grassland": {"vegetation_index": 0.4},
+    "urban": {"building_density": 0.5},
+    "water": {"water_coverage": 0.8},
+}
+
+
+def terrain_properties(kind: Column) -> Column:
+    """Map of a terrain class's properties, empty for others."""
+    flat = lambda d: [x for k, v in d.items() for x in (F.lit(k), F.lit(v))]
+    table = F.create_map(*[x for k, v in TERRAIN_PROPERTIES.items() for x in (F.lit(k), F.create_map(*flat(v)))])
+    return F.coalesce(F.try_element_at(table, kind), F.create_map().cast("map<string,double>"))
+
+
+def is_yandex_map(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.contains("yandex") | low.contains("ymaps")
+
+
+def enriched_point(csv_terrain: Column, geocoded: Column, n_objects: Column, region: Column, temperature: Column) -> dict[str, Column]:
+    """Terrain with its confidence (a route's own before a geocoded one), source and quality of a point; nothing found makes it unavailable with quality 0.2."""
+    found = csv_terrain.isNotNull() | geocoded.isNotNull()
+    return {
+        "terrain": F.coalesce(csv_terrain, geocoded),
+        "terrain_confidence": F.when(csv_terrain.isNotNull(), 0.9).when(geocoded.isNotNull(), 0.75),
+        "source": F.when(csv_terrain.isNotNull(), "csv").when(geocoded.isNotNull(), "geocoder"),
+        "available": found,
+        "quality": F.when(found, quality_score(csv_terrain.isNotNull(), n_objects, region, temperature)).otherwise(0.2),
+    }
+
+
+def with_defaults(points: DataFrame) -> DataFrame:
+    """points with the values that stand in for missing keys of a record."""
+    return points.withColumns({"track_id": F.coalesce("track_id", F.lit("UNKNOWN")), "date": F.coalesce("date", F.lit("2004-01-01").cast("date")), "latitude": F.coalesce("latitude", F.lit(55.7558)), "longitude": F.coalesce("longitude", F.lit(37.6173))})
+
+
 def estimated_weather(lat: Column, lon: Column, month: Column) -> dict[str, Column]:
     """Temperature, humidity, pressure, wind, code and description by latitude band, season and longitude."""
     winter, band = month.isin(12, 1, 2), lambda a, b, c, d: F.when(lat > 66, a).when(lat > 60, b).when(lat > 45, c).otherwise(d)

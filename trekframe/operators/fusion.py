@@ -15,6 +15,11 @@ def votes(osm: Column, osm_confidence: Column, csv: Column, satellite: Column, s
     return F.array_compact(F.array(one("osm", osm, osm_confidence), one("csv", csv, F.lit(CSV_CONFIDENCE)), one("satellite", satellite, satellite_confidence)))
 
 
+def log_conflicts(rows, path: str) -> None:
+    """Appends rows whose csv and osm terrain differ to a log of JSON lines."""
+    rows.where("csv is not null and osm is not null and csv <> osm").write.mode("append").json(path)
+
+
 def _mean(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.size(v)
 

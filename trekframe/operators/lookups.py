@@ -19,6 +19,13 @@ def first_known(*columns: Column) -> Column:
     return F.coalesce(*columns)
 
 
+def hit_counts(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """One row: look-ups, hits, misses and the share of hits; cache has one row a key."""
+    rows = wanted.join(cache.select(key, F.lit(True).alias("_hit")), key, "left")
+    hits = F.count("_hit")
+    return rows.agg(F.count("*").alias("lookups"), hits.alias("hits"), (F.count("*") - hits).alias("misses"), F.round(100.0 * hits / F.count("*"), 4).alias("hit_pct"))
+
+
 def within_radius(points: DataFrame, places: DataFrame, metres: float, cell: float | None = None) -> DataFrame:
     """points' id, places' id and distance of pairs closer than a radius.
 

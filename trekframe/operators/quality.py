@@ -67,6 +67,16 @@ def within_bounds(points: DataFrame, lat: tuple[float, float] = (-90.0, 90.0), l
     return points.where(F.col("latitude").between(*lat) & F.col("longitude").between(*lon) & (F.col("altitude").isNull() | F.col("altitude").between(*ele)))
 
 
+def route_checks(points: DataFrame, keys: list[str]) -> DataFrame:
+    """One row over loaded routes: rows, rows out of range, columns with gaps, repeated rows, and points outside the world."""
+    wrong = violations(points).agg(F.count_if(F.size("violations") > 0).alias("n_invalid"))
+    gaps = missing_values(points, [c for c in points.columns if c not in keys]).agg(F.count_if(F.col("nulls") > 0).alias("n_columns_with_gaps"))
+    again = duplicates(points, keys).agg(F.count("*").alias("n"), F.count_if("is_duplicate").alias("n_duplicates"))
+    inside = within_bounds(points).agg(F.count("*").alias("n_inside"))
+    one = again.crossJoin(wrong).crossJoin(gaps).crossJoin(inside)  # single rows
+    return one.select("n", "n_invalid", "n_columns_with_gaps", "n_duplicates", (F.col("n") - F.col("n_inside")).alias("n_outside_world"))
+
+
 def region_errors(points: DataFrame) -> DataFrame:
     """track_id, ok, n_bad: whether all of a track's points lie in the augmentation region."""
     bad = outside(F.col("latitude"), REGION_LAT) | outside(F.col("longitude"), REGION_LON)

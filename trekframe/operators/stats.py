@@ -407,6 +407,61 @@ def shared_neighbours(pairs: DataFrame, limit: float = 0.2, pair_limit: float =
     )
 
 
+def column_profiles(df: DataFrame, order: str) -> DataFrame:
+    """A row a column: type, known and distinct values, the first three in order, and of numbers least, greatest, mean and deviation."""
+    numbers = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    out = []
+    for name, kind in df.dtypes:
+        c, number = F.col(name), kind in numbers or kind.startswith("decimal")
+        value = lambda f: (f(c.cast("double")) if number else F.lit(None)).cast("double")  # noqa: E731, B023
+        out.append(F.struct(F.lit(name).alias("column_name"), F.lit("number" if number else "text").alias("kind"), F.count("*").alias("n"), F.count(c).alias("known"), F.count_distinct(c).alias("n_unique"), value(F.min).alias("low"), value(F.max).alias("high"), value(F.avg).alias("mean"), value(F.stddev_samp).alias("std")))
+    rows = df.agg(F.array(*out).alias("a")).select(F.inline("a"))
+    first = df.orderBy(order).limit(3).withColumn("_k", F.row_number().over(Window.orderBy(order)))  # three rows
+    shown = first.select("_k", F.inline(F.array(*[F.struct(F.lit(k).alias("column_name"), F.col(k).cast("string").alias("v")) for k in df.columns])))
+    shown = shown.groupBy("column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "v"))), lambda x: x["v"]), "|").alias("first_values"))
+    return rows.join(shown, "column_name", "left")
+
+
+def markdown_report(profiles: DataFrame, title: str) -> DataFrame:
+    """One row: a Markdown table of a few columns' profiles."""
+    line = F.concat_ws(" | ", F.concat(F.lit("| "), "column_name"), "kind", F.col("known").cast("string"), F.concat(F.col("n_unique").cast("string"), F.lit(" |")))
+    rows = F.array_sort(F.collect_list(F.struct("column_name", line.alias("line"))))
+    head = f"# {title}\n\n| column | kind | known | distinct |\n|-|-|-|-|\n"
+    return profiles.agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda x: x["line"]), "\n")).alias("report"))
+
+
+def strong_edges(pairs: DataFrame, limit: float = 0.3) -> DataFrame:
+    """Edges of the quick skeleton: pairs whose |r| is above the limit, strongest first."""
+    return pairs.where(F.abs("r") > limit).select("a", "b", "r").orderBy(F.abs("r").desc(), "a", "b")
+
+
+def variance_ranking(df: DataFrame, columns: list[str], group: str, most_missing: float = 0.5) -> DataFrame:
+    """feature, f, df1, df2, eta2 of every column known in at least half of the rows, by groups; the largest F first."""
+    share = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
+    out = None
+    for c in columns:
+        if share[c] is not None and share[c] <= most_missing:
+            one = anova(df, c, group).withColumn("feature", F.lit(c))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
+    """group, n, mean and population deviation of a column's known values, groups of two or more."""
+    return df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).where("n >= 2")
+
+
+def yeo_johnson(df: DataFrame, column: str, grid: int = 41) -> DataFrame:
+    """n, lambda in [-2, 4] of the largest log likelihood over a grid, and that; one pass over the rows."""
+    table = F.array(*[F.lit(-2 + 6 * i / (grid - 1)) for i in range(grid)])
+    x = F.col("x")
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null").select("x", F.explode(table).alias("l"))
+    l = F.col("l")  # noqa: E741
+    y = F.when(x >= 0, F.when(F.abs(l) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, l) - 1) / l)).otherwise(F.when(F.abs(l - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - l) - 1) / (2 - l)))
+    found = rows.withColumn("y", y).groupBy("l").agg(F.count("*").alias("n"), (-F.count("*") / 2.0 * F.ln(F.var_pop("y")) + (l - 1) * F.sum(F.signum(x) * F.log1p(F.abs(x)))).alias("llf"))
+    return found.agg(F.max_by(F.struct("n", F.col("l").alias("lambda"), "llf"), "llf").alias("b")).select("b.*")
+
+
 def table_profile(df: DataFrame) -> DataFrame:
     """column_name, n, known, nulls, n_unique of every column: one pass."""
     one = df.agg(F.count("*").alias("n"), *[F.struct(F.count(c).alias("k"), F.count_distinct(c).alias("u")).alias(f"_{c}") for c in df.columns])

@@ -238,6 +238,20 @@ def step_frequency(points: DataFrame) -> DataFrame:
     return rows.withColumn("steps", F.when(first, 1.4).when(F.col("distance") > 0, 1 / 0.7).otherwise(0.0)).select(*points.columns, "steps")
 
 
+def elevation_profile(points: DataFrame) -> DataFrame:
+    """track_id, lowest, highest and mean altitude, unknown ones as 0."""
+    a = F.coalesce("altitude", F.lit(0.0))
+    return points.groupBy("track_id").agg(F.min(a).alias("min_altitude"), F.max(a).alias("max_altitude"), F.avg(a).alias("avg_altitude"))
+
+
+def count_mismatches(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """track_id, n, n_reference, error: tracks that are empty or whose number of points isn't the reference track's."""
+    n = lambda df, name: df.groupBy("track_id").agg(F.count("*").alias(name))
+    both = n(reference, "n_reference").join(n(points, "n"), "track_id", "full").na.fill(0, ["n", "n_reference"])
+    error = F.when(F.col("n") == 0, "empty track").when(F.col("n") != F.col("n_reference"), "point count differs")
+    return both.select("track_id", "n", "n_reference", error.alias("error")).where("error is not null")
+
+
 def centroid(points: DataFrame) -> DataFrame:
     """track_id, latitude, longitude, altitude: mean direction of a track's points."""
     p, l = F.radians("latitude"), F.radians("longitude")  # noqa: E741
