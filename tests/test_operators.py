@@ -112,8 +112,7 @@ def test_track_files(spark, tmp_path):
     assert [(r.latitude, r.altitude, r.error is None, r.sport) for r in tcx] == [(55.1, 5.0, True, "Running"), (None, None, False, "Running")]
     assert [(r.longitude, r.latitude, r.altitude) for r in read("a.geojson")] == [(37.2, 55.1, 100.0), (37.3, 55.2, None), (37.4, 55.3, None), (37.5, 55.4, 7.5)]
     assert [(r.longitude, r.latitude, r.altitude) for r in read("a.kml")] == [(37.2, 55.1, 10.0), (37.3, 55.2, None), (37.5, 55.5, 1.5)]
-    with pytest.raises(ValueError):
-        files.read_tracks(spark, "x.txt")
+    assert files.read_tracks(spark, "x.txt").first().error == "unknown track format: txt"
 
 
 def test_export_round_trip(spark, sf_dir, tmp_path):
@@ -221,3 +220,32 @@ def test_track_pipeline(spark, sf_dir, tmp_path):
     shelf = store.TrackStore(spark, f"{tmp_path}/store")
     assert shelf.read("points").count() == points.count() and shelf.read("augmentations").count() > 0
     assert track_pipeline.repair(points).where("is_fixed").count() > 0
+
+
+def test_running_sums_are_the_same_in_any_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 1000).cast("double").alias("v"), (F.col("id") % 3).alias("g")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    seen = lambda n: sorted(map(tuple, stats.with_upto(df, "v", "c", ("g",), range_rows=n).select("g", "v", "c", "upto").collect()))
+    whole = seen(10_000)
+    assert whole == seen(50)
+    assert max(x[3] for x in whole) == spark.range(5000).where("id % 3 = 0").count()
+
+
+def test_long_tracks_take_linear_time(spark):
+    n = 50_000
+    p = spark.range(n).select(F.lit("T").alias("track_id"), F.col("id").cast("int").alias("point_index"), F.sin(F.col("id") / 500.0).alias("latitude"), F.cos(F.col("id") / 500.0).alias("longitude"), (F.col("id") % 7).cast("double").alias("altitude"))
+    broken = p.withColumn("latitude", F.when(F.col("point_index") % 10 != 5, F.col("latitude")))
+    fixed = tracks.interpolate_spline(broken, F.col("latitude").isNull()).join(p.select("point_index", F.col("latitude").alias("truth")), "point_index")
+    assert fixed.agg(F.max(F.abs(F.col("latitude") - F.col("truth")))).first()[0] < 1e-6
+    assert tracks.kalman(p, "altitude").count() == n
+
+
+def test_distances_that_do_not_converge_are_null(spark):
+    r = one(spark, geo.vincenty_inverse(L(0.0), L(0.0), L(0.5), L(179.7)), geo.vincenty_inverse(L(0.0), L(0.0), L(0.0), L(90.0)), geo.vincenty_inverse(L(None), L(0.0), L(0.0), L(90.0)))
+    assert r[0] is None and abs(r[1] - 10018754.171) < 0.01 and r[2] is None
+
+
+def test_drawn_variants_carry_their_strategy(spark, sf_dir):
+    p = track_points(spark, sf_dir).where("latitude between 43 and 79 and longitude between 21 and 167")
+    drawn = {(r.track_id, r.suffix) for r in augment.drawn_strategies(p, 3).collect()}
+    made = augment.drawn_variants(p, 3).select("original_track_id", "track_id").distinct().collect()
+    assert made and all((r.original_track_id, r.track_id.split("_SYN_")[1]) in drawn for r in made)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trekframe.functions import geo
 from trekframe.operators import quality, tracks
-from trekframe.sources.shared import ship
+from trekframe.sources.shared import materialised, ship
 
 #: Largest rotation (degrees), shift (m), jitter (m) and days.
 MOST_ROTATION, MOST_SHIFT, MOST_JITTER, MOST_DAYS = 45.0, 10000.0, 15.0, 30
@@ -181,7 +181,7 @@ def resampled(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
 
 def numbered(rows: DataFrame, id_col: str) -> DataFrame:
     """rows with place, 0 for the smallest id: numbers within id ranges, plus the sizes of the ranges before."""
-    dealt = rows.repartitionByRange(id_col).withColumn("_p", F.spark_partition_id())
+    dealt = materialised(rows.repartitionByRange(id_col).withColumn("_p", F.spark_partition_id()))
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_p", "_start")  # a row a range
     place = F.row_number().over(Window.partitionBy("_p").orderBy(id_col)) - 1 + F.col("_start")

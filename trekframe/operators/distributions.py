@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.operators.stats import jarque_bera, long_form
-from trekframe.sources.shared import ship
+from trekframe.operators.stats import jarque_bera, long_form, with_upto
+from trekframe.sources.shared import materialised, ship
 
 #: Values that the Shapiro-Wilk test takes at most, as its tables allow; bins of the histogram behind densities.
 SHAPIRO_MOST, BINS = 5000, 4096
@@ -33,8 +33,7 @@ def anderson_darling(df: DataFrame, columns: list[str]) -> DataFrame:
     values = long_form(df, columns)
     moments = values.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     counts = values.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("c")).join(F.broadcast(moments), "feature")  # one row a column of the list
+    rows = with_upto(counts, "value", "c", ("feature",)).withColumnRenamed("upto", "hi").withColumn("lo", F.col("hi") - F.col("c")).join(F.broadcast(moments), "feature")  # one row a column of the list
     rows = rows.withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
     up, hi, lo = F.col("hi").cast("double") ** 2 - F.col("lo").cast("double") ** 2, F.col("hi").cast("double"), F.col("lo").cast("double")
     down = (2.0 * F.col("n") + 1) * F.col("c") - (hi * (hi + 1) - lo * (lo + 1))
@@ -181,22 +180,33 @@ def box_cox(df: DataFrame, column: str, low: float = -2.0, high: float = 2.0, st
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """value, c, rank (of the last of equal values) and p: order-statistic positions for quantile plots, one row a distinct value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("c").over(Window.partitionBy())
-    return counts.select("value", "c", upto.alias("rank"), ((upto - (F.col("c") - 1) / 2.0 - 0.3175) / (n + 0.365)).alias("p"))
+    rows = with_upto(counts, "value", "c")
+    n, upto = F.col("_n"), F.col("upto")
+    rows = rows.join(F.broadcast(rows.agg(F.sum("c").alias("_n"))))  # one row
+    return rows.select("value", "c", upto.alias("rank"), ((upto - (F.col("c") - 1) / 2.0 - 0.3175) / (n + 0.365)).alias("p"))
 
 
 def permutation_p(df: DataFrame, x: str, y: str, id_col: str, permutations: int = 100, block_rows: int = 10_000, seed: int = 42) -> DataFrame:
     """One row: r, n, p: the share of shuffles with at least as large a correlation; seeded.
 
-    A shuffle gives each row the y of the next one in the order of a hash,
-    inside a random block of about so many rows, over all rows.
+    Rows are dealt at random into blocks of about so many; a block is shuffled
+    once for each permutation where it is, and only its sums of products leave
+    it. All rows take part, and each travels once.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    rows = materialised(rows)
+    real = rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     blocks = max(1, rows.count() // block_rows)
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("h", F.xxhash64(F.lit(seed), "b", "id"))
-    w = Window.partitionBy("b", F.pmod("h", F.lit(blocks))).orderBy("h", "id")
-    first = F.first("y").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    shuffled = each.withColumn("z", F.coalesce(F.lead("y").over(w), first)).groupBy("b").agg(F.corr("x", "z").alias("rb"))
-    real = rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
-    return shuffled.join(F.broadcast(real)).groupBy("r", "n").agg(F.avg((F.abs("rb") >= F.abs("r")).cast("double")).alias("p"))  # one row
+
+    def shuffle(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["h", "id"])
+        a, b = (block.x - block.mx).to_numpy(), (block.y - block.my).to_numpy()
+        rng = np.random.default_rng([seed, int(block.b.iloc[0])])
+        return pd.DataFrame({"k": range(permutations), "product": [float(a @ rng.permutation(b)) for _ in range(permutations)]})
+
+    ship(df.sparkSession)
+    h = F.xxhash64(F.lit(seed), "id")
+    dealt = rows.join(F.broadcast(real.select("mx", "my"))).withColumns({"h": h, "b": F.pmod(h, F.lit(blocks))})  # one row
+    sums = dealt.groupBy("b").applyInPandas(shuffle, "k int, product double").groupBy("k").agg(F.sum("product").alias("product"))
+    found = sums.join(F.broadcast(real)).withColumn("rb", F.col("product") / (F.col("n") * F.col("sx") * F.col("sy")))
+    return found.groupBy("r", "n").agg(F.avg((F.abs("rb") >= F.abs("r")).cast("double")).alias("p"))

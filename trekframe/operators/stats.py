@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.sources.shared import ship
+from trekframe.sources.shared import materialised, ship
 
 
 def long_form(df: DataFrame, columns: list[str], name: str = "feature") -> DataFrame:
@@ -83,6 +83,30 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
+#: Rows of a running sum that one task orders, about.
+RANGE_ROWS = 1_000_000
+
+
+def with_upto(counts: DataFrame, value: str, weight: str, by: tuple[str, ...] = (), range_rows: int | None = None) -> DataFrame:
+    """counts with upto: the weight of the group's rows up to each row's value.
+
+    Distinct values may be as many as rows, so no task orders a whole group:
+    values are dealt into ranges, the ranges' sums are added up (a row a range),
+    and each range is ordered by itself.
+    """
+    counts = materialised(counts)
+    ranges = -(-counts.count() // (range_rows or RANGE_ROWS))
+    rows = counts.withColumn("_range", F.lit(0))
+    if ranges > 1:
+        bounds = counts.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("_bounds"))
+        rows = counts.join(F.broadcast(bounds), list(by)) if by else counts.join(F.broadcast(bounds))  # a row a group
+        rows = rows.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    sums = rows.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    before = sums.select(*by, "_range", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.sum(weight).over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("upto", inside).join(F.broadcast(before), [*by, "_range"]).withColumn("upto", F.col("upto") + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
+
+
 def average_rank(df: DataFrame, column: str, by: list[str] | None = None) -> Column:
     """Average rank of a column's value: its rank plus half the number of ties."""
     parts = by or []
@@ -97,12 +121,11 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     rows = df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))).where("x is not null and y is not null")
-    counts = rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))
+    counts = materialised(rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("c")))
 
     def ranks(v: str) -> DataFrame:
         values = counts.groupBy("a", "b", v).agg(F.sum("c").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy("a", "b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
-        return values.select("a", "b", v, (upto - (F.col("k") - 1) / 2.0).alias(f"r{v}"))
+        return with_upto(values, v, "k", ("a", "b")).select("a", "b", v, (F.col("upto") - (F.col("k") - 1) / 2.0).alias(f"r{v}"))
 
     ranked = counts.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
     n, sx, sy = F.sum("c"), F.sum(F.col("c") * F.col("rx")), F.sum(F.col("c") * F.col("ry"))
@@ -267,8 +290,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: Kruskal-Wallis H with the tie correction; ranks come from counts of distinct values."""
     known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).alias("v"), F.col(group).alias("g")).agg(F.count("*").alias("c"))
     values = known.groupBy("v").agg(F.sum("c").alias("k"))
-    upto = F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # distinct values
-    ranks = values.select("v", "k", (upto - (F.col("k") - 1) / 2.0).alias("rank"))
+    ranks = with_upto(values, "v", "k").select("v", "k", (F.col("upto") - (F.col("k") - 1) / 2.0).alias("rank"))
     size = ranks.agg(F.sum("k").cast("double").alias("n"), F.sum(F.col("k") * 1.0 * F.col("k") * F.col("k") - F.col("k")).alias("ties"))
     sums = known.join(ranks, "v").groupBy("g").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("rank")).alias("s"))
     total = sums.agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.count("*").alias("k")).join(F.broadcast(size))  # one row
@@ -329,8 +351,9 @@ def box(df: DataFrame, columns: list[str]) -> DataFrame:
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """value, share of known values up to it: running sums over distinct values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("value", (upto / F.sum("c").over(Window.partitionBy())).alias("share"))
+    rows = with_upto(counts, "value", "c")
+    total = rows.agg(F.sum("c").alias("_total"))
+    return rows.join(F.broadcast(total)).select("value", (F.col("upto") / F.col("_total")).alias("share"))  # one row
 
 
 def classify_distribution(df: DataFrame, columns: list[str]) -> DataFrame:

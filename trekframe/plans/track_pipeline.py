@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trekframe.operators import augment, catalog, features, quality, stats, store, tracks
+from trekframe.sources.shared import materialised
 
 NUMERIC = ["G_latitude", "G_longitude", "M_temperature", "TR_altitude", "TR_terrain_confidence", "TJ_step_frequency", "OBJ_count_nearby"]
 
@@ -44,7 +45,7 @@ def analyse(points: DataFrame, objects: DataFrame, regions: DataFrame | None = N
     known = repaired.where("latitude is not null and longitude is not null")
     weather = features.estimated_weather(F.col("latitude"), F.col("longitude"), F.month("date"))
     enriched = known.withColumn("temperature", F.coalesce("temperature", weather["temperature"])).withColumn("terrain_type", F.coalesce("terrain_type", features.classify_point(F.col("latitude"), F.col("altitude"))))
-    records = features.feature_record(enriched, objects, regions)
+    records = materialised(features.feature_record(enriched, objects, regions))  # six tables come from it
     pairs = stats.pearson_pairs(records, NUMERIC)
     return Outcome(
         validity=quality.validity(points),
