@@ -91,9 +91,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_TABLES: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that isn't needed any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Removes at its end the tables that ``written`` made inside: for callers that have stored their result by then."""
+    start = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[start:]:
+            remove(spark, path)
+        del _TABLES[start:]
+
+
 def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost no recomputation of what came before."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     with small_batches(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
