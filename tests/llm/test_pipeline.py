@@ -55,3 +55,23 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_run_stands_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as C
+    from tests.llm.data import edge_docs, empty_docs
+
+    for name, docs in (("edges", edge_docs(spark)), ("none", empty_docs(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = C.run(spark, f"{tmp_path}/{name}").collect()
+        passed = {r.doc_id for r in Q.quality_report(docs).where("kept").collect()}
+        assert {g.doc_id for g in got} <= passed
+        assert len({g.ids_sha256 for g in got}) == len({g.decoded_sha256 for g in got})
+        assert name == "edges" or not got
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    left = [x for x in os.listdir(folder) if x.startswith(("quality-rows", "blocks", "links-small"))]
+    before = set(left)
+    C.run(spark, f"{tmp_path}/edges")
+    assert {x for x in os.listdir(folder) if x.startswith(("quality-rows", "blocks", "links-small"))} == before  # a run leaves its result alone

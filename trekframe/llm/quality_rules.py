@@ -191,7 +191,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that pass, columns as they came. Rows and their features are written once and read for both the sketches and the filter; texts aren't shuffled."""
     rows = docs.select(F.struct("*").alias("doc"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), base_features(F.col(text_col)).alias("f"))
-    rows = written(rows, "quality-rows")
+    rows = written(rows, "quality-rows", compression="zstd")
     limits = written(thresholds(rows, "lang", "source", "f").coalesce(1), "quality-thresholds")
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
     return joined.where(_verdict(F.col("f"))).select("doc.*")
