@@ -45,3 +45,9 @@ def test_dedup_keeps_columns_and_one_row_a_text(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len({low(r.text) for r in docs.collect()})
     assert exact_dedup(empty_docs(spark)).count() == 0 == exact_groups(empty_docs(spark)).count()
+
+
+def test_batches_of_many_rows_are_cut_without_harm(spark):
+    docs = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "concat('Text NUMBER ', id % 700) as text")
+    got = exact_groups(docs).collect()
+    assert {(g.doc_id, g.keep_id) for g in got} == {(i, max(range(i % 700, 3000, 700))) for i in range(3000)}
