@@ -208,6 +208,28 @@ def with_p(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p", p(F.col("r"), F.col("n").cast("double")))
 
 
+def with_upper_p(rows: DataFrame, statistic: str, df1: str, df2: str | None = None, name: str = "p") -> DataFrame:
+    """rows with the upper tail of their statistic: of F with df1 and df2 degrees of freedom, or without df2 of chi-squared with df1. For result tables of a few rows."""
+    ship(rows.sparkSession)
+
+    def tail(x, a, b) -> float | None:
+        if x is None or x != x or a < 1:
+            return None
+        return chi2_upper(x, a) if df2 is None else f_upper(x, a, b)
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([tail(*v) for v in zip(x, a, b)], dtype="float64")
+
+    columns = (statistic, df1, df2 or df1)
+    return rows.withColumn(name, p(*[F.col(c).cast("double") for c in columns]))
+
+
+def significant(ranking: DataFrame, p_limit: float = 0.05) -> DataFrame:
+    """The features whose values differ by group: those of a variance ranking with p below the limit, the largest F first."""
+    return with_upper_p(ranking, "f", "df1", "df2").where(F.col("p") < p_limit).orderBy(F.col("f").desc())
+
+
 def significant_pairs(pairs: DataFrame, p_limit: float = 0.05, r_limit: float = 0.3) -> DataFrame:
     return with_p(pairs).where((F.col("p") < p_limit) & (F.abs("r") >= r_limit))
 

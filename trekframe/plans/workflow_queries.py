@@ -306,6 +306,49 @@ def yeo_johnson(spark, sf):
     return r.select("n", F.round("lambda", 6).alias("lambda"), F.round("llf", 2).alias("llf"))
 
 
+# p values: with an even number of degrees of freedom the tails of F and chi-squared are finite sums, which SQL has.
+_F6 = "pow(y, df2/2.0::double)*(1+df2/2.0::double*(1-y)+df2/2.0::double*(df2/2.0::double+1)/2*(1-y)*(1-y))"
+
+
+def _chi2_tail(x: str, df: int) -> str:
+    import math
+
+    return f"exp(-{x}/2)*(" + "+".join(f"pow({x}/2,{k})/{math.factorial(k)}.0::double" for k in range(df // 2)) + ")"
+
+
+_RANKING = " union all ".join(f"select '{c}' as feature, * from (with {_anova(c, 'terrain_type', 'track_points').replace('round((b/(k-1))/(w/(n-k)),4)', '(b/(k-1))/(w/(n-k))')})" for c in NUMERIC)
+
+
+@query(oracle(f"r as ({_RANKING}), p as (select *, df2/(df2+df1*f) as y from r) select feature, round(f,4) as f, df1, df2, round({_F6},6) as p from p"))
+def anova_p_values(spark, sf):
+    r = stats.with_upper_p(stats.variance_ranking(track_points(spark, sf), NUMERIC, "terrain_type"), "f", "df1", "df2")
+    return r.select("feature", F.round("f", 4).alias("f"), "df1", "df2", F.round("p", 6).alias("p"))
+
+
+@query(oracle(f"r as ({_RANKING}), p as (select *, df2/(df2+df1*f) as y from r) select feature, round(f,4) as f from p where {_F6}<0.9"))
+def differing_features(spark, sf):
+    found = stats.significant(stats.variance_ranking(track_points(spark, sf), NUMERIC, "terrain_type"), 0.9)
+    return found.select("feature", F.round("f", 4).alias("f"))
+
+
+@query(
+    oracle(f"""r as (select terrain_type as g, rank() over (order by temperature)+(count(*) over (partition by temperature)-1)/2.0::double as rk, count(*) over (partition by temperature) as t from track_points where temperature is not null and terrain_type is not null),
+    n as (select count(*)::double as n, sum(t::double*t-1) as ties from r), s as (select g, count(*) as m, sum(rk) as s from r group by 1),
+    h as (select (12/(n*(n+1))*sum(s*s/m)-3*(n+1))/(1-ties/(n*n*n-n)) as h, count(*)-1 as df from s, n group by n, ties) select round(h,5) as h, df, round({_chi2_tail("h", 6)},6) as p from h""")
+)
+def kruskal_p_value(spark, sf):
+    return stats.with_upper_p(stats.kruskal(track_points(spark, sf), "temperature", "terrain_type"), "h", "df").select(F.round("h", 5).alias("h"), "df", F.round("p", 6).alias("p"))
+
+
+@query(
+    oracle(f"""c as (select coalesce(terrain_type,'missing') as x, region_key as y, count(*) as o from track_points group by 1,2), r as (select x, sum(o) as r from c group by 1), k as (select y, sum(o) as k from c group by 1), n as (select sum(o) as n from c),
+    e as (select coalesce(o,0) as o, r*k/n::double as e from r cross join k cross join n left join c using (x, y)), t as (select sum((o-e)*(o-e)/e) as chi2 from e) select round(chi2,5) as chi2, 28 as df, round({_chi2_tail("chi2", 28)},6) as p from t""")
+)
+def cramers_p_value(spark, sf):
+    found = stats.with_upper_p(stats.cramers_v(track_points(spark, sf), "terrain_type", "region_key"), "chi2", "df")
+    return found.select(F.round("chi2", 5).alias("chi2"), F.col("df").cast("int").alias("df"), F.round("p", 6).alias("p"))
+
+
 # ---- geodesy in SQL
 
 
