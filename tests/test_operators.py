@@ -249,3 +249,11 @@ def test_drawn_variants_carry_their_strategy(spark, sf_dir):
     drawn = {(r.track_id, r.suffix) for r in augment.drawn_strategies(p, 3).collect()}
     made = augment.drawn_variants(p, 3).select("original_track_id", "track_id").distinct().collect()
     assert made and all((r.original_track_id, r.track_id.split("_SYN_")[1]) in drawn for r in made)
+
+
+def test_neighbours_across_the_date_line_and_around_a_pole(spark):
+    from trekframe.operators import lookups
+
+    points = spark.createDataFrame([(1, 10.0, 179.9995), (2, 89.9995, 0.0), (3, -89.9999, 12.0), (4, 50.0, 8.0)], "id long, latitude double, longitude double")
+    places = spark.createDataFrame([(11, 10.0, -179.9995), (12, 89.9995, 180.0), (13, -89.9999, -150.0), (14, 50.0, 8.001), (15, 50.0, -172.0)], "place_id long, latitude double, longitude double")
+    assert {(r.id, r.place_id) for r in lookups.within_radius(points, places, 200.0).collect()} == {(1, 11), (2, 12), (3, 13), (4, 14)}

@@ -196,10 +196,10 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[z(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int = 5, blocks: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int = 5, block_rows: int = 50_000) -> DataFrame:
     """query_id, id, distance, rank: the k nearest rows of base for every query, itself left out.
 
-    A stated set of queries meets base block by block: a block keeps its k best
+    A stated set of queries meets base in blocks of about block_rows, 16 at least: a block keeps its k best
     of each query (a partial top-k), and these are ranked; the full product is
     never kept or shuffled.
     """
@@ -207,6 +207,7 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: in
     import pyarrow as pa
 
     ship(queries.sparkSession)
+    blocks = max(16, -(-base.count() // block_rows))
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 

@@ -36,13 +36,15 @@ def within_radius(points: DataFrame, places: DataFrame, metres: float, cell: flo
     """
     size = cell or metres / 111000.0 * 1.01
     lat_cell = lambda c: F.floor(c / size)
-    # Cells get wider in longitude towards the poles, by bands of latitude that both sides compute alike.
-    width = lambda row: size / F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(row), F.abs(row + 1)) * size))))
+    # A row's circle is cut into whole cells that get wider towards the poles, the first next to the last; around a pole one cell is all. Both sides compute them alike.
+    edge = lambda row: F.greatest(F.abs(row), F.abs(row + 1)) * size
+    cells = lambda row: F.when(edge(row) >= 89, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge(row))) / size)))
+    col = lambda lon, row: F.pmod(F.floor((lon + 180) * cells(row) / 360), cells(row))
     there = places.select("place_id", F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).where("plat is not null and plon is not null")
-    there = there.withColumn("row", lat_cell(F.col("plat"))).withColumn("col", F.floor(F.col("plon") / width(F.col("row"))))
+    there = there.withColumn("row", lat_cell(F.col("plat"))).withColumn("col", col(F.col("plon"), F.col("row")))
     here = points.select("id", "latitude", "longitude").where("latitude is not null and longitude is not null")
     here = here.withColumn("row", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: lat_cell(F.col("latitude")) + d)))
-    here = here.withColumn("col", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("longitude") / width(F.col("row"))) + d)))
+    here = here.withColumn("col", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(col(F.col("longitude"), F.col("row")) + d, cells(F.col("row")))))))
     d = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
     return here.join(there, ["row", "col"]).select("id", "place_id", d.alias("distance")).where(F.col("distance") < metres)
 

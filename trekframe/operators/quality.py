@@ -59,7 +59,12 @@ def missing_values(points: DataFrame, columns: list[str]) -> DataFrame:
 
 def duplicates(points: DataFrame, keys: list[str], flag: str = "is_duplicate") -> DataFrame:
     """points with a flag on every row whose keys occur more than once; nulls are equal."""
-    return points.withColumn(flag, F.count("*").over(Window.partitionBy(*keys)) > 1)
+    # Counted before they are joined: a window would bring all rows of a frequent key into one task.
+    again = points.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return points.join(again, same, "left").select(*points.columns, F.col("_n").isNotNull().alias(flag))
 
 
 def within_bounds(points: DataFrame, lat: tuple[float, float] = (-90.0, 90.0), lon: tuple[float, float] = (-180.0, 180.0), ele: tuple[float, float] = (-500.0, 9000.0)) -> DataFrame:
