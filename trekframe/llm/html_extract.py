@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import kept, map_arrow, written
+from trekframe.llm.common import kept, map_arrow, small_batches, written
 
 #: Tokens of the stream that a repeated passage has at least; tokens that a block boundary counts for.
 RUN, EDGE = 12, 4
@@ -310,7 +310,8 @@ def part_of(host: str, part: int) -> int:
 def _wanted(asks: DataFrame) -> np.ndarray:
     """Which top BITS bits occur among the windows asked for: 2 ** (BITS - 6) words at most reach the driver, whatever the size of the table."""
     at = F.shiftrightunsigned("window", 64 - BITS)
-    words = asks.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    with small_batches(asks.sparkSession):
+        words = asks.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.common import kept, map_arrow, written
+from trekframe.llm.common import kept, map_arrow, small_batches, written
 from trekframe.llm.components import connected
 
 #: Candidate tokens that linked sets share at least.
@@ -112,7 +112,8 @@ def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     """Which top BITS bits occur among values: 2 ** (BITS - 6) words at most reach the driver, whatever the size of the table."""
     at = F.shiftrightunsigned(F.col(column), 64 - BITS)
-    words = values.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    with small_batches(values.sparkSession):
+        words = values.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
