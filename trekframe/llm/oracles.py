@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from trekframe.llm import license_scan, mixing, quality_rules
+from trekframe.llm import collocations, license_scan, mixing, quality_rules, terms
 
 _WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
 
@@ -109,4 +109,50 @@ def licenses() -> str:
     select documents.doc_id, name as license, coalesce(dice, 0.0::double) as dice, coalesce(c.n, 0) as n_segments, coalesce(every.names, '') as licenses from documents left join best on best.doc_id = documents.doc_id and k = 1 left join every on every.doc_id = documents.doc_id left join (select doc_id, count(*) as n from a group by 1) c on c.doc_id = documents.doc_id"""
 
 
-ORACLES = {"op1_exact_dedup": EXACT, "op2_license_scan": licenses(), "op3_quality_rules": quality(), "op4_mixing": MIXING, "op8_jaccard_join": near(4, 85, 100)}
+_LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER}, '{terms.TERM}')"
+
+SEARCH = f"""
+    with d as (select row_number() over () as row, doc_id, {_TERMS} as ws from documents),
+    size as (select count(*)::bigint as nn, sum(len(ws))::bigint as ll from d where len(ws) > 0),
+    post as (select row, w, count(*)::bigint as tf from (select row, unnest(ws) as w from d) group by all),
+    df as (select w, count(*)::bigint as df from post group by 1),
+    i as (select row_number() over () as item, item_id, list_distinct({_TERMS}) as ws from benchmark),
+    q as (select item, item_id, w, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as weight from (select item, item_id, unnest(ws) as w from i) join df using (w), size),
+    m as (select row, doc_id, 10 + (90 * len(ws)::bigint * nn) // ll as m from d, size where len(ws) > 0),
+    s as (select item, item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join post using (w) join m using (row) group by all),
+    r as (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from s where score > 0)
+    select item_id, rank::int as rank, doc_id, score from r where rank <= 10"""
+
+LEAKS = f"""
+    with d as (select row_number() over () as row, doc_id, {_TERMS} as ws from documents),
+    i as (select coalesce(item_id::varchar, '') as item, {_TERMS} as ws from benchmark),
+    w as (select distinct item, least(10, len(ws)) as n, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') as win from (select item, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as p from i where len(ws) > 0)),
+    u as (select row, unnest(ws) as a, generate_subscripts(ws, 1) as p from d),
+    g as (select row, p, n, win from (select row, p, {", ".join(f"case when count(*) over (o rows between current row and {n - 1} following) = {n} then string_agg(a, ' ') over (o rows between current row and {n - 1} following) end as w{n}" for n in range(1, 11))} from u window o as (partition by row order by p)) unpivot (win for n in ({", ".join(f"w{n}" for n in range(1, 11))}))),
+    h as (select row, p, substr(g.n, 2)::int as n, item from g join w on w.win = g.win and 'w' || w.n = g.n),
+    c as (select row, count(distinct pos) as n_hit from (select row, unnest(range(p, p + n)) as pos from h) group by 1),
+    t as (select row, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row, item from h) group by 1)
+    select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join c using (row) left join t using (row)"""
+
+
+def phrases() -> str:
+    c = collocations
+    longer = [f"select lang, k, phrase, count(*)::bigint as f from (select lang, {k} as k, case when count(*) over (o rows between current row and {k - 1} following) = {k} then string_agg(a, ' ') over (o rows between current row and {k - 1} following) end as phrase from u window o as (partition by row, piece order by p)) where phrase is not null group by all" for k in range(1, c.LONGEST + 1)]
+    return f"""
+    with d as (select row_number() over () as row, coalesce(lang, 'und') as lang, string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]') as ps from documents),
+    q as (select row, lang, generate_subscripts(ps, 1) as piece, regexp_extract_all(unnest(ps), '[^\\x20\\x09]+') as ws from d),
+    u as (select row, lang, piece, unnest(ws) as a, generate_subscripts(ws, 1) as p from q),
+    f as materialized (select * from ({" union all ".join(longer)}) where k = 1 or f >= {c.SUPPORT}),
+    n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+    x as (select * from f where k > 1),
+    held as (select distinct a.lang, a.phrase from x a join x b on a.lang = b.lang and b.k > a.k and b.f = a.f and contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')),
+    cut as (select x.lang, x.phrase, x.f as a, unnest(range(1, k)) as c, k from x anti join held using (lang, phrase)),
+    s as (select cut.lang, cut.phrase, a, c, l.f as l, r.f as r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score from cut join n using (lang)
+        join f l on l.lang = cut.lang and l.phrase = array_to_string(string_split(cut.phrase, ' ')[1:c], ' ') join f r on r.lang = cut.lang and r.phrase = array_to_string(string_split(cut.phrase, ' ')[c + 1:], ' ')),
+    b as (select *, row_number() over (partition by lang, phrase order by score, c) as worst from s),
+    z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b where worst = 1)
+    select lang, rank, phrase, a, l, r, n, score from z where rank <= {c.TOP}"""
+
+
+ORACLES = {"op11_ranked_search": SEARCH, "op12_decontaminate": LEAKS, "op13_collocations": phrases(), "op1_exact_dedup": EXACT, "op2_license_scan": licenses(), "op3_quality_rules": quality(), "op4_mixing": MIXING, "op8_jaccard_join": near(4, 85, 100)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trekframe.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, mixing, pii, quality_rules, token_output
+from trekframe.llm import byte_bpe, collocations, decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, mixing, pii, quality_rules, ranked_search, token_output
 from trekframe.llm.common import table
 from trekframe.llm.oracles import ORACLES  # noqa: F401
 
@@ -52,7 +52,19 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_mixing, op5_html_extract, op6_pii, op7_byte_bpe, op8_jaccard_join, op9_token_output, op10_lang_id)
+    for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_mixing, op5_html_extract, op6_pii, op7_byte_bpe, op8_jaccard_join, op9_token_output, op10_lang_id, op11_ranked_search, op12_decontaminate, op13_collocations)
 }
