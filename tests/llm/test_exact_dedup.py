@@ -51,3 +51,27 @@ def test_batches_of_many_rows_are_cut_without_harm(spark):
     docs = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "concat('Text NUMBER ', id % 700) as text")
     got = exact_groups(docs).collect()
     assert {(g.doc_id, g.keep_id) for g in got} == {(i, max(range(i % 700, 3000, 700))) for i in range(3000)}
+
+
+@pytest.mark.parametrize("budget", [1, 3000, 1 << 30])
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_the_owners_row_comes_back_whole(spark, budget, keep):
+    """Rows of every kind of column, through tries that spill: the owner's, and only once."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(400).repartition(3).selectExpr(
+        "if(id % 13 = 0, null, id) as doc_id", "if(id % 50 = 7, null, concat(if(id % 2 = 0, 'TEXT ', 'text '), id % 40)) as text",
+        "named_struct('a', id, 'b', array(id, null)) as owner_id", "timestamp_seconds(id) as n_bytes", "cast(id as decimal(12,2)) as content_hash", "map('k', id) as m", "id as row",
+    )
+    groups = defaultdict(list)
+    for r in docs.collect():
+        groups[low(r.text)].append(r)
+    got = exact_dedup(docs, keep=keep, budget=budget)
+    assert got.schema == docs.schema
+    rows = {low(r.text): r for r in got.collect()}
+    assert len(rows) == got.select(F.count("*")).first()[0] == len(groups)
+    pick = max if keep == "max" else min
+    for text, members in groups.items():
+        known = [r.doc_id for r in members if r.doc_id is not None]
+        assert rows[text].doc_id == (pick(known) if known else None)
+        assert rows[text] in members

@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekframe.llm.bitmaps import bitmap_of, in_bitmap
@@ -228,6 +228,11 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f"), every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
+def exact_score() -> Column:
+    """floor(1000 a n / (l r)) in whole numbers of up to 38 digits."""
+    return F.expr("cast(cast(1000 as decimal(4,0)) * cast(a as decimal(18,0)) * cast(n as decimal(15,0)) as decimal(38,0)) div cast(cast(l as decimal(18,0)) * cast(r as decimal(18,0)) as decimal(38,0))")
+
+
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", support: int = SUPPORT, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a (its occurrences), l and r (those of the parts of its worst cut), n (the language's words), score."""
     phrases, words = phrase_counts(docs, lang_col, text_col, support, longest)
@@ -239,10 +244,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cuts = left.withColumn("cut", F.explode(F.expr("sequence(1, k - 1)"))).select("lang", "phrase", F.col("f").alias("a"), "cut", F.array_join(F.slice(split, 1, F.col("cut")), " ").alias("first"), F.array_join(F.slice(split, F.col("cut") + 1, F.col("k")), " ").alias("rest"))
     of = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     rated = cuts.join(of("first", "l"), ["lang", "first"]).join(of("rest", "r"), ["lang", "rest"]).join(words, "lang")
-    whole = lambda c: F.col(c).cast("decimal(19,0)")
-    over = (F.lit(1000).cast("decimal(4,0)") * whole("a")).cast("decimal(19,0)") * whole("n").cast("decimal(18,0)")
-    rated = rated.withColumn("over", over.cast("decimal(38,0)")).withColumn("under", (whole("l").cast("decimal(18,0)") * whole("r")).cast("decimal(38,0)"))
-    rated = rated.withColumn("score", F.expr("over div under"))
+    rated = rated.withColumn("score", exact_score())
     worst = rated.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "cut", "l", "r")).alias("cut"))
     worst = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -23,8 +23,6 @@ whole; no documents or no items give an empty result; other columns are unread.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,11 +35,14 @@ from trekframe.llm.terms import TERM, terms
 
 #: Children of a node; documents of a range; words at which a range ends early.
 FAN, RANGE, RANGE_WORDS = 16, 4096, 1 << 22
+#: Rows of the index in an Arrow batch.
+ROWS = 50_000
+#: Nodes that are opened at once.
+OPENED = 16
 #: Ranges opened first for each item; log2 of the items that one task answers for a range.
 FIRST, ITEM_BITS = 4, 8
 
-_INDEX = "shard long, term string, ids array<long>, top long, docs array<int>, impacts array<int>, low array<int>, low_max array<int>, high array<int>, high_max array<int>"
-_TREE = ("docs", "impacts", "low", "low_max", "high", "high_max")
+_INDEX = "shard long, term string, n long, top long, tree binary, ids array<long>"
 
 
 def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
@@ -51,56 +52,109 @@ def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+class _Numbers(dict):
+    """Numbers of terms in the order in which they are met."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _above(owner: np.ndarray, nodes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, nodes and maxima one level higher in the owners' trees."""
+    start = _starts(owner, nodes // FAN)
+    return owner[start], nodes[start] // FAN, np.maximum.reduceat(most, start) if len(start) else most
+
+
+def packed_trees(owner: np.ndarray, docs: np.ndarray, impacts: np.ndarray, n_terms: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A binary for each term, and its number of documents and largest impact.
+
+    The binary has 32-bit numbers: how many documents, low and high nodes there
+    are, then documents and impacts, and nodes and maxima of either level. A term
+    of at most FAN documents has no nodes of its own, its documents are as few.
+    """
+    n = np.bincount(owner, minlength=n_terms)
+    top = np.maximum.reduceat(impacts, _starts(owner))
+    large = n[owner] > FAN
+    low = _above(owner[large], docs[large], impacts[large])
+    high = _above(*low)
+    counts = np.stack([n, *(np.bincount(level[0], minlength=n_terms) for level in (low, high))])
+    offsets = np.r_[0, np.cumsum(3 + 2 * counts.sum(axis=0))]
+    out = np.zeros(offsets[-1], np.int32)
+    for i in range(3):
+        out[offsets[:-1] + i] = counts[i]
+    at = offsets[:-1] + 3
+    for i, (who, nodes, most) in enumerate(((owner, docs, impacts), low, high)):
+        place = at[who] + np.arange(len(who)) - (np.cumsum(counts[i]) - counts[i])[who]
+        out[place], out[place + counts[i][who]] = nodes, most
+        at = at + 2 * counts[i]
+    return pa.Array.from_buffers(pa.binary(), n_terms, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(out)]), n, top
+
+
+def unpacked_trees(trees: pa.Array) -> dict[str, np.ndarray]:
+    """Of each level, for all rows of trees together: keys row * nodes of the level + node in order, and their maxima."""
+    values = np.frombuffer(b"".join(trees.to_pylist()), np.int32).astype(np.int64)
+    at = (np.r_[0, np.cumsum(pc.binary_length(trees).to_numpy(zero_copy_only=False))[:-1]] // 4).astype(np.int64)
+    counts, at = [values[at + i] for i in range(3)], at + 3
+    levels = []
+    for n in counts:
+        owner = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + at[owner]
+        levels.append((owner, values[place], values[place + n[owner]]))
+        at = at + 2 * n
+    small = counts[0][levels[0][0]] <= FAN
+    derived = _above(*(x[small] for x in levels[0]))
+    out = {}
+    for name, per_row, parts in (("docs", RANGE, (levels[0],)), ("low", FAN * FAN, (levels[1], derived)), ("high", FAN, (levels[2], _above(*derived)))):
+        keys = np.concatenate([p[0] * per_row + p[1] for p in parts])
+        order = np.argsort(keys, kind="stable")
+        out[name], out[f"{name}_max"] = keys[order], np.concatenate([p[2] for p in parts])[order]
+    return out
+
+
 class _Range:
     """Terms of the documents of one range, until its trees are made."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.ids, self.lengths, self.parts, self.words = [], [], [], 0
 
     def add(self, doc_id, words: list[bytes]) -> None:
-        numbers, at = self.numbers, len(self.ids)
-        for word in set(words).difference(numbers):
-            numbers[word] = len(numbers)
-        self.parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) * RANGE + at)
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)) * RANGE + len(self.ids))
         self.ids.append(doc_id)
         self.lengths.append(len(words))
         self.words += len(words)
 
-    def rows(self, shard: int, n_docs: int, n_terms: int) -> pa.RecordBatch:
-        keys, tf = np.unique(np.concatenate(self.parts), return_counts=True)
+    def rows(self, shard: int, n_docs: int, n_terms: int):
+        keys = np.sort(np.concatenate(self.parts))
+        start = _starts(keys)
+        tf, keys = np.diff(np.r_[start, len(keys)]), keys[start]
         damping = np.array([10 + 90 * n * n_docs // n_terms for n in self.lengths], np.int64)
         owner, docs = keys // RANGE, keys % RANGE
         impacts = 1_000_000_000 * tf // (1000 * tf + 8 * damping[docs])
-
-        def lists(owner, values):
-            return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(self.numbers) + 1)), pa.int32()), pa.array(values, pa.int32()))
-
-        def above(owner, nodes, most):
-            """Owners, nodes and maxima a level higher."""
-            start = np.flatnonzero(np.r_[True, np.diff(owner * RANGE + nodes // FAN) != 0])
-            return owner[start], nodes[start] // FAN, np.maximum.reduceat(most, start)
-
-        low_owner, low, low_max = above(owner, docs, impacts)
-        high_owner, high, high_max = above(low_owner, low, low_max)
-        _, _, top = above(high_owner, high * 0, high_max)
-        n, none = len(self.numbers), pa.nulls(1, pa.list_(pa.int32()))
-        columns = [
-            pa.array([shard] * (n + 1), pa.int64()),
-            pa.array([*(w.decode() for w in self.numbers), None], pa.string()),
-            pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array([self.ids], pa.list_(pa.int64()))]),
-            pa.array([*top.tolist(), None], pa.int64()),
-            *(pa.concat_arrays([lists(o, v), none]) for o, v in ((owner, docs), (owner, impacts), (low_owner, low), (low_owner, low_max), (high_owner, high), (high_owner, high_max))),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "ids", "top", *_TREE])
+        trees, n, top = packed_trees(owner, docs, impacts, len(self.numbers))
+        terms = pa.array([t.decode() for t in self.numbers], pa.string())
+        size = len(terms)
+        columns = [pa.array(np.full(size, shard), pa.int64()), terms, pa.array(n, pa.int64()), pa.array(top, pa.int64()), trees, pa.nulls(size, pa.list_(pa.int64()))]
+        names = ["shard", "term", "n", "top", "tree", "ids"]
+        for at in range(0, size, ROWS):
+            yield pa.RecordBatch.from_arrays([c[at : at + ROWS] for c in columns], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.nulls(1, c.type) for c in columns[1:5]), pa.array([self.ids], pa.list_(pa.int64()))], names=names)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """The index of all documents, a written table, and how many documents hold a term.
 
-    A row a term and range: shard (the range), term, top (its largest impact),
-    docs and impacts, and two levels of nodes with their maxima. One row more a
-    range, with a null term, has the ids of the range's documents.
+    A row a term and range: shard (the range), term, n (its documents there), top
+    (its largest impact) and its tree. One row more a range, with a null term, has
+    the ids of the range's documents.
     """
     n_docs, n_terms = corpus_size(docs, text_col)
 
@@ -113,10 +167,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 if words:
                     part.add(doc_id, words)
                 if len(part.ids) == RANGE or part.words >= RANGE_WORDS:
-                    yield part.rows(task << 32 | made, n_docs, n_terms)
+                    yield from part.rows(task << 32 | made, n_docs, n_terms)
                     part, made = _Range(), made + 1
         if part.ids:
-            yield part.rows(task << 32 | made, n_docs, n_terms)
+            yield from part.rows(task << 32 | made, n_docs, n_terms)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return written(map_arrow(rows, run, _INDEX), "search-index"), n_docs
@@ -144,42 +198,53 @@ def best_first(trees: dict[str, np.ndarray], rows: np.ndarray, weights: np.ndarr
     """Positions and scores of the documents of one range that score at least the k-th best of it and floor, ties and all.
 
     trees: for each level the sorted keys row * nodes of the level + node, and
-    the maxima of the nodes; rows and weights: those of the query's terms.
+    the maxima of the nodes; rows and weights: those of the query's terms. The
+    ``OPENED`` nodes with the highest bounds are opened at once.
     """
 
-    def opened(level: str, per_row: int, node: int) -> np.ndarray:
-        """Sums over the terms for each of the FAN children."""
+    def opened(level: str, per_row: int, nodes: np.ndarray) -> np.ndarray:
+        """Sums over the terms for each of the FAN children of nodes."""
         keys, most = trees[level], trees[f"{level}_max"]
-        a, b = np.searchsorted(keys, rows * per_row + node * FAN), np.searchsorted(keys, rows * per_row + (node + 1) * FAN)
-        n = b - a
-        at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        sums = np.zeros(FAN, np.int64)
-        np.add.at(sums, keys[at] % FAN, np.repeat(weights, n) * most[at])
+        starts = rows[:, None] * per_row + nodes * FAN
+        a, b = np.searchsorted(keys, starts), np.searchsorted(keys, starts + FAN)
+        n = (b - a).ravel()
+        at = np.repeat(a.ravel() - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        place = np.repeat(np.tile(np.arange(len(nodes)) * FAN, len(rows)), n) + keys[at] % FAN
+        worth = np.repeat(np.repeat(weights, len(nodes)), n) * most[at]
+        sums = np.zeros(len(nodes) * FAN, np.int64)
+        np.add.at(sums, place, worth)
         return sums
 
+    def children(nodes: np.ndarray) -> np.ndarray:
+        return (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+
     floor = max(floor, 1)
-    heap = [(-int(bound), 1, node) for node, bound in enumerate(opened("high", FAN, 0)) if bound >= floor]
-    heapq.heapify(heap)
-    best: list[int] = []  # the k best scores so far
-    positions, scores = [], []
-    while heap and -heap[0][0] >= floor:
-        _, level, node = heapq.heappop(heap)
-        if level:
-            for i, bound in enumerate(opened("low", FAN * FAN, node)):
-                if bound >= floor:
-                    heapq.heappush(heap, (-int(bound), 0, node * FAN + i))
+    high = opened("high", FAN, np.zeros(1, np.int64))
+    # Waiting nodes of the two inner levels, and their bounds.
+    waiting = {"high": (np.arange(FAN), high), "low": (np.zeros(0, np.int64), np.zeros(0, np.int64))}
+    positions, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while True:
+        for level, (nodes, bounds) in waiting.items():
+            ok = bounds >= floor
+            waiting[level] = nodes[ok], bounds[ok]
+        level = max(waiting, key=lambda x: waiting[x][1].max(initial=0))
+        nodes, bounds = waiting[level]
+        if not len(nodes):
+            break
+        order = np.argsort(-bounds, kind="stable")
+        first, rest = order[:OPENED], order[OPENED:]
+        waiting[level] = nodes[rest], bounds[rest]
+        below = children(nodes[first])
+        if level == "high":
+            sums = opened("low", FAN * FAN, nodes[first])
+            waiting["low"] = np.r_[waiting["low"][0], below], np.r_[waiting["low"][1], sums]
             continue
-        found = opened("docs", RANGE, node)
-        for i in np.flatnonzero(found >= floor):
-            positions.append(node * FAN + int(i))
-            scores.append(int(found[i]))
-            heapq.heappush(best, scores[-1])
-            if len(best) > k:
-                heapq.heappop(best)
-        if len(best) == k:
-            floor = max(floor, best[0])
-    positions, scores = np.array(positions, np.int64), np.array(scores, np.int64)
-    return positions[scores >= floor], scores[scores >= floor]
+        sums = opened("docs", RANGE, nodes[first])
+        positions, scores = np.r_[positions, below[sums >= floor]], np.r_[scores, sums[sums >= floor]]
+        if len(scores) >= k:
+            floor = max(floor, int(np.partition(scores, -k)[-k]))
+            positions, scores = positions[scores >= floor], scores[scores >= floor]
+    return positions, scores
 
 
 def _search_range(k: int):
@@ -190,11 +255,7 @@ def _search_range(k: int):
             own = pc.is_null(trees.column("term"))
             ids = trees.filter(own).column("ids")[0].as_py()
             trees = trees.filter(pc.invert(own)).combine_chunks()
-            flat = {}
-            for level, per_row in (("docs", RANGE), ("low", FAN * FAN), ("high", FAN)):
-                lists = trees.column(level).combine_chunks()
-                flat[level] = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()) * per_row + lists.flatten().to_numpy()
-                flat[f"{level}_max"] = trees.column("impacts" if level == "docs" else f"{level}_max").combine_chunks().flatten().to_numpy().astype(np.int64)
+            flat = unpacked_trees(trees.column("tree").combine_chunks())
             row_of = {t: i for i, t in enumerate(trees.column("term").to_pylist())}
             item = queries.column("item").to_numpy()
             term, weight, floor = queries.column("term").to_pylist(), queries.column("w").to_numpy(), queries.column("floor").to_numpy()
@@ -216,7 +277,7 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, k: int = 10, id_col:
     """The k best documents of each item: item_id, rank (from 1), doc_id, score; equal scores by doc_id."""
     asked = item_terms(items, id_col, text_col)
     wanted = asked.select("term").distinct()
-    roots = written(index.where("term is not null").join(wanted, "term").select("term", "shard", "top", F.size("docs").alias("n")), "search-roots")
+    roots = written(index.where("term is not null").join(wanted, "term").select("term", "shard", "top", "n"), "search-roots")
     df = roots.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
     weighted = written(asked.join(df.select("term", weight.alias("w")), "term").select("item", "item_id", "term", "w"), "search-weights")
@@ -227,7 +288,7 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, k: int = 10, id_col:
         """ranges: item, shard and floor. The ranges' best documents for the items."""
         queries = ranges.join(weighted.select("item", "term", "w"), "item").withColumn("block", F.shiftright("item", ITEM_BITS))
         opened = ranges.select("shard", F.shiftright("item", ITEM_BITS).alias("block")).distinct()
-        trees = index.where("term is null").unionByName(index.join(wanted, "term", "left_semi")).select("shard", "term", "ids", *_TREE).join(opened, "shard")
+        trees = index.where("term is null").unionByName(index.join(wanted, "term", "left_semi")).select("shard", "term", "tree", "ids").join(opened, "shard")
         return written(trees.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_search_range(k), "item long, doc_id long, score long"), tag)
 
     by_bound = Window.partitionBy("item").orderBy(F.desc("bound"), "shard")
