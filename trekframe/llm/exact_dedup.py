@@ -8,9 +8,10 @@ such partition merges them. A terminal node stores the identifier that owns
 the text and the number of its copies. When a trie outgrows its budget, its
 heaviest subtree moves to a file of the task, and is merged on its own later.
 
-Members find their owner by joining on the content hash (SHA-256): one row a
-distinct text on one side, so the join never multiplies rows, and Spark may
-split a hot key.
+Where every member is wanted, members find their owner by joining on the content
+hash (SHA-256): one row a distinct text on one side, so the join never
+multiplies rows, and Spark may split a hot key. Where only owners stay, their
+rows travel with the strings and nothing is joined.
 
 Defined cases: null text counts as empty; a null identifier is smaller than
 any other (and owns a text only if no copy has one); rows that repeat both
@@ -22,7 +23,7 @@ are neither read nor changed.
 from __future__ import annotations
 
 import hashlib
-import struct
+import pickle
 import tempfile
 from collections.abc import Iterator
 
@@ -41,10 +42,10 @@ NODE_BYTES = 250
 
 
 class _Node:
-    __slots__ = ("edge", "kids", "n", "owner", "spilled")
+    __slots__ = ("edge", "kids", "n", "owner", "row", "spilled")
 
-    def __init__(self, edge: bytes, owner: int | None = None, n: int = 0):
-        self.edge, self.owner, self.n = edge, owner, n
+    def __init__(self, edge: bytes, owner: int | None = None, n: int = 0, row: tuple | None = None):
+        self.edge, self.owner, self.n, self.row = edge, owner, n, row
         self.kids: dict[int, _Node] | None = None
         self.spilled = None
 
@@ -61,27 +62,32 @@ def _shared(a: bytes, b: bytes, at: int) -> int:
     return low
 
 
+def _row_bytes(row: tuple | None) -> int:
+    """About what a row costs in memory: its strings, and some for the rest."""
+    return 200 + sum(len(x) for x in row if isinstance(x, str | bytes)) if row else 0
+
+
 class PatriciaTrie:
-    """Compressed radix trie over byte strings; a terminal keeps the winning identifier and a count."""
+    """Compressed radix trie over byte strings; a terminal keeps the winning identifier, with its row where rows are given, and a count."""
 
     def __init__(self, budget: int = TRIE_BYTES, keep: str = "max"):
         self.root, self.budget, self.used = _Node(b""), budget, 0
         self.wins = max if keep == "max" else min
 
-    def insert(self, key: bytes, owner: int | None, n: int = 1) -> None:
+    def insert(self, key: bytes, owner: int | None, n: int = 1, row: tuple | None = None) -> None:
         node, at = self.root, 0
         while True:
             if node.spilled is not None:
-                self._append(node.spilled, key[at:], owner, n)
+                self._append(node.spilled, key[at:], owner, n, row)
                 return
             if at == len(key):
                 break
             kid = node.kids.get(key[at]) if node.kids else None
             if kid is None:
-                leaf = _Node(key[at:], owner, n)
+                leaf = _Node(key[at:], owner, n, row)
                 node.kids = node.kids or {}
                 node.kids[key[at]] = leaf
-                self._grew(len(leaf.edge) + NODE_BYTES)
+                self._grew(len(leaf.edge) + NODE_BYTES + _row_bytes(row))
                 return
             if key.startswith(kid.edge, at):
                 node, at = kid, at + len(kid.edge)
@@ -93,10 +99,12 @@ class PatriciaTrie:
             fork.kids = {kid.edge[0]: kid}
             self.used += NODE_BYTES
             node, at = fork, at + cut
-        ids = [x for x in (node.owner, owner) if x is not None]
-        node.owner = self.wins(ids) if ids else None
+        grown = 0
+        if not node.n or owner is not None and (node.owner is None or self.wins(node.owner, owner) != node.owner):
+            grown = _row_bytes(row) - _row_bytes(node.row)
+            node.owner, node.row = owner, row
         node.n += n
-        self._grew(0)
+        self._grew(grown)
 
     def _grew(self, by: int) -> None:
         self.used += by
@@ -117,44 +125,51 @@ class PatriciaTrie:
         if node is self.root:
             return
         out = tempfile.TemporaryFile()
-        for key, owner, n in self._terminals(node, b"", skip_edge=True):
-            self._append(out, key, owner, n)
+        for key, owner, n, row in self._terminals(node, b"", skip_edge=True):
+            self._append(out, key, owner, n, row)
         self.used -= self._weight(node) - len(node.edge)
-        node.kids, node.owner, node.n, node.spilled = None, None, 0, out
+        node.kids, node.owner, node.n, node.row, node.spilled = None, None, 0, None, out
 
     @staticmethod
-    def _append(out, key: bytes, owner: int | None, n: int) -> None:
-        out.write(struct.pack("<q?qq", 0 if owner is None else owner, owner is None, n, len(key)) + key)
+    def _append(out, key: bytes, owner: int | None, n: int, row: tuple | None) -> None:
+        pickle.dump((key, owner, n, row), out, pickle.HIGHEST_PROTOCOL)
 
     @staticmethod
     def _weight(node: _Node) -> int:
         total, todo = 0, [node]
         while todo:
             x = todo.pop()
-            total += len(x.edge) + NODE_BYTES
+            total += len(x.edge) + NODE_BYTES + _row_bytes(x.row)
             todo.extend(x.kids.values() if x.kids else ())
         return total
 
-    def _terminals(self, node: _Node, path: bytes, skip_edge: bool = False) -> Iterator[tuple[bytes, int | None, int]]:
+    def _terminals(self, node: _Node, path: bytes, skip_edge: bool = False) -> Iterator[tuple[bytes, int | None, int, tuple | None]]:
         todo = [(node, path if skip_edge else path + node.edge)]
         while todo:
             x, path = todo.pop()
             if x.n:
-                yield path, x.owner, x.n
+                yield path, x.owner, x.n, x.row
             if x.spilled is not None:
                 part = PatriciaTrie(self.budget, "max" if self.wins is max else "min")
                 x.spilled.seek(0)
-                while head := x.spilled.read(25):
-                    owner, none, n, size = struct.unpack("<q?qq", head)
-                    part.insert(x.spilled.read(size), None if none else owner, n)
+                while True:
+                    try:
+                        part.insert(*pickle.load(x.spilled))
+                    except EOFError:
+                        break
                 x.spilled.close()
-                for key, owner, n in part.drain():
-                    yield path + key, owner, n
+                for key, *rest in part.drain_rows():
+                    yield path + key, *rest
             for kid in x.kids.values() if x.kids else ():
                 todo.append((kid, path + kid.edge))
 
     def drain(self) -> Iterator[tuple[bytes, int | None, int]]:
         """All (string, owner, copies); the trie can't be used afterwards."""
+        for key, owner, n, _ in self.drain_rows():
+            yield key, owner, n
+
+    def drain_rows(self) -> Iterator[tuple[bytes, int | None, int, tuple | None]]:
+        """The same with each owner's row."""
         yield from self._terminals(self.root, b"")
 
 
@@ -228,11 +243,40 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs without the copies, columns as they came: of equal texts the row with the largest (or smallest) id stays."""
-    name = fresh(docs, "content_hash")
-    key = fresh(docs, "owner_id")
-    owners = trie_owners(docs, id_col, text_col, keep).select(F.col("hash").alias(name), F.col("owner").alias(key))
-    rows = _with_hash(docs, text_col, name)
-    matched = rows.join(owners, name).where(F.col(id_col).cast("long").eqNullSafe(F.col(key)))
-    return matched.dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", budget: int = TRIE_BYTES) -> DataFrame:
+    """docs without the copies, columns as they came: of equal texts the row with the largest (or smallest) id stays.
+
+    The owner's row travels with its string, which its own text gives back, so
+    each distinct text of a map task is shuffled once and nothing is joined.
+    """
+    width = len(docs.columns)
+    rows = docs.withColumns({fresh(docs, "owner_id"): F.col(id_col).cast("long"), fresh(docs, "owned_text"): F.col(text_col).cast("string")})
+    n_bytes, hash_ = fresh(docs, "n_bytes"), fresh(docs, "content_hash")
+    dealt_type = T.StructType([T.StructField(n_bytes, T.LongType()), T.StructField(hash_, T.BinaryType()), *docs.schema.fields, T.StructField(rows.columns[-2], T.LongType())])
+    at = docs.columns.index(text_col)
+    schemas: dict = {}
+
+    def inserted(trie, batch, first: int, texts: pa.Array, owners: pa.Array) -> None:
+        columns = [c.to_pylist() for c in batch.columns[first : first + width]]
+        for key, owner, row in zip(_normalised(texts).to_pylist(), owners.to_pylist(), zip(*columns)):
+            trie.insert(key, owner, 1, row)
+
+    def combine(batches):
+        trie = PatriciaTrie(budget, keep)
+        for batch in batches:
+            inserted(trie, batch, 0, batch.column(width + 1), batch.column(width))
+            schemas["rows"] = list(batch.schema)[: width + 1]
+        if "rows" in schemas:
+            schema = pa.schema([(n_bytes, pa.int64()), (hash_, pa.binary()), *schemas["rows"]])
+            yield from _batches(((len(key), hashlib.sha256(key).digest(), *row, owner) for key, owner, _, row in trie.drain_rows()), schema)
+
+    def merge(batches):
+        trie, schema = PatriciaTrie(budget, keep), None
+        for batch in batches:
+            inserted(trie, batch, 2, batch.column(2 + at).cast(pa.string()), batch.column(2 + width))
+            schema = pa.schema(list(batch.schema)[2 : 2 + width])
+        if schema:
+            yield from _batches((row for *_, row in trie.drain_rows()), schema)
+
+    dealt = map_arrow(rows, combine, dealt_type).repartition(n_bytes, hash_)
+    return map_arrow(dealt, merge, docs.schema)
