@@ -82,3 +82,14 @@ def test_odd_and_no_rows(spark):
     docs = edge_docs(spark)
     assert found(collocations.collocations(docs, support=2)) == plain(rows_of(docs), 2)
     assert found(collocations.collocations(empty_docs(spark))) == []
+
+
+def test_cells_never_lose_a_frequent_pair(spark, monkeypatch):
+    """Counts in cells, summed over shards and cut at the support, let every frequent pair through, also where a count is larger than a byte."""
+    rng = np.random.default_rng(8)
+    rows = [("en", " ".join(rng.choice([f"w{i}" for i in range(60)], 80, p=np.r_[[0.3], np.full(59, 0.7 / 59)]))) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    monkeypatch.setattr(collocations, "SHARD", 900)
+    for least_bits, support in ((6, 20), (16, 20), (16, 400)):
+        monkeypatch.setattr(collocations, "LEAST_BITS", max(least_bits, collocations.SLICE))
+        assert found(collocations.collocations(docs, support=support)) == plain(rows, support)

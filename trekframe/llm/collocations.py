@@ -8,12 +8,15 @@ are the occurrences. The ends of pieces take a position that belongs to no word,
 so no phrase reaches over them. Popcounts are summed over shards by Spark.
 
 1. Words are counted; those below the support can't be in a candidate.
-2. Pairs of the others are counted.
-3. From pairs that reach the support phrases grow depth-first, a class of pairs
+2. Neighbours among the others are counted by cells of their hashes, a few bytes
+   each: pairs in cells below the support are below it too. There is about a cell
+   for ``SPREAD`` words, 2 ** ``MOST_BITS`` at most.
+3. Pairs in the other cells are counted.
+4. From pairs that reach the support phrases grow depth-first, a class of pairs
    at a time up to the longest, wherever every two neighbours are such a pair.
 
 Which words and pairs reach the support is known to tasks through bitmaps of
-fixed size over their hashes; what these let through wrongly is counted like the
+bounded size over their hashes; what these let through wrongly is counted like the
 rest and fails at the support, so counts and results are exact.
 
 Defined cases: null texts have no words; a null language counts as "und"; empty
@@ -27,11 +30,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekframe.llm.bitmaps import bitmap_of, in_bitmap
-from trekframe.llm.common import map_arrow, written
+from trekframe.llm.common import map_arrow, small_batches, written
 from trekframe.llm.terms import chained
 
 #: Least occurrences of a candidate; most words of a phrase; phrases that a language's report has.
@@ -39,6 +43,9 @@ SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard; positions of a block, as a power of two; rows of bitmaps that are shifted and ANDed at once; rows of an Arrow batch.
 SHARD, BLOCK, AT_ONCE, BATCH = 1 << 21, 4, 1 << 16, 1 << 17
 
+#: Words for a cell; log2 of the fewest and the most cells; log2 of the cells of a slice.
+SPREAD, LEAST_BITS, MOST_BITS, SLICE = 4, 20, 28, 16
+
 #: Ends of pieces, A-Z aside, as a byte of their own.
 _ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 
@@ -91,6 +98,45 @@ def word_hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for w, lang in zip(words, langs)), np.uint64, len(words))
 
 
+def shard_cells(shard: Shard, frequent: np.ndarray, bits: int, support: int):
+    """How often the pairs of neighbours among frequent words fall into each cell: a row a slice of cells, with the places of its cells and their counts."""
+    hashes, ids = shard.hashes(), shard.positions()
+    kept = in_bitmap(frequent, hashes)
+    kept[0] = False
+    both = np.flatnonzero(kept[ids[:-1]] & kept[ids[1:]])
+    cells, n = np.unique((chained_pair(hashes[ids[both]], hashes[ids[both + 1]]) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+    slices = cells >> SLICE
+    start = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    n = np.minimum(n, support).astype(_count_type(support))  # no more matters, a sum reaches the support all the same
+    frames = [pack(np.diff(cells[a:b] & 0xFFFF, prepend=0).astype(np.uint16).tobytes() + n[a:b].tobytes()) for a, b in zip(start, [*start[1:], len(cells)])]
+    yield pa.RecordBatch.from_arrays([pa.array(slices[start].astype(np.int32)), pa.array(frames, pa.binary())], names=["slice", "cells"])
+
+
+def _count_type(support: int) -> np.dtype:
+    return np.dtype(np.uint8 if support < 256 else np.int64)
+
+
+def merged_cells(batches, support: int):
+    """A bit for each cell of a slice whose counts reach the support; rows come by slice."""
+    unpack, held, key = zstandard.ZstdDecompressor().decompress, None, None
+
+    def bits():
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(held >= support, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+    for batch in batches:
+        for slice_, frame in zip(*(c.to_pylist() for c in batch.columns)):
+            if slice_ != key:
+                if key is not None:
+                    yield bits()
+                held, key = np.zeros(1 << SLICE, np.int64), slice_
+            raw, kind = unpack(frame), _count_type(support)
+            size = len(raw) // (2 + kind.itemsize)
+            held[np.cumsum(np.frombuffer(raw[: 2 * size], np.uint16), dtype=np.int64)] += np.frombuffer(raw[2 * size :], kind)
+    if key is not None:
+        yield bits()
+
+
 def _shards(batches, fn):
     """What fn yields for each shard of the batches (lang, text)."""
     shard = Shard()
@@ -154,8 +200,8 @@ def shard_words(shard: Shard):
     yield from _rows(pa.array(shard.langs[1:], pa.string()), pa.array([w.decode() for w in shard.words[1:]], pa.string()), n)
 
 
-def shard_phrases(shard: Shard, frequent: np.ndarray, pairs: np.ndarray | None, longest: int):
-    """Phrases of the shard with their occurrences: pairs of frequent words, or if the frequent pairs are known phrases of three words to ``longest``."""
+def shard_phrases(shard: Shard, frequent: np.ndarray, pairs: np.ndarray, longest: int):
+    """Phrases of the shard with their occurrences, whose words, and whose neighbouring words as pairs, the bitmaps hold: pairs if they are the longest, else phrases of three words or more."""
     hashes, ids = shard.hashes(), shard.positions()
     kept = in_bitmap(frequent, hashes)
     kept[0] = False
@@ -168,22 +214,18 @@ def shard_phrases(shard: Shard, frequent: np.ndarray, pairs: np.ndarray | None,
     def grow(rows, phrases: pa.Array, lang_of: np.ndarray, last: np.ndarray, length: int):
         """Longer phrases of the phrases that rows hold, and then theirs."""
         block, phrase, word, mask = extended(rows, words, n_blocks)
-        if pairs is not None:
-            ok = paired(last[phrase], word)
-            block, phrase, word, mask = block[ok], phrase[ok], word[ok], mask[ok]
+        ok = paired(last[phrase], word)
+        block, phrase, word, mask = block[ok], phrase[ok], word[ok], mask[ok]
         if not len(block):
             return
         number, shorter, word, n = _numbered(phrase, word, mask, len(kept))
         longer = pc.binary_join_element_wise(phrases.take(pa.array(shorter)), texts.take(pa.array(word)), " ")
-        if pairs is None or length > 1:
+        if longest == 2 or length > 1:
             yield from _rows(langs.take(pa.array(lang_of[shorter])), longer, n)
         if length + 1 < longest:
             yield from grow((block, number, mask), longer, lang_of[shorter], word, length + 1)
 
     every = np.arange(len(shard.words))
-    if pairs is None:
-        yield from grow(words, texts, every, every, 1)
-        return
     of_class = (every * 2654435761 >> 7) % max(1, len(words[0]) // (4 * AT_ONCE))
     for c in range(of_class.max() + 1):
         own = np.flatnonzero(of_class[words[1]] == c)
@@ -209,6 +251,14 @@ def _hash_bitmap(phrases: DataFrame) -> np.ndarray:
     return bitmap_of(map_arrow(phrases.select("lang", "phrase"), run, "token long", batch_rows=10_000), "token")
 
 
+def _cell_bitmap(slices: DataFrame, bits: int) -> np.ndarray:
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    with small_batches(slices.sparkSession):
+        for slice_, found in zip(*(c.to_pylist() for c in slices.toArrow().columns)):
+            out[slice_ << (SLICE - 3) : (slice_ + 1) << (SLICE - 3)] = np.frombuffer(found, np.uint8)
+    return out.view(np.uint64)
+
+
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to ``longest`` words that occur ``support`` times in a language or more (lang, phrase, k words, f), and each language's words (lang, n)."""
     broadcast = docs.sparkSession.sparkContext.broadcast
@@ -221,7 +271,10 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     every = written(summed(shard_words, "words"), "words")
     words = written(every.where(F.col("f") >= support), "frequent-words")
     frequent = broadcast(_hash_bitmap(words))  # 8 MB
-    pairs = written(summed(lambda shard: shard_phrases(shard, frequent.value, None, 2), "pairs").where(F.col("f") >= support), "frequent-pairs")
+    bits = min(MOST_BITS, max(LEAST_BITS, ((every.agg(F.sum("f")).first()[0] or 0) // SPREAD).bit_length()))
+    cells = map_arrow(rows, lambda batches: _shards(batches, lambda shard: shard_cells(shard, frequent.value, bits, support)), "slice int, cells binary")
+    cells = broadcast(_cell_bitmap(map_arrow(cells.repartition("slice").sortWithinPartitions("slice"), lambda batches: merged_cells(batches, support), "slice int, bits binary"), bits))  # 32 MB at most
+    pairs = written(summed(lambda shard: shard_phrases(shard, frequent.value, cells.value, 2), "pairs").where(F.col("f") >= support), "frequent-pairs")
     paired = broadcast(_hash_bitmap(pairs))  # 8 MB
     longer = written(summed(lambda shard: shard_phrases(shard, frequent.value, paired.value, longest), "phrases").where(F.col("f") >= support), "frequent-phrases")
     found = words.unionByName(pairs).unionByName(longer)
