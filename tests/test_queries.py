@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from trekframe.plans import analysis_queries, catalog_queries, model_queries, registry, track_queries, workflow_queries  # noqa: F401
+from trekframe.plans import analysis_queries, catalog_queries, connector_queries, image_queries, model_queries, registry, track_queries, workflow_queries  # noqa: F401
 
 
 def shown(v):

@@ -17,10 +17,10 @@ POLAR = R_EQUATOR * (1 - FLATTENING)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = R_MEAN) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; null where a coordinate is unknown."""
     dlat, dlon = F.radians(lat2) - F.radians(lat1), F.radians(lon2) - F.radians(lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return 2.0 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2.0 * radius * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

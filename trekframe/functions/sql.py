@@ -13,7 +13,7 @@ from trekframe.sources.shared import ship
 _HALF = "pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2)"
 _POINTS = "lat1 double, lon1 double, lat2 double, lon2 double"
 FUNCTIONS = {
-    "haversine_m": (_POINTS, "double", f"2 * {R_MEAN} * asin(sqrt(least(1.0, {_HALF})))"),
+    "haversine_m": (_POINTS, "double", f"2 * {R_MEAN} * asin(sqrt(least(1.0, {_HALF}) + 0 * ({_HALF})))"),
     "bearing_deg": (_POINTS, "double", "pmod(degrees(atan2(sin(radians(lon2) - radians(lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2) - radians(lon1)))) + 360, 360)"),
     "utm_zone": ("lon double", "int", "cast(floor((lon + 180) / 6) + 1 as int)"),
 }

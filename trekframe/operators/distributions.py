@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.operators.stats import jarque_bera, long_form, with_upto
+from trekframe.operators.stats import dagostino, jarque_bera, long_form, with_upto
 from trekframe.sources.shared import materialised, ship
 
 #: Values that the Shapiro-Wilk test takes at most, as its tables allow; bins of the histogram behind densities.
@@ -93,6 +94,7 @@ def normal_votes(df: DataFrame, columns: list[str], id_col: str, alpha: float =
         shapiro_wilk(df, columns, id_col).where("not isnan(p)").select("feature", (F.col("p") > alpha).alias("ok"))
         .unionByName(anderson_darling(df, columns).select("feature", F.col("is_normal").alias("ok")))
         .unionByName(jarque_bera(df, columns).select("feature", (F.col("p") > alpha).alias("ok")))
+        .unionByName(dagostino(df, columns).where("p is not null and not isnan(p)").select("feature", (F.col("p") > alpha).alias("ok")))
     )
     share = F.avg(F.col("ok").cast("int"))
     return answers.groupBy("feature").agg(F.count("*").alias("votes"), (share >= 0.5).alias("normal"))
@@ -210,3 +212,236 @@ def permutation_p(df: DataFrame, x: str, y: str, id_col: str, permutations: int
     sums = dealt.groupBy("b").applyInPandas(shuffle, "k int, product double").groupBy("k").agg(F.sum("product").alias("product"))
     found = sums.join(F.broadcast(real)).withColumn("rb", F.col("product") / (F.col("n") * F.col("sx") * F.col("sy")))
     return found.groupBy("r", "n").agg(F.avg((F.abs("rb") >= F.abs("r")).cast("double")).alias("p"))
+
+
+# ---- modes
+
+#: Points of the distribution function that the dip test keeps of a column; all of them where it has no more values.
+DIP_POINTS = 100_000
+#: Samples, and values of each, from which the dip's p comes.
+DIP_SAMPLES, DIP_SAMPLE = 500, 400
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the points that the largest convex function below them touches; x increases."""
+    kept: list[int] = []
+    xs, ys = x.tolist(), y.tolist()
+    for i in range(len(xs)):
+        while len(kept) > 1 and (ys[kept[-1]] - ys[kept[-2]]) * (xs[i] - xs[kept[-1]]) >= (ys[i] - ys[kept[-1]]) * (xs[kept[-1]] - xs[kept[-2]]):
+            kept.pop()
+        kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def dip(x: np.ndarray, upto: np.ndarray) -> float:
+    """Hartigan's dip: how far the distribution function of values x (increasing), of which upto lie up to each, is from the nearest unimodal one.
+
+    The convex minorant of the function's lower corners and the concave majorant
+    of its upper ones meet around a modal interval that narrows until their
+    distance inside it is no more than what was found outside.
+    """
+    n = float(upto[-1])
+    top, bottom = np.asarray(upto, float), np.r_[0.0, np.asarray(upto, float)[:-1]]
+    low, high, found = 0, len(x) - 1, 1.0
+    while low < high:
+        part = slice(low, high + 1)
+        below, above = _hull(x[part], bottom[part]) + low, _hull(x[part], -top[part]) + low
+        minorant = lambda at, below=below: np.interp(x[at], x[below], bottom[below])
+        majorant = lambda at, above=above: np.interp(x[at], x[above], top[above])
+        gap_below, gap_above = majorant(below) - bottom[below], top[above] - minorant(above)
+        if gap_below.max() > gap_above.max():
+            left = below[gap_below.argmax()]
+            right = above[above >= left].min()
+        else:
+            right = above[gap_above.argmax()]
+            left = below[below <= right].max()
+        gap = max(gap_below.max(), gap_above.max())
+        if gap <= found:
+            break
+        outside = [found]
+        if left > low:
+            at = np.arange(low, left + 1)
+            outside.append(float((top[at] - minorant(at)).max()))
+        if right < high:
+            at = np.arange(right, high + 1)
+            outside.append(float((majorant(at) - bottom[at]).max()))
+        found = max(outside)
+        if (left, right) == (low, high):
+            break
+        low, high = left, right
+    return found / (2 * n)
+
+
+@lru_cache(maxsize=4)
+def dip_null(size: int = DIP_SAMPLE, samples: int = DIP_SAMPLES, seed: int = 42) -> np.ndarray:
+    """Sorted dips of uniform samples, times the root of their size: the unimodal case that is hardest to tell from two modes."""
+    rng = np.random.default_rng(seed)
+    return np.sort([dip(np.sort(rng.random(size)), np.arange(1, size + 1)) for _ in range(samples)]) * math.sqrt(size)
+
+
+def dip_test(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, n, dip, p: Hartigan's test of one mode.
+
+    Distinct values are counted and their running sums taken in ranges; of each
+    column about ``DIP_POINTS`` corners of its distribution function go to one
+    task, evenly by rank, which moves the dip by half of their share at most. p is
+    the share of seeded uniform samples with a larger dip, scaled by the root of
+    n (at most ``DIP_SAMPLE``'s own n below it). Columns with fewer than ten
+    values have no row.
+    """
+    ship(df.sparkSession)
+    counts = long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("c"))
+    rows = with_upto(counts, "value", "c", ("feature",))
+    totals = rows.groupBy("feature").agg(F.max("upto").alias("n"))
+    step = lambda v: F.floor(v * F.lit(float(DIP_POINTS)) / F.col("n"))
+    kept = rows.join(totals, "feature").where((F.col("n") >= 10) & ((F.col("n") <= DIP_POINTS) | (step(F.col("upto")) > step(F.col("upto") - F.col("c")))))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("value")
+        n = int(part["n"].iloc[0])
+        found = dip(part["value"].to_numpy(), part["upto"].to_numpy())
+        null = dip_null(min(n, DIP_SAMPLE))
+        p = float((null >= found * math.sqrt(n)).mean())
+        return pd.DataFrame({"feature": [part["feature"].iloc[0]], "n": [n], "dip": [found], "p": [p]})
+
+    return kept.select("feature", "value", "upto", "n").groupBy("feature").applyInPandas(run, "feature string, n long, dip double, p double")
+
+
+def mode_votes(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """feature, votes, multimodal, n_modes: dip test, mixtures and density peaks; at least half of those that answer decide, n_modes is the median of theirs."""
+    dips = dip_test(df, columns).select("feature", (F.col("p") < alpha).alias("many"), F.when(F.col("p") < alpha, 2).otherwise(1).alias("modes"))
+    best = mixture_bic(df, columns).groupBy("feature").agg(F.min_by("k", F.struct("bic", "k")).alias("modes"))
+    peaks = kde_peaks(df, columns).select("feature", F.greatest(F.lit(1), "n_peaks").alias("modes"))
+    long = lambda d: d.select("feature", (F.col("modes") > 1).alias("many"), F.col("modes").cast("long"))
+    spans = long_form(df, columns).groupBy("feature").agg(F.count("*").alias("_n"), F.stddev_pop("value").alias("_s"))
+    several = spans.where("_n >= 10 and _s >= 1e-10")  # others get no answer of the density and no mixture of several
+    return mode_consensus(dips.select("feature", "many", F.col("modes").cast("long")).unionByName(long(best).join(spans.where("_n >= 10").select("feature"), "feature")).unionByName(long(peaks).join(several.select("feature"), "feature")))
+
+
+def mode_consensus(answers: DataFrame) -> DataFrame:
+    """feature, votes, multimodal, n_modes from answers (feature, many, modes) of the single methods."""
+    median = F.percentile(F.when(F.col("many"), F.col("modes")), F.lit(0.5))  # of three answers
+    return answers.groupBy("feature").agg(F.count("*").alias("votes"), (F.avg(F.col("many").cast("int")) >= 0.5).alias("multimodal"), F.floor(F.coalesce(median, F.lit(1.0))).alias("n_modes"))
+
+
+def decide(facts: DataFrame) -> DataFrame:
+    """feature, kind, confidence from one row a feature: n, zeros (share), skewness, normal, lognormal, multimodal, n_modes."""
+    kind = lambda name, sure: F.struct(F.lit(name).alias("kind"), F.lit(sure).alias("confidence"))
+    pick = (
+        F.when(F.col("n") < 3, kind("unknown", 0.0))
+        .when(F.col("zeros") > 0.3, kind("zero_inflated", 0.9))
+        .when(F.col("normal"), kind("normal", 0.9))
+        .when(F.col("lognormal"), kind("lognormal", 0.85))
+        .when(F.col("multimodal") & (F.col("n_modes") == 2), kind("bimodal", 0.85))
+        .when(F.col("multimodal"), kind("multimodal", 0.85))
+        .when(F.abs("skewness") < 0.5, kind("uniform", 0.7))
+        .when(F.col("skewness") > 1, kind("right_skewed", 0.8))
+        .when(F.col("skewness") < -1, kind("left_skewed", 0.8))
+        .otherwise(kind("unknown", 0.5))
+    )
+    return facts.select("feature", pick.alias("c")).select("feature", "c.kind", "c.confidence")
+
+
+def distribution_facts(df: DataFrame, columns: list[str], id_col: str, alpha: float = 0.05) -> DataFrame:
+    """What ``decide`` needs of each column: moments from one pass, the normality tests' vote on the values and on their logarithms, the modes' vote."""
+    values = long_form(df, columns)
+    moments = values.groupBy("feature").agg(F.count("*").alias("n"), F.avg((F.col("value") == 0).cast("double")).alias("zeros"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"), F.min("value").alias("low"))
+    logs = df.select(id_col, *[F.when(F.col(c) > 0, F.ln(F.col(c).cast("double"))).alias(c) for c in columns])
+    votes = lambda d, name: normal_votes(d, columns, id_col, alpha).select("feature", F.col("normal").alias(name))
+    rows = moments.join(votes(df, "normal"), "feature", "left").join(votes(logs, "log_normal"), "feature", "left").join(mode_votes(df, columns, alpha).drop("votes"), "feature", "left")
+    lognormal = (F.col("low") > 0) & (F.col("skewness") > 0.5) & F.coalesce("log_normal", F.lit(False))
+    return rows.select("feature", "n", "zeros", "skewness", "kurtosis", F.coalesce("normal", F.lit(False)).alias("normal"), lognormal.alias("lognormal"), F.coalesce("multimodal", F.lit(False)).alias("multimodal"), F.coalesce("n_modes", F.lit(1)).alias("n_modes"))
+
+
+# ---- transformations
+
+
+def yeo_johnson_column(x: Column, g: float) -> Column:
+    """The Yeo-Johnson transformation with a given lambda."""
+    up = F.ln(x + 1) if abs(g) < 1e-9 else (F.pow(x + 1, F.lit(g)) - 1) / g
+    down = -F.ln(1 - x) if abs(g - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - g)) - 1) / (2 - g)
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def recommend_transformations(df: DataFrame, columns: list[str], id_col: str, low: float = -2.0, high: float = 2.0, steps: int = 41) -> DataFrame:
+    """feature, transformation, lambda, priority, achieves: the candidates of each column and whether they make it normal by the tests' vote; the first row of a feature (place 1) is the advice.
+
+    Candidates: none; log, square root and Box-Cox (positive columns; the square
+    root also with zeros), Yeo-Johnson. Lambdas are the best of a grid, all from
+    one pass. Those that achieve normality come first, then by priority.
+    """
+    grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
+    cox = lambda x, g: F.ln(x) if abs(g) < 1e-9 else (F.pow(x, F.lit(g)) - 1) / g
+    fits = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        pos = F.when(x > 0, x)
+        fits += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"low{i}"), F.sum(F.ln(pos)).alias(f"l{i}"), F.sum(F.signum(x) * F.ln(F.abs(x) + 1)).alias(f"s{i}")]
+        fits += [f(v).alias(f"{tag}{i}_{k}") for k, g in enumerate(grid) for f, v, tag in ((F.var_pop, cox(pos, g), "b"), (F.var_pop, yeo_johnson_column(x, g), "y"))]
+    one = df.agg(*fits).first()  # some numbers a column
+
+    def best(i: int, tag: str, jacobian: float) -> float:
+        n = one[f"n{i}"]
+        scored = [(-n / 2 * math.log(v) + (g - 1) * jacobian, -abs(g - 1), g) for k, g in enumerate(grid) if (v := one[f"{tag}{i}_{k}"]) and v > 0]
+        return max(scored)[2] if scored else 1.0
+
+    candidates = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        if not one[f"n{i}"]:
+            continue
+        candidates.append((c, "none", None, 0, x))
+        if one[f"low{i}"] > 0:
+            g = best(i, "b", one[f"l{i}"])
+            candidates += [(c, "log", None, 1, F.ln(x)), (c, "box_cox", g, 3, cox(x, g))]
+        if one[f"low{i}"] >= 0:
+            candidates.append((c, "sqrt", None, 2, F.sqrt(x)))
+        g = best(i, "y", one[f"s{i}"])
+        candidates.append((c, "yeo_johnson", g, 4, yeo_johnson_column(x, g)))
+    names = [f"t{k}" for k in range(len(candidates))]
+    spark = df.sparkSession
+    schema = "name string, feature string, transformation string, lambda double, priority int"
+    listed = spark.createDataFrame([(n, *c[:4]) for n, c in zip(names, candidates)], schema)  # a few rows a column
+    if not candidates:
+        return listed.select("feature", "transformation", "lambda", "priority", F.lit(False).alias("achieves"), F.lit(1).alias("place"))
+    changed = df.select(F.col(id_col), *[v.alias(n) for n, (*_, v) in zip(names, candidates)])
+    votes = normal_votes(changed, names, id_col).select(F.col("feature").alias("name"), "normal")
+    rows = listed.join(votes, "name", "left").withColumn("achieves", F.coalesce("normal", F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("achieves"), "priority"))
+    return rows.select("feature", "transformation", "lambda", "priority", "achieves", place.alias("place"))
+
+
+# ---- what plots show
+
+
+def qq_fit(df: DataFrame, column: str) -> DataFrame:
+    """One row: n, slope, intercept and R2 of the values against normal quantiles of their order-statistic medians."""
+    ship(df.sparkSession)
+    rows = qq_points(df, column).withColumn("q", normal_quantile(F.col("p")))
+    n, x, y = F.sum("c"), F.sum(F.col("c") * F.col("q")), F.sum(F.col("c") * F.col("value"))
+    xx, yy, xy = (F.sum(F.col("c") * a * b) for a, b in ((F.col("q"), F.col("q")), (F.col("value"), F.col("value")), (F.col("q"), F.col("value"))))
+    sums = rows.agg(n.alias("n"), x.alias("x"), y.alias("y"), xx.alias("xx"), yy.alias("yy"), xy.alias("xy"))
+    cov, vx, vy = F.expr("n * xy - x * y"), F.expr("n * xx - x * x"), F.expr("n * yy - y * y")
+    return sums.select("n", F.try_divide(cov, vx).alias("slope"), F.try_divide(F.col("y") - F.try_divide(cov, vx) * F.col("x"), F.col("n")).alias("intercept"), F.try_divide(cov * cov, vx * vy).alias("r2"))
+
+
+def pp_points(df: DataFrame, column: str) -> DataFrame:
+    """value, empirical (rank / (n + 1) of the last of equal values), theoretical (normal share below), gap; one row a distinct value."""
+    ship(df.sparkSession)
+    known = df.select(F.col(column).cast("double").alias("value")).where("value is not null and not isnan(value)")
+    moments = known.agg(F.count("*").alias("_n"), F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    counts = known.groupBy("value").agg(F.count("*").alias("c"))
+    rows = with_upto(counts, "value", "c").join(F.broadcast(moments))  # one row
+    theoretical = F.exp(log_normal_cdf((F.col("value") - F.col("_m")) / F.col("_s")))
+    rows = rows.select("value", (F.col("upto") / (F.col("_n") + 1)).alias("empirical"), theoretical.alias("theoretical"))
+    return rows.withColumn("gap", F.abs(F.col("empirical") - F.col("theoretical")))
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution function, in Arrow batches over small tables."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: _NORMAL.inv_cdf(min(1 - 1e-16, max(1e-300, x))))
+
+    return run(p)

@@ -2,42 +2,104 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trekframe.operators import attributions
+from trekframe.operators.augment import numbered
+from trekframe.sources.shared import ship
 
-def fit_forest(df: DataFrame, columns: list[str], target: str, trees: int = 50, depth: int = 5, seed: int = 42):
-    """A forest over rows whose features and target are known, and these rows with their vector."""
+
+def fit_forest(df: DataFrame, columns: list[str], target: str, trees: int = 50, depth: int = 5, seed: int = 42, boosted: bool = False):
+    """A forest, or a boosted ensemble, over rows whose features and target are known; and these rows."""
     known = df.dropna(subset=[*columns, target]).select(*[F.col(c).cast("double").alias(c) for c in [*columns, target]], *[c for c in df.columns if c not in columns and c != target])
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(known)
-    model = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="_prediction", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    common = {"featuresCol": "_features", "labelCol": target, "predictionCol": "_prediction", "maxDepth": depth, "seed": seed}
+    model = (GBTRegressor(maxIter=trees, **common) if boosted else RandomForestRegressor(numTrees=trees, **common)).fit(rows)
     return model, known
 
 
-def _mse(model, rows: DataFrame, columns: list[str], target: str) -> float:
-    scored = model.transform(VectorAssembler(inputCols=columns, outputCol="_features").transform(rows))
-    return scored.agg(F.avg((F.col("_prediction") - F.col(target)) ** 2)).first()[0]
+#: Rows of a block inside which values are shuffled; sides of the loss.
+SHUFFLED = 20_000
+METRICS = ("mse", "mae", "r2")
+
 
+def factorised(df: DataFrame, column: str) -> DataFrame:
+    """df with a text column replaced by the number of its value in sorted order; null stays null."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    codes = numbered(values, "_value").select("_value", F.col("place").cast("double").alias("_code"))
+    return df.join(codes, df[column] == codes["_value"], "left").select(*[F.col("_code").alias(c) if c == column else df[c] for c in df.columns])
 
-def permutation_importance(df: DataFrame, columns: list[str], target: str, id_col: str, repeats: int = 2, blocks: int = 64, seed: int = 42) -> list[tuple[str, float]]:
-    """(feature, rise of the squared error when its values are shuffled), largest first.
 
-    A shuffle moves each value to the next row in the order of a hash, inside
-    one of so many random blocks: no row order over the whole table is needed.
+def permutation_importance(df: DataFrame, columns: list[str], target: str, id_col: str, repeats: int = 5, seed: int = 42, model=None, metric: str = "mse", block: int = SHUFFLED) -> DataFrame:
+    """feature, importance and deviation: mean and deviation over the repeats of how much the metric worsens when a feature's values are shuffled.
+
+    metric: mse, mae or r2 (whose fall counts). All features and repeats are
+    scored in one job: rows fall into random blocks of about ``block`` rows, as
+    many as the table needs, and each block is shuffled and scored where it lies,
+    with trees as numpy arrays. The blocks' sums are added up by Spark. model: a
+    fitted forest or boosted ensemble over the columns; a forest of 50 trees if
+    none is given. No rows, or columns without a feature, give no result.
     """
-    model, rows = fit_forest(df, columns, target, seed=seed)
-    base, out = _mse(model, rows, columns, target), []
-    for c in columns:
-        rises = []
-        for k in range(repeats):
-            h = F.xxhash64(F.lit(seed + k), F.lit(c), id_col)
-            w = Window.partitionBy(F.pmod(h, F.lit(blocks))).orderBy(h, id_col)
-            first = F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            rises.append(_mse(model, rows.withColumn(c, F.coalesce(F.lead(c).over(w), first)), columns, target) - base)
-        out.append((c, sum(rises) / repeats))
-    return sorted(out, key=lambda x: -x[1])
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+    if model is None:
+        model, rows = fit_forest(df, columns, target, seed=seed)
+    else:
+        rows = df.dropna(subset=[*columns, target])
+    spark = df.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(attributions.model_trees(model))
+
+    def score(batches):
+        def scored(key, parts):
+            x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.lexsort((np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])))
+            x, y = x[order], y[order]
+            rng = np.random.default_rng([seed, key])
+
+            def row(feature, repeat, matrix):
+                error = y - sum(w * t.predict(matrix) for w, t in shared.value)
+                return feature, repeat, len(y), float((error**2).sum()), float(np.abs(error).sum()), float(y.sum()), float((y**2).sum())
+
+            out = [row(-1, 0, x)]
+            for j in range(x.shape[1]):
+                for k in range(repeats):
+                    mixed = x.copy()
+                    mixed[:, j] = rng.permutation(x[:, j])
+                    out.append(row(j, k, mixed))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["j", "k", "n", "sse", "sae", "sum_y", "sum_yy"])
+
+        held, key = [], None
+        for batch in batches:
+            c = [v.to_numpy(zero_copy_only=False) for v in batch.columns]
+            cuts = np.r_[0, np.flatnonzero(np.diff(c[0])) + 1, len(c[0])]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    if held and c[0][a] != key:
+                        yield scored(key, held)
+                        held = []
+                    key = int(c[0][a])
+                    held.append((np.stack([v[a:b] for v in c[4:]], 1), c[3][a:b], c[1][a:b], c[2][a:b]))
+        if held:
+            yield scored(key, held)
+
+    blocks = max(1, -(-rows.count() // block))
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    placed = rows.select(F.pmod(h, F.lit(blocks)).cast("long").alias("block"), h.alias("h"), F.xxhash64(F.col(id_col)).alias("tie"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    sums = placed.repartition("block").sortWithinPartitions("block", "h").mapInArrow(score, "j long, k long, n long, sse double, sae double, sum_y double, sum_yy double")
+    sums = sums.groupBy("j", "k").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sae", "sum_y", "sum_yy")])
+    value = {"mse": F.col("sse") / F.col("n"), "mae": F.col("sae") / F.col("n"), "r2": 1 - F.try_divide(F.col("sse"), F.col("sum_yy") - F.col("sum_y") ** 2 / F.col("n"))}[metric]
+    values = sums.select("j", "k", value.alias("v"))
+    base = values.where("j < 0").select(F.col("v").alias("base"))
+    worse = (F.col("base") - F.col("v")) if metric == "r2" else (F.col("v") - F.col("base"))
+    names = F.array(*[F.lit(c) for c in columns])
+    out = values.where("j >= 0").crossJoin(F.broadcast(base))  # one row
+    return out.groupBy("j").agg(F.avg(worse).alias("importance"), F.stddev_pop(worse).alias("deviation")).select(F.get(names, F.col("j").cast("int")).alias("feature"), "importance", "deviation")
 
 
 def forest_importance(df: DataFrame, columns: list[str], target: str) -> list[tuple[str, float]]:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekframe.operators.quantiles import quantiles, with_upto
 from trekframe.sources.shared import materialised, ship
 
 
@@ -20,16 +21,17 @@ def long_form(df: DataFrame, columns: list[str], name: str = "feature") -> DataF
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, n, mean, std, min, q1, median, q3, max, and bias-corrected skewness and kurtosis."""
     n, g1, g2 = F.col("n"), F.col("_g1"), F.col("_g2")
-    rows = long_form(df, columns).groupBy("feature").agg(
+    values = long_form(df, columns)
+    rows = values.groupBy("feature").agg(
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
         F.skewness("value").alias("_g1"),
         F.kurtosis("value").alias("_g2"),
     )
+    rows = rows.join(quantiles(values, ["feature"], [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q"), "feature")
     skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * g1)
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
     return rows.select("feature", "n", "mean", "std", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", skew.alias("skewness"), kurt.alias("kurtosis"))
@@ -83,30 +85,6 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
-#: Rows of a running sum that one task orders, about.
-RANGE_ROWS = 1_000_000
-
-
-def with_upto(counts: DataFrame, value: str, weight: str, by: tuple[str, ...] = (), range_rows: int | None = None) -> DataFrame:
-    """counts with upto: the weight of the group's rows up to each row's value.
-
-    Distinct values may be as many as rows, so no task orders a whole group:
-    values are dealt into ranges, the ranges' sums are added up (a row a range),
-    and each range is ordered by itself.
-    """
-    counts = materialised(counts)
-    ranges = -(-counts.count() // (range_rows or RANGE_ROWS))
-    rows = counts.withColumn("_range", F.lit(0))
-    if ranges > 1:
-        bounds = counts.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("_bounds"))
-        rows = counts.join(F.broadcast(bounds), list(by)) if by else counts.join(F.broadcast(bounds))  # a row a group
-        rows = rows.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
-    sums = rows.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
-    before = sums.select(*by, "_range", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    inside = F.sum(weight).over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("upto", inside).join(F.broadcast(before), [*by, "_range"]).withColumn("upto", F.col("upto") + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
-
-
 def average_rank(df: DataFrame, column: str, by: list[str] | None = None) -> Column:
     """Average rank of a column's value: its rank plus half the number of ties."""
     parts = by or []
@@ -323,7 +301,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 def brown_forsythe(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: ANOVA of the distances from the group medians."""
     known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    medians = known.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("_median"))
+    medians = quantiles(known, [group], [0.5], value).select(group, F.col("q")[0].alias("_median"))
     return anova(known.join(medians, group).withColumn("_distance", F.abs(F.col(value) - F.col("_median"))), "_distance", group)
 
 
@@ -366,7 +344,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, q1, median, q3, iqr."""
-    q = long_form(df, columns).groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(long_form(df, columns), ["feature"], [0.25, 0.5, 0.75])
     return q.select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 

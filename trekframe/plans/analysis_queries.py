@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trekframe.operators import augment, features, lookups, stats, store
+from trekframe.operators import augment, features, lookups, partial, stats, store
 from trekframe.plans.registry import query
 from trekframe.plans.track_queries import _direct_sql, hav
 from trekframe.sources import files
@@ -242,11 +242,39 @@ def distribution_kinds(spark, sf):
     return stats.classify_distribution(track_points(spark, sf), NUMERIC)
 
 
-@query()
+@query(
+    oracle(f"""p as ({_PEARSON}), k as (select a, b, r from p where abs(r) >= 0.01), v as (select a, b, r from p union all select b, a, r from p), near as (select a, b from k union all select b, a from k),
+    gone as (select distinct k.a, k.b from k join v x on x.a = k.a join v y on y.a = k.b and y.b = x.b where exists (select 1 from near n where n.a = x.b and n.b in (k.a, k.b)) and abs((k.r-x.r*y.r)/sqrt((1-x.r*x.r)*(1-y.r*y.r))) < 0.01)
+    select a, b, round(r, 6) as r from k anti join gone using (a, b)""")
+)
 def causal_skeleton(spark, sf):
     return rounded(stats.skeleton(stats.pearson_pairs(track_points(spark, sf), NUMERIC), 0.01))
 
 
+_GIVEN = [("altitude", "temperature", []), ("altitude", "latitude", ["longitude"]), ("altitude", "temperature", ["terrain_confidence"]), ("latitude", "longitude", ["altitude", "temperature"]), ("altitude", "frequency_steps", ["latitude", "temperature"])]
+
+
+def _partial_sql(x, y, z):
+    """Correlations of the complete cases, and the recursion over the columns given."""
+    names = [x, y, *z]
+    rs = ", ".join(f"corr({a}, {b}) as r{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i < j)
+    one = lambda i, j, k: f"((r{min(i, j)}{max(i, j)} - r{min(i, k)}{max(i, k)} * r{min(j, k)}{max(j, k)}) / sqrt((1 - pow(r{min(i, k)}{max(i, k)}, 2)) * (1 - pow(r{min(j, k)}{max(j, k)}, 2))))"
+    r = "r01" if not z else one(0, 1, 2) if len(z) == 1 else f"({one(0, 1, 2)} - {one(0, 3, 2)} * {one(1, 3, 2)}) / sqrt((1 - pow({one(0, 3, 2)}, 2)) * (1 - pow({one(1, 3, 2)}, 2)))"
+    return f"select '{x}' as x, '{y}' as y, '{','.join(z)}' as given, round({r}, 6) as r, n from (select count(*) as n, {rs} from track_points where {' and '.join(f'{c} is not null' for c in names)})"
+
+
+@query(oracle(" union all ".join(_partial_sql(*g) for g in _GIVEN)))
+def partial_correlations(spark, sf):
+    return rounded(partial.partial_correlations(track_points(spark, sf), _GIVEN)).withColumn("given", F.array_join("given", ","))
+
+
+@query()
+def causal_separators(spark, sf):
+    """Derived prices correlate, so sets of more than one column separate some of them."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumns({"net": F.expr("cast(l_extendedprice * (1 - l_discount) as double)"), "gross": F.expr("cast(l_extendedprice * (1 - l_discount) * (1 + l_tax) as double)"), "unit": F.expr("cast(l_extendedprice / l_quantity as double)")})
+    return rounded(partial.pc_skeleton(lines, [*_FEATS, "net", "gross", "unit"], most_given=2)[1]).withColumn("given", F.array_join("given", ","))
+
+
 @query(f"{_L}, k as (select a, b from p where abs(r)>=0.001), d as (select x as node, count(*) as d from (select a as x from k union all select b from k) group by 1) select case when y.d>x.d then k.b else k.a end as src, case when y.d>x.d then k.a else k.b end as dst, case when x.d=y.d then '<->' else '->' end as direction from k join d x on x.node=k.a join d y on y.node=k.b")
 def causal_directions(spark, sf):
     return stats.oriented(_lpairs(spark, sf).where(F.abs("r") >= 0.001))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trekframe.operators import addresses, distributions, models
+from trekframe.operators import addresses, attributions, distributions, models
 from trekframe.plans.analysis_queries import NUMERIC, rounded
 from trekframe.plans.registry import query
 from trekframe.sources.bridge import oracle, track_points
@@ -25,6 +25,62 @@ def normality_votes(spark, sf):
     return distributions.normal_votes(track_points(spark, sf), NUMERIC, "event_id")
 
 
+@query()
+def dip_test(spark, sf):
+    return rounded(distributions.dip_test(track_points(spark, sf), NUMERIC), 8)
+
+
+@query()
+def mode_votes(spark, sf):
+    return distributions.mode_votes(track_points(spark, sf), NUMERIC)
+
+
+@query()
+def distribution_decisions(spark, sf):
+    return distributions.decide(distributions.distribution_facts(track_points(spark, sf), NUMERIC, "event_id"))
+
+
+_ANSWERS = """select l_suppkey as feature, many, case when many then modes else 1 end as modes from (
+    select l_suppkey, count(distinct month(l_shipdate)) % 3 > 0 as many, 1 + count(distinct month(l_shipdate)) % 4 as modes from lineitem where l_quantity > 45 group by 1
+    union all select l_suppkey, max(l_discount) > 3 * avg(l_discount), 2 from lineitem where l_quantity < 3 group by 1
+    union all select l_suppkey, avg(l_tax) > 0.04, 1 + count(distinct l_returnflag) from lineitem group by 1) a"""
+_FACTS = """select f.l_suppkey as feature, f.n, f.zeros, f.skewness, f.normal, f.lognormal, coalesce(m.multimodal, false) as multimodal, coalesce(m.n_modes, 1) as n_modes from (
+    select l_suppkey, count(*) as n, avg(case when l_tax = 0 then 1.0 else 0.0 end) * 2.4 as zeros, (avg(l_quantity) - 25.5) / 2.0 as skewness, count(*) % 5 = 0 as normal, count(*) % 7 = 0 as lognormal from lineitem group by 1) f
+    left join modes m on m.feature = f.l_suppkey"""
+
+
+@query(f"select feature, count(*) as votes, avg(many::int) >= 0.5 as multimodal, floor(coalesce(quantile_cont(case when many then modes end, 0.5), 1))::bigint as n_modes from ({_ANSWERS}) group by 1")
+def mode_consensus(spark, sf):
+    return distributions.mode_consensus(spark.sql(_ANSWERS.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet")))
+
+
+@query(
+    f"""with modes as (select feature, avg(many::int) >= 0.5 as multimodal, floor(coalesce(quantile_cont(case when many then modes end, 0.5), 1))::bigint as n_modes from ({_ANSWERS}) group by 1),
+    k as (select feature, case when n < 3 then 'unknown:0.0' when zeros > 0.3 then 'zero_inflated:0.9' when normal then 'normal:0.9' when lognormal then 'lognormal:0.85' when multimodal and n_modes = 2 then 'bimodal:0.85'
+      when multimodal then 'multimodal:0.85' when abs(skewness) < 0.5 then 'uniform:0.7' when skewness > 1 then 'right_skewed:0.8' when skewness < -1 then 'left_skewed:0.8' else 'unknown:0.5' end as c from ({_FACTS}))
+    select feature, split_part(c, ':', 1) as kind, split_part(c, ':', 2)::double as confidence from k"""
+)
+def decided_kinds(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    modes = distributions.mode_consensus(spark.sql(_ANSWERS.replace("from lineitem", "from {lineitem}"), lineitem=lines))
+    return distributions.decide(spark.sql(_FACTS.replace("from lineitem", "from {lineitem}").replace("join modes", "join {modes}"), lineitem=lines, modes=modes))
+
+
+@query()
+def transformation_advice(spark, sf):
+    return rounded(distributions.recommend_transformations(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_tax"], "l_orderkey"))
+
+
+@query()
+def qq_fit(spark, sf):
+    return rounded(distributions.qq_fit(track_points(spark, sf), "altitude"))
+
+
+@query()
+def pp_points(spark, sf):
+    return rounded(distributions.pp_points(track_points(spark, sf), "temperature"), 8)
+
+
 @query()
 def kde_peaks(spark, sf):
     return distributions.kde_peaks(track_points(spark, sf), NUMERIC)
@@ -57,7 +113,7 @@ def permutation_test(spark, sf):
 @query()
 def permutation_importance(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    return spark.createDataFrame(models.permutation_importance(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "row_id", repeats=1), "feature string, importance double")
+    return models.permutation_importance(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "row_id")
 
 
 @query()
@@ -65,6 +121,35 @@ def forest_importance(spark, sf):
     return spark.createDataFrame(models.forest_importance(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), "feature string, importance double")
 
 
+_PRICED = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _attributed(spark, sf, boosted=False):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    model, known = models.fit_forest(rows, _PRICED, "l_extendedprice", trees=20 if boosted else 100, boosted=boosted)
+    return attributions.tree_attributions(model, known, _PRICED, ["l_orderkey", "l_linenumber"])
+
+
+@query()
+def tree_attributions(spark, sf):
+    return _attributed(spark, sf)
+
+
+@query()
+def attribution_importance(spark, sf):
+    return attributions.attribution_importance(_attributed(spark, sf), _PRICED)
+
+
+@query()
+def attribution_bars(spark, sf):
+    return attributions.importance_bars(attributions.attribution_importance(_attributed(spark, sf, boosted=True), _PRICED))
+
+
+@query()
+def attribution_examples(spark, sf):
+    return attributions.attribution_examples(_attributed(spark, sf), _PRICED, ["l_orderkey", "l_linenumber"])
+
+
 _CASE = " ".join(f"when regexp_matches(lower(text), '{'|'.join(w)}') then '{k}'" for k, w in addresses.TERRAIN_WORDS.items())
 
 

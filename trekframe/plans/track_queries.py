@@ -9,7 +9,7 @@ from trekframe.operators import augment, features, fusion, quality, tracks
 from trekframe.plans.registry import ORACLES, query
 from trekframe.sources.bridge import oracle, point_objects, track_points
 
-HAV = "2*{r}*asin(sqrt(least(1.0, pow(sin((radians({lat2})-radians({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2))))"
+HAV = "(2*{r}*asin(sqrt(least(1.0, pow(sin((radians({lat2})-radians({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2)))) + 0*({lat1}+{lon1}+{lat2}+{lon2}))"  # least() passes over null
 
 
 def hav(lat1="latitude", lon1="longitude", lat2="nlat", lon2="nlon", r="6371000.0"):
