@@ -96,3 +96,15 @@ def test_components_of_chains(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100, 103: 100}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_decided_by_their_texts(spark):
+    """Null and repeated ids: of each group of near copies one row stays, unrelated texts stay."""
+    words = lambda tag: [f"{tag}{i}" for i in range(60)]
+    near = lambda tag, k: " ".join(w if i != k else "changed" for i, w in enumerate(words(tag)))
+    a, b = " ".join(words("a")), " ".join(words("b"))
+    docs = spark.createDataFrame([(1, a), (2, b), (2, near("a", 0)), (None, near("b", 0)), (None, near("a", 59)), (None, near("b", 59)), (7, "alone"), (None, None), (8, ""), (8, "")], "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (7, "alone"), (None, None), (8, ""), (8, "")], key=str)
+    same = spark.createDataFrame([(3, a), (3, a), (3, a), (4, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(same).collect()) == [(3, a), (4, b)]

@@ -32,9 +32,9 @@ has a chance of about n^2 / 2^65.
 
 Defined cases: null text, or text without a word, has the empty set and links
 with nothing; a text of fewer words than a shingle is one shingle; null doc_ids
-are ignored in the smallest (a component of nulls has null); rows that share a
-doc_id share the fate of that id in ``keep_one``; very long texts are whole; an
-empty table gives an empty result; extra columns are unread or kept.
+are ignored in the smallest (a component of nulls has null); ``keep_one`` tells
+rows apart by id and text; very long texts are whole; an empty table gives an
+empty result; extra columns are unread or kept.
 """
 
 from __future__ import annotations
@@ -369,8 +369,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; columns as they came."""
-    found = near_duplicates(docs, id_col, text_col, size, num, den)
-    dropped = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates").select(F.col("doc_id").alias("dropped_id"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("row_id"))
-    return rows.join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti").select("doc.*")
+    """docs with one document of each component, the one with the smallest id (null only where no other is); columns as they came.
+
+    Rows are told apart by id and text together, so rows that share an id but not
+    the text are decided each by itself, and of rows that share both one stays.
+    """
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("row_id"), key.alias("row_key"))
+    found = near_duplicates(docs.select(key.alias("row_key"), F.col(text_col).cast("string").alias("text")), "row_key", "text", size, num, den).where("n_shingles > 0")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = written(found.join(several, "component_id").select("component_id", F.col("doc_id").alias("row_key")).distinct(), "near-members")
+    ids = written(keyed.select("row_id", "row_key").join(members, "row_key"), "near-ids")
+    first = F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "row_key"))
+    stays = ids.groupBy("component_id").agg(first.alias("first")).select("first.row_key")
+    dropped = written(members.join(stays, "row_key", "left_anti").select("row_key"), "near-dropped")
+    kept_rows = keyed.join(dropped, "row_key", "left_anti")
+    repeated = written(ids.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").join(dropped, "row_key", "left_anti").select("row_key"), "near-repeated")
+    if not repeated.isEmpty():
+        kept_rows = kept_rows.join(repeated, "row_key", "left_anti").unionByName(kept_rows.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return kept_rows.select("doc.*")
