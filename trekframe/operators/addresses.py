@@ -25,20 +25,49 @@ OBJECT_WORDS = {
     "monument": ("памятник", "historic", "монумент"),
     "shelter": ("укрытие", "shelter", "приют", "убежище"),
 }
-# Russian terrain names.
-TERRAIN_NAMES = {
-    "тайга": "taiga",
-    "лес": "forest",
-    "болото": "swamp",
-    "степь": "steppe",
-    "тундра": "tundra",
+# The standard terrain types and their Russian names.
+TERRAIN_TYPES = {
+    "forest": "лес",
+    "taiga": "тайга",
+    "deciduous_forest": "лиственный_лес",
+    "coniferous_forest": "хвойный_лес",
+    "swamp": "болото",
+    "bog": "болото_верховое",
+    "fen": "болото_низинное",
+    "marsh": "болото_травяное",
+    "steppe": "степь",
+    "tundra": "тундра",
+    "meadow": "луг",
+    "grassland": "травянистая_местность",
+    "river": "река",
+    "lake": "озеро",
+    "stream": "ручей",
+    "water": "водоём",
+    "rocks": "скалы",
+    "cliff": "утёс",
+    "stone": "каменистая_местность",
+    "glacier": "ледник",
+    "snowfield": "снежное_поле",
+    "ice": "ледниковое_поле",
+    "road_asphalt": "дорога_асфальт",
+    "road_gravel": "дорога_грунтовая",
+    "road_dirt": "дорога_грунт",
+    "trail": "тропа",
+    "path": "дорога_пешеходная",
+    "settlement": "посёлок",
+    "village": "деревня",
+    "town": "город",
+    "building": "здание",
+    "urban": "городская_территория",
+    "park": "парк",
+    "field": "поле",
+    "farmland": "сельскохозяйственная_земля",
+    "sand": "песок",
+    "mountain": "гора",
+}
+# Other Russian names of terrain.
+TERRAIN_ALIASES = {
     "дорога": "road_asphalt",
-    "река": "river",
-    "озеро": "lake",
-    "ледник": "glacier",
-    "скалы": "rocks",
-    "посёлок": "settlement",
-    "город": "town",
 }
 
 
@@ -70,8 +99,9 @@ def region_of_address(address: Column) -> Column:
 def terrain_name(text: Column) -> Column:
     """Standard name of a Russian terrain name or of a standard one, else null."""
     low = F.lower(text)
-    table = F.create_map(*[F.lit(x) for kv in TERRAIN_NAMES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, low), F.when(low.isin(*set(TERRAIN_NAMES.values())), low))
+    names = {russian: name for name, russian in TERRAIN_TYPES.items()} | TERRAIN_ALIASES
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, low), F.when(low.isin(*TERRAIN_TYPES), low))
 
 
 def texture(description: Column) -> Column:

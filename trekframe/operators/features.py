@@ -175,8 +175,9 @@ def terrain_properties(kind: Column) -> Column:
 
 
 def is_yandex_map(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return low.contains("yandex") | low.contains("ymaps")
+    """A page, or its path, with the service's name in it, or with one of its drawings."""
+    known = F.coalesce(text, F.lit(""))
+    return known.contains('<svg class="ymaps-') | F.lower(known).contains("yandex")
 
 
 def enriched_point(csv_terrain: Column, geocoded: Column, n_objects: Column, region: Column, temperature: Column) -> dict[str, Column]:
@@ -255,25 +256,21 @@ def region_colours(pixels: DataFrame) -> DataFrame:
 # Signs of map services in addresses and pages.
 URL_SIGNS = {
     "google_maps": (r"maps\.google\.", r"google\.com/maps", "googlemaps", r"maps\.gstatic\.com", r"googleapis\.com.*maps"),
+    "yandex_maps": (r"yandex\.", r"yandex\.ru/maps", r"yandex\.com/maps", r"api\.yandex\.com.*maps", r"maps\.yandex\.ru"),
     "openstreetmap": ("openstreetmap", r"osm\.org", "overpass-api", "nominatim", r"mapbox\.com"),
     "stamen_terrain": ("stamen", r"stamen\.com", r"tile\.stamen\.com", r"a\.tile\.openstreetmap"),
-    "yandex_maps": (r"yandex\.", r"yandex\.ru/maps", r"yandex\.com/maps", r"api\.yandex\.com.*maps", r"maps\.yandex\.ru"),
 }
 PAGE_SIGNS = {
     "google_maps": ("google.maps", "google-map", "maps javascript api", "#4285f4", "google.maps.map"),
+    "yandex_maps": ("ymaps", "yandex.map", "yandex maps api", "#ff9900", "ymaps.map"),
     "openstreetmap": ("leaflet", "openstreetmap", "osm", "overpass", "nominatim", "l.map"),
     "stamen_terrain": ("stamen", "terrain", "toner", "stamen.com", "tile.stamen.com"),
-    "yandex_maps": ("ymaps", "yandex.map", "yandex maps api", "#ff9900", "ymaps.map"),
 }
 
 
-#: Sources in the order that decides ties.
-SOURCE_ORDER = ("google_maps", "yandex_maps", "openstreetmap", "stamen_terrain")
-
-
 def _best(scores: dict[str, Column], full: float) -> Column:
-    """Struct source, confidence of the largest score, the first in SOURCE_ORDER on a tie; null source where all are 0."""
-    ranked = F.slice(F.array_sort(F.array(*[F.struct((-scores[k]).alias("minus"), F.lit(i).alias("i"), F.lit(k).alias("source")) for i, k in enumerate(SOURCE_ORDER) if k in scores])), 1, 1)
+    """Struct source, confidence of the largest score, the first of them on a tie; null source where all are 0."""
+    ranked = F.slice(F.array_sort(F.array(*[F.struct((-scores[k]).alias("minus"), F.lit(i).alias("i"), F.lit(k).alias("source")) for i, k in enumerate(scores)])), 1, 1)
     best = lambda r: F.struct(F.when(r["minus"] < 0, r["source"]).alias("source"), F.least(F.lit(1.0), -r["minus"] / full).alias("confidence"))
     return F.transform(ranked, best)[0]
 
@@ -292,8 +289,8 @@ def map_source_of_html(html: Column) -> Column:
 # Signs of map services in response headers (server, then content type).
 HEADER_SIGNS = {
     "google_maps": (("gse", "gws"), ("maps.google.", "googleapis.com")),
-    "openstreetmap": (("apache", "nginx"), ("leaflet", "openstreetmap")),
     "yandex_maps": (("yandex", "yandexbot"), ("yandex.", "api.yandex.")),
+    "openstreetmap": (("apache", "nginx"), ("leaflet", "openstreetmap")),
 }
 
 
@@ -318,7 +315,7 @@ def map_source_of_colour(r: Column, g: Column, b: Column) -> Column:
 
 def combined_source(*detections: Column) -> Column:
     """Struct source, confidence: the source with the largest sum of confidences, that sum over the number of detections."""
-    names = sorted({*URL_SIGNS, *PAGE_SIGNS})
+    names = list(URL_SIGNS)
     of = lambda found, k: F.aggregate(F.filter(found, lambda d: d["source"] == k), F.lit(0.0), lambda a, d: a + d["confidence"])
     return F.transform(F.array(F.array(*detections)), lambda found: _best({k: of(found, k) for k in names}, float(len(detections))))[0]
 

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trekframe.sources.shared import materialised
+
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows whose key the table lacks, one a key."""
@@ -102,7 +104,7 @@ class TrackStore:
     def add_anomalies(self, rows: DataFrame) -> int:
         """track_id, point_index, anomaly_type, ...: severity is medium unless it is given."""
         rows = rows.withColumn("severity", F.coalesce(F.col("severity"), F.lit("medium")) if "severity" in rows.columns else F.lit("medium"))
-        return self.insert("anomalies", rows, ["track_id", "point_index", "anomaly_type"])
+        return self.insert("anomalies", rows.withColumn("is_corrected", F.lit(False)), ["track_id", "point_index", "anomaly_type"])
 
     def add_maps(self, rows: DataFrame) -> int:
         """track_id, map_type, file_path, metadata (a string map), ...: active maps of version 1."""
@@ -144,12 +146,41 @@ class TrackStore:
                 out = one if out is None else out.unionByName(one)
         return out
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Appends all rows, repeated ones too."""
+        folder = self._current(name)
+        if folder is None:
+            self.replace(name, rows)
+        else:
+            rows.write.mode("append").parquet(f"{self.root}/{name}/{folder}")
+
     def correct(self, corrections: DataFrame) -> None:
-        """Appends corrections, raises the versions of their points, and logs the tracks' change."""
-        self.insert("corrections", corrections, ["track_id", "point_index", "correction_type"])
-        self._log(corrections.select("track_id").distinct().withColumn("version", F.lit(2)), "correct", '{"points": "corrected"}')
-        points = self.read("points").drop("is_corrected", "version")
-        self.replace("points", with_corrections(points, self.read("corrections")))
+        """Appends corrections (track_id, point_index, correction_type, ...): each raises the version of its track, with a history row of that version, and of its point; the point's anomalies are marked.
+
+        A track's corrections count in the order of points and kinds, from the
+        version that the store has; corrections of tracks that it lacks are kept
+        without a version.
+        """
+        corrections = materialised(corrections)
+        self.append("corrections", corrections)
+        tracks = self.read("tracks")
+        if tracks is not None:
+            order = Window.partitionBy("track_id").orderBy("point_index", "correction_type")
+            rows = corrections.join(tracks.select("track_id", F.col("version").alias("_from")), "track_id")
+            rows = materialised(rows.withColumn("version", (F.col("_from") + F.row_number().over(order)).cast("int")))
+            fields = F.to_json(F.struct("correction_type", "point_index"))
+            self.append("history", rows.select("track_id", "version", F.lit("correct").alias("change_type"), change_hash(fields).alias("change_hash")))
+            raised = rows.groupBy("track_id").agg(F.max("version").alias("_version"))
+            self.replace("tracks", tracks.join(raised, "track_id", "left").withColumn("version", F.coalesce("_version", "version")).drop("_version"))
+        corrected = self.read("corrections")
+        points = self.read("points")
+        if points is not None:
+            self.replace("points", with_corrections(points.drop("is_corrected", "version"), corrected))
+        anomalies = self.read("anomalies")
+        if anomalies is not None:
+            keys = corrected.select("track_id", "point_index").distinct().withColumn("_hit", F.lit(True))
+            marked = anomalies.drop("is_corrected").join(keys, ["track_id", "point_index"], "left").withColumn("is_corrected", F.col("_hit").isNotNull()).drop("_hit")
+            self.replace("anomalies", marked)
 
     def add_lineage(self, edges: DataFrame) -> int:
         """original_track_id, augmented_track_id, ...: only between tracks that the store has."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -121,26 +123,51 @@ def _series(points: DataFrame, column: str) -> DataFrame:
     return known.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("point_index", F.col(column).alias("v")))).alias("s"))
 
 
+def _carried(rows: DataFrame, order: list[str], schema: str, make: Callable[[], Callable], filters: bool = False) -> DataFrame:
+    """A sequential filter over tracks: rows sorted by track and order inside partitions go through it in Arrow batches of many tracks, and what it knows of a track is carried over to the next batch, so a track may have any length.
+
+    rows: track_id, point_index, and values. make() gives a function of
+    (whether a track begins, values...) for each row, with a state of its own;
+    its result is the value of the row, or with ``filters`` whether it stays.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches):
+        step, track, begun = make(), None, False
+        for batch in batches:
+            out = []
+            for at, *values in zip(*(batch.column(i).to_pylist() for i in (0, *range(2, batch.num_columns)))):
+                first = not begun or at != track
+                track, begun = at, True
+                out.append(step(first, *values))
+            if filters:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["track_id", "point_index"]).filter(pa.array(out, pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["track_id", "point_index", "value"])
+
+    return rows.repartition("track_id").sortWithinPartitions("track_id", *order).mapInArrow(run, schema)
+
+
 def kalman(points: DataFrame, column: str, q: float = 1e-5, r: float = 1e-4) -> DataFrame:
-    """track_id, point_index, value: scalar random-walk Kalman filter of a column's known values; a track at a time, in linear time."""
-    import pandas as pd
+    """track_id, point_index, value: scalar random-walk Kalman filter of a column's known values, in linear time."""
 
-    ship(points.sparkSession)
+    def make():
+        x, p = 0.0, r
 
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("point_index")
-        out, x, p = [], None, r
-        for v in track["value"]:
-            if x is None:
-                x = v
+        def step(first: bool, v: float) -> float:
+            nonlocal x, p
+            if first:
+                x, p = v, r
             else:
                 gain = (p + q) / (p + q + r)
                 x, p = x + gain * (v - x), (1 - gain) * (p + q)
-            out.append(x)
-        return track.assign(value=out)
+            return x
+
+        return step
 
     known = points.where(F.col(column).isNotNull()).select("track_id", "point_index", F.col(column).cast("double").alias("value"))
-    return known.groupBy("track_id").applyInPandas(run, known.schema)
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    return _carried(known, ["point_index"], f"track_id {kinds['track_id']}, point_index {kinds['point_index']}, value double", make)
 
 
 def savitzky_golay(points: DataFrame, column: str) -> DataFrame:
@@ -176,17 +203,23 @@ def gaussian_smooth(points: DataFrame, column: str, sigma: float = 1.0, radius:
 
 
 def drop_near_last_kept(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """track_id, point_index of points that differ from the last kept one in latitude or longitude by more than the tolerance."""
-    known = points.where("latitude is not null and longitude is not null")
-    tracks = known.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("point_index", "latitude", "longitude"))).alias("s"))
+    """track_id, point_index of points that differ from the last kept one in latitude or longitude by more than the tolerance, in linear time."""
+
+    def make():
+        lat = lon = 0.0
+
+        def step(first: bool, a: float, b: float) -> bool:
+            nonlocal lat, lon
+            if first or abs(a - lat) > tolerance or abs(b - lon) > tolerance:
+                lat, lon = a, b
+                return True
+            return False
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        far = (F.size(acc) == 0) | (F.abs(x["latitude"] - last["latitude"]) > tolerance) | (F.abs(x["longitude"] - last["longitude"]) > tolerance)
-        return F.when(far, F.concat(acc, F.array(x))).otherwise(acc)
+        return step
 
-    kept = F.aggregate("s", F.slice("s", 1, 0), step)
-    return tracks.select("track_id", F.explode(F.transform(kept, lambda x: x["point_index"])).alias("point_index"))
+    known = points.where("latitude is not null and longitude is not null").select("track_id", "point_index", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    return _carried(known, ["point_index", "latitude", "longitude"], f"track_id {kinds['track_id']}, point_index {kinds['point_index']}", make, filters=True)
 
 
 def statistics(points: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _headers():
 
 
 def _first(scores: str) -> str:
-    return f"(select *, row_number() over (partition by page_id order by n desc, list_position({list(features.SOURCE_ORDER)!r}, src)) as k from ({scores}))"
+    return f"(select *, row_number() over (partition by page_id order by n desc, list_position({list(features.URL_SIGNS)!r}, src)) as k from ({scores}))"
 
 
 _HEADER_SCORES = " union all ".join(
@@ -74,7 +74,7 @@ def map_source_of_headers(spark, sf):
     return p.select("page_id", _headers().alias("m")).select("page_id", "m.source", "m.confidence")
 
 
-_EVERY = f"select page_id, src, coalesce(u.c,0.0)+coalesce(g.c,0.0)+coalesce(x.c,0.0) as n from pages cross join (select unnest({list(features.SOURCE_ORDER)!r}) as src) " + " ".join(f"left join (select page_id, source as src, confidence as c from ({q})) {a} using (page_id, src)" for a, q in (("u", ORACLES["map_source_of_urls"]), ("g", ORACLES["map_source_of_pages"]), ("x", _HEADER_SQL)))
+_EVERY = f"select page_id, src, coalesce(u.c,0.0)+coalesce(g.c,0.0)+coalesce(x.c,0.0) as n from pages cross join (select unnest({list(features.URL_SIGNS)!r}) as src) " + " ".join(f"left join (select page_id, source as src, confidence as c from ({q})) {a} using (page_id, src)" for a, q in (("u", ORACLES["map_source_of_urls"]), ("g", ORACLES["map_source_of_pages"]), ("x", _HEADER_SQL)))
 
 
 @query(f"select page_id, case when n>0 then src end as source, least(1.0, n/3.0)::double as confidence from {_first(_EVERY)} where k=1")

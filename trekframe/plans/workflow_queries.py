@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trekframe.functions import sql as geosql
-from trekframe.operators import augment, features, fusion, lookups, quality, stats, tracks
+from trekframe.operators import addresses, augment, features, fusion, lookups, quality, stats, tracks
 from trekframe.plans.analysis_queries import NUMERIC, _anova, _L, _lpairs, _store, rounded
 from trekframe.plans.registry import query
 from trekframe.plans.track_queries import _VOTES, W, _votes, hav
@@ -82,19 +82,52 @@ def route_checks(spark, sf):
 # ---- the store's other tables
 
 
-_HASHES = "sha256('{}')", """sha256('{"points": "corrected"}')"""
+_EMPTY = "sha256('{}')"
+#: Two batches of corrections: points without altitude, then the same again and by a spline.
+_FIXES = "f as (select track_id, point_index, kind, batch, row_number() over (partition by track_id order by batch, point_index, kind) + 1 as version from track_points cross join (values ('altitude', 1), ('altitude', 2), ('spline', 2)) k(kind, batch) where altitude is null)"
 
 
-@query(oracle(f"select distinct track_id, 1 as version, 'create' as change_type, {_HASHES[0]} as change_hash from track_points union all select distinct track_id, 2, 'correct', {_HASHES[1]} from track_points where altitude is null"))
-def track_history(spark, sf):
-    """History after the same tracks were added twice and some points corrected."""
+def _corrected_store(spark, sf):
     p = track_points(spark, sf).select("track_id", "point_index", "date", "altitude")
     s = _store(spark)
     s.add_points(p)
     s.add_tracks(p)
     s.add_tracks(p)
-    s.correct(p.where("altitude is null").select("track_id", "point_index", F.lit("altitude").alias("correction_type")))
-    return s.history()
+    s.add_anomalies(p.where("altitude is null or point_index = 3").select("track_id", "point_index", F.lit("altitude").alias("anomaly_type")))
+    fixes = lambda kind: p.where("altitude is null").select("track_id", "point_index", F.lit(kind).alias("correction_type"))
+    s.correct(fixes("altitude"))
+    s.correct(fixes("altitude").unionByName(fixes("spline")))
+    return s
+
+
+@query(oracle(f"""{_FIXES} select distinct track_id, 1 as version, 'create' as change_type, {_EMPTY} as change_hash from track_points
+    union all select track_id, version::int, 'correct', sha256('{{"correction_type":"' || kind || '","point_index":' || point_index || '}}') from f"""))
+def track_history(spark, sf):
+    """History after the same tracks were added twice and some points corrected in two batches."""
+    return _corrected_store(spark, sf).history()
+
+
+@query(oracle(f"{_FIXES} select p.track_id, (1 + count(f.version))::int as version from (select distinct track_id from track_points) p left join f using (track_id) group by 1"))
+def corrected_tracks(spark, sf):
+    return _corrected_store(spark, sf).read("tracks").select("track_id", "version")
+
+
+@query(oracle("select track_id, point_index, 'altitude' as anomaly_type, altitude is null as is_corrected, case when altitude is null then 4 else 1 end as version from track_points where altitude is null or point_index = 3"))
+def corrected_anomalies(spark, sf):
+    """Anomalies with whether they are corrected, and their points' versions."""
+    s = _corrected_store(spark, sf)
+    points = s.read("points").select("track_id", "point_index", F.col("version").cast("int").alias("version"))
+    return s.read("anomalies").join(points, ["track_id", "point_index"]).select("track_id", "point_index", "anomaly_type", "is_corrected", "version")
+
+
+_TERRAINS = [*addresses.TERRAIN_TYPES.values(), *(n.upper() for n in list(addresses.TERRAIN_TYPES.values())[:5]), *addresses.TERRAIN_TYPES, *addresses.TERRAIN_ALIASES, "nowhere"]
+_TERRAIN_CASE = "case lower(t) " + " ".join(f"when '{r}' then '{n}'" for r, n in [*((r, n) for n, r in addresses.TERRAIN_TYPES.items()), *addresses.TERRAIN_ALIASES.items(), *((n, n) for n in addresses.TERRAIN_TYPES)]) + " end"
+
+
+@query(f"select event_id, {_TERRAIN_CASE} as terrain from (select event_id, ({_TERRAINS!r})[(event_id % {len(_TERRAINS)} + 1)::int] as t from events)")
+def terrain_names(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", addresses.terrain_name(F.element_at(F.array(*[F.lit(t) for t in _TERRAINS]), (F.col("event_id") % len(_TERRAINS) + 1).cast("int"))).alias("terrain"))
 
 
 @query(oracle("select track_id, point_index, 'altitude' as anomaly_type, case when altitude>7000 then 'high' else 'medium' end as severity from track_points where altitude not between -100 and 6000"))
@@ -104,7 +137,7 @@ def recorded_anomalies(spark, sf):
     rows = p.select("track_id", "point_index", F.lit("altitude").alias("anomaly_type"), F.when(F.col("altitude") > 7000, "high").alias("severity"))
     s.add_anomalies(rows)
     s.add_anomalies(rows)
-    return s.read("anomalies")
+    return s.read("anomalies").drop("is_corrected")
 
 
 @query(oracle("t as (select track_id, min(region_key) as r from track_points group by 1) select track_id, k as map_type, concat('/maps/', track_id, '_', k, '.png') as file_path, concat('source=', case when r=0 then 'corrected' else 'osm' end, case when r=0 then ';zoom=13' else '' end) as metadata, case when r=0 then 2 else 1 end as version from t cross join (select unnest(['overview','detail']) as k)"))
@@ -247,9 +280,12 @@ def terrain_properties(spark, sf):
     return p.select("track_id", "point_index", shown.alias("properties"))
 
 
-@query("select page_id, contains(lower(coalesce(html,'')),'yandex') or contains(lower(coalesce(html,'')),'ymaps') as is_yandex from (select page_id, case when page_id%3=0 then html||'<script src=\"YMaps.js\">' else html end as html from pages)")
+_DRAWN = "case page_id % 4 when 0 then html || '<script src=\"ymaps.js\">' when 1 then html || '<svg class=\"ymaps-2-1\">' when 2 then html || '<b>Yandex</b>' else html end"
+
+
+@query(f"select page_id, contains(coalesce(html,''),'<svg class=\"ymaps-') or contains(lower(coalesce(html,'')),'yandex') as is_yandex from (select page_id, {_DRAWN} as html from pages)")
 def yandex_pages(spark, sf):
-    p = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<script src="YMaps.js">'))).otherwise(F.col("html")))
+    p = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.expr(_DRAWN))
     return p.select("page_id", features.is_yandex_map(F.col("html")).alias("is_yandex"))
 
 
