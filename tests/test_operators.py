@@ -257,3 +257,60 @@ def test_neighbours_across_the_date_line_and_around_a_pole(spark):
     points = spark.createDataFrame([(1, 10.0, 179.9995), (2, 89.9995, 0.0), (3, -89.9999, 12.0), (4, 50.0, 8.0)], "id long, latitude double, longitude double")
     places = spark.createDataFrame([(11, 10.0, -179.9995), (12, 89.9995, 180.0), (13, -89.9999, -150.0), (14, 50.0, 8.001), (15, 50.0, -172.0)], "place_id long, latitude double, longitude double")
     assert {(r.id, r.place_id) for r in lookups.within_radius(points, places, 200.0).collect()} == {(1, 11), (2, 12), (3, 13), (4, 14)}
+
+
+def test_sequential_filters_carry_over_batches(spark):
+    """One long track and many short ones, in Arrow batches of a few rows: as a plain loop gives them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [("long", i, float(v), float(lat), 1.0) for i, (v, lat) in enumerate(zip(rng.normal(size=20_000), rng.integers(0, 3, 20_000) * 5e-7))]
+    rows += [(f"t{k}", i, float(k + i), None if i == 1 else float(i // 2), 2.0) for k in range(50) for i in range(5)] + [("gap", 0, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "track_id string, point_index int, v double, latitude double, longitude double").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        smooth = {(r.track_id, r.point_index): r.value for r in tracks.kalman(df, "v").collect()}
+        kept = {(r.track_id, r.point_index) for r in tracks.drop_near_last_kept(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, stay, last, x, p = {}, set(), {}, {}, {}
+    for t, i, v, lat, lon in rows:
+        if v is not None:
+            if t not in x:
+                x[t], p[t] = v, 1e-4
+            else:
+                g = (p[t] + 1e-5) / (p[t] + 1e-5 + 1e-4)
+                x[t], p[t] = x[t] + g * (v - x[t]), (1 - g) * (p[t] + 1e-5)
+            want[t, i] = x[t]
+        if lat is not None and lon is not None and (t not in last or abs(lat - last[t][0]) > 1e-6 or abs(lon - last[t][1]) > 1e-6):
+            last[t] = lat, lon
+            stay.add((t, i))
+    assert smooth == want and kept == stay
+    assert tracks.kalman(df.limit(0), "v").count() == 0
+
+
+def test_every_correction_raises_the_versions(spark, tmp_path):
+    s = store.TrackStore(spark, str(tmp_path))
+    points = spark.createDataFrame([("a", i, dt.date(2026, 1, 1)) for i in range(4)] + [("b", 0, dt.date(2026, 1, 1))], "track_id string, point_index int, date date")
+    s.add_points(points)
+    s.add_tracks(points)
+    s.add_anomalies(points.where("point_index < 2").select("track_id", "point_index", F.lit("gps_noise").alias("anomaly_type")))
+    fix = lambda *r: spark.createDataFrame(list(r), "track_id string, point_index int, correction_type string")
+    s.correct(fix(("a", 1, "spline"), ("a", 3, "spline")))
+    s.correct(fix(("a", 1, "spline"), ("nowhere", 0, "spline")))
+    history = [(r.track_id, r.version, r.change_type) for r in s.history("a").collect()]
+    assert history == [("a", 1, "create"), ("a", 2, "correct"), ("a", 3, "correct"), ("a", 4, "correct")]
+    assert {r.track_id: r.version for r in s.read("tracks").collect()} == {"a": 4, "b": 1}
+    assert {(r.point_index, r.version) for r in s.read("points").where("track_id = 'a'").collect()} == {(0, 1), (1, 3), (2, 1), (3, 2)}
+    assert {(r.track_id, r.point_index): r.is_corrected for r in s.read("anomalies").collect()} == {("a", 0): False, ("a", 1): True, ("b", 0): False}
+
+
+def test_terrain_names_and_unknown_distances(spark):
+    from trekframe.operators import addresses
+
+    assert len(addresses.TERRAIN_TYPES) == 37
+    names = spark.createDataFrame([("Болото_верховое",), ("дорога",), ("meadow",), ("",), (None,)], "t string").select(addresses.terrain_name(F.col("t")).alias("n")).collect()
+    assert [r.n for r in names] == ["bog", "road_asphalt", "meadow", None, None]
+    d = spark.createDataFrame([(1.0, 2.0, None, 3.0)], "a double, b double, c double, d double").select(geo.haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("d")).first()
+    assert d.d is None
