@@ -128,3 +128,22 @@ def test_repetition_is_found_over_the_whole_host(spark):
     got = H.extract_pages(pages, chunk=80).collect()
     assert len(got) == 403 and {(r.page_id, r.text) for r in got} == set(want.items())
     assert {(r.page_id, r.text) for r in H.extract_pages(pages, chunk=8000).collect()} == set(want.items())
+
+
+def test_names_of_layouts_and_anchors_lose_no_text():
+    text = lambda page: H.main_texts([H.blocks(page)])[0]
+    assert text('<div class="layout has-sidebar"><article><p>Hello world of text</p></article></div>') == "Hello world of text"
+    assert text('<div id="main" class="with-header"><article><p>Hello</p></article><div class="sidebar">side</div></div>') == "Hello"
+    assert text('<main><section id="social-history"><p>Of towns</p></section><section id="comments"><p>first!</p></section></main>') == "Of towns"
+    assert text('<article><p>Read <a class="share" href="#">the report</a> of <span class="related">others</span> <span class="ad">buy</span>now</p></article>') == "Read the report of others now"
+    assert text('<body><div class="search-page"><p>' + "word " * 60 + '</p></div><div class="menu">Home</div></body>') == ("word " * 60).strip()
+    assert text('<article><p>a</p><div class="share-buttons">Share</div><div id="related-links">More</div><div class="newsletter">Join</div><p>b</p></article>') == "a b"
+    assert text('<div class="nav-wrapper"><div class="page-header"><main><p>deep</p></main></div></div>') == "deep"
+
+
+def test_nested_wrappers_take_little_time():
+    import time
+
+    start = time.time()
+    page = '<div class="sidebar">' * 300 + "<article>" + "word " * 20_000 + "</article>" + "</div>" * 300
+    assert len(H.blocks(page)) == 1 and time.time() - start < 10

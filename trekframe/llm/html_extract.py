@@ -11,7 +11,8 @@ chrome are one page here, so a page isn't covered by its own copy.
 Covered runs are boilerplate and go; unique runs stay. Markup only overrules the
 array where an element says what its text is: text of an article or main element
 stays though other pages quote it, and menus, forms, adverts, notices, comment
-sections and hidden elements (also inside an article) go though they are unique;
+sections and hidden elements (also inside an article) go though they are unique,
+but no class or id makes a wrapper of an article, or of most of a page, go;
 script, style and head are no text at all. An article's own header is part of
 it. A page without an article of which less than a tenth is unique is a copy of
 another with other surroundings: its paragraphs (``PARAGRAPH`` words) stay.
@@ -33,6 +34,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +64,13 @@ _CHROME_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|promoted|cookies?|consent|notice|notification|alert|popup|modal|overlay|sidebar|side|menu|navbar|navigation|nav|breadcrumbs?|header|masthead|footer|foot|comments?|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget)(?=$|[\s_-])",
     re.I,
 )
+_ADVERT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted".split())
+_GENERIC = frozenset("area bar block box button buttons container content footer form group header inner item items link links list outer panel section wrap wrapper".split())
 _CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>])*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN, _QUOTED, _OWN_HEADER = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I), re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')"), re.compile("header", re.I)
+_VOUCHED = re.compile(r"<(?:article|main)(?=[\s/>])|\brole\s*=\s*[\"']?main\b", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
 
 KEEP, UNSURE, DROP = 0, 1, 2
@@ -83,8 +88,6 @@ def _kind(tag: str, attrs: str, inside_content: bool) -> int | None:
         for name, a, b, c in _ATTR.findall(attrs):
             value = a or b or c
             name = name.lower()
-            if name in ("class", "id") and tag not in ("html", "body") and tag not in CONTENT and _CHROME_WORD.search(_OWN_HEADER.sub("", value) if inside_content else value):
-                return DROP
             if name == "role" and value.lower() in _CHROME_ROLE or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return DROP
         if re.search(r"\brole\s*=\s*[\"']?main\b", attrs, re.I):
@@ -92,6 +95,53 @@ def _kind(tag: str, attrs: str, inside_content: bool) -> int | None:
     return KEEP if tag in CONTENT else None
 
 
+def _named_chrome(tag: str, attrs: str, inside_content: bool) -> bool:
+    """Whether an element's class or id says that it isn't content.
+
+    Inline elements are words of a sentence whatever they are called, but for
+    adverts. Inside content an id is a place that links lead to, so all of its
+    words must say so.
+    """
+    if tag in ("html", "body") or tag in CONTENT:
+        return False
+    for name, a, b, c in _ATTR.findall(attrs):
+        value, name = a or b or c, name.lower()
+        if name not in ("class", "id"):
+            continue
+        if tag in INLINE:
+            if any(word in _ADVERT for word in value.lower().split()):
+                return True
+            continue
+        if inside_content:
+            value = _OWN_HEADER.sub("", value)
+        if not _CHROME_WORD.search(value):
+            continue
+        if name == "class" or not inside_content or all(not w or w in _GENERIC or _CHROME_WORD.fullmatch(w) for w in re.split(r"[\s_-]", value.lower())):
+            return True
+    return False
+
+
+@lru_cache(maxsize=256)
+def _tags(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I)
+
+
+def _holds_content(page: str, at: int, tag: str) -> bool:
+    """Whether the element that has begun before ``at`` is a wrapper: with an article or main element in it, or most of the page's words."""
+    depth, end = 1, len(page)
+    for m in _tags(tag).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            end = m.start()
+            break
+    if _VOUCHED.search(page, at, end):
+        return True
+    if end - at < 0.4 * len(page):
+        return False
+    words = lambda part: len(_TAG.sub(" ", part).split())
+    return 2 * words(page[at:end]) > words(page)
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(KEEP, UNSURE or DROP, text) of a page's blocks in order; white space is one space, empty blocks are left out."""
     out: list[tuple[int, str]] = []
@@ -137,6 +187,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag in VOID or m[3].endswith("/") and tag not in CONTENT | CHROME | NOTHING:
             continue
         kind = _kind(tag, m[3], state == KEEP)
+        if kind is None and state != DROP and m[3] and _named_chrome(tag, m[3], state == KEEP) and not _holds_content(page, at, tag):
+            kind = DROP
         new = state if kind is None or state == DROP else kind
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             opened[tag] -= 1
