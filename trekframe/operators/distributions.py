@@ -414,6 +414,19 @@ def recommend_transformations(df: DataFrame, columns: list[str], id_col: str, lo
 # ---- what plots show
 
 
+def density_curves(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+    """x, kde, normal: on an even grid over the values a Gaussian kernel density of Scott's width, from the fine histogram, and the normal density of their mean and deviation."""
+    known = df.select(F.col(column).cast("double").alias(column)).where(f"`{column}` is not null and not isnan(`{column}`)")
+    fine = fine_histogram(known, [column])
+    span = known.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count("*").alias("n"), F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.stddev_pop(column).alias("p"))  # one row
+    grid = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("at", F.col("a") + (F.col("b") - F.col("a")) * F.col("i") / (points - 1)).withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2)))
+    u = (F.col("at") - F.col("x")) / F.col("h")
+    kernels = F.sum(F.col("fine_n") * F.exp(-0.5 * u * u)) / (F.max("n") * F.max("h") * math.sqrt(2 * math.pi))
+    z = (F.col("at") - F.col("m")) / F.col("p")
+    rows = grid.crossJoin(F.broadcast(fine.select("x", F.col("n").alias("fine_n"))))  # a grid of a few hundred by some thousand bins
+    return rows.groupBy("at").agg(kernels.alias("kde"), (F.exp(-0.5 * F.max(z) * F.max(z)) / (F.max("p") * math.sqrt(2 * math.pi))).alias("normal")).withColumnRenamed("at", "x")
+
+
 def qq_fit(df: DataFrame, column: str) -> DataFrame:
     """One row: n, slope, intercept and R2 of the values against normal quantiles of their order-statistic medians."""
     ship(df.sparkSession)

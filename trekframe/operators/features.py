@@ -192,6 +192,13 @@ def enriched_point(csv_terrain: Column, geocoded: Column, n_objects: Column, reg
     }
 
 
+def enriched_record(rows: DataFrame) -> DataFrame:
+    """Enriched points as they are handed on: coordinates to six places, altitude and temperature to one, step frequency to three, confidence and quality to two; a temperature or step frequency of 0 counts as unknown."""
+    known = lambda c: F.when(F.col(c) != 0, F.col(c))
+    shown = {"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6), "altitude": F.round("altitude", 1), "temperature": F.round(known("temperature"), 1), "frequency_steps": F.round(known("frequency_steps"), 3), "terrain_confidence": F.round("terrain_confidence", 2), "quality": F.round("quality", 2)}
+    return rows.withColumns({c: v for c, v in shown.items() if c in rows.columns})
+
+
 def with_defaults(points: DataFrame) -> DataFrame:
     """points with the values that stand in for missing keys of a record."""
     return points.withColumns({"track_id": F.coalesce("track_id", F.lit("UNKNOWN")), "date": F.coalesce("date", F.lit("2004-01-01").cast("date")), "latitude": F.coalesce("latitude", F.lit(55.7558)), "longitude": F.coalesce("longitude", F.lit(37.6173))})

@@ -76,6 +76,16 @@ def qq_fit(spark, sf):
     return rounded(distributions.qq_fit(track_points(spark, sf), "altitude"))
 
 
+@query(
+    """with s as (select min(value) as a, max(value) as b, count(value) as n, avg(value) as m, stddev_samp(value) as s, stddev_pop(value) as p from events), f as (select a + (least(4095, floor((value-a)/((b-a)/4096))) + 0.5) * ((b-a)/4096) as x, count(*) as c from events, s where value is not null group by 1),
+    g as (select *, a + (b-a) * i / 199 as gx, s * pow(n, -0.2) as h from s, range(200) r(i))
+    select round(gx, 6) as x, round(sum(c * exp(-0.5*((gx-x)/h)*((gx-x)/h))) / (max(n) * max(h) * sqrt(2*pi())), 8) as kde, round(exp(-0.5*((gx-max(m))/max(p))*((gx-max(m))/max(p))) / (max(p) * sqrt(2*pi())), 8) as normal from g, f group by gx"""
+)
+def density_curves(spark, sf):
+    c = distributions.density_curves(spark.read.parquet(f"{sf}/events.parquet"), "value")
+    return c.select(F.round("x", 6).alias("x"), F.round("kde", 8).alias("kde"), F.round("normal", 8).alias("normal"))
+
+
 @query()
 def pp_points(spark, sf):
     return rounded(distributions.pp_points(track_points(spark, sf), "temperature"), 8)

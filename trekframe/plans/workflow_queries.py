@@ -49,6 +49,27 @@ def gpx_points(spark, sf):
     return _read_back(spark, sf, "gpx")
 
 
+@query(
+    oracle("""b as (select track_id from track_points group by 1 having bool_and(coalesce(latitude between -90 and 90 and longitude between -180 and 180, false))),
+    k as (select *, lag(latitude) over w as plat, lag(longitude) over w as plon from track_points join b using (track_id) where latitude between 50 and 63.5 and longitude between 20 and 120 and (altitude is null or altitude between -100 and 6000) window w as (partition by track_id order by point_index))
+    select track_id, point_index, round(latitude,8) as latitude, round(longitude,8) as longitude from k where plat is null or abs(latitude-plat) > 0.000001 or abs(longitude-plon) > 0.000001""")
+)
+def parsed_tracks(spark, sf):
+    """Read back within bounds, without points that repeat the last one kept."""
+    path = _path(spark, "tracks")
+    files.write_documents(files.gpx_documents(track_points(spark, sf)), path)
+    rows = files.parse_tracks(spark, f"{path}/*", {"latitude": (50.0, 63.5), "longitude": (20.0, 120.0), "elevation": (-100.0, 6000.0)}, kind="gpx")
+    return rows.select(F.col("name").alias("track_id"), "point_index", F.round("latitude", 8).alias("latitude"), F.round("longitude", 8).alias("longitude"))
+
+
+@query(oracle("b as (select track_id from track_points group by 1 having bool_and(coalesce(latitude between -90 and 90 and longitude between -180 and 180, false))) select track_id, point_index, round(latitude,8) as latitude, round(longitude,8) as longitude, round(altitude,2) as altitude, strftime(event_ts, '%Y-%m-%dT%H:%M:%SZ') as ts from track_points join b using (track_id)"))
+def lenient_gpx_points(spark, sf):
+    path = _path(spark, "tracks")
+    files.write_documents(files.gpx_documents(track_points(spark, sf)), path)
+    rows = files.read_gpx_lenient(spark, f"{path}/*")
+    return rows.select(F.col("name").alias("track_id"), "point_index", F.round("latitude", 8).alias("latitude"), F.round("longitude", 8).alias("longitude"), F.round("altitude", 2).alias("altitude"), "ts")
+
+
 @query(_points_sql(True))
 def tcx_points(spark, sf):
     return _read_back(spark, sf, "tcx")
@@ -264,6 +285,11 @@ def enriched_points(spark, sf):
     return rounded(p.select("track_id", "point_index", *[v.alias(k) for k, v in found.items()]))
 
 
+@query(oracle("select track_id, point_index, round(latitude,6) as latitude, round(longitude,6) as longitude, round(altitude,1) as altitude, case when temperature<>0 then round(temperature,1) end as temperature, case when frequency_steps<>0 then round(frequency_steps,3) end as frequency_steps, round(terrain_confidence,2) as terrain_confidence from track_points"))
+def enriched_records(spark, sf):
+    return features.enriched_record(track_points(spark, sf)).select("track_id", "point_index", "latitude", "longitude", "altitude", "temperature", "frequency_steps", "terrain_confidence")
+
+
 @query(oracle("select coalesce(track_id,'UNKNOWN') as track_id, event_id, coalesce(case when event_id%7=0 then null else date end, date '2004-01-01') as date, coalesce(latitude,55.7558) as latitude, coalesce(longitude,37.6173) as longitude from (select case when event_id%11=0 then null else track_id end as track_id, event_id, date, latitude, longitude from track_points)"))
 def points_with_defaults(spark, sf):
     p = track_points(spark, sf).select(F.when(F.col("event_id") % 11 != 0, F.col("track_id")).alias("track_id"), "event_id", F.when(F.col("event_id") % 7 != 0, F.col("date")).alias("date"), "latitude", "longitude")

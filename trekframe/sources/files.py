@@ -117,6 +117,47 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return READERS[kind](spark, path)
 
 
+#: Range of elevations where bounds name none.
+ELEVATIONS = (-500.0, 9000.0)
+
+
+def parse_tracks(spark: SparkSession, path: str, bounds: dict[str, tuple[float, float]] | None = None, tolerance: float = 1e-6, kind: str | None = None) -> DataFrame:
+    """Points of a file or glob (of a kind, or by its extension) as a track is taken over: those within bounds (latitude, longitude, elevation; only if they are given), without points that repeat the last one kept. point_index is the file's.
+
+    Unknown elevations are in bounds; rows with an error and no point stay.
+    """
+    from trekframe.operators.tracks import drop_near_last_kept
+
+    rows = READERS[kind](spark, path) if kind else read_tracks(spark, path)
+    if "latitude" not in rows.columns:
+        return rows
+    if bounds:
+        lat, lon, ele = bounds.get("latitude", (-90.0, 90.0)), bounds.get("longitude", (-180.0, 180.0)), bounds.get("elevation", ELEVATIONS)
+        inside = F.col("latitude").between(*lat) & F.col("longitude").between(*lon) & (F.col("altitude").isNull() | F.col("altitude").between(*ele))
+        rows = rows.where(F.col("latitude").isNull() | F.col("longitude").isNull() | inside)
+    kept = drop_near_last_kept(rows.withColumn("track_id", F.col("file")), tolerance).withColumnRenamed("track_id", "file")
+    unknown = rows.where("latitude is null or longitude is null")
+    return rows.join(kept, ["file", "point_index"]).unionByName(unknown)
+
+
+def read_gpx_lenient(spark: SparkSession, path: str) -> DataFrame:
+    """Points of files that are hardly GPX: any element whose name holds "trkpt" and that has lat and lon, the first element whose name holds "name", elevations (an empty one is 0) and times as they are written.
+
+    file, name, point_index, latitude, longitude, altitude, ts (text), error; a file without such points gives a row with an error.
+    """
+    point = r"(?is)<(?:\w+:)?\w*trkpt\w*\b([^>]*?)(?:/>|>(.*?)</(?:\w+:)?\w*trkpt\w*\s*>)"
+    attribute = lambda tag: F.try_to_number(F.regexp_extract(F.col("p.a"), rf"\b{tag}\s*=\s*[\"']\s*([-+]?[0-9.]+)", 1), F.lit("S999999999D999999999999")).cast("double")
+    inner = lambda tag: F.regexp_extract(F.col("p.b"), rf"(?is)<(?:\w+:)?\w*{tag}\w*\b[^>]*>([^<]*)<", 1)
+    has = lambda tag: F.col("p.b").rlike(rf"(?is)<(?:\w+:)?\w*{tag}\w*\b")
+    rows = _files(spark, path)
+    name = F.nullif(F.regexp_extract("value", r"(?is)<(?:\w+:)?\w*name\w*\b[^>]*>([^<]*)<", 1), F.lit(""))
+    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(point), F.lit(1)).alias("a"), F.regexp_extract_all("value", F.lit(point), F.lit(2)).alias("b"))
+    usable = F.filter(pairs, lambda x: x["a"].rlike(r"\blat\s*=\s*[\"'][^\"']") & x["a"].rlike(r"\blon\s*=\s*[\"'][^\"']"))
+    points = rows.select("file", name.alias("name"), F.posexplode_outer(usable).alias("point_index", "p"))
+    ele = F.when(has("ele"), F.coalesce(F.try_to_number(F.trim(inner("ele")), F.lit("S999999999D999999999999")).cast("double"), F.lit(0.0)))
+    return points.select("file", "name", "point_index", attribute("lat").alias("latitude"), attribute("lon").alias("longitude"), ele.alias("altitude"), F.when(has("time"), inner("time")).alias("ts"), F.when(F.col("point_index").isNull(), "no points").alias("error"))
+
+
 def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
