@@ -96,9 +96,9 @@ def independence_statements(spark, sf):
     return stats.independence_statements(_lpairs(spark, sf)).select("x", "y", F.array_join("given", ",").alias("given"))
 
 
-@query(f"{_L}, s as (select * from p where abs(r)>0.001 order by abs(r) desc, a, b limit 50) select s.a as x, s.b as y, u.b as z from s join e u on u.a=s.a and abs(u.r)>0.0005 join e v on v.a=s.b and v.b=u.b and abs(v.r)>0.0005")
+@query(f"{_L}, s as (select * from p where abs(r)>0.3 order by abs(r) desc, a, b limit 50) select s.a as x, s.b as y, u.b as z from s join e u on u.a=s.a and abs(u.r)>0.2 join e v on v.a=s.b and v.b=u.b and abs(v.r)>0.2")
 def shared_neighbours(spark, sf):
-    return stats.shared_neighbours(_lpairs(spark, sf), 0.0005, 0.001)
+    return stats.shared_neighbours(_lpairs(spark, sf))
 
 
 @query(" union all ".join(f"select '{c}' as column_name, count(*) as n, count({c}) as known, count(*)-count({c}) as nulls, count(distinct {c}) as n_unique from orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")))

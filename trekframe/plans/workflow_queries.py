@@ -343,9 +343,9 @@ def dataset_report(spark, sf):
     return stats.markdown_report(_orders(spark, sf), "orders")
 
 
-@query(f"{_L} select a, b, round(r,6) as r from p where abs(r)>0.0005")
+@query(f"{_L} select a, b, round(r,6) as r from p where abs(r)>0.3")
 def strong_edges(spark, sf):
-    return rounded(stats.strong_edges(_lpairs(spark, sf), 0.0005))
+    return rounded(stats.strong_edges(_lpairs(spark, sf)))
 
 
 @query(oracle(" union all ".join(f"select '{c}' as feature, * from (with {_anova(c, 'terrain_type', 'track_points')})" for c in NUMERIC)))
