@@ -314,3 +314,24 @@ def test_terrain_names_and_unknown_distances(spark):
     assert [r.n for r in names] == ["bog", "road_asphalt", "meadow", None, None]
     d = spark.createDataFrame([(1.0, 2.0, None, 3.0)], "a double, b double, c double, d double").select(geo.haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("d")).first()
     assert d.d is None
+
+
+def test_lenient_reader_and_parsed_tracks(spark, tmp_path):
+    odd = '<GPX><metadata><Name>Odd &amp; old</Name></metadata><x:TrkPt lat="55.5" lon=\'37.5\'><ele> </ele><Time>noon</Time></x:TrkPt><trkpt lat="55.6" lon="37.6"/><trkpt lon="1"/><trkpt lat="55.7" lon="-37.7"><name>p</name><ele>12.5</ele></trkpt></GPX>'
+    (tmp_path / "odd.gpx").write_text(odd)
+    (tmp_path / "none.gpx").write_text("<gpx></gpx>")
+    rows = files.read_gpx_lenient(spark, f"{tmp_path}/*.gpx").orderBy("file", "point_index").collect()
+    assert [(r.point_index, r.latitude, r.longitude, r.altitude, r.ts, r.error) for r in rows] == [(None, None, None, None, None, "no points"), (0, 55.5, 37.5, 0.0, "noon", None), (1, 55.6, 37.6, None, None, None), (2, 55.7, -37.7, 12.5, None, None)]
+    point = lambda lat, lon, ele: f'<trkpt lat="{lat}" lon="{lon}"><ele>{ele}</ele></trkpt>'
+    (tmp_path / "t.gpx").write_text("<gpx><trk><trkseg>" + "".join((point(55, 115, 1), point(55, 115, 2), point(55.1, 115, 9999), point(70, 115, 3), point(55, 115, 4), point(55.2, 115, 5))) + "</trkseg></trk></gpx>")
+    indexes = lambda df: sorted(r.point_index for r in df.collect())
+    assert indexes(files.parse_tracks(spark, f"{tmp_path}/t.gpx")) == [0, 2, 3, 4, 5]
+    assert indexes(files.parse_tracks(spark, f"{tmp_path}/t.gpx", {"latitude": (52.0, 60.0), "longitude": (109.0, 134.0), "elevation": (-100.0, 6000.0)})) == [0, 5]
+    assert [r.error for r in files.parse_tracks(spark, "a.fit").collect()] == ["unknown track format: fit"]
+
+
+def test_records_are_rounded(spark):
+    from trekframe.operators import features
+
+    r = features.enriched_record(spark.createDataFrame([(55.12345678, 37.0, 120.26, 0.0, 1.23456, 0.456, None)], "latitude double, longitude double, altitude double, temperature double, frequency_steps double, quality double, other string")).first()
+    assert tuple(r) == (55.123457, 37.0, 120.3, None, 1.235, 0.46, None)
