@@ -11,7 +11,7 @@ quality is kept in the sidecar; its loss isn't simulated.
 Chance comes from hashes of the seed, the image, the setting and the place, so
 reruns agree. Defined cases: settings out of range raise ValueError; an image is
 the grid up to its largest x and y, and at its edge blur repeats the last pixel;
-unknown colours stay unknown; an empty table gives an empty result.
+unknown colours stay unknown, and after blur those next to them too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,7 +132,8 @@ def blurred(pixels: DataFrame, keys: list[str], radius: float) -> DataFrame:
         w = Window.partitionBy(*keys, line).orderBy(along)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         side = lambda c, k, w=w, whole=whole: F.col(c) if not k else F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole)) if k > 0 else F.coalesce(F.lag(c, -k).over(w), F.first(c).over(whole))
-        pixels = pixels.select(*[_byte(sum(side(c, k) * kernel[k + reach] for k in range(-reach, reach + 1)) + 0.5).alias(c) if c in ("r", "g", "b") else F.col(c) for c in pixels.columns])
+        total = {c: sum(side(c, k) * kernel[k + reach] for k in range(-reach, reach + 1)) + 0.5 for c in "rgb"}
+        pixels = pixels.select(*[F.when(total[c].isNotNull(), _byte(total[c])).alias(c) if c in total else F.col(c) for c in pixels.columns])
     return pixels
 
 
@@ -172,7 +173,8 @@ def augmented(pixels: DataFrame, settings: dict[str, Settings], seed: int = 42)
     """img, name, x, y, r, g, b of every image under every named setting."""
     columns = [f for f in Settings.__dataclass_fields__ if f != "jpeg_quality"]
     listed = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(getattr(s, f)).cast("string" if f == "weather_effect" else "double").alias(f) for f in columns]) for n, s in settings.items()])
-    rows = pixels.select("img", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b", F.inline(listed))
+    seen = {f"seen_{c}": F.col(c).isNotNull() for c in "rgb"}  # the steps don't tell unknown from white
+    rows = pixels.select("img", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b", *[v.alias(n) for n, v in seen.items()], F.inline(listed))
     off = lambda c, least, neutral=0.0: F.abs(F.col(c) - neutral) > least
     channels = lambda d, fn: d.withColumns({c: fn(F.col(c)) for c in "rgb"})
     bright = lambda c, factor: _byte(c * factor)
@@ -198,7 +200,7 @@ def augmented(pixels: DataFrame, settings: dict[str, Settings], seed: int = 42)
         sharp = rows.where(F.col("blur_radius") <= 0.1)
         for radius in radii:
             sharp = sharp.unionByName(blurred(rows.where(F.col("blur_radius") == radius), ["img", "name"], radius))
-        rows = sharp
+        rows = sharp.withColumns({n: F.col(n) & v for n, v in seen.items()})
     u = lambda c, tag: uniform(F.lit(seed), F.col("img"), F.col("name"), F.col("x"), F.col("y"), F.lit(c), F.lit(tag))
     normal = lambda c: F.sqrt(-2.0 * F.ln(u(c, 1))) * F.cos(2.0 * math.pi * u(c, 2))
     rows = rows.withColumns({c: F.when(F.col("noise_intensity") > 0.001, _byte(F.col(c) + normal(c) * F.col("noise_intensity") * 255)).otherwise(F.col(c)) for c in "rgb"})
@@ -213,7 +215,7 @@ def augmented(pixels: DataFrame, settings: dict[str, Settings], seed: int = 42)
         over = {c: F.when(F.col("alpha").isNull(), F.col(c)).otherwise(_over(F.col(c), colour, F.col("alpha"))) for c, colour in zip("rgb", (200, 200, 255))}
         white = {c: _over(F.col(c), 255, F.col("alpha")) for c in "rgb"}
         rows = rows.withColumns({c: F.when((F.col("weather") == "snow") & F.col("alpha").isNotNull(), white[c]).otherwise(over[c]) for c in "rgb"})
-    return rows.select("img", "name", "x", "y", "r", "g", "b")
+    return rows.select("img", "name", "x", "y", *[F.when(F.col(f"seen_{c}"), F.col(c)).alias(c) for c in "rgb"])
 
 
 def random_settings(names: list[str], seed: int = 42, weather: bool = True) -> dict[str, Settings]:
