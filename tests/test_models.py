@@ -284,3 +284,19 @@ def test_a_profile_has_the_same_quartiles_as_numpy(spark):
     df = spark.range(1, 102).selectExpr("cast(id * id as double) as v", "cast(null as double) as none")
     row = stats.numeric_profile(df, ["v", "none"]).collect()
     assert [r.feature for r in row] == ["v"] and [row[0].q1, row[0].median, row[0].q3] == np.quantile(np.arange(1, 102.0) ** 2, [0.25, 0.5, 0.75]).tolist()
+
+
+@pytest.mark.parametrize("name", ["mode_consensus", "decided_kinds"])
+def test_means_are_added_up_as_in_sql(spark, tmp_path, name):
+    """Suppliers whose mean tax is 0.04 but for the order of summation, in a table with several suppliers of that kind, and one without a key."""
+    import duckdb
+
+    from trekframe.plans import registry
+
+    con = duckdb.connect()
+    con.execute("create view given as select * from '/root/testdata/sf0.1/lineitem.parquet' where l_suppkey in (170, 187, 311, 363, 417, 530)")
+    con.execute(f"copy (select * from given union all select * replace (null as l_suppkey) from given where l_suppkey = 187) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]})").fetchall()
+    assert len(want) == 7 and {tuple(r) for r in df.collect()} == set(want)
