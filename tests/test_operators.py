@@ -335,3 +335,16 @@ def test_records_are_rounded(spark):
 
     r = features.enriched_record(spark.createDataFrame([(55.12345678, 37.0, 120.26, 0.0, 1.23456, 0.456, None)], "latitude double, longitude double, altitude double, temperature double, frequency_steps double, quality double, other string")).first()
     assert tuple(r) == (55.123457, 37.0, 120.3, None, 1.235, 0.46, None)
+
+
+def test_corrections_together_are_one_change_of_a_track(spark, tmp_path):
+    s = store.TrackStore(spark, str(tmp_path))
+    points = spark.createDataFrame([(t, i, dt.date(2026, 1, 1)) for t in "ab" for i in range(4)], "track_id string, point_index int, date date")
+    s.add_points(points)
+    s.add_tracks(points)
+    fixes = spark.createDataFrame([("a", 1, "spline"), ("a", 3, "spline"), ("a", 3, "altitude")], "track_id string, point_index int, correction_type string")
+    s.correct(fixes, together=True)
+    s.correct(fixes.limit(1), together=True)
+    assert [(r.version, r.change_type) for r in s.history("a").collect()] == [(1, "create"), (2, "correct"), (3, "correct")]
+    assert {r.track_id: r.version for r in s.read("tracks").collect()} == {"a": 3, "b": 1}
+    assert {r.name: r.n for r in s.statistics().collect()} == {"points": 8, "tracks": 2, "corrections": 4, "corrected_points": 2, "history": 4}

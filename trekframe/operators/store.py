@@ -154,21 +154,25 @@ class TrackStore:
         else:
             rows.write.mode("append").parquet(f"{self.root}/{name}/{folder}")
 
-    def correct(self, corrections: DataFrame) -> None:
+    def correct(self, corrections: DataFrame, together: bool = False) -> None:
         """Appends corrections (track_id, point_index, correction_type, ...): each raises the version of its track, with a history row of that version, and of its point; the point's anomalies are marked.
 
         A track's corrections count in the order of points and kinds, from the
         version that the store has; corrections of tracks that it lacks are kept
-        without a version.
+        without a version. together: they are one change of each of their tracks,
+        which raises its version by one, with one history row.
         """
         corrections = materialised(corrections)
         self.append("corrections", corrections)
         tracks = self.read("tracks")
         if tracks is not None:
-            order = Window.partitionBy("track_id").orderBy("point_index", "correction_type")
             rows = corrections.join(tracks.select("track_id", F.col("version").alias("_from")), "track_id")
-            rows = materialised(rows.withColumn("version", (F.col("_from") + F.row_number().over(order)).cast("int")))
-            fields = F.to_json(F.struct("correction_type", "point_index"))
+            if together:
+                rows = rows.groupBy("track_id", "_from").agg(F.count("*").alias("corrections"), F.bit_xor(F.xxhash64("correction_type", "point_index")).alias("content"))
+                place, fields = F.lit(1), F.to_json(F.struct("corrections", "content"))
+            else:
+                place, fields = F.row_number().over(Window.partitionBy("track_id").orderBy("point_index", "correction_type")), F.to_json(F.struct("correction_type", "point_index"))
+            rows = materialised(rows.withColumn("version", (F.col("_from") + place).cast("int")))
             self.append("history", rows.select("track_id", "version", F.lit("correct").alias("change_type"), change_hash(fields).alias("change_hash")))
             raised = rows.groupBy("track_id").agg(F.max("version").alias("_version"))
             self.replace("tracks", tracks.join(raised, "track_id", "left").withColumn("version", F.coalesce("_version", "version")).drop("_version"))
