@@ -348,3 +348,17 @@ def test_corrections_together_are_one_change_of_a_track(spark, tmp_path):
     assert [(r.version, r.change_type) for r in s.history("a").collect()] == [(1, "create"), (2, "correct"), (3, "correct")]
     assert {r.track_id: r.version for r in s.read("tracks").collect()} == {"a": 3, "b": 1}
     assert {r.name: r.n for r in s.statistics().collect()} == {"points": 8, "tracks": 2, "corrections": 4, "corrected_points": 2, "history": 4}
+
+
+def test_densified_points_are_compiled_and_equal_the_great_circle(spark):
+    data = [("a", 0, 50.0, 30.0), ("a", 1, 50.5, 31.0), ("a", 2, 50.5, 31.0), ("a", 3, None, 31.0), ("a", 4, -20.0, 179.0), ("b", 0, 1.0, 2.0)]
+    points = spark.createDataFrame(data, "track_id string, point_index int, latitude double, longitude double")
+    out = tracks.densify(points)
+    assert "transform(" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.track_id, r.point_index, r.k): (r.latitude, r.longitude) for r in out.collect()}
+    ends = {0: (50.5, 31.0), 2: (-20.0, 179.0)}
+    want = {("a", 1, 0): (50.5, 31.0), ("a", 4, 0): (-20.0, 179.0), ("b", 0, 0): (1.0, 2.0)}
+    for i, lat, lon in ((0, 50.0, 30.0), (2, 50.5, 31.0)):
+        path = one(spark, geo.slerp(L(lat), L(lon), L(ends[i][0]), L(ends[i][1]), 10))[0]
+        want |= {("a", i, k): (p.latitude, p.longitude) for k, p in enumerate(path[:-1])}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
