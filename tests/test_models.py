@@ -300,3 +300,30 @@ def test_means_are_added_up_as_in_sql(spark, tmp_path, name):
     df = registry.QUERIES[name](spark, str(tmp_path))
     want = con.execute(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]})").fetchall()
     assert len(want) == 7 and {tuple(r) for r in df.collect()} == set(want)
+
+
+@pytest.mark.parametrize("most", [30, 100_000])
+def test_each_cell_between_thresholds_is_answered_once(most):
+    rng = np.random.default_rng(5)
+    whole = lambda v: np.array(v)
+    trees = [attributions.Tree(whole([j, -1, (j + 1) % 3, -1, -1]), np.r_[rng.normal(), 0, rng.normal(), 0, 0], whole([1, -1, 3, -1, -1]), whole([2, -1, 4, -1, -1]), rng.normal(size=5), np.array([10.0, 4, 6, 2, 4])) for j in (0, 1, 2, 0)]
+    asked = []
+    direct = lambda x: sum(t.predict(x) for t in trees)
+    cells = attributions.Cells(trees, 3, lambda x: (asked.append(len(x)), direct(x))[1], most)
+    for _ in range(5):
+        x = rng.normal(size=(2000, 3)).round(1)
+        x[::97, 1] = np.nan
+        x[0] = [trees[0].threshold[0], trees[1].threshold[0], trees[2].threshold[0]]
+        assert (cells(x) == direct(x)).all()
+    assert cells(np.zeros((0, 3))).shape == (0,)
+    assert most < 100 or sum(asked) <= math.prod(cells.sizes)
+
+
+def test_attributions_of_many_like_rows_ask_for_few(spark, rows, monkeypatch):
+    """Rows in the same cell take one computation a task, not one each."""
+    model, known = models.fit_forest(rows, NAMES, "y", trees=3, depth=3)
+    trees = [(w, t, attributions.leaves(t)) for w, t in attributions.model_trees(model)]
+    x = np.array([[r[c] for c in NAMES] for r in known.collect()])
+    cells = attributions.Cells([t for _, t, _ in trees], 4, lambda m: np.column_stack(attributions.attribute(trees, m)))
+    direct = np.column_stack(attributions.attribute(trees, x))
+    assert (cells(x) == direct).all() and (cells(np.tile(x, (20, 1))) == np.tile(direct, (20, 1))).all() and len(cells._codes) <= len(x)

@@ -9,7 +9,8 @@ attributions are the sum of its leaves' entries, computed for Arrow batches of
 rows at once. They add up to the prediction minus the mean, exactly.
 
 Tables are made for leaves with up to ``TABLE_FEATURES`` features on their path;
-for others the patterns that a batch of rows has are worked out.
+for others the patterns that a batch of rows has are worked out. Rows on the same side of every
+threshold have the same attributions: each such cell is worked out once a task.
 
 Defined cases: rows with an unknown feature have null attributions and prediction;
 an empty table gives an empty result; other columns are kept as asked.
@@ -17,6 +18,7 @@ an empty table gives an empty result; other columns are kept as asked.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 from math import factorial
@@ -160,6 +162,39 @@ def attribute(trees: list[tuple[float, Tree, list[Leaf]]], x: np.ndarray) -> tup
     return out, predictions
 
 
+class Cells:
+    """Answers by cell of the ensemble: rows that lie on the same side of every threshold get the same ones, so each cell is worked out once.
+
+    A cell's number mixes the places of a row's values between the thresholds of
+    each feature. At most ``most`` cells are remembered, then it starts afresh;
+    where the numbers pass 64 bits nothing is remembered.
+    """
+
+    def __init__(self, trees: list[Tree], width: int, answer, most: int = 200_000):
+        self.edges = [np.unique(np.concatenate([np.zeros(0), *(t.threshold[t.feature == j] for t in trees)])) for j in range(width)]
+        self.sizes = [len(e) + 1 for e in self.edges]
+        self.fits = math.prod(self.sizes) < 1 << 62
+        self.answer, self.most = answer, most
+        self._codes, self._known = np.zeros(0, np.int64), None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not self.fits or not len(x):
+            return self.answer(x)
+        code = np.zeros(len(x), np.int64)
+        for j, edges in enumerate(self.edges):  # an unknown value lies beyond all thresholds
+            code = code * self.sizes[j] + np.searchsorted(edges, x[:, j], side="left")
+        distinct, first, back = np.unique(code, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self._codes, assume_unique=True)
+        if new.any():
+            if self._known is None or len(self._codes) + new.sum() > self.most:
+                self._codes, self._known = distinct, self.answer(x[first])
+            else:
+                codes, known = np.concatenate([self._codes, distinct[new]]), np.concatenate([self._known, self.answer(x[first[new]])])
+                order = np.argsort(codes)
+                self._codes, self._known = codes[order], known[order]
+        return self._known[np.searchsorted(self._codes, distinct)[back]]
+
+
 def tree_attributions(model, rows: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """The kept columns of rows, prediction, base (the mean prediction) and phi_<column> for each column that the model was fitted to, in the same order."""
     ship(rows.sparkSession)
@@ -170,10 +205,12 @@ def tree_attributions(model, rows: DataFrame, columns: list[str], keep: list[str
     names = ["prediction", "base", *(f"phi_{c}" for c in columns)]
 
     def run(batches):
+        cells = Cells([t for _, t, _ in shared.value], len(columns), lambda x: np.column_stack(attribute(shared.value, x)))
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[len(keep) :]], 1)
             known = ~np.isnan(x).any(axis=1)
-            phi, prediction = attribute(shared.value, x)
+            found = cells(x)
+            phi, prediction = found[:, :-1], found[:, -1]
             column = lambda v: pa.array(v, pa.float64(), mask=~known)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column(prediction), pa.array([base] * len(x), pa.float64()), *(column(phi[:, j]) for j in range(len(columns)))], names=[*keep, *names])
 

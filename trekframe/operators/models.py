@@ -41,7 +41,8 @@ def permutation_importance(df: DataFrame, columns: list[str], target: str, id_co
     metric: mse, mae or r2 (whose fall counts). All features and repeats are
     scored in one job: rows fall into random blocks of about ``block`` rows, as
     many as the table needs, and each block is shuffled and scored where it lies,
-    with trees as numpy arrays. The blocks' sums are added up by Spark. model: a
+    with trees as numpy arrays, each cell between their thresholds once a task.
+    The blocks' sums are added up by Spark. model: a
     fitted forest or boosted ensemble over the columns; a forest of 50 trees if
     none is given. No rows, or columns without a feature, give no result.
     """
@@ -56,22 +57,24 @@ def permutation_importance(df: DataFrame, columns: list[str], target: str, id_co
     shared = spark.sparkContext.broadcast(attributions.model_trees(model))
 
     def score(batches):
+        cells = attributions.Cells([t for _, t in shared.value], len(columns), lambda m: sum(w * t.predict(m) for w, t in shared.value))
+
         def scored(key, parts):
             x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.lexsort((np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])))
             x, y = x[order], y[order]
             rng = np.random.default_rng([seed, key])
 
-            def row(feature, repeat, matrix):
-                error = y - sum(w * t.predict(matrix) for w, t in shared.value)
+            def row(feature, repeat, prediction):
+                error = y - prediction
                 return feature, repeat, len(y), float((error**2).sum()), float(np.abs(error).sum()), float(y.sum()), float((y**2).sum())
 
-            out = [row(-1, 0, x)]
+            out = [row(-1, 0, cells(x))]
             for j in range(x.shape[1]):
                 for k in range(repeats):
                     mixed = x.copy()
                     mixed[:, j] = rng.permutation(x[:, j])
-                    out.append(row(j, k, mixed))
+                    out.append(row(j, k, cells(mixed)))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["j", "k", "n", "sse", "sae", "sum_y", "sum_yy"])
 
         held, key = [], None
