@@ -362,3 +362,13 @@ def test_densified_points_are_compiled_and_equal_the_great_circle(spark):
         path = one(spark, geo.slerp(L(lat), L(lon), L(ends[i][0]), L(ends[i][1]), 10))[0]
         want |= {("a", i, k): (p.latitude, p.longitude) for k, p in enumerate(path[:-1])}
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
+@pytest.mark.parametrize("kind", ["gpx", "tcx", "geojson", "kml"])
+def test_packed_documents_read_as_the_tree_does(spark, sf_dir, tmp_path, kind):
+    docs = files.WRITERS[kind](track_points(spark, sf_dir).where("track_id in ('TRACK_1', 'TRACK_2', 'TRACK_3')"))
+    files.write_documents(docs, f"{tmp_path}/tree")
+    files.pack_documents(docs, f"{tmp_path}/packed")
+    shown = lambda rows: sorted(map(str, rows.withColumn("file", F.regexp_extract("file", "track_id=([^/]+)", 1)).collect()))
+    want = shown(files.READERS[kind](spark, f"{tmp_path}/tree/*"))
+    assert want and shown(files.READERS[kind](spark, files.packed_documents(spark, f"{tmp_path}/packed"))) == want

@@ -2,6 +2,7 @@
 
 Files are read whole, one row a file, and parsed by Spark's XML and JSON
 functions: every file is one record, so parsing runs in parallel over files.
+Where a table of documents is read back, they may be packed into few files.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trekframe.sources.shared import materialised
+
 POINT_SCHEMA = "track_id string, point_index int, date date, latitude double, longitude double, altitude double, region string, terrain_type string, frequency_steps double, temperature double"
 _GPX = "_creator string, metadata struct<time string>, trk array<struct<name string, desc string, type string, trkseg array<struct<trkpt array<struct<_lat double, _lon double, ele double, time string>>>>>>"
 _TCX = "Activities struct<Activity array<struct<_Sport string, Lap array<struct<_StartTime string, Track array<struct<Trackpoint array<struct<Time string, Position struct<LatitudeDegrees double, LongitudeDegrees double>, AltitudeMeters double>>>>>>>>>"
@@ -48,7 +51,10 @@ def parse_time(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(zone, r"([+-]\d{2})(\d{2})$", "$1:$2"))
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """value (a file's whole text) and file (its name); documents that were packed are given as such rows."""
+    if isinstance(path, DataFrame):
+        return path.select("value", "file")
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
@@ -60,7 +66,7 @@ def _numbered(rows: DataFrame, points: Column, lat: str, lon: str, ele: str, tim
     return rows.select("file", *names, "point_index", F.col(f"p.{lat}").alias("latitude"), F.col(f"p.{lon}").alias("longitude"), F.col(f"p.{ele}").alias("altitude"), parse_time(F.col(f"p.{time}")).alias("ts"), F.when(bad, "missing or out of range").alias("error"))
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
+def read_gpx(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Points of all segments of all tracks of a file in order."""
     value = F.regexp_replace("value", r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     rows = _files(spark, path).select("file", F.from_xml(value, F.lit(_GPX)).alias("d"))
@@ -68,7 +74,7 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(rows, points, "_lat", "_lon", "ele", "time", F.col("d._creator").alias("creator"), F.col("d.trk")[0]["name"].alias("name"))
 
 
-def read_tcx(spark: SparkSession, path: str) -> DataFrame:
+def read_tcx(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Points of the first track of each lap."""
     value = F.regexp_replace("value", r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     rows = _files(spark, path).select("file", F.from_xml(value, F.lit(_TCX)).alias("d"))
@@ -78,7 +84,7 @@ def read_tcx(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(rows, flat, "lat", "lon", "ele", "time", F.col("d.Activities.Activity")[0]["_Sport"].alias("sport"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Points of the LineString and MultiLineString features of a file; others are left out."""
     features = F.coalesce(F.from_json(F.get_json_object("value", "$.features"), f"array<struct<{_fields(_FEATURE)}>>"), F.array(F.from_json("value", _FEATURE)))
     rows = _files(spark, path).select("file", F.filter(features, lambda f: f["geometry"]["type"].isin("LineString", "MultiLineString")).alias("f"))
@@ -95,7 +101,7 @@ def _fields(ddl: str) -> str:
     return re.sub(r"(^|, )(\w+) (string|struct)", r"\1\2:\3", ddl)
 
 
-def read_kml(spark: SparkSession, path: str) -> DataFrame:
+def read_kml(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Points of every placemark's coordinates."""
     value = F.regexp_replace("value", r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     rows = _files(spark, path).select("file", F.from_xml(value, F.lit(_KML)).alias("d"))
@@ -121,7 +127,7 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 ELEVATIONS = (-500.0, 9000.0)
 
 
-def parse_tracks(spark: SparkSession, path: str, bounds: dict[str, tuple[float, float]] | None = None, tolerance: float = 1e-6, kind: str | None = None) -> DataFrame:
+def parse_tracks(spark: SparkSession, path: str | DataFrame, bounds: dict[str, tuple[float, float]] | None = None, tolerance: float = 1e-6, kind: str | None = None) -> DataFrame:
     """Points of a file or glob (of a kind, or by its extension) as a track is taken over: those within bounds (latitude, longitude, elevation; only if they are given), without points that repeat the last one kept. point_index is the file's.
 
     Unknown elevations are in bounds; rows with an error and no point stay.
@@ -140,7 +146,7 @@ def parse_tracks(spark: SparkSession, path: str, bounds: dict[str, tuple[float,
     return rows.join(kept, ["file", "point_index"]).unionByName(unknown)
 
 
-def read_gpx_lenient(spark: SparkSession, path: str) -> DataFrame:
+def read_gpx_lenient(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Points of files that are hardly GPX: any element whose name holds "trkpt" and that has lat and lon, the first element whose name holds "name", elevations (an empty one is 0) and times as they are written.
 
     file, name, point_index, latitude, longitude, altitude, ts (text), error; a file without such points gives a row with an error.
@@ -162,11 +168,14 @@ def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _usable() -> Column:
+    return F.coalesce(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180), F.lit(False))
+
+
 def _ordered(points: DataFrame) -> DataFrame:
     """track_id, pts: points in order, of tracks whose coordinates are all in range."""
-    bad = F.coalesce(~(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)), F.lit(True))
-    tracks = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("point_index", "latitude", "longitude", "altitude", F.col("event_ts").alias("ts")))).alias("pts"), F.bool_or(bad).alias("bad"))
-    return tracks.where("not bad")
+    tracks = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("point_index", "latitude", "longitude", "altitude", F.col("event_ts").alias("ts")))).alias("pts"), F.bool_and(_usable()).alias("usable"))
+    return tracks.where("usable")
 
 
 def gpx_documents(points: DataFrame) -> DataFrame:
@@ -209,15 +218,11 @@ WRITERS = {"gpx": gpx_documents, "tcx": tcx_documents, "geojson": geojson_docume
 
 def export_tracks(points: DataFrame, path: str, formats: list[str]) -> DataFrame:
     """Writes every track in each format, a folder a format and a folder a track in it; track_id, format and whether it was written (tracks with coordinates out of range aren't, nor unknown formats)."""
-    tracks, out = points.select("track_id").distinct(), None
+    tracks, out = materialised(points.groupBy("track_id").agg(F.bool_and(_usable()).alias("usable"))), None
     for kind in formats:
-        done = None
         if kind in WRITERS:
-            docs = WRITERS[kind](points)
-            write_documents(docs, f"{path}/{kind}")
-            done = docs.select("track_id", F.lit(True).alias("ok"))
-        rows = tracks.join(done, "track_id", "left") if done is not None else tracks.withColumn("ok", F.lit(False))
-        rows = rows.select("track_id", F.lit(kind).alias("format"), F.coalesce("ok", F.lit(False)).alias("ok"))
+            write_documents(WRITERS[kind](points), f"{path}/{kind}")
+        rows = tracks.select("track_id", F.lit(kind).alias("format"), (F.col("usable") & F.lit(kind in WRITERS)).alias("ok"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -227,5 +232,17 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.select(F.col("doc").alias("value"), "track_id").write.partitionBy("track_id").text(path)
 
 
+def pack_documents(docs: DataFrame, path: str) -> None:
+    """All documents in few Parquet files, named as in the tree: a file system takes some milliseconds for every small file, whatever it holds."""
+    spark = docs.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # so that all cores parse
+    docs.select(F.col("doc").alias("value"), F.concat(F.lit("track_id="), "track_id").alias("file")).repartition(parts, "file").write.parquet(path)
+
+
+def packed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """value and file of packed documents, as the readers take them in place of a path."""
+    return spark.read.schema("value string, file string").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
