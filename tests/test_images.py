@@ -153,3 +153,16 @@ def test_sidecars(spark, grid):
     assert len(rows) == 11 and {(r.width, r.height) for r in rows} == {(12, 9)}
     foggy = next(r for r in rows if r.name == "foggy")
     assert foggy.output == "1_AUG_FOGGY" and json.loads(foggy.json) == {"brightness": 1.1, "contrast": 0.9, "saturation": 1.0, "hue_shift": 0.0, "blur_radius": 0.0, "noise_intensity": 0.0, "jpeg_quality": None, "weather_effect": "fog", "weather_intensity": 0.4}
+
+
+def test_greys_are_joined_without_sorting_pixels(spark):
+    i = F.col("id")
+    pixels = spark.range(200_000).select((i % 2).alias("img"), (i % 500).alias("x"), F.floor(i / 500).alias("y"), *[((i * k) % 256).cast("int").alias(c) for c, k in zip("rgb", (37, 91, 53))])
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100k")  # pixels are beyond it, the table of images isn't
+    try:
+        plan = images.augmented(pixels, {"dark": PRESETS["dark"]})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan

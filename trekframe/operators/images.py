@@ -4,7 +4,7 @@ A pipeline takes every pixel once, sets it out for each of the given settings,
 and applies the steps of all settings as expressions that the settings' numbers
 drive, in the order brightness, contrast, saturation, hue, blur, noise, weather.
 Only what looks beyond a pixel moves rows: the mean grey behind contrast is one
-aggregate by image for all settings together, blur is two windows over rows and
+aggregate by image for all settings together, kept as a table of a row an image, blur is two windows over rows and
 columns of the blurred settings, rain and snow are joined as drawn pixels. JPEG
 quality is kept in the sidecar; its loss isn't simulated.
 
@@ -22,6 +22,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekframe.sources.shared import materialised
+
 # The ranges of the settings.
 LIMITS = {"brightness": (0.7, 1.3), "contrast": (0.8, 1.2), "saturation": (0.8, 1.2), "hue_shift": (-15.0, 15.0), "blur_radius": (0.0, 2.0), "noise_intensity": (0.0, 0.05), "jpeg_quality": (70, 95), "weather_intensity": (0.0, 1.0)}
 WEATHERS = ("fog", "rain", "snow")
@@ -172,9 +174,8 @@ def _over(c: Column, colour: int, alpha: Column) -> Column:
 def augmented(pixels: DataFrame, settings: dict[str, Settings], seed: int = 42) -> DataFrame:
     """img, name, x, y, r, g, b of every image under every named setting."""
     columns = [f for f in Settings.__dataclass_fields__ if f != "jpeg_quality"]
-    listed = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(getattr(s, f)).cast("string" if f == "weather_effect" else "double").alias(f) for f in columns]) for n, s in settings.items()])
+    value = lambda s, f: F.lit(getattr(s, f)).cast("string" if f == "weather_effect" else "double")
     seen = {f"seen_{c}": F.col(c).isNotNull() for c in "rgb"}  # the steps don't tell unknown from white
-    rows = pixels.select("img", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b", *[v.alias(n) for n, v in seen.items()], F.inline(listed))
     off = lambda c, least, neutral=0.0: F.abs(F.col(c) - neutral) > least
     channels = lambda d, fn: d.withColumns({c: fn(F.col(c)) for c in "rgb"})
     bright = lambda c, factor: _byte(c * factor)
@@ -185,22 +186,29 @@ def augmented(pixels: DataFrame, settings: dict[str, Settings], seed: int = 42)
     contrasted = {n: s for n, s in settings.items() if abs(s.contrast - 1.0) > 0.01}
     facts = [F.max(F.col("x") + 1).cast("long").alias("width"), F.max(F.col("y") + 1).cast("long").alias("height")]
     greys = [F.floor(F.avg(_grey(*[bright(F.col(c), factor_of(s)) for c in "rgb"])) + 0.5).alias(f"grey_{i}") for i, s in enumerate(contrasted.values())]
-    images = pixels.groupBy("img").agg(*facts, *greys)  # one aggregate for all settings
+    weathers = {n: s for n, s in settings.items() if s.weather_effect and s.weather_effect.lower() != "fog" and s.weather_intensity > 0.05}
+    # One aggregate for all settings, as a table: Spark knows its size then, and needn't shuffle and sort all pixels by image.
+    images = materialised(pixels.groupBy("img").agg(*facts, *greys)) if contrasted or weathers else None
+    rows = pixels.join(images.drop("width", "height"), "img", "left") if contrasted else pixels
+    places = {n: i for i, n in enumerate(contrasted)}
+    grey = lambda n: (F.col(f"grey_{places[n]}") if n in places else F.lit(None).cast("long")).alias("grey")
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), *[value(s, f).alias(f) for f in columns], grey(n)) for n, s in settings.items()])
+    rows = rows.select("img", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b", *[v.alias(n) for n, v in seen.items()], F.inline(listed))
     rows = channels(rows, lambda c: F.when(off("brightness", 0.01, 1.0), bright(c, F.col("brightness"))).otherwise(c.cast("int")))
     if contrasted:
-        by_name = images.select("img", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"grey_{i}").alias("grey")) for i, n in enumerate(contrasted)])))
-        rows = rows.join(by_name, ["img", "name"], "left")
-        rows = channels(rows, lambda c: F.when(F.col("grey").isNotNull(), _byte(F.col("grey") + F.col("contrast") * (c - F.col("grey")))).otherwise(c)).drop("grey")
+        rows = channels(rows, lambda c: F.when(F.col("grey").isNotNull(), _byte(F.col("grey") + F.col("contrast") * (c - F.col("grey")))).otherwise(c))
     rows = rows.withColumn("own", _grey(F.col("r"), F.col("g"), F.col("b")))
     rows = channels(rows, lambda c: F.when(off("saturation", 0.01, 1.0), _byte(F.col("own") + F.col("saturation") * (c - F.col("own")))).otherwise(c)).drop("own")
     turned = rows.withColumn("turned", F.when(off("hue_shift", 0.1), hue_shifted(F.col("r"), F.col("g"), F.col("b"), F.col("hue_shift"))))
     rows = turned.withColumns({c: F.coalesce(F.col(f"turned.{c}"), F.col(c)) for c in "rgb"}).drop("turned")
     radii = sorted({s.blur_radius for s in settings.values() if s.blur_radius > 0.1})
     if radii:
-        sharp = rows.where(F.col("blur_radius") <= 0.1)
+        kept = ["img", "name", "x", "y", *"rgb", *seen]  # settings aren't sorted along, a name tells them
+        parts = rows.where(F.col("blur_radius") <= 0.1).select(*kept)
         for radius in radii:
-            sharp = sharp.unionByName(blurred(rows.where(F.col("blur_radius") == radius), ["img", "name"], radius))
-        rows = sharp.withColumns({n: F.col(n) & v for n, v in seen.items()})
+            parts = parts.unionByName(blurred(rows.where(F.col("blur_radius") == radius).select(*kept), ["img", "name"], radius))
+        rows = parts.withColumns({n: F.col(n) & v for n, v in seen.items()})
+        rows = rows.withColumns({f: F.coalesce(*[F.when(F.col("name") == n, value(s, f)) for n, s in settings.items()]) for f in ("noise_intensity", "weather_effect", "weather_intensity")})
     u = lambda c, tag: uniform(F.lit(seed), F.col("img"), F.col("name"), F.col("x"), F.col("y"), F.lit(c), F.lit(tag))
     normal = lambda c: F.sqrt(-2.0 * F.ln(u(c, 1))) * F.cos(2.0 * math.pi * u(c, 2))
     rows = rows.withColumns({c: F.when(F.col("noise_intensity") > 0.001, _byte(F.col(c) + normal(c) * F.col("noise_intensity") * 255)).otherwise(F.col(c)) for c in "rgb"})
@@ -208,7 +216,6 @@ def augmented(pixels: DataFrame, settings: dict[str, Settings], seed: int = 42)
     rows = rows.withColumn("weather", effect)
     light = F.when(F.col("weather") == "rain", 1.0 - F.col("weather_intensity") * 0.2).when(F.col("weather") == "snow", 1.0 + F.col("weather_intensity") * 0.15)
     rows = channels(rows, lambda c: F.when(F.col("weather") == "fog", _over(c, 255, F.floor(F.col("weather_intensity") * 200))).when(light.isNotNull(), bright(c, light)).otherwise(c))
-    weathers = {n: s for n, s in settings.items() if s.weather_effect and s.weather_effect.lower() != "fog" and s.weather_intensity > 0.05}
     if weathers:
         asked = images.select("img", "width", "height", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s.weather_effect.lower()).alias("weather"), F.lit(float(s.weather_intensity)).alias("intensity")) for n, s in weathers.items()])))
         rows = rows.join(drawn(asked, seed), ["img", "name", "x", "y"], "left")
