@@ -327,3 +327,39 @@ def test_attributions_of_many_like_rows_ask_for_few(spark, rows, monkeypatch):
     cells = attributions.Cells([t for _, t, _ in trees], 4, lambda m: np.column_stack(attributions.attribute(trees, m)))
     direct = np.column_stack(attributions.attribute(trees, x))
     assert (cells(x) == direct).all() and (cells(np.tile(x, (20, 1))) == np.tile(direct, (20, 1))).all() and len(cells._codes) <= len(x)
+
+
+def test_lambdas_and_moments_of_counted_values(spark):
+    def yeo(x, g):
+        power = lambda v, e: np.log(v) if e == 0 else (v**e - 1) / e
+        return np.where(x >= 0, power(np.where(x >= 0, x, 0) + 1, g), -power(1 - np.where(x < 0, x, 0), 2 - g))
+
+    rng = np.random.default_rng(3)
+    x = np.round(np.r_[rng.normal(3, 2, 400), 1e6 + rng.normal(0, 1, 300)], 1)
+    values, c = np.unique(x, return_counts=True)
+    counts = spark.createDataFrame([("a", float(v), int(n)) for v, n in zip(values, c)] + [("constant", 0.1, 7)], "feature string, value double, c long").repartition(5)
+    got = {(r.feature, r.tag, r.k): r.v for r in distributions.lambda_variances(counts, [-1.0, 0.0, 2.0]).collect()}
+    pos = x[x > 0]
+    for k, t in enumerate((1 - 1 / pos, np.log(pos), (pos**2 - 1) / 2)):
+        assert math.isclose(got["a", "b", k], t.var(), rel_tol=1e-9)
+    for k, g in enumerate((-1.0, 0.0, 2.0)):
+        assert math.isclose(got["a", "y", k], yeo(x, g).var(), rel_tol=1e-9)
+    assert got["constant", "b", 0] == got["constant", "y", 2] == 0
+    m = {r.feature: r for r in distributions.counted_moments(counts).collect()}
+    z = (x - x.mean()) / x.std()
+    want = (len(x), x.mean(), x.std(ddof=1), (z**3).mean(), (z**4).mean() - 3)
+    assert all(math.isclose(a, b, rel_tol=1e-8) for a, b in zip((m["a"].n, m["a"].m, m["a"].s, m["a"].skew, m["a"].kurt), want))
+    assert m["constant"].s == 0 or m["constant"].s is None
+
+
+def test_advice_costs_distinct_values(spark):
+    """Sixty copies of each row get the fits from the same distinct values."""
+    seen = []
+    real = distributions.lambda_variances
+    df = spark.range(6000).select("id", ((F.col("id") % 100) + 1).cast("double").alias("v"))
+    try:
+        distributions.lambda_variances = lambda counts, grid: (seen.append(counts.count()), real(counts, grid))[1]
+        rows = distributions.recommend_transformations(df, ["v"], "id").collect()
+    finally:
+        distributions.lambda_variances = real
+    assert seen == [100] and {r.transformation for r in rows} == {"none", "log", "sqrt", "box_cox", "yeo_johnson"}

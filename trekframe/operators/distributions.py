@@ -8,10 +8,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.operators.stats import dagostino, jarque_bera, long_form, with_upto
+from trekframe.operators.stats import dagostino, dagostino_of, jarque_bera, jarque_bera_of, long_form, with_upto
 from trekframe.sources.shared import materialised, ship
 
 #: Values that the Shapiro-Wilk test takes at most, as its tables allow; bins of the histogram behind densities.
@@ -34,7 +35,12 @@ def anderson_darling(df: DataFrame, columns: list[str]) -> DataFrame:
     values = long_form(df, columns)
     moments = values.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     counts = values.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    rows = with_upto(counts, "value", "c", ("feature",)).withColumnRenamed("upto", "hi").withColumn("lo", F.col("hi") - F.col("c")).join(F.broadcast(moments), "feature")  # one row a column of the list
+    return anderson_darling_of(with_upto(counts, "value", "c", ("feature",)), moments)
+
+
+def anderson_darling_of(ranked: DataFrame, moments: DataFrame) -> DataFrame:
+    """The test on distinct values (feature, value, c, upto) and moments (feature, n, m, s)."""
+    rows = ranked.withColumnRenamed("upto", "hi").withColumn("lo", F.col("hi") - F.col("c")).join(F.broadcast(moments), "feature")  # one row a column of the list
     rows = rows.withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
     up, hi, lo = F.col("hi").cast("double") ** 2 - F.col("lo").cast("double") ** 2, F.col("hi").cast("double"), F.col("lo").cast("double")
     down = (2.0 * F.col("n") + 1) * F.col("c") - (hi * (hi + 1) - lo * (lo + 1))
@@ -73,28 +79,42 @@ def shapiro_w(x: np.ndarray) -> tuple[float, float]:
 
 def shapiro_wilk(df: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     """feature, n, statistic, p over at most SHAPIRO_MOST values of each column, chosen by the hash of the id."""
-    ship(df.sparkSession)
+    return shapiro_wilk_of(shapiro_sample(df, columns, id_col))
+
+
+def shapiro_sample(df: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    """feature, value: at most SHAPIRO_MOST values of each column, those with the smallest hashes of the id."""
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
     rows = df.select(F.xxhash64(id_col).alias("h"), pairs).where("value is not null")
     # The smallest hashes of each column: partial top-k by a threshold on the hash, then an exact cut.
     share = rows.groupBy("feature").agg(F.count("*").alias("n")).withColumn("limit", F.least(F.lit(1.0), 1.2 * SHAPIRO_MOST / F.col("n") + 0.001))
     near = rows.join(F.broadcast(share), "feature").where((F.col("h") / 2.0**64 + 0.5) <= F.col("limit"))
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("feature").orderBy("h", "value"))).where(F.col("k") <= SHAPIRO_MOST)
+    return ranked.select("feature", "value")
+
+
+def shapiro_wilk_of(sample: DataFrame) -> DataFrame:
+    """The test on feature, value."""
+    ship(sample.sparkSession)
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_w(part["value"].to_numpy())
         return pd.DataFrame({"feature": [part["feature"].iloc[0]], "n": [len(part)], "statistic": [w], "p": [p]})
 
-    return ranked.select("feature", "value").groupBy("feature").applyInPandas(test, "feature string, n long, statistic double, p double")
+    return sample.groupBy("feature").applyInPandas(test, "feature string, n long, statistic double, p double")
 
 
 def normal_votes(df: DataFrame, columns: list[str], id_col: str, alpha: float = 0.05) -> DataFrame:
     """feature, votes, normal: at least half of the tests that give an answer call it normal."""
+    return _votes(shapiro_wilk(df, columns, id_col), anderson_darling(df, columns), jarque_bera(df, columns), dagostino(df, columns), alpha)
+
+
+def _votes(shapiro: DataFrame, anderson: DataFrame, jarque: DataFrame, k_squared: DataFrame, alpha: float) -> DataFrame:
     answers = (
-        shapiro_wilk(df, columns, id_col).where("not isnan(p)").select("feature", (F.col("p") > alpha).alias("ok"))
-        .unionByName(anderson_darling(df, columns).select("feature", F.col("is_normal").alias("ok")))
-        .unionByName(jarque_bera(df, columns).select("feature", (F.col("p") > alpha).alias("ok")))
-        .unionByName(dagostino(df, columns).where("p is not null and not isnan(p)").select("feature", (F.col("p") > alpha).alias("ok")))
+        shapiro.where("not isnan(p)").select("feature", (F.col("p") > alpha).alias("ok"))
+        .unionByName(anderson.select("feature", F.col("is_normal").alias("ok")))
+        .unionByName(jarque.select("feature", (F.col("p") > alpha).alias("ok")))
+        .unionByName(k_squared.where("p is not null and not isnan(p)").select("feature", (F.col("p") > alpha).alias("ok")))
     )
     share = F.avg(F.col("ok").cast("int"))
     return answers.groupBy("feature").agg(F.count("*").alias("votes"), (share >= 0.5).alias("normal"))
@@ -363,49 +383,110 @@ def yeo_johnson_column(x: Column, g: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def lambda_variances(counts: DataFrame, grid: list[float]) -> DataFrame:
+    """feature, tag (b: Box-Cox over positive values, y: Yeo-Johnson), k, v: variance under each lambda of the grid; counts: feature, value, c.
+
+    A task keeps number, mean and sum of squares of each, whatever its rows are.
+    """
+
+    def changed(x: np.ndarray, tag: str, g: float) -> np.ndarray:
+        power = lambda v, e: np.log(v) if abs(e) < 1e-9 else (v**e - 1) / e
+        if tag == "b":
+            return power(x, g)
+        up = x >= 0
+        out = np.empty_like(x)
+        out[up], out[~up] = power(x[up] + 1, g), -power(1 - x[~up], 2 - g)
+        return out
+
+    def sums(batches):
+        held: dict[tuple[str, str, int], tuple[float, float, float]] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            values, counted = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                for tag, mine in (("b", (codes == code) & (values > 0)), ("y", codes == code)):
+                    x, c = values[mine], counted[mine]
+                    if not len(x):
+                        continue
+                    n = c.sum()
+                    with np.errstate(all="ignore"):
+                        for k, g in enumerate(grid):
+                            t = changed(x, tag, g)
+                            mean = t[0] if t.min() == t.max() else (c * t).sum() / n
+                            square = (c * (t - mean) ** 2).sum()
+                            n0, mean0, square0 = held.get((name, tag, k), (0.0, mean, 0.0))
+                            away = mean - mean0
+                            held[name, tag, k] = n0 + n, mean0 + away * n / (n0 + n), square0 + square + away * away * n0 * n / (n0 + n)
+        rows = [(*key, *v) for key, v in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows)], names=["feature", "tag", "k", "n", "mean", "square"])
+
+    parts = counts.select("feature", "value", "c").mapInArrow(sums, "feature string, tag string, k long, n double, mean double, square double")
+    w = Window.partitionBy("feature", "tag", "k")  # a row a task
+    away = F.when(F.min("mean").over(w) == F.max("mean").over(w), 0.0).otherwise(F.col("mean") - F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    parts = parts.withColumn("square", F.col("square") + F.col("n") * away * away)
+    return parts.groupBy("feature", "tag", "k").agg((F.sum("square") / F.sum("n")).alias("v"))
+
+
+def counted_moments(counts: DataFrame) -> DataFrame:
+    """feature, n, m, s (sample deviation), skew, kurt (excess) of counted values: feature, value, c; null where a constant has none."""
+    c, v = F.col("c"), F.col("value")
+    means = counts.groupBy("feature").agg(F.sum("c").alias("n"), (F.sum(c * v) / F.sum("c")).alias("m"), (F.min("value") < F.max("value")).alias("varied"))
+    away = v - F.col("m")
+    sums = counts.join(F.broadcast(means), "feature").groupBy("feature", "n", "m", "varied").agg(*[F.sum(c * F.pow(away, F.lit(float(p)))).alias(f"m{p}") for p in (2, 3, 4)])  # one row a column of the list
+    n, m2 = F.col("n").cast("double"), F.when(F.col("varied"), F.col("m2"))
+    return sums.select("feature", "n", "m", F.sqrt(F.try_divide(m2, n - 1)).alias("s"), (F.sqrt(n) * F.try_divide(F.col("m3"), F.pow(m2, F.lit(1.5)))).alias("skew"), (n * F.try_divide(F.col("m4"), m2 * m2) - 3).alias("kurt"))
+
+
 def recommend_transformations(df: DataFrame, columns: list[str], id_col: str, low: float = -2.0, high: float = 2.0, steps: int = 41) -> DataFrame:
     """feature, transformation, lambda, priority, achieves: the candidates of each column and whether they make it normal by the tests' vote; the first row of a feature (place 1) is the advice.
 
     Candidates: none; log, square root and Box-Cox (positive columns; the square
     root also with zeros), Yeo-Johnson. Lambdas are the best of a grid, all from
-    one pass. Those that achieve normality come first, then by priority.
+    one pass over the distinct values and their counts, on which the tests work
+    too: every candidate rises with the value, so ranks and the sample of rows
+    are the column's own. Those that achieve normality come first, then by priority.
     """
+    ship(df.sparkSession)
     grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
     cox = lambda x, g: F.ln(x) if abs(g) < 1e-9 else (F.pow(x, F.lit(g)) - 1) / g
-    fits = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        pos = F.when(x > 0, x)
-        fits += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"low{i}"), F.sum(F.ln(pos)).alias(f"l{i}"), F.sum(F.signum(x) * F.ln(F.abs(x) + 1)).alias(f"s{i}")]
-        fits += [f(v).alias(f"{tag}{i}_{k}") for k, g in enumerate(grid) for f, v, tag in ((F.var_pop, cox(pos, g), "b"), (F.var_pop, yeo_johnson_column(x, g), "y"))]
-    one = df.agg(*fits).first()  # some numbers a column
-
-    def best(i: int, tag: str, jacobian: float) -> float:
-        n = one[f"n{i}"]
-        scored = [(-n / 2 * math.log(v) + (g - 1) * jacobian, -abs(g - 1), g) for k, g in enumerate(grid) if (v := one[f"{tag}{i}_{k}"]) and v > 0]
+    counts = materialised(long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("c")))
+    c, x = F.col("c"), F.col("value")
+    facts = counts.groupBy("feature").agg(F.sum("c").alias("n"), F.min("value").alias("low"), F.sum(c * F.when(x > 0, F.ln(x))).alias("l"), F.sum(c * F.signum(x) * F.ln(F.abs(x) + 1)).alias("s"))
+    one = {r.feature: r for r in facts.collect()}  # some numbers a column
+    spread = {(r.feature, r.tag, r.k): r.v for r in lambda_variances(counts, grid).collect()}
+
+    def best(name: str, tag: str, jacobian: float) -> float:
+        n = one[name].n
+        scored = [(-n / 2 * math.log(v) + (g - 1) * jacobian, -abs(g - 1), g) for k, g in enumerate(grid) if (v := spread.get((name, tag, k))) and v > 0]
         return max(scored)[2] if scored else 1.0
 
     candidates = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        if not one[f"n{i}"]:
+    for name in columns:
+        if name not in one:
             continue
-        candidates.append((c, "none", None, 0, x))
-        if one[f"low{i}"] > 0:
-            g = best(i, "b", one[f"l{i}"])
-            candidates += [(c, "log", None, 1, F.ln(x)), (c, "box_cox", g, 3, cox(x, g))]
-        if one[f"low{i}"] >= 0:
-            candidates.append((c, "sqrt", None, 2, F.sqrt(x)))
-        g = best(i, "y", one[f"s{i}"])
-        candidates.append((c, "yeo_johnson", g, 4, yeo_johnson_column(x, g)))
+        candidates.append((name, "none", None, 0, x))
+        if one[name].low > 0:
+            g = best(name, "b", one[name].l)
+            candidates += [(name, "log", None, 1, F.ln(x)), (name, "box_cox", g, 3, cox(x, g))]
+        if one[name].low >= 0:
+            candidates.append((name, "sqrt", None, 2, F.sqrt(x)))
+        g = best(name, "y", one[name].s)
+        candidates.append((name, "yeo_johnson", g, 4, yeo_johnson_column(x, g)))
     names = [f"t{k}" for k in range(len(candidates))]
     spark = df.sparkSession
     schema = "name string, feature string, transformation string, lambda double, priority int"
     listed = spark.createDataFrame([(n, *c[:4]) for n, c in zip(names, candidates)], schema)  # a few rows a column
     if not candidates:
         return listed.select("feature", "transformation", "lambda", "priority", F.lit(False).alias("achieves"), F.lit(1).alias("place"))
-    changed = df.select(F.col(id_col), *[v.alias(n) for n, (*_, v) in zip(names, candidates)])
-    votes = normal_votes(changed, names, id_col).select(F.col("feature").alias("name"), "normal")
+    each = F.coalesce(*[F.when(F.col("feature") == name, F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, (mine, *_, v) in zip(names, candidates) if mine == name])) for name in one])
+    changed = lambda rows, *more: rows.select(*more, F.inline(each)).where("value is not null and not isnan(value)")
+    moments = materialised(counted_moments(changed(counts, "c")))  # a row a candidate
+    shape = moments.select("feature", "n", F.col("skew").alias("s"), F.col("kurt").alias("k"))
+    ranked = changed(with_upto(counts, "value", "c", ("feature",)), "c", "upto")
+    votes = _votes(shapiro_wilk_of(changed(shapiro_sample(df, list(one), id_col))), anderson_darling_of(ranked, moments.select("feature", "n", "m", "s")), jarque_bera_of(shape), dagostino_of(shape), 0.05)
+    votes = votes.select(F.col("feature").alias("name"), "normal")
     rows = listed.join(votes, "name", "left").withColumn("achieves", F.coalesce("normal", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("achieves"), "priority"))
     return rows.select("feature", "transformation", "lambda", "priority", "achieves", place.alias("place"))

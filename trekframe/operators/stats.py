@@ -308,15 +308,29 @@ def brown_forsythe(df: DataFrame, value: str, group: str) -> DataFrame:
 # ---- distributions
 
 
+def shape(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, n, s, k: how many values, their skewness and excess kurtosis."""
+    return long_form(df, columns).groupBy("feature").agg(F.count("*").alias("n"), F.skewness("value").alias("s"), F.kurtosis("value").alias("k"))
+
+
 def jarque_bera(df: DataFrame, columns: list[str]) -> DataFrame:
-    rows = long_form(df, columns).groupBy("feature").agg(F.count("*").alias("n"), F.skewness("value").alias("s"), F.kurtosis("value").alias("k"))
+    return jarque_bera_of(shape(df, columns))
+
+
+def jarque_bera_of(rows: DataFrame) -> DataFrame:
+    """The test on feature, n, s, k."""
     jb = F.col("n") / 6.0 * (F.col("s") ** 2 + F.col("k") ** 2 / 4)
     return rows.select("feature", "n", jb.alias("statistic"), F.exp(-jb / 2).alias("p"))
 
 
 def dagostino(df: DataFrame, columns: list[str]) -> DataFrame:
     """D'Agostino-Pearson K squared from skewness and kurtosis, and its p."""
-    rows = long_form(df, columns).groupBy("feature").agg(F.count("*").cast("double").alias("n"), F.skewness("value").alias("s"), F.kurtosis("value").alias("k")).where("n >= 8")
+    return dagostino_of(shape(df, columns))
+
+
+def dagostino_of(rows: DataFrame) -> DataFrame:
+    """The test on feature, n, s, k."""
+    rows = rows.withColumn("n", F.col("n").cast("double")).where("n >= 8")
     n = F.col("n")
     y = F.col("s") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
