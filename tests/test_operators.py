@@ -372,3 +372,18 @@ def test_packed_documents_read_as_the_tree_does(spark, sf_dir, tmp_path, kind):
     shown = lambda rows: sorted(map(str, rows.withColumn("file", F.regexp_extract("file", "track_id=([^/]+)", 1)).collect()))
     want = shown(files.READERS[kind](spark, f"{tmp_path}/tree/*"))
     assert want and shown(files.READERS[kind](spark, files.packed_documents(spark, f"{tmp_path}/packed"))) == want
+
+
+def test_variants_read_points_once(spark, sf_dir):
+    """One pass gives the rows that each transformation gives by itself."""
+    p = track_points(spark, sf_dir)
+    made = augment.variants(p, [("shift", "s", 1000.0, 90.0), ("rotate", "r", 15.0, 0.0), ("jitter", "j", 10.0, 42), ("days", "d", 7, 0)])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    alone = {"shift": augment.shift(p, 1000.0, 90.0), "rotate": augment.rotate(p, 15.0), "jitter": augment.jitter_elevation(p, 10.0, 42), "days": augment.shift_days(p, 7)}
+    shown = lambda df, name: df.select(name, "point_index", "event_ts", "date", *[F.round(c, 6).alias(c) for c in ("latitude", "longitude", "altitude")])
+    for kind, one_ in alone.items():
+        got = sorted(map(repr, map(tuple, shown(made.where(F.col("augmentation_type") == kind), "original_track_id").collect())))
+        want = sorted(map(repr, map(tuple, shown(one_, "track_id").collect())))
+        assert want and got == want
+    assert made.columns == [*p.columns, "original_track_id", "augmentation_type"]
