@@ -363,3 +363,81 @@ def test_advice_costs_distinct_values(spark):
     finally:
         distributions.lambda_variances = real
     assert seen == [100] and {r.transformation for r in rows} == {"none", "log", "sqrt", "box_cox", "yeo_johnson"}
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """Features of few values, one with more than a forest has bins, and rows less than the sample of which Spark takes thresholds."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 12, 6000) / 4, rng.integers(-3, 4, 6000), rng.integers(0, 45, 6000) ** 2 / 10], 1).astype(float)
+    y = 1000 + 5 * (x[:, 0] > 1) + x[:, 1] ** 2 + 0.01 * x[:, 2] + rng.normal(size=6000) * 3
+    data = [(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))] + [(-1, None, 1.0, 1.0, 1e9), (-2, 1.0, float("nan"), 1.0, 1e9), (-3, 1.0, 1.0, 1.0, None)]
+    return spark.createDataFrame(data, "id long, p double, q double, r double, y double").repartition(4).cache()
+
+
+STEPS = ["p", "q", "r"]
+
+
+def spark_forest(steps, **options):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = VectorAssembler(inputCols=STEPS, outputCol="x").transform(steps.dropna())
+    return RandomForestRegressor(featuresCol="x", labelCol="y", maxDepth=5, seed=42, **options).fit(rows)
+
+
+def test_forest_of_few_values_passes_over_the_rows_once(spark, steps, monkeypatch):
+    """Spark's own fit, which visits every tree for every row and level, isn't needed; the forest is like Spark's."""
+    theirs = spark_forest(steps, numTrees=200)
+    each = np.array([t.featureImportances.toArray() for t in theirs.trees])
+
+    def never(**_):
+        raise AssertionError("Spark's forest was fitted to the rows")
+
+    monkeypatch.setattr(models, "RandomForestRegressor", never)
+    model, known = models.fit_forest(steps, STEPS, "y", trees=200)
+    assert known.count() == 6000 and len(model.trees) == 200
+    ours = model.featureImportances.toArray()
+    assert abs(ours.sum() - 1) < 1e-9 and (abs(ours - each.mean(0)) < 5 * each.std(0) / 10).all()
+    covers = np.array([t.cover[0] for t in model.trees])
+    assert abs(covers.mean() - 6000) < 5 * math.sqrt(6000 / 200) and 0.75 < covers.std() / math.sqrt(6000) < 1.25
+    trees, spark_trees = attributions.model_trees(model), attributions.model_trees(theirs)
+    x = np.array([[r[c] for c in STEPS] for r in known.collect()])
+    mine, them = (sum(w * t.predict(x) for w, t in m) for m in (trees, spark_trees))
+    assert np.corrcoef(mine, them)[0, 1] > 0.99 and abs(mine - them).mean() < 0.3
+    got = attributions.tree_attributions(model, known, STEPS, ["id"]).collect()
+    assert all(abs(r.base + sum(r[f"phi_{c}"] for c in STEPS) - r.prediction) < 1e-9 for r in got) and len(got) == 6000
+    again, _ = models.fit_forest(steps, STEPS, "y", trees=200)
+    assert np.allclose(again.featureImportances.toArray(), ours) and all((a.feature == b.feature).all() for a, b in zip(again.trees, model.trees))
+    sds = known.agg(*[F.stddev_pop(c).alias(c) for c in STEPS]).first()
+    found = models.forest_importance(steps, STEPS, "y")
+    assert {c for c, _ in found} == set(STEPS) and found == sorted(found, key=lambda v: -v[1])
+    assert abs(sum(v / sds[c] for c, v in found) - 1) < 1e-9
+
+
+def test_tree_of_cells_equals_sparks(spark, steps):
+    """Without weights and with all features at every split the tree is Spark's: nodes, thresholds, means, counts, importances."""
+    model = spark_forest(steps, numTrees=1, bootstrap=False, featureSubsetStrategy="all")
+    known = np.array([[r[c] for c in [*STEPS, "y"]] for r in steps.dropna().collect()])
+    edges = models.candidate_thresholds(steps.dropna(), STEPS, 80_000)
+    assert [len(e) for e in edges] == [11, 6, 31]
+    sizes = [len(e) + 1 for e in edges]
+    cell = np.ravel_multi_index([np.searchsorted(e, known[:, j]) for j, e in enumerate(edges)], sizes)
+    at, w = np.unique(cell, return_counts=True)
+    tree, gains = models.grow(np.stack(np.unravel_index(at, sizes)), w.astype(float), np.bincount(cell, known[:, 3])[at], edges, 3, 5, np.random.default_rng(0))
+    [(_, theirs)] = attributions.model_trees(model)
+    nodes = lambda t: sorted(zip(t.feature.tolist(), t.threshold.round(9).tolist(), t.cover.tolist(), t.value.round(6).tolist()))
+    assert nodes(tree) == nodes(theirs) and len(tree.cover) > 40
+    assert np.allclose(tree.predict(known[:, :3]), theirs.predict(known[:, :3]))
+    assert np.allclose(gains / gains.sum(), model.featureImportances.toArray())
+
+
+def test_forests_of_constants_many_values_and_many_cells(spark, steps, monkeypatch):
+    flat, _ = models.fit_forest(steps.withColumn("y", F.lit(0.1)).withColumn("p", F.lit(2.0)), STEPS, "y", trees=5)
+    assert all(len(t.cover) == 1 and abs(t.value[0] - 0.1) < 1e-12 for t in flat.trees) and flat.featureImportances.toArray().sum() == 0
+    monkeypatch.setattr(models, "FEW_VALUES", 20)
+    edges = models.candidate_thresholds(steps.dropna(), STEPS, 80_000)
+    assert [len(e) for e in edges[:2]] == [11, 6] and 25 < len(edges[2]) <= 31
+    assert models.candidate_thresholds(steps.dropna(), STEPS, 1000) is None  # more cells than allowed
+    assert models.candidate_thresholds(steps.dropna().limit(500), STEPS, 80_000) is None  # more cells than rows
+    assert models.candidate_thresholds(steps.limit(0), STEPS, 80_000) is None

@@ -25,6 +25,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,18 @@ class Tree:
         return self.value[at]
 
 
+@dataclass
+class Forest:
+    """Trees whose mean is the prediction, and the features' importances, as Spark's forests give them (a vector of sum 1)."""
+
+    trees: list[Tree]
+    featureImportances: DenseVector
+
+
 def model_trees(model) -> list[tuple[float, Tree]]:
     """(weight, tree) of a fitted forest or boosted ensemble over numeric features; some kilobytes, whatever it was fitted to."""
+    if isinstance(model, Forest):
+        return [(1 / len(model.trees), t) for t in model.trees]
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
