@@ -441,3 +441,25 @@ def test_forests_of_constants_many_values_and_many_cells(spark, steps, monkeypat
     assert models.candidate_thresholds(steps.dropna(), STEPS, 1000) is None  # more cells than allowed
     assert models.candidate_thresholds(steps.dropna().limit(500), STEPS, 80_000) is None  # more cells than rows
     assert models.candidate_thresholds(steps.limit(0), STEPS, 80_000) is None
+
+
+def test_boosted_trees_of_counted_rows_equal_those_of_all_rows(spark, steps, monkeypatch):
+    """The fit sees each pair of features once; trees, row counts and importances are those of the rows."""
+    from pyspark.ml.feature import VectorAssembler
+
+    seen, real = [], models.GBTRegressor
+    rows = VectorAssembler(inputCols=["p", "q"], outputCol="_features").transform(steps.dropna())
+    theirs = real(maxIter=6, featuresCol="_features", labelCol="y", maxDepth=3, seed=42).fit(rows)
+
+    class Counting(real):
+        def fit(self, dataset):
+            seen.append(dataset.count())
+            return super().fit(dataset)
+
+    monkeypatch.setattr(models, "GBTRegressor", Counting)
+    model, known = models.fit_forest(steps, ["p", "q"], "y", trees=6, depth=3, boosted=True)
+    assert seen == [84] and known.count() == 6000
+    for (a, mine), (b, tree) in zip(attributions.model_trees(model), attributions.model_trees(theirs), strict=True):
+        assert a == b and (mine.feature == tree.feature).all() and np.allclose(mine.threshold, tree.threshold)
+        assert np.allclose(mine.cover, tree.cover) and mine.cover[0] == 6000 and np.allclose(mine.value, tree.value, atol=1e-6)
+    assert np.allclose(model.featureImportances.toArray(), theirs.featureImportances.toArray())

@@ -88,7 +88,7 @@ def model_trees(model) -> list[tuple[float, Tree]]:
                 np.array([n["leftChild"] for n in nodes]),
                 np.array([n["rightChild"] for n in nodes]),
                 np.array([n["prediction"] for n in nodes]),
-                np.array([float(n["rawCount"]) for n in nodes]),
+                np.array([float(n["impurityStats"][0]) for n in nodes]),  # rows, also where one of the fit stands for several
             )
         )
     weights = list(model.treeWeights)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trekframe.operators import attributions
 from trekframe.operators.augment import numbered
-from trekframe.sources.shared import ship
+from trekframe.sources.shared import materialised, ship
 
 
 #: Bins of a feature, as in Spark's forest.
@@ -43,13 +43,18 @@ def fit_forest(df: DataFrame, columns: list[str], target: str, trees: int = 50,
     """A forest, or a boosted ensemble, over rows whose features and target are known; and these rows.
 
     The forest is an ``attributions.Forest`` where the cells are few, and else Spark's model; both have
-    featureImportances and serve the operators here.
+    featureImportances and serve the operators here. A boosted ensemble has no random weights: rows of equal
+    features count as one of their mean and number, which leaves every split's gain as it is.
     """
     known = df.dropna(subset=[*columns, target]).select(*[F.col(c).cast("double").alias(c) for c in [*columns, target]], *[c for c in df.columns if c not in columns and c != target])
     if not boosted and (edges := candidate_thresholds(known, columns, min(CELLS, CELL_SUMS // trees))) is not None:
         return forest_of_cells(known, columns, target, edges, trees, depth, seed), known
-    rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(known)
-    common = {"featuresCol": "_features", "labelCol": target, "predictionCol": "_prediction", "maxDepth": depth, "seed": seed}
+    fitted, common = known, {"featuresCol": "_features", "labelCol": target, "predictionCol": "_prediction", "maxDepth": depth, "seed": seed}
+    if boosted:
+        n, distinct = known.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*columns)).alias("distinct")).first()
+        if 2 * distinct <= n:
+            fitted, common["weightCol"] = materialised(known.groupBy(*columns).agg(F.avg(target).alias(target), F.count("*").cast("double").alias("_rows"))), "_rows"
+    rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(fitted)
     model = (GBTRegressor(maxIter=trees, **common) if boosted else RandomForestRegressor(numTrees=trees, **common)).fit(rows)
     return model, known
 
