@@ -364,6 +364,18 @@ def test_densified_points_are_compiled_and_equal_the_great_circle(spark):
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
 
 
+def test_densified_positions_hold_the_positions(spark, sf_dir):
+    """The query gives every point with its coordinates, which Spark would otherwise leave unworked."""
+    from trekframe.plans import registry
+
+    out = registry.QUERIES["densified_positions"](spark, sf_dir)
+    assert out.columns == ["track_id", "point_index", "k", "latitude", "longitude"]
+    assert "ATAN2" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.track_id, r.point_index, r.k): (r.latitude, r.longitude) for r in out.where("track_id = 'TRACK_1'").collect()}
+    want = {(r.track_id, r.point_index, r.k): (r.latitude, r.longitude) for r in tracks.densify(track_points(spark, sf_dir).where("track_id = 'TRACK_1'")).collect()}
+    assert got.keys() == want.keys() and any(k for _, _, k in got) and all(abs(a - b) <= 6e-8 for k in want for a, b in zip(got[k], want[k]))
+
+
 @pytest.mark.parametrize("kind", ["gpx", "tcx", "geojson", "kml"])
 def test_packed_documents_read_as_the_tree_does(spark, sf_dir, tmp_path, kind):
     docs = files.WRITERS[kind](track_points(spark, sf_dir).where("track_id in ('TRACK_1', 'TRACK_2', 'TRACK_3')"))
