@@ -1,6 +1,7 @@
 """Attributions, permutation importance, exact quantiles, modes, partial correlation: against enumeration and plain numpy."""
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -302,6 +303,39 @@ def test_means_are_added_up_as_in_sql(spark, tmp_path, name):
     assert len(want) == 7 and {tuple(r) for r in df.collect()} == set(want)
 
 
+def test_means_are_added_up_by_row_group(spark, tmp_path):
+    """Suppliers with rows in several row groups and files: each row group by itself, then their sums in order, where one running sum answers otherwise."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    from trekframe.plans import model_queries
+    from trekframe.sources.row_groups import with_row_group
+
+    given = pq.read_table("/root/testdata/sf0.1/lineitem.parquet")
+    parts = [part.filter(pc.is_in(part["l_suppkey"], pa.array([170, 187, 311, 363, 417, 530]))) for part in (given.slice(at, 122_880) for at in range(0, given.num_rows, 122_880))]
+    for name, held in (("a b.parquet", parts[:3]), ("c.parquet", parts[3:])):
+        with pq.ParquetWriter(f"{tmp_path}/{name}", given.schema) as out:
+            for part in held:
+                out.write_table(part)
+    lines = spark.read.parquet(str(tmp_path))
+    got = {(r.row_group, r.l_suppkey): r.n for r in with_row_group(lines).groupBy("row_group", "l_suppkey").agg(F.count("*").alias("n")).collect()}
+    assert got == {(i, k): part["l_suppkey"].to_pylist().count(k) for i, part in enumerate(parts) for k in set(part["l_suppkey"].to_pylist())}
+
+    def mean(groups):
+        total = 0.0
+        for group in groups:
+            total += reduce(lambda a, v: a + v, group, 0.0)
+        return total / sum(map(len, groups))
+
+    values = {k: [part.filter(pc.equal(part["l_suppkey"], k))["l_tax"].to_pylist() for part in parts] for k in set(given["l_suppkey"].to_pylist()) & {170, 187, 311, 363, 417, 530}}
+    want = {k: mean(groups) > 0.04 for k, groups in values.items()}
+    assert want != {k: mean([sum(groups, [])]) > 0.04 for k, groups in values.items()}
+    taxed = {(r.feature, r.many) for r in model_queries._answers(lines).collect()}
+    votes = {k: model_queries.mean_by_row_group(with_row_group(lines), "l_suppkey", "l_tax").where(F.col("l_suppkey") == k).first().mean > 0.04 for k in want}
+    assert votes == want and set(want.items()) <= taxed
+
+
 @pytest.mark.parametrize("most", [30, 100_000])
 def test_each_cell_between_thresholds_is_answered_once(most):
     rng = np.random.default_rng(5)

@@ -8,6 +8,7 @@ from trekframe.operators import addresses, attributions, distributions, models
 from trekframe.plans.analysis_queries import NUMERIC, rounded
 from trekframe.plans.registry import query
 from trekframe.sources.bridge import oracle, track_points
+from trekframe.sources.row_groups import mean_by_row_group, with_row_group
 
 
 @query()
@@ -49,12 +50,21 @@ _FACTS = """select f.l_suppkey as feature, f.n, f.zeros, f.skewness, f.normal, f
     left join modes m on m.feature = f.l_suppkey"""
 
 
+#: An answer of _ANSWERS that asks for a mean, its rest, and what is asked of both.
+_OF_MEANS = {
+    "l_discount": ("select l_suppkey, max(l_discount) > 3 * avg(l_discount), 2 from lineitem where l_quantity < 3 group by 1", "select l_suppkey, max(l_discount) as most, 2 as modes from lineitem where l_quantity < 3 group by 1", "most > 3 * mean"),
+    "l_tax": ("select l_suppkey, avg(l_tax) > 0.04, 1 + count(distinct l_returnflag) from lineitem group by 1", "select l_suppkey, 1 + count(distinct l_returnflag) as modes from lineitem group by 1", "mean > 0.04"),
+}
+
+
 def _answers(lines):
-    """The answers in Spark's SQL; a mean beside a distinct count would be added up by the counted column first, so the two are taken apart and the mean is one running sum, as in the SQL."""
-    together = "select l_suppkey, avg(l_tax) > 0.04, 1 + count(distinct l_returnflag) from lineitem group by 1"
-    apart = "select m.l_suppkey, many, modes from (select l_suppkey, avg(l_tax) > 0.04 as many from lineitem group by 1) m join (select l_suppkey, 1 + count(distinct l_returnflag) as modes from lineitem group by 1) n on m.l_suppkey <=> n.l_suppkey"
-    assert together in _ANSWERS
-    return lines.sparkSession.sql(_ANSWERS.replace(together, apart).replace("from lineitem", "from {lineitem}"), lineitem=lines)
+    """The answers in Spark's SQL. Some means are 0.04 but for the order of summation, so they are added up as in the SQL, whose threads take a row group at a time: each of these is one running sum."""
+    sql, numbered = _ANSWERS, with_row_group(lines)
+    for column, (answer, rest, asked) in _OF_MEANS.items():
+        assert answer in sql
+        sql = sql.replace(answer, f"select r.l_suppkey, {asked}, modes from ({rest}) r join {{{column}}} m on r.l_suppkey <=> m.l_suppkey")
+    means = {"l_discount": mean_by_row_group(numbered.where("l_quantity < 3"), "l_suppkey", "l_discount"), "l_tax": mean_by_row_group(numbered, "l_suppkey", "l_tax")}
+    return lines.sparkSession.sql(sql.replace("from lineitem", "from {lineitem}"), lineitem=lines, **means)
 
 
 @query(f"select feature, count(*) as votes, avg(many::int) >= 0.5 as multimodal, floor(coalesce(quantile_cont(case when many then modes end, 0.5), 1))::bigint as n_modes from ({_ANSWERS}) group by 1")
