@@ -1,7 +1,10 @@
+import gc
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.data import edge_docs, empty_docs
 from trekframe.llm import collocations
@@ -93,3 +96,30 @@ def test_cells_never_lose_a_frequent_pair(spark, monkeypatch):
     for least_bits, support in ((6, 20), (16, 20), (16, 400)):
         monkeypatch.setattr(collocations, "LEAST_BITS", max(least_bits, collocations.SLICE))
         assert found(collocations.collocations(docs, support=support)) == plain(rows, support)
+
+
+def test_shards_are_freed_at_once(monkeypatch):
+    """Nothing that a shard made refers to itself, so a worker holds one shard at a time, whenever Python looks for circles."""
+    monkeypatch.setattr(collocations, "SHARD", 300)
+    every = np.full(1 << 10, ~np.uint64(0))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array(["a b c a b c d e " * 5] * 40)], names=["lang", "text"])
+    passes = [collocations.shard_words, lambda s: collocations.shard_cells(s, every, 16, 100), *(lambda s, k=k: collocations.shard_phrases(s, every, every, k) for k in (2, 5))]
+    shards = []
+
+    def watched(fn):
+        def run(shard):
+            assert not any(ref() for ref in shards)
+            shards.append(weakref.ref(shard))
+            yield from fn(shard)
+
+        return run
+
+    for _ in range(2):  # what the first round imports may refer to itself
+        gc.collect()
+        gc.disable()
+        try:
+            rows = [sum(b.num_rows for b in collocations._shards([batch], watched(fn))) for fn in passes]
+            left = gc.collect()
+        finally:
+            gc.enable()
+    assert min(rows) > 0 and len(shards) >= 40 and left == 0

@@ -27,6 +27,8 @@ an empty table gives an empty result; other columns are unread.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,17 +58,16 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class _Numbers(dict):
-    """Numbers of a language's words in the lists of a shard."""
+    """Numbers of a language's words in the lists of a shard; it refers to these, not to the shard, so that nothing that goes by refers to itself and all of it is freed at once."""
 
-    def __init__(self, shard: Shard, lang: str):
-        self.shard, self.lang = shard, lang
+    def __init__(self, words: list[bytes], langs: list[str], lang: str):
+        self.words, self.langs, self.lang = words, langs, lang
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        shard = self.shard
-        n = self[word] = len(shard.words)
-        shard.words.append(word)
-        shard.langs.append(self.lang)
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
         return n
 
 
@@ -80,7 +81,7 @@ class Shard:
         found = tokens(text)
         if found:
             if lang not in self.numbers:
-                self.numbers[lang] = _Numbers(self, lang)
+                self.numbers[lang] = _Numbers(self.words, self.langs, lang)
             self.parts += (np.fromiter(map(self.numbers[lang].__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32))
             self.size += len(found)
 
@@ -200,36 +201,46 @@ def shard_words(shard: Shard):
     yield from _rows(pa.array(shard.langs[1:], pa.string()), pa.array([w.decode() for w in shard.words[1:]], pa.string()), n)
 
 
-def shard_phrases(shard: Shard, frequent: np.ndarray, pairs: np.ndarray, longest: int):
-    """Phrases of the shard with their occurrences, whose words, and whose neighbouring words as pairs, the bitmaps hold: pairs if they are the longest, else phrases of three words or more."""
-    hashes, ids = shard.hashes(), shard.positions()
-    kept = in_bitmap(frequent, hashes)
-    kept[0] = False
-    words, n_blocks = bitmaps(ids, kept), (len(ids) >> BLOCK) + 1
-    texts, langs = pa.array([w.decode() for w in shard.words], pa.string()), pa.array(shard.langs, pa.string())
+@dataclass
+class _Growth:
+    """What all phrases of a shard grow by. Its own class, as a function that calls itself from within another would hold the shard until Python looks for such circles."""
 
-    def paired(first, second):
-        return in_bitmap(pairs, chained_pair(hashes[first], hashes[second]))
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]
+    n_blocks: int
+    texts: pa.Array
+    langs: pa.Array
+    hashes: np.ndarray
+    pairs: np.ndarray
+    longest: int
 
-    def grow(rows, phrases: pa.Array, lang_of: np.ndarray, last: np.ndarray, length: int):
+    def longer(self, rows, phrases: pa.Array, lang_of: np.ndarray, last: np.ndarray, length: int):
         """Longer phrases of the phrases that rows hold, and then theirs."""
-        block, phrase, word, mask = extended(rows, words, n_blocks)
-        ok = paired(last[phrase], word)
+        block, phrase, word, mask = extended(rows, self.words, self.n_blocks)
+        ok = in_bitmap(self.pairs, chained_pair(self.hashes[last[phrase]], self.hashes[word]))
         block, phrase, word, mask = block[ok], phrase[ok], word[ok], mask[ok]
         if not len(block):
             return
-        number, shorter, word, n = _numbered(phrase, word, mask, len(kept))
-        longer = pc.binary_join_element_wise(phrases.take(pa.array(shorter)), texts.take(pa.array(word)), " ")
-        if longest == 2 or length > 1:
-            yield from _rows(langs.take(pa.array(lang_of[shorter])), longer, n)
-        if length + 1 < longest:
-            yield from grow((block, number, mask), longer, lang_of[shorter], word, length + 1)
+        number, shorter, word, n = _numbered(phrase, word, mask, len(self.hashes))
+        del phrase, ok
+        longer, lang_of = pc.binary_join_element_wise(phrases.take(pa.array(shorter)), self.texts.take(pa.array(word)), " "), lang_of[shorter]
+        if self.longest == 2 or length > 1:
+            yield from _rows(self.langs.take(pa.array(lang_of)), longer, n)
+        if length + 1 < self.longest:
+            yield from self.longer((block, number, mask), longer, lang_of, word, length + 1)
 
+
+def shard_phrases(shard: Shard, frequent: np.ndarray, pairs: np.ndarray, longest: int):
+    """Phrases of the shard with their occurrences, whose words, and whose neighbouring words as pairs, the bitmaps hold: pairs if they are the longest, else phrases of three words or more."""
+    hashes, ids = shard.hashes(), shard.positions()
+    kept = in_bitmap(frequent, hashes)
+    kept[0] = False
+    words = bitmaps(ids, kept)
+    growth = _Growth(words, (len(ids) >> BLOCK) + 1, pa.array([w.decode() for w in shard.words], pa.string()), pa.array(shard.langs, pa.string()), hashes, pairs, longest)
     every = np.arange(len(shard.words))
     of_class = (every * 2654435761 >> 7) % max(1, len(words[0]) // (4 * AT_ONCE))
     for c in range(of_class.max() + 1):
         own = np.flatnonzero(of_class[words[1]] == c)
-        yield from grow(tuple(x[own] for x in words), texts, every, every, 1)
+        yield from growth.longer(tuple(x[own] for x in words), growth.texts, every, every, 1)
 
 
 def chained_pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
