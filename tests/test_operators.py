@@ -1,5 +1,7 @@
 import datetime as dt
 import math
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -376,6 +378,23 @@ def test_densified_positions_hold_the_positions(spark, sf_dir):
     assert got.keys() == want.keys() and any(k for _, _, k in got) and all(abs(a - b) <= 6e-8 for k in want for a, b in zip(got[k], want[k]))
 
 
+def test_a_tree_of_documents_is_as_spark_writes_it(spark, tmp_path):
+    """The same folders and texts, also for names that need escapes, without a process a file."""
+    rows = [(name, f"<x>{i} \u00e9\r\n</x>") for i, name in enumerate(["TRACK_1", "a/b", "50% #1?", "x=[y]", " ", "\u00e9", *(f"t{i}" for i in range(200))])]
+    docs = spark.createDataFrame(rows, "track_id string, doc string").repartition(4, "track_id")
+    docs.select(F.col("doc").alias("value"), "track_id").write.partitionBy("track_id").text(f"{tmp_path}/want")
+    started = lambda: int(re.search(r"processes (\d+)", open("/proc/stat").read())[1])
+    files.write_documents(docs.limit(0), f"{tmp_path}/none")
+    before = started()
+    files.write_documents(docs, f"{tmp_path}/got")
+    assert started() - before < len(rows)
+    tree = lambda top: {os.path.basename(d): [open(f"{d}/{n}", newline="").read() for n in names if not n.startswith(".")] for d, _, names in os.walk(f"{tmp_path}/{top}") if d != f"{tmp_path}/{top}"}
+    assert tree("got") == tree("want") and len(tree("got")) == len(rows)
+    assert not [n for _, _, names in os.walk(f"{tmp_path}/got") for n in names if n.startswith(".")]
+    with pytest.raises(FileExistsError):
+        files.write_documents(docs, f"{tmp_path}/got")
+
+
 @pytest.mark.parametrize("kind", ["gpx", "tcx", "geojson", "kml"])
 def test_packed_documents_read_as_the_tree_does(spark, sf_dir, tmp_path, kind):
     docs = files.WRITERS[kind](track_points(spark, sf_dir).where("track_id in ('TRACK_1', 'TRACK_2', 'TRACK_3')"))

@@ -7,10 +7,16 @@ Where a table of documents is read back, they may be packed into few files.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekframe.sources.shared import materialised
+from trekframe.sources.shared import materialised, ship
 
 POINT_SCHEMA = "track_id string, point_index int, date date, latitude double, longitude double, altitude double, region string, terrain_type string, frequency_steps double, temperature double"
 _GPX = "_creator string, metadata struct<time string>, trk array<struct<name string, desc string, type string, trkseg array<struct<trkpt array<struct<_lat double, _lon double, ele double, time string>>>>>>"
@@ -96,8 +102,6 @@ def read_geojson(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 def _fields(ddl: str) -> str:
     """Fields of a schema text as a struct's."""
-    import re
-
     return re.sub(r"(^|, )(\w+) (string|struct)", r"\1\2:\3", ddl)
 
 
@@ -227,9 +231,42 @@ def export_tracks(points: DataFrame, path: str, formats: list[str]) -> DataFrame
     return out
 
 
+#: What Spark writes as %XX in the name of a partition's folder.
+_ESCAPED = re.compile(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
-    """A text file tree with a folder a track."""
-    docs.select(F.col("doc").alias("value"), "track_id").write.partitionBy("track_id").text(path)
+    """A text file tree with a folder a track; docs has a row a track.
+
+    In a mounted file system tasks write the files themselves, each under another
+    name first, so that a task may run twice: Hadoop's local one starts processes
+    for the mode of every file, which takes longer than all else. The tree is that
+    of Spark's writer, which does it in other file systems.
+    """
+    spark = docs.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        docs.select(F.col("doc").alias("value"), "track_id").write.partitionBy("track_id").text(path)
+        return
+    folder = top.toUri().getPath()
+    os.makedirs(folder)
+    ship(spark)
+
+    def run(batches):
+        part, n = f"part-{TaskContext.get().partitionId():05d}.txt", 0
+        for batch in batches:
+            for track, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                name = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", track) if track else "__HIVE_DEFAULT_PARTITION__"
+                os.makedirs(f"{folder}/track_id={name}", exist_ok=True)
+                held = f"{folder}/track_id={name}/.{part}-{uuid.uuid4().hex}"
+                with open(held, "w", encoding="utf-8", newline="") as out:
+                    out.write(f"{doc or ''}\n")
+                os.replace(held, f"{folder}/track_id={name}/{part}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    docs.select("track_id", "doc").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    open(f"{folder}/_SUCCESS", "w").close()
 
 
 def pack_documents(docs: DataFrame, path: str) -> None:
