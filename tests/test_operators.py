@@ -368,9 +368,9 @@ def test_densified_points_are_compiled_and_equal_the_great_circle(spark):
 
 def test_densified_positions_hold_the_positions(spark, sf_dir):
     """The query gives every point with its coordinates, which Spark would otherwise leave unworked."""
-    from trekframe.plans import registry
+    from trekframe.plans import track_queries
 
-    out = registry.QUERIES["densified_positions"](spark, sf_dir)
+    out = track_queries.densified_positions(spark, sf_dir)
     assert out.columns == ["track_id", "point_index", "k", "latitude", "longitude"]
     assert "ATAN2" in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.track_id, r.point_index, r.k): (r.latitude, r.longitude) for r in out.where("track_id = 'TRACK_1'").collect()}
